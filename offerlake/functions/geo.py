@@ -19,32 +19,43 @@ def fn_haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 class Grid:
-    """Cells at least `mi` miles on a side up to `max_lat`, so two points within `mi` lie in the same or in
-    neighbouring cells. Rows of cells are bands of equal latitude; columns are widened by the cosine at `max_lat`."""
+    """Bands of equal latitude cut into columns, each cell at least `mi` miles wide where points of its band or the next
+    can lie, so two points within `mi` are in the same or in neighbouring cells anywhere on the globe."""
 
-    def __init__(self, mi: float, max_lat: float = 72.0):
+    def __init__(self, mi: float):
         self.mi = mi
         self.dlat = mi / MI_PER_DEGREE * 1.0001
-        # the chord bound at max_lat, not only the parallel's arc
-        self.dlon = math.degrees(2 * math.asin(min(1.0, math.sin(math.radians(self.dlat) / 2)
-                                                   / math.cos(math.radians(max_lat))))) * 1.0001
-        self.cols = max(1, math.floor(360 / self.dlon))
+
+    def _columns(self, y: Column) -> Column:
+        """How many columns a band has: the reach in degrees at its far edge, one band further out, decides."""
+        edge = (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * self.dlat
+        reach = 2 * F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(self.dlat) / 2) / F.cos(F.radians(edge)))))
+        return F.when(edge < 89, F.greatest(F.lit(1), F.floor(360 / (reach * 1.0001)))).otherwise(F.lit(1)).cast("bigint")
+
+    def _column(self, y: Column, lon: Column) -> Column:
+        n = self._columns(y)
+        return F.pmod(F.floor((lon + 180) * n / 360), n).cast("bigint")
 
     def cell(self, lat: Column, lon: Column) -> Column:
-        return F.struct(F.floor(lat / self.dlat).alias("y"), F.floor((lon + 180) / self.dlon).alias("x"))
+        y = F.floor(lat / self.dlat).cast("bigint")
+        return F.struct(y.alias("y"), self._column(y, lon).alias("x"))
 
     def around(self, lat: Column, lon: Column) -> Column:
-        """The point's cell and its eight neighbours, the date line included."""
-        y, x = F.floor(lat / self.dlat), F.floor((lon + 180) / self.dlon)
-        last = self.cols if self.cols * self.dlon < 360 else self.cols - 1
-        cells = [F.struct((y + dy).alias("y"), F.pmod(x + dx, F.lit(last + 1)).alias("x"))
-                 for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-        if 360 - last * self.dlon < self.dlon:          # the last column is narrower: reach one further over it
-            cells += [F.struct((y + dy).alias("y"), F.pmod(x + dx, F.lit(last + 1)).alias("x"))
-                      for dy in (-1, 0, 1) for dx in (-2, 2)]
+        """The point's cell and its neighbours, over the date line too."""
+        y = F.floor(lat / self.dlat).cast("bigint")
+        cells = []
+        for dy in (-1, 0, 1):
+            x, n = self._column(y + dy, lon), self._columns(y + dy)
+            cells += [F.struct((y + dy).alias("y"), F.pmod(x + dx, n).alias("x")) for dx in (-1, 0, 1)]
         return F.array_distinct(F.array(*cells))
 
 
+def small_cell(lat: Column, lon: Column, mi: float) -> Column:
+    """A cell no two points of which are more than `mi` miles apart."""
+    side = mi / MI_PER_DEGREE / math.sqrt(2) * 0.999
+    return F.struct(F.floor(lat / side).alias("y"), F.floor(lon / side).alias("x"))
+
+
 def square(lat: Column, lon: Column, per_degree: int) -> tuple[Column, Column]:
     """The rounded square a point falls in, `per_degree` to a degree: a shop's point and its outline share one."""
     return F.bround(lat * per_degree).cast("bigint"), F.bround(lon * per_degree).cast("bigint")

@@ -10,7 +10,7 @@ from ..functions.amounts import dollars_short, general, number, rounded
 from ..functions.text import fn_clean, straight
 from ..functions.times import month_number, wall, weekday_number
 from ..rules import wordings as R
-from .wordwork import (bogo_of, ci, first_label, got, got_number, labels_of, matches, says, staged, without, without_first)
+from .wordwork import (apart, bogo_of, ci, first_label, got, got_number, labels_of, matches, says, staged, without, without_first)
 
 CENTRAL = "America/Chicago"
 
@@ -42,7 +42,11 @@ def job_sale_offer(posts: DataFrame) -> DataFrame:
     c = F.col
     within = lambda v: F.when((v > 0) & (v < 100), v)                                          # noqa: E731
     bare = says(c("_t1"), R.BOGO_BARE) & ~says(c("_t1"), r"\bbuy\s+\w+,?\s+get\b")
-    label, label_pct = bogo_of(c("_t1"))
+
+    def bogo(t: Column) -> Column:
+        label, pct = bogo_of(t)
+        return F.struct(label.alias("label"), pct.alias("pct"))
+
     is_next = says(c("_t1"), R.BOGO_NEXT)
     next_buy = F.coalesce(got_number(c("_t1"), R.BOGO_NEXT, 1), F.lit(1.0)).cast("int")
     next_off = got_number(c("_t1"), R.BOGO_NEXT, 2)
@@ -71,10 +75,10 @@ def job_sale_offer(posts: DataFrame) -> DataFrame:
          "_n2": F.when(c("_n1").isNull(), got_number(c("_t0b"), R.BUY_N_SAVE, 1).cast("int"))},
         {"_t1": F.when(c("_n2").isNotNull(), without_first(c("_t0b"), R.BUY_N_SAVE)).otherwise(c("_t0b")),
          "buy_n": F.coalesce("_n1", "_n2")},
-        {"_next": is_next, "_bare": ~is_next & c("buy_n").isNull() & bare},
+        {"_next": is_next, "_bare": ~is_next & c("buy_n").isNull() & bare, "_bogo": apart(c("_t1"), bogo)},
         {"bogo": F.when(c("_next"), F.concat(F.lit("buy "), next_buy.cast("string"), F.lit(" get 1 "), general(next_off), F.lit("% off")))
-         .when(c("_bare"), "buy one, get one deals").when(c("buy_n").isNull(), label),
-         "bogo_pct": F.when(c("_next"), rounded(next_off / (next_buy + 1), 1)).when(~c("_bare") & c("buy_n").isNull(), label_pct)},
+         .when(c("_bare"), "buy one, get one deals").when(c("buy_n").isNull(), c("_bogo.label")),
+         "bogo_pct": F.when(c("_next"), rounded(next_off / (next_buy + 1), 1)).when(~c("_bare") & c("buy_n").isNull(), c("_bogo.pct"))},
         {"_t2": F.when(c("_next"), without_first(c("_t1"), R.BOGO_NEXT)).when(c("_bare"), without(c("_t1"), R.BOGO_BARE))
          .when(c("buy_n").isNull() & c("bogo").isNotNull(), without(c("_t1"), R.BOGO_ANY)).otherwise(c("_t1"))},
         {"_range": says(c("_t2"), R.RANGE_PCT), "_plus": plus},

@@ -99,6 +99,11 @@ def bogo_of(text: Column) -> tuple[Column, Column]:
     return label, pct
 
 
+def apart(value: Column, read) -> Column:
+    """`read(value)` evaluated as a unit of its own: long regex chains would overflow the stage's generated method."""
+    return F.get(F.transform(F.array(value), read), 0)
+
+
 def staged(df, columns: Sequence[str], *stages: dict[str, Column]):
     """Add columns stage by stage and keep only `columns` of them: later stages read earlier ones by name."""
     own = df.columns

@@ -107,9 +107,9 @@ def _(t: Tables):
 
 # One wording per reason, in the order they are tried; a line's number picks one.
 SALE_TITLES = ["{p}% off gift cards at a store", "{p}% off a yearly membership", "Plan: $5 per month", "{p}% off with our credit card",
-               "Trade-in sale: {p}% off", "Sign up sale: {p}% off", "Student discount: {p}% off", "{p}% off hotel sale",
+               "Trade-in sale: {p}% off", "Sign-up sale: {p}% off", "Student discount: {p}% off", "{p}% off hotel sale",
                "Store sweepstakes {p}% off", "{p}% off auction", "{p}% off haircuts", "{p}% off all toys + free store pickup",
-               "{p}% off toys, in stores only", "{p}% off ebooks sale", "The best sales this week", "Toys sale", "Fall sale: {p}% off",
+               "{p}% off toys, in-store only", "{p}% off ebooks sale", "The best sales this week", "Toys sale", "Fall sale: {p}% off",
                "Up to {p}% off everything"]
 SALE_REASONS = ["a gift card", "a membership", "a subscription", "a credit card offer", "a trade-in", "a sign-up offer",
                 "a discount for a group of people", "travel", "a giveaway", "an auction", "a local service", "pickup only",

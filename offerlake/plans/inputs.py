@@ -197,4 +197,7 @@ def using(*names: str, body: str, **more: str) -> str:
     ctes = [f"{n} AS ({SQL[n]})" for n in order] + [f"{n} AS ({s})" for n, s in more.items()]
     if not ctes:
         return body
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
+    start = body.lstrip()
+    # a body with CTEs of its own goes on with the list
+    join = ",\n" + start[4:] if start.startswith("WITH") else "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + join
