@@ -186,7 +186,7 @@ def job_sale_dates(posts: DataFrame, now: Column, zone: str = CENTRAL) -> DataFr
     return staged(
         posts, ["starts_at", "ends_at", "ends_how"],
         {"_posted": F.to_date(F.from_utc_timestamp(F.coalesce("posted_at", now), z)), "_title": straight(c("title")),
-         "_body": F.substring(straight(c("text")), 1, 900)},
+         "_body": straight(c("text"))},
         {"_text": F.concat("_title", F.lit(". "), "_body"), "_r1": believable(stated_range(c("_title"), c("_posted")))},
         {"_e": F.when(c("_r1").isNull(), F.coalesce(stated_end(c("_title"), c("_posted")), stated_end(c("_body"), c("_posted")))),
          "_r2": believable(stated_range(c("_body"), c("_posted")))},
@@ -225,7 +225,7 @@ def job_promo_dates(posts: DataFrame, start: Column, end: Column, zone: str = CE
     return staged(
         posts, ["first_day", "last_day", "dates_how", "recurring", "reason"],
         {"_posted": F.to_date(F.from_utc_timestamp(F.coalesce("posted_at", start), z)),
-         "_text": F.concat("title", F.lit(". "), F.substring(F.coalesce("text", F.lit("")), 1, 400))},
+         "_text": F.concat("title", F.lit(". "), F.coalesce("text", F.lit("")))},
         {"_r": stated_range(c("_text"), c("_posted")), "_is_range": says(c("_text"), R.RANGE_MD) | says(c("_text"), R.RANGE_NUM),
          "_is_until": says(c("_text"), R.PROMO_UNTIL), "_until": until,
          "_on": F.array_sort(F.array_compact(F.concat(on_md, on_num))), "_today": says(c("_text"), R.TODAY), "recurring": recurring},
@@ -292,7 +292,7 @@ def job_sale_code_shipping_conditions(posts: DataFrame, today: Column, zone: str
     found = F.array_compact(F.flatten(F.transform(F.split(full, r"(?<=[.!?]) "), in_sentence)))
     head, offer = split_title(c("title"))
     t = F.concat(head, F.lit(" "), without(offer, R.SHIP_TAIL, ""))
-    body_today = says(F.substring(straight(c("text")), 1, 400), r"\btoday[- ]only\b")
+    body_today = says(straight(c("text")), r"\btoday[- ]only\b")
     of_title = [F.when(says(t, rx) | (body_today if label == "today only" else F.lit(False)), F.lit(label)) for rx, label in R.SALE_CONDITIONS]
     reward = F.coalesce(c("reward"), F.lit("")) != ""
     listed = F.array_compact(F.array(
@@ -363,7 +363,7 @@ def jn_unknown_store(posts: DataFrame) -> DataFrame:
     key = fn_norm(F.regexp_replace(c("_name"), r"(?i)^the\s+", ""))
     labels = F.flatten(F.transform(F.flatten(F.transform(F.coalesce("links", F.array()), fn_hosts)), lambda h: F.split(h, r"\.")))
     own = F.exists(labels, lambda x: ~x.isin(*R.HOST_WORDS) & (x == key)) & (F.length(key) >= 3)
-    ships = says(F.concat("title", F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 600)), R.SHIPS)
+    ships = says(F.concat("title", F.lit(" "), F.coalesce("text", F.lit(""))), R.SHIPS)
     return staged(posts, ["store_name", "store_how"],
                   {"_name": name, "_poss": possessive},
                   {"_own": (c("_name") != "") & own, "_ships": (c("_name") != "") & ships},

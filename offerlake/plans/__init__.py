@@ -1,4 +1,4 @@
-from . import counting, filtering, geography  # noqa: F401
+from . import counting, filtering, geography, wording  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -131,8 +131,8 @@ def _(t: Tables):
 
 
 @query("agg_ad_overlap_by_distance", using("cities", body=f"""
-    WITH at AS (SELECT DISTINCT id AS area, o_orderkey % 40 AS ad FROM cities JOIN orders ON o_custkey = id),
-    sets AS (SELECT area, list_sort(list(ad)) AS ads FROM at GROUP BY area),
+    WITH shown AS (SELECT DISTINCT id AS area, o_orderkey % 40 AS ad FROM cities JOIN orders ON o_custkey = id),
+    sets AS (SELECT area, list_sort(list(ad)) AS ads FROM shown GROUP BY area),
     nodes AS (SELECT c.id, c.lat, c.lon, s.ads FROM cities c JOIN sets s ON s.area = c.id)
     SELECT CAST(floor(mi / 10) AS BIGINT) AS bin, count(*) AS pairs, floor(avg(share) * 10000 + 0.5) / 10000 AS share FROM (
       SELECT {miles_sql('a', 'b')} AS mi, len(list_intersect(a.ads, b.ads)) / len(list_distinct(list_concat(a.ads, b.ads)))::DOUBLE AS share
