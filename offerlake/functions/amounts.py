@@ -16,6 +16,12 @@ def rounded(col: Column, places: int = 0) -> Column:
     return F.floor(col * scale + 0.5) / scale
 
 
+def bind(value: Column, read) -> Column:
+    """`read(value)` with the value worked out once, however often `read` uses it: a lambda's variable is not copied into the
+    expression as a column is, so long chains stay short and fit a generated method."""
+    return F.get(F.transform(F.array(value), read), 0)
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, or null where the pattern or the group does not match."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -28,8 +34,7 @@ def number(text: Column) -> Column:
 
 def fn_money(col: Column) -> Column:
     """The first amount in a text; zero and less are no price."""
-    value = rounded(number(found(col.cast("string"), AMOUNT, 0)), 2)
-    return F.when(value > 0, value)
+    return F.nullif(rounded(number(found(col.cast("string"), AMOUNT, 0)), 2), F.lit(0.0))
 
 
 def fn_pct(price: Column, ref: Column) -> Column:

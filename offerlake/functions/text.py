@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .amounts import bind
+
 # Letters written with accents and the plain letters they compare as.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
@@ -137,18 +139,23 @@ def fn_phrase_near(text: Column, phrases: Column, within: int = 500) -> Column:
     want = F.filter(F.transform(phrases, fn_tidy), lambda p: p != "")
     body = F.coalesce(text, F.lit(""))
     spots = F.transform(want, lambda p: F.struct(positions(body, p).alias("starts"), F.length(p).alias("len")))
-    rest = F.slice(spots, 2, F.greatest(F.size(spots) - 1, F.lit(0)))
-
-    def passage(start: Column) -> Column:
-        def widen(acc: Column, spot: Column) -> Column:
-            near = F.array_min(F.transform(spot["starts"], lambda x: F.struct(F.abs(x - start).alias("d"), x.alias("x"))))["x"]
-            return F.struct(F.least(acc["lo"], near).alias("lo"), F.greatest(acc["hi"], near + spot["len"]).alias("hi"))
-        first = F.struct(start.alias("lo"), (start + spots[0]["len"]).alias("hi"))
-        span = F.aggregate(rest, first, widen)
-        return F.struct((span["hi"] - span["lo"]).alias("width"), span["lo"].alias("lo"), span["hi"].alias("hi"))
-
-    best = F.array_min(F.transform(spots[0]["starts"], passage))
-    complete = (F.size(want) > 0) & ~F.exists(spots, lambda s: F.size(s["starts"]) == 0)
-    close = complete & (best["width"] <= within) if within else complete
-    found = F.coalesce(close, F.lit(False))
-    return F.struct(found.alias("found"), F.when(found, best["lo"]).alias("lo"), F.when(found, best["hi"]).alias("hi"))
+
+    def nearest(spots: Column) -> Column:
+        def passage(start: Column) -> Column:
+            def widen(acc: Column, spot: Column) -> Column:
+                def reach(near: Column) -> Column:
+                    return F.struct(F.least(acc["lo"], near).alias("lo"), F.greatest(acc["hi"], near + spot["len"]).alias("hi"))
+                return bind(F.array_min(F.transform(spot["starts"], lambda x: F.struct(F.abs(x - start).alias("d"), x.alias("x"))))["x"], reach)
+            first = F.struct(start.alias("lo"), (start + spots[0]["len"]).alias("hi"))
+            rest = F.slice(spots, 2, F.greatest(F.size(spots) - 1, F.lit(0)))
+            return bind(F.aggregate(rest, first, widen),
+                        lambda span: F.struct((span["hi"] - span["lo"]).alias("width"), span["lo"].alias("lo"), span["hi"].alias("hi")))
+
+        complete = (F.size(spots) > 0) & ~F.exists(spots, lambda s: F.size(s["starts"]) == 0)
+        best = F.when(complete, F.array_min(F.transform(spots[0]["starts"], passage)))
+
+        def judge(best: Column) -> Column:
+            found = F.coalesce(best.isNotNull() & ((best["width"] <= within) if within else F.lit(True)), F.lit(False))
+            return F.struct(found.alias("found"), F.when(found, best["lo"]).alias("lo"), F.when(found, best["hi"]).alias("hi"))
+        return bind(best, judge)
+    return bind(spots, nearest)

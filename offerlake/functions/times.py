@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .amounts import bind
+
 ISO = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 
 
-def _stated(raw: Column) -> dict[str, Column]:
-    part = lambda g: F.regexp_extract(raw, ISO, g)                                        # noqa: E731
-    zone = F.when(part(5) == "Z", F.lit("+00:00")).otherwise(part(5))
-    ok = raw.rlike(ISO)
-    return {"ok": ok, "day": F.try_to_date(F.nullif(part(1), F.lit(""))), "hour": part(2).try_cast("int"),
-            "minute": part(3).try_cast("int"), "utc": zone.isin("+00:00", "+0000", "-00:00"),
-            "instant": F.when(ok, F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), F.lit(":"), part(3), F.lit(":"),
-                                                              F.when(part(4) == "", F.lit("00")).otherwise(part(4)), zone)))}
+def _read(raw: Column, use) -> Column:
+    """`use` of a time's parts as stated: its day, hour, minute, whether it is in UTC, and the moment it is."""
+    part = lambda r, g: F.regexp_extract(r, ISO, g)                                        # noqa: E731
+
+    def known(p: Column) -> Column:
+        zone = F.when(p["zone"] == "Z", F.lit("+00:00")).otherwise(p["zone"])
+        at = F.concat(p["day"], F.lit(" "), p["hour"], F.lit(":"), p["minute"], F.lit(":"), F.when(p["sec"] == "", "00").otherwise(p["sec"]), zone)
+        return F.struct(F.try_to_date(p["day"]).alias("day"), p["hour"].try_cast("int").alias("hour"), p["minute"].try_cast("int").alias("minute"),
+                        zone.isin("+00:00", "+0000", "-00:00").alias("utc"), F.try_to_timestamp(at).alias("instant"))
+
+    def parts(r: Column) -> Column:
+        return F.when(r.rlike(ISO), F.struct(part(r, 1).alias("day"), part(r, 2).alias("hour"), part(r, 3).alias("minute"), part(r, 4).alias("sec"),
+                                             part(r, 5).alias("zone")))
+    return bind(raw, lambda r: bind(parts(r), lambda p: F.when(p.isNotNull(), bind(known(p), use))))
 
 
 def instant(raw: Column) -> Column:
     """An ISO time with an offset as a moment; a time without one can't be placed, so it is null."""
-    return _stated(raw)["instant"]
+    return _read(raw, lambda s: s["instant"])
 
 
 def wall(day: Column, seconds: int, zone: Column) -> Column:
@@ -31,16 +39,18 @@ def wall(day: Column, seconds: int, zone: Column) -> Column:
 def fn_ad_end_local(raw: Column, zone: Column) -> Column:
     """The end of the day an ad names, in the place's zone. Ads state it as 23:59 in some other zone or as the small
     hours UTC of the next morning; anything else is the moment it says."""
-    s = _stated(raw)
-    named = F.when(s["utc"] & (s["hour"] < 12), F.date_sub(s["day"], 1)).when((s["hour"] == 23) & (s["minute"] == 59), s["day"])
-    return F.when(named.isNotNull(), wall(named, 86399, zone)).otherwise(s["instant"])
+    def end(s: Column) -> Column:
+        return (F.when(s["utc"] & (s["hour"] < 12), wall(F.date_sub(s["day"], 1), 86399, zone))
+                .when((s["hour"] == 23) & (s["minute"] == 59), wall(s["day"], 86399, zone)).otherwise(s["instant"]))
+    return _read(raw, end)
 
 
 def fn_ad_start_local(raw: Column, zone: Column) -> Column:
     """Midnight of the day an ad names, in the place's zone."""
-    s = _stated(raw)
-    named = F.when((s["utc"] & s["hour"].between(3, 8)) | ((s["hour"] == 0) & (s["minute"] == 0)), s["day"])
-    return F.when(named.isNotNull(), wall(named, 0, zone)).otherwise(s["instant"])
+    def start(s: Column) -> Column:
+        named = (s["utc"] & s["hour"].between(3, 8)) | ((s["hour"] == 0) & (s["minute"] == 0))
+        return F.when(named, wall(s["day"], 0, zone)).otherwise(s["instant"])
+    return _read(raw, start)
 
 
 def local_day(moment: Column, zone: Column) -> Column:
@@ -58,11 +68,12 @@ def seconds_between(a: Column, b: Column) -> Column:
 
 def fn_nearest_year(month: Column, day: Column, ref: Column) -> Column:
     """A month and day without a year: the year that puts it nearest the reference date, the earlier on a tie."""
-    def at(shift: int) -> Column:
-        d = F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(ref) + shift, month, day))
-        return F.when(d.isNotNull(), F.struct(F.abs(F.datediff(d, ref)).alias("off"), d.alias("day")))
-    near = F.array_min(F.array(at(-1), at(0), at(1)))
-    return F.when(month.isNotNull() & day.isNotNull(), near["day"])
+    def near(x: Column) -> Column:
+        def at(shift: int) -> Column:
+            d = F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(x["ref"]) + shift, x["m"], x["d"]))
+            return bind(d, lambda v: F.when(v.isNotNull(), F.struct(F.abs(F.datediff(v, x["ref"])).alias("off"), v.alias("day"))))
+        return F.when(x["m"].isNotNull() & x["d"].isNotNull(), F.array_min(F.array(at(-1), at(0), at(1)))["day"])
+    return bind(F.struct(month.alias("m"), day.alias("d"), ref.alias("ref")), near)
 
 
 # Month and weekday names as offers write them.
@@ -75,10 +86,10 @@ DAY_KEYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 def month_number(name: Column) -> Column:
     """1 to 12 from a month's name; null for anything else."""
     at = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(name, 1, 3)))
-    return F.when(at > 0, at.cast("int"))
+    return F.nullif(at, F.lit(0)).cast("int")
 
 
 def weekday_number(name: Column) -> Column:
     """0 Monday to 6 Sunday; null for anything else."""
     at = F.array_position(F.array(*[F.lit(d) for d in DAY_KEYS]), F.lower(F.substring(name, 1, 3)))
-    return F.when(at > 0, (at - 1).cast("int"))
+    return (F.nullif(at, F.lit(0)) - 1).cast("int")

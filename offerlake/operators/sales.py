@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fn_hosts, fn_nearest_year, fn_norm
-from ..functions.amounts import dollars_short, general, number, rounded
+from ..functions.amounts import bind, dollars_short, general, number, rounded
 from ..functions.text import fn_clean, straight
 from ..functions.times import month_number, wall, weekday_number
 from ..rules import wordings as R
-from .wordwork import (apart, bogo_of, ci, first_label, got, got_number, labels_of, matches, says, staged, without, without_first)
+from .wordwork import (bogo_of, ci, first_label, got, got_number, matches, read_match, says, staged, without, without_first)
 
 CENTRAL = "America/Chicago"
 
@@ -43,10 +43,6 @@ def job_sale_offer(posts: DataFrame) -> DataFrame:
     within = lambda v: F.when((v > 0) & (v < 100), v)                                          # noqa: E731
     bare = says(c("_t1"), R.BOGO_BARE) & ~says(c("_t1"), r"\bbuy\s+\w+,?\s+get\b")
 
-    def bogo(t: Column) -> Column:
-        label, pct = bogo_of(t)
-        return F.struct(label.alias("label"), pct.alias("pct"))
-
     is_next = says(c("_t1"), R.BOGO_NEXT)
     next_buy = F.coalesce(got_number(c("_t1"), R.BOGO_NEXT, 1), F.lit(1.0)).cast("int")
     next_off = got_number(c("_t1"), R.BOGO_NEXT, 2)
@@ -75,7 +71,7 @@ def job_sale_offer(posts: DataFrame) -> DataFrame:
          "_n2": F.when(c("_n1").isNull(), got_number(c("_t0b"), R.BUY_N_SAVE, 1).cast("int"))},
         {"_t1": F.when(c("_n2").isNotNull(), without_first(c("_t0b"), R.BUY_N_SAVE)).otherwise(c("_t0b")),
          "buy_n": F.coalesce("_n1", "_n2")},
-        {"_next": is_next, "_bare": ~is_next & c("buy_n").isNull() & bare, "_bogo": apart(c("_t1"), bogo)},
+        {"_next": is_next, "_bare": ~is_next & c("buy_n").isNull() & bare, "_bogo": bogo_of(c("_t1"))},
         {"bogo": F.when(c("_next"), F.concat(F.lit("buy "), next_buy.cast("string"), F.lit(" get 1 "), general(next_off), F.lit("% off")))
          .when(c("_bare"), "buy one, get one deals").when(c("buy_n").isNull(), c("_bogo.label")),
          "bogo_pct": F.when(c("_next"), rounded(next_off / (next_buy + 1), 1)).when(~c("_bare") & c("buy_n").isNull(), c("_bogo.pct"))},
@@ -147,29 +143,37 @@ def _md(month: Column, day: Column, ref: Column) -> Column:
     return fn_nearest_year(month, day, ref)
 
 
+def _int(x: Column) -> Column:
+    return x.try_cast("int")
+
+
+def _span(first: Column, last: Column, said: Column) -> Column:
+    return bind(F.struct(first.alias("first"), last.alias("last"), F.trim(said).alias("said")),
+                lambda x: F.when(x["first"].isNotNull() & x["last"].isNotNull(), x))
+
+
 def stated_range(text: Column, ref: Column) -> Column:
-    """A span of dates a text states: struct(first, last, how), or null."""
-    is_md = says(text, R.RANGE_MD)
-    m1 = month_number(got(text, R.RANGE_MD, 1))
-    m2 = F.coalesce(month_number(got(text, R.RANGE_MD, 3)), m1)
-    num = lambda g: got_number(text, R.RANGE_NUM, g).cast("int")                                # noqa: E731
-    first = F.when(is_md, _md(m1, got_number(text, R.RANGE_MD, 2).cast("int"), ref)).otherwise(_md(num(1), num(2), ref))
-    last = F.when(is_md, _md(m2, got_number(text, R.RANGE_MD, 4).cast("int"), ref)).otherwise(_md(num(3), num(4), ref))
-    words = F.when(is_md, got(text, R.RANGE_MD, 0)).otherwise(got(text, R.RANGE_NUM, 0))
-    return F.when(first.isNotNull() & last.isNotNull(), F.struct(first.alias("first"), last.alias("last"), F.trim(words).alias("said")))
+    """A span of dates a text states: struct(first, last, said), or null."""
+    def by_name(g) -> Column:
+        return F.struct(_span(_md(month_number(g(1)), _int(g(2)), ref), _md(month_number(F.coalesce(g(3), g(1))), _int(g(4)), ref), g(0)).alias("r"))
+
+    def by_number(g) -> Column:
+        return F.struct(_span(_md(_int(g(1)), _int(g(2)), ref), _md(_int(g(3)), _int(g(4)), ref), g(0)).alias("r"))
+    # a range in words decides, also when its dates do not exist
+    return F.coalesce(read_match(text, R.RANGE_MD, by_name), read_match(text, R.RANGE_NUM, by_number))["r"]
 
 
 def stated_end(text: Column, ref: Column) -> Column:
     """An end a text states in words: struct(last, said), or null."""
-    is_md, is_num = says(text, R.END_MD), says(text, R.END_NUM)
-    mo, dy = got_number(text, R.END_NUM, 1).cast("int"), got_number(text, R.END_NUM, 2).cast("int")
-    is_num = is_num & mo.between(1, 12) & dy.between(1, 31)
-    wd = weekday_number(got(text, R.END_DAY, 1))
-    ahead = F.date_add(ref, F.pmod(wd - F.weekday(ref), F.lit(7)).cast("int"))
-    last = (F.when(is_md, _md(month_number(got(text, R.END_MD, 1)), got_number(text, R.END_MD, 2).cast("int"), ref))
-            .when(is_num, _md(mo, dy, ref)).when(wd.isNotNull(), ahead))
-    words = F.when(is_md, got(text, R.END_MD, 0)).when(is_num, got(text, R.END_NUM, 0)).otherwise(got(text, R.END_DAY, 0))
-    return F.when(is_md | is_num | wd.isNotNull(), F.struct(last.alias("last"), F.trim(words).alias("said")))
+    end = lambda day, g: F.struct(day.alias("last"), F.trim(g(0)).alias("said"))                    # noqa: E731
+
+    def by_number(g) -> Column:
+        return F.when(_int(g(1)).between(1, 12) & _int(g(2)).between(1, 31), end(_md(_int(g(1)), _int(g(2)), ref), g))
+
+    def by_weekday(g) -> Column:
+        return end(F.date_add(ref, F.pmod(weekday_number(g(1)) - F.weekday(ref), F.lit(7)).cast("int")), g)
+    return F.coalesce(read_match(text, R.END_MD, lambda g: end(_md(month_number(g(1)), _int(g(2)), ref), g)),
+                      read_match(text, R.END_NUM, by_number), read_match(text, R.END_DAY, by_weekday))
 
 
 def job_sale_dates(posts: DataFrame, now: Column, zone: str = CENTRAL) -> DataFrame:
@@ -177,10 +181,10 @@ def job_sale_dates(posts: DataFrame, now: Column, zone: str = CENTRAL) -> DataFr
     source's own end comes first, then the title's words, then the text's."""
     c = F.col
     z = F.lit(zone)
-    believable = lambda r: F.when((r["first"] <= r["last"]) & (F.datediff(r["last"], r["first"]) <= 62), r)       # noqa: E731
+    believable = lambda r: bind(r, lambda x: F.when((x["first"] <= x["last"]) & (F.datediff(x["last"], x["first"]) <= 62), x))
     stated = c("expires_stated") & c("expires_at").isNotNull()
-    start_md = _md(month_number(got(c("_text"), R.START_MD, 1)), got_number(c("_text"), R.START_MD, 2).cast("int"), c("_posted"))
-    only_md = _md(month_number(got(c("_text"), R.ONLY_MD, 1)), got_number(c("_text"), R.ONLY_MD, 2).cast("int"), c("_posted"))
+    start_md = read_match(c("_text"), R.START_MD, lambda g: _md(month_number(g(1)), _int(g(2)), c("_posted")))
+    only = read_match(c("_text"), R.ONLY_MD, lambda g: F.struct(_md(month_number(g(1)), _int(g(2)), c("_posted")).alias("day"), F.trim(g(0)).alias("said")))
     stated_day = F.to_date(F.from_utc_timestamp("expires_at", z))
     said = lambda x: F.concat(F.lit("the post says “"), x, F.lit("”"))                           # noqa: E731
     return staged(
@@ -191,11 +195,11 @@ def job_sale_dates(posts: DataFrame, now: Column, zone: str = CENTRAL) -> DataFr
         {"_e": F.when(c("_r1").isNull(), F.coalesce(stated_end(c("_title"), c("_posted")), stated_end(c("_body"), c("_posted")))),
          "_r2": believable(stated_range(c("_body"), c("_posted")))},
         {"_r": F.coalesce("_r1", F.when(c("_e").isNull(), c("_r2")))},
-        {"_end0": F.coalesce("_r.last", "_e.last"), "_start0": F.coalesce(c("_r.first"), start_md),
+        {"_end0": F.coalesce("_r.last", "_e.last"), "_start0": F.coalesce(c("_r.first"), start_md), "_only": only, "_today": says(c("_text"), R.TODAY_ONLY),
          "_how0": said(F.coalesce("_r.said", "_e.said"))},
-        {"_end": F.coalesce("_end0", only_md, F.when(says(c("_text"), R.TODAY_ONLY), c("_posted"))),
-         "_how": F.when(c("_end0").isNotNull(), c("_how0")).when(only_md.isNotNull(), said(F.trim(got(c("_text"), R.ONLY_MD, 0))))
-         .when(says(c("_text"), R.TODAY_ONLY), "the post says “today only”").otherwise("")},
+        {"_end": F.coalesce("_end0", "_only.day", F.when(c("_today"), c("_posted"))),
+         "_how": F.when(c("_end0").isNotNull(), c("_how0")).when(c("_only.day").isNotNull(), said(c("_only.said")))
+         .when(c("_today"), "the post says “today only”").otherwise("")},
         {"_late": c("_end") < F.date_sub(c("_posted"), 1)},
         {"starts_at": F.when(F.when(stated, says(c("_text"), R.START_MD) & (c("_posted") < c("_start0")) & (c("_start0") <= stated_day))
                              .otherwise((c("_start0") > c("_posted")) & (c("_end").isNull() | (c("_start0") <= c("_end")))),
@@ -210,14 +214,10 @@ def job_promo_dates(posts: DataFrame, start: Column, end: Column, zone: str = CE
     text, posted_at, expires_at, expires_stated. Adds first_day, last_day, dates_how, recurring and reason."""
     c, z = F.col, F.lit(zone)
     day0, day1 = F.to_date(F.from_utc_timestamp(start, z)), F.to_date(F.from_utc_timestamp(end, z))
-    until_md = got(c("_text"), R.PROMO_UNTIL, 1).isNotNull()
-    num = lambda g: got_number(c("_text"), R.PROMO_UNTIL, g).cast("int")                         # noqa: E731
-    until = F.when(until_md, _md(month_number(got(c("_text"), R.PROMO_UNTIL, 1)), num(2), c("_posted"))).otherwise(_md(num(3), num(4), c("_posted")))
+    until = read_match(c("_text"), R.PROMO_UNTIL, lambda g: _md(F.coalesce(month_number(g(1)), _int(g(3))), F.coalesce(_int(g(2)), _int(g(4))), c("_posted")))
     part = lambda m, rx, g: F.regexp_extract(m, ci(rx), g)                                       # noqa: E731
-    on_md = F.transform(matches(c("_text"), R.ON_MD), lambda m: _md(month_number(part(m, R.ON_MD, 1)), part(m, R.ON_MD, 2).try_cast("int"), c("_posted")))
-    on_num = F.transform(matches(c("_text"), R.ON_NUM), lambda m: F.when(
-        part(m, R.ON_NUM, 1).try_cast("int").between(1, 12) & part(m, R.ON_NUM, 2).try_cast("int").between(1, 31),
-        _md(part(m, R.ON_NUM, 1).try_cast("int"), part(m, R.ON_NUM, 2).try_cast("int"), c("_posted"))))
+    on_md = F.transform(matches(c("_text"), R.ON_MD), lambda m: _md(month_number(part(m, R.ON_MD, 1)), _int(part(m, R.ON_MD, 2)), c("_posted")))
+    on_num = F.transform(matches(c("_text"), R.ON_NUM), lambda m: _md(_int(part(m, R.ON_NUM, 1)), _int(part(m, R.ON_NUM, 2)), c("_posted")))
     recurring = F.array_sort(F.array_distinct(F.transform(matches(c("_text"), R.RECURRING),
                                                           lambda m: weekday_number(part(m, R.RECURRING, 1)))))
     nxt = F.array_min(F.transform(c("recurring"), lambda d: F.date_add(day0, F.pmod(d - F.weekday(day0), F.lit(7)).cast("int"))))
@@ -272,26 +272,29 @@ def job_sale_code_shipping_conditions(posts: DataFrame, today: Column, zone: str
     c = F.col
     full = straight(F.concat("title", F.lit(". "), F.coalesce("text", F.lit(""))))
     posted = F.to_date(F.from_utc_timestamp("posted_at", F.lit(zone)))
-    code_at = r"(?<!\b(?i:no)\s{0,3})(?<!\b(?i:without)\s{0,3})" + R.CODE
+    # a cheap look ahead first, so the look behind is tried at few places
+    code_at = r"\b(?=(?i:promo|coupon|discount|offer|checkout|savings|\s?code))(?<!\b(?i:no)\s{0,3})(?<!\b(?i:without)\s{0,3})" + R.CODE
     others = c("other_stores") if "other_stores" in posts.columns else F.array().cast("array<string>")
 
     def in_sentence(s: Column) -> Column:
         def one(m: Column) -> Column:
             g = lambda i: F.nullif(F.regexp_extract(m, R.CODE, i), F.lit(""))                    # noqa: E731
-            quoted, bare = F.coalesce(g(1), g(2), g(3)), g(4)
-            code = F.coalesce(quoted, bare)
-            good = F.when(bare.isNotNull(), ~F.upper(bare).isin(*R.NOT_A_CODE)).otherwise(quoted.rlike("[A-Z0-9]"))
-            over = F.coalesce(stated_range(s, posted)["last"], stated_end(s, posted)["last"])
-            fits = good & ~says(s, R.CARD) & ~F.coalesce(over < today, F.lit(False)) & ~F.exists(others, lambda o: s.contains(o))
+            return bind(F.struct(F.coalesce(g(1), g(2), g(3)).alias("quoted"), g(4).alias("bare")), judge)
+
+        def judge(x: Column) -> Column:
+            code = F.coalesce(x["quoted"], x["bare"])
+            good = F.when(x["bare"].isNotNull(), ~F.upper(x["bare"]).isin(*R.NOT_A_CODE)).otherwise(x["quoted"].rlike("[A-Z0-9]"))
+            over = F.coalesce(F.coalesce(stated_range(s, posted)["last"], stated_end(s, posted)["last"]) < today, F.lit(False))
+            fits = good & ~says(s, R.CARD) & ~F.exists(others, lambda o: s.contains(o)) & ~over
             ship = says(s, R.CODE_SHIP) & ~says(F.replace(s, code, F.lit(" ")), R.CODE_DISCOUNT)
-            note = F.when(ship & says(s, r"\bdelivery\b"), "for free delivery").when(ship, "for free shipping").otherwise("")
+            note = F.when(ship, F.when(says(s, r"\bdelivery\b"), "for free delivery").otherwise("for free shipping")).otherwise("")
             return F.when(fits, F.struct(code.alias("code"), note.alias("note"), says(s, R.CODE_NEW).alias("new")))
         return F.transform(F.regexp_extract_all(s, F.lit(code_at), F.lit(0)), one)
 
     # a list of sentences, each end kept with its sentence
     found = F.array_compact(F.flatten(F.transform(F.split(full, r"(?<=[.!?]) "), in_sentence)))
     head, offer = split_title(c("title"))
-    t = F.concat(head, F.lit(" "), without(offer, R.SHIP_TAIL, ""))
+    t = c("_said")
     body_today = says(straight(c("text")), r"\btoday[- ]only\b")
     of_title = [F.when(says(t, rx) | (body_today if label == "today only" else F.lit(False)), F.lit(label)) for rx, label in R.SALE_CONDITIONS]
     reward = F.coalesce(c("reward"), F.lit("")) != ""
@@ -302,7 +305,7 @@ def job_sale_code_shipping_conditions(posts: DataFrame, today: Column, zone: str
         F.when(reward, F.concat(F.lit("paid as a "), c("reward"))),
         F.when(c("_code.new"), F.lit("the code is for new customers"))))
     return staged(posts, ["code", "code_note", "shipping", "conditions"],
-                  {"_code": F.get(found, 0)},
+                  {"_code": F.get(found, 0), "_said": F.concat(head, F.lit(" "), without(offer, R.SHIP_TAIL, ""))},
                   {"code": F.coalesce("_code.code", F.lit("")), "code_note": F.coalesce("_code.note", F.lit("")),
                    "shipping": shipping_words(c("title")), "conditions": F.array_distinct(listed)})
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fn_money, fn_pct, fn_summary
-from ..functions.amounts import AMOUNT, dollars, general, number, rounded  # noqa: F401
+from ..functions.amounts import AMOUNT, bind, dollars, general, number, rounded
 from ..functions.text import fn_clean
 from ..rules import wordings as R
-from .wordwork import apart, bogo_of, ci, first_label, got, got_number, labels_of, matches, says, staged
+from .wordwork import bogo_of, ci, first_label, got, got_number, labels_of, matches, says, staged
 
 TERMS = ["price", "regular", "savings", "pct", "basis", "qty", "bundle_price", "bogo", "hedge", "unit", "conditions", "promo", "summary", "rejected"]
 
@@ -38,24 +38,23 @@ def job_ad_terms(items: DataFrame) -> DataFrame:
     off_here = c("_post").rlike(r"(?i)^(?:%\s*)?off\b") & c("_price").isNotNull() & c("_original").isNull()
     as_money, as_pct = off_here & ~c("_post").startswith("%"), off_here & c("_post").startswith("%") & (c("_price") <= 100)
     qty_pre = got_number(c("_pre"), R.MULTI_PREFIX).cast("int")
-    multi_text = join(c("_story"), c("_name"))
+    multi_text = c("_multi_text")
     qty_text = got_number(multi_text, R.MULTI_TEXT, 1).cast("int")
     coupon = fn_money(got(join(c("_pre"), c("_post")), R.COUPON_OFF))
     listed, text_reg = fn_money(got(c("_all"), R.LIST)), fn_money(got(c("_all"), R.REGULAR))
     firm, list_words = says(c("_all"), R.FIRM_WORDS), says(c("_all"), R.LIST_WORDS)
     by_feed = F.when(c("feed"), "store_regular").otherwise("claimed_savings")
-    promo_text = join(c("_story"), c("_name"), c("_pre"), c("_post"))
+    promo_text = c("_promo_text")
     unit = lambda t: F.lower(got(t, R.UNIT))                                                    # noqa: E731
 
-    def bogo(t: Column) -> Column:
-        label, pct = bogo_of(t)
-        return F.struct(label.alias("label"), pct.alias("pct"))
-
     df = items.withColumns({
         "_name": fn_clean(c("name")), "_pre": fn_clean(c("pre_price_text")), "_post": fn_clean(c("price_text")),
         "_story": fn_clean(c("sale_story")), "_desc": fn_clean(c("description")), "_fine": fn_clean(c("disclaimer_text")),
         "_price": fn_money(c("price")), "_original": fn_money(c("original_price")), "_dollars": fn_money(c("dollars_off")),
         "_percent": F.when(c("percent_off") > 0, c("percent_off").cast("double"))})
+    df = df.withColumns({"_promo_text": join(c("_story"), c("_name"), c("_pre"), c("_post")), "_multi_text": join(c("_story"), c("_name")),
+                         "_hedge_text": join(c("_pre"), c("_post"), c("_story"), c("_name")),
+                         "_cond_text": join(c("_name"), c("_pre"), c("_post"), c("_story"), c("_fine"), c("_desc"))})
     df = df.withColumns({"_all": join(c("_name"), c("_pre"), c("_post"), c("_story"), c("_fine")), "_as_money": F.coalesce(as_money, F.lit(False)),
                          "_as_pct": F.coalesce(as_pct, F.lit(False)), "_qty_pre": qty_pre, "_qty_text": qty_text})
     df = df.withColumns({"_p1": F.when(~c("_as_money") & ~c("_as_pct"), c("_price")), "_promo0": c("_as_money") | c("_as_pct")})
@@ -65,7 +64,7 @@ def job_ad_terms(items: DataFrame) -> DataFrame:
     df = df.withColumn("_p2", F.when(c("bundle_price").isNotNull(), rounded(c("bundle_price") / c("qty"), 2)).otherwise(c("_p1")))
     df = df.withColumn("_coupon", F.when(c("_p2").isNotNull() & (c("qty") == 1) & c("_original").isNull() & c("_dollars").isNull() & (coupon < c("_p2")), coupon))
     df = df.withColumns({"_p": F.when(c("_coupon").isNotNull(), rounded(c("_p2") - c("_coupon"), 2)).otherwise(c("_p2")),
-                         "_dollars": F.coalesce("_coupon", "_dollars"), "_bogo": apart(promo_text, bogo)})
+                         "_dollars": F.coalesce("_coupon", "_dollars"), "_bogo": bogo_of(promo_text)})
     df = df.withColumns({"_firm": firm, "_list_words": list_words, "_text_reg": text_reg, "_listed": listed,
                          "_all_list": says(c("_all"), R.LIST), "_pct_said": got_number(promo_text, R.PCT_OFF),
                          "_off_said": F.coalesce(got_number(promo_text, R.DOLLARS_OFF, 1), got_number(promo_text, R.DOLLARS_OFF, 2)),
@@ -91,8 +90,7 @@ def job_ad_terms(items: DataFrame) -> DataFrame:
     df = df.withColumn("_open_promo", c("_open") & (said_pct.isNotNull() | c("_off_said").isNotNull()))
     good = c("_ok") & ~c("_bad")
     df = df.withColumns({
-        "_hedge": hedge_of(join(c("_pre"), c("_post"), c("_story"), c("_name"))),
-        "_cond0": conditions_of(join(c("_all"), c("_desc")))})
+        "_hedge": hedge_of(c("_hedge_text")), "_cond0": conditions_of(c("_cond_text"))})
     extra = F.array_compact(F.array(F.when(F.coalesce(c("in_store_only"), F.lit(False)) & ~F.array_contains("_cond0", "in store only"), F.lit("in store only")),
                                     F.nullif(c("membership"), F.lit(""))))
     terms = {
@@ -166,7 +164,7 @@ def job_post_price_reference(posts: DataFrame) -> DataFrame:
     s = lambda ref, basis, words: F.struct(ref.alias("ref"), F.lit(basis).alias("basis"), words.alias("quote"))
     said = (F.when(c("reference") > c("deal_price"), s(c("reference"), "store_regular", F.concat(F.lit("Reg. "), dollars(c("reference")))))
             .when((c("pct_stated") > 0) & (c("pct_stated") < 100), s(from_pct, "store_regular", F.concat(general(c("pct_stated")), F.lit("% off"))))
-            .when(c("deal_price").isNotNull(), apart(F.struct(c("_text").alias("t"), c("deal_price").alias("p")), lambda x: post_reference(x["t"], x["p"]))))
+            .when(c("deal_price").isNotNull(), bind(F.struct(c("_text").alias("t"), c("deal_price").alias("p")), lambda x: post_reference(x["t"], x["p"]))))
     better = c("_ref.ref") > c("deal_price")
     hedged = F.array_compact(F.array(F.nullif(c("hedge"), F.lit("")),
                                      F.when(c("qty") > 1, F.concat(F.lit("price is for "), c("qty").cast("string"), F.lit(" ("),

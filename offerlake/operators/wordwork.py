@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.amounts import found, general, number, rounded
+from ..functions.amounts import bind, found, general, number, rounded
 from ..rules import wordings as R
 
 
@@ -59,49 +59,42 @@ def count_word(word: Column) -> Column:
     return F.when(w == "one", 1).when(w == "two", 2).otherwise(w.try_cast("int"))
 
 
-def bogo_of(text: Column) -> tuple[Column, Column]:
-    """("buy 1 get 1 50% off", 25.0): the label and the percent saved on the whole set; nulls where there is none."""
-    def off_words(off: Column) -> Column:
-        return F.when(off == 100, F.lit("free")).otherwise(F.concat(general(off), F.lit("% off")))
+def read_match(text: Column, pattern: str, read) -> Column:
+    """What `read` makes of the first match, null without one. The text is scanned once; the groups are taken from the match
+    alone. `read` gets a function of the group's number."""
+    return bind(got(text, pattern, 0), lambda m: F.when(m.isNotNull(), read(lambda g: F.nullif(F.regexp_extract(m, ci(pattern), g), F.lit("")))))
+
+
+def bogo_of(text: Column) -> Column:
+    """struct("buy 1 get 1 50% off", 25.0): the label and the percent saved on the whole set; nulls where there is none."""
+    def offer(buy: Column, get: Column, off: Column, free: bool) -> Column:
+        def say(x: Column) -> Column:
+            what = F.concat(general(x["off"]), F.lit("% off"))
+            what = F.when(x["off"] == 100, F.lit("free")).otherwise(what) if free else what
+            label = F.concat(F.lit("buy "), x["buy"].cast("string"), F.lit(" get "), x["get"].cast("string"), F.lit(" "), what)
+            ok = (x["buy"] > 0) & (x["get"] > 0) & (x["off"] > 0) & (x["off"] <= 100)
+            return F.struct(F.when(ok, label).alias("label"), F.when(ok, rounded(x["get"] * x["off"] / (x["buy"] + x["get"]), 1)).alias("pct"))
+        return bind(F.struct(buy.alias("buy"), get.alias("get"), off.alias("off")), say)
 
     def kind_off(kind: Column, stated: Column) -> Column:
         k = F.lower(F.coalesce(kind, F.lit("free")))
-        return F.when(k == "free", 100.0).when(k.startswith("half"), 50.0).otherwise(stated)
-
-    glued = says(text, R.BOGO_GLUED)
-    g_buy, digits = count_word(got(text, R.BOGO_GLUED, 1)), got(text, R.BOGO_GLUED, 2)
-    three = F.length(digits) == 3
-    g_get = F.when(three, F.substring(digits, 1, 1).try_cast("int")).otherwise(1)
-    g_off = F.when(three, F.substring(digits, 2, 2).try_cast("double")).otherwise(digits.try_cast("double"))
-    g_ok = glued & (g_buy > 0) & (g_get > 0) & (g_off > 0) & (g_off <= 100)
-
-    # what follows a buy-and-get with no "free" or percent may price the second one: then it is no saving
-    full = R.BOGO + "(" + R.BOGO_PRICED + ")?"
-    m = says(text, R.BOGO)
-    priced = got(text, full, 4).isNull() & got(text, full, 6).isNotNull()
-    buy = count_word(got(text, R.BOGO, 1))
-    get = F.when(got(text, R.BOGO, 3).isNotNull(), 1).otherwise(count_word(got(text, R.BOGO, 2)))
-    off = kind_off(got(text, R.BOGO, 4), got_number(text, R.BOGO, 5))
-    ok = (buy > 0) & (get > 0) & (off > 0) & (off <= 100) & ~priced
-
-    w = says(text, R.BOGO_WORD)
-    w_off = kind_off(got(text, R.BOGO_WORD, 1), got_number(text, R.BOGO_WORD, 2))
-
-    def named(b: Column, g: Column, what: Column) -> Column:
-        return F.concat(F.lit("buy "), b.cast("string"), F.lit(" get "), g.cast("string"), F.lit(" "), what)
-
-    label = (F.when(g_ok, named(g_buy, g_get, F.concat(general(g_off), F.lit("% off"))))
-             .when(m, F.when(ok, named(buy, get, off_words(off))))
-             .when(w, F.concat(F.lit("buy 1 get 1 "), off_words(w_off))))
-    pct = (F.when(g_ok, rounded(g_get * g_off / (g_buy + g_get), 1))
-           .when(m, F.when(ok, rounded(get * off / (buy + get), 1)))
-           .when(w, rounded(w_off / 2, 1)))
-    return label, pct
-
-
-def apart(value: Column, read) -> Column:
-    """`read(value)` evaluated as a unit of its own: long regex chains would overflow the stage's generated method."""
-    return F.get(F.transform(F.array(value), read), 0)
+        return F.when(k == "free", 100.0).when(k.startswith("half"), 50.0).otherwise(stated.try_cast("double"))
+
+    def glued(g) -> Column:
+        three = F.length(g(2)) == 3
+        return offer(count_word(g(1)), F.when(three, F.substring(g(2), 1, 1).try_cast("int")).otherwise(1),
+                     F.when(three, F.substring(g(2), 2, 2).try_cast("double")).otherwise(g(2).try_cast("double")), False)
+
+    def main(g) -> Column:
+        # what follows a buy-and-get with no "free" or percent may price the second one: then it is no saving
+        priced = g(4).isNull() & g(6).isNotNull()
+        off = F.when(~priced, kind_off(g(4), g(5)))
+        return offer(count_word(g(1)), F.when(g(3).isNotNull(), 1).otherwise(count_word(g(2))), off, True)
+
+    first = read_match(text, R.BOGO_GLUED, glued)
+    return bind(first, lambda x: F.when(x["label"].isNotNull(), x).otherwise(F.coalesce(
+        read_match(text, R.BOGO + "(" + R.BOGO_PRICED + ")?", main),
+        read_match(text, R.BOGO_WORD, lambda g: offer(F.lit(1), F.lit(1), kind_off(g(1), g(2)), True)))))
 
 
 def staged(df, columns: Sequence[str], *stages: dict[str, Column]):

@@ -73,7 +73,7 @@ def _(t: Tables):
 
 @query("fn_host", """
     SELECT host, count(*) AS n FROM (SELECT regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www[.]', '') AS host FROM pages) GROUP BY host
-    UNION ALL SELECT 'through ' || host, count(*) FROM (SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages) GROUP BY host""")
+    UNION ALL SELECT 'through ' || host, count(*) FROM (SELECT regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www[.]', '') AS host FROM pages) GROUP BY host""")
 def _(t: Tables):
     p = t.read("pages")
     via = F.concat(F.lit("https://click.aff.net/r?id=3&u="), F.url_encode("url"))
@@ -129,7 +129,7 @@ def _(t: Tables):
     return t.deals.groupBy("basis").agg(F.count("*").alias("n"), F.max(fn_basis_weight(F.col("basis"))).alias("weight"))
 
 
-@query("fn_site_key", "SELECT page_id, -(('0x' || substr(sha1(regexp_extract(url, '^https?://([^/:?#]+)', 1)), 1, 12))::BIGINT) AS key FROM pages")
+@query("fn_site_key", "SELECT page_id, -(('0x' || substr(sha1(regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www[.]', '')), 1, 12))::BIGINT) AS key FROM pages")
 def _(t: Tables):
     return t.read("pages").select("page_id", fn_site_key(fn_host(F.col("url"))).alias("key"))
 
@@ -151,11 +151,11 @@ def _(t: Tables):
 
 
 @query("fn_offer_words", using("deals", body="""
-    SELECT title, brand, array_to_string(list_sort(list_filter(string_split(title || ' $5 half', ' '), lambda w: w <> 'old' OR true)), ',') AS words, count(*) AS n
+    SELECT title, brand, array_to_string(list_sort(list_filter(string_split(title || ' $5 half', ' '), lambda w: w <> 'new')), ',') AS words, count(*) AS n
     FROM (SELECT title, brand FROM deals) GROUP BY title, brand"""))
 def _(t: Tables):
-    text = F.concat(F.lit("Get a "), F.col("title"), F.lit(" for $5 at 1/2 price every Tuesday, Brands"))
-    w = fn_offer_words(text, F.lit("Brands Co"))
+    text = F.concat(F.lit("Get a "), F.col("title"), F.lit(" for $5 at 1/2 price every Tuesday, Acme"))
+    w = fn_offer_words(text, F.lit("Acme Co"))
     return t.deals.select("title", "brand", F.array_join(F.array_sort(w), ",").alias("words")).groupBy("title", "brand", "words").agg(F.count("*").alias("n"))
 
 
@@ -241,7 +241,7 @@ def _(t: Tables):
     SELECT line, basis, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(coalesce(CAST(round(ref * 100) AS BIGINT), 0)) AS BIGINT) AS refs,
            CAST(sum(coalesce(CAST(round(pct * 10) AS BIGINT), 0)) AS BIGINT) AS pcts FROM (
       SELECT line, price, CASE WHEN ref > price THEN ref END AS ref, CASE WHEN ref > price THEN b ELSE 'none' END AS basis, CASE WHEN ref > price THEN {rnd('(1 - price / ref) * 100', 1)} END AS pct
-      FROM (SELECT line, price, CASE line WHEN 2 THEN {rnd('price + 25')} WHEN 6 THEN {rnd('price + 25')} WHEN 7 THEN NULL ELSE regular END AS ref,
+      FROM (SELECT line, CASE WHEN line IN (4, 5) AND regular > price AND regular - price < 1 THEN regular ELSE price END AS price, CASE line WHEN 2 THEN {rnd('price + 25')} WHEN 6 THEN {rnd('price + 25')} WHEN 7 THEN NULL ELSE regular END AS ref,
               CASE line WHEN 1 THEN 'store_regular' WHEN 2 THEN 'editor_compare' WHEN 3 THEN 'editor_compare' WHEN 4 THEN 'list' WHEN 5 THEN 'store_regular' WHEN 6 THEN 'list' END AS b FROM deals))
     GROUP BY line, basis"""))
 def _(t: Tables):
