@@ -140,7 +140,7 @@ def jn_place_store_rules(posts: DataFrame, stores: DataFrame) -> DataFrame:
     df = posts.join(best, "id", "left")
     # a retailer the source names and the registry lacks is not looked for elsewhere
     unknown = (F.col("source") == "dealnews") & (F.coalesce("seller", F.lit("")) != "") & ~says(F.trim("seller"), R.DEAL_SITES) & (F.coalesce(F.col("b.p"), F.lit(9)) != 1)
-    return df.withColumns({"store": F.when(~unknown, F.col("b.store")), "store_how": F.when(~unknown, how)}).drop("b")
+    return df.withColumns({"store": F.when(~unknown, F.col("b.store")), "store_how": F.when(~unknown & F.col("b").isNotNull(), how)}).drop("b")
 
 
 def jn_same_name_site(merchants: DataFrame, sites: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-from . import counting, filtering, geography, timing, wording  # noqa: F401
+from . import counting, filtering, geography, naming, timing, wording  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
