@@ -1,4 +1,4 @@
-from . import counting, filtering, geography, merging, naming, timing, wording  # noqa: F401
+from . import checking, counting, files, filtering, geography, merging, naming, standing, streams, timing, wording  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
