@@ -14,6 +14,8 @@ TUNING = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The text jobs bind what they use twice; looking for common parts in their nested lambdas takes longer than running them.
+    "spark.sql.subexpressionElimination.enabled": "false",
 }
 
 
