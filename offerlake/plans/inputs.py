@@ -50,6 +50,13 @@ class Tables:
         return d.withColumn("basis", F.when(F.col("pct").isNull(), "none").when(F.col("flag") == "A", "store_regular")
                             .when(F.col("flag") == "N", "claimed_savings").otherwise("list"))
 
+    @cached_property
+    def spread_deals(self) -> DataFrame:
+        """The deals for jobs that spend their time on each row: where the scan has fewer splits than there are cores, as on one small
+        file, the rows are dealt out first; a scan with enough splits is left as it is."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return self.deals if self.read("lineitem").rdd.getNumPartitions() >= cores else self.deals.repartition(cores)
+
     @cached_property
     def scored(self) -> DataFrame:
         return self.deals.withColumn("score", sc_local(F.col("pct"), F.col("basis"), F.col("hedge"), F.col("conditions")))

@@ -19,8 +19,8 @@ from .wording import case
     SELECT title IS NOT NULL AS found, count(*) AS n, CAST(sum(ad) AS BIGINT) AS checksum FROM deals d LEFT JOIN (SELECT merchant, item, min(title) AS hit FROM deals WHERE line >= 4 GROUP BY ALL) h
     USING (merchant, item) WHERE line < 4 AND h.hit IS NOT NULL GROUP BY 1"""))
 def _(t: Tables):
-    items = t.deals.where("line < 4").select("merchant", "item", "ad")
-    d = tj.jn_item_hits(items, t.deals.where("line >= 4").select("merchant", "item", "title"))
+    items = t.spread_deals.where("line < 4").select("merchant", "item", "ad")
+    d = tj.jn_item_hits(items, t.spread_deals.where("line >= 4").select("merchant", "item", "title"))
     return d.where("hit IS NOT NULL").groupBy(F.col("hit.title").isNotNull().alias("found")).agg(F.count("*").alias("n"), F.sum("ad").alias("checksum"))
 
 
@@ -30,7 +30,7 @@ def _(t: Tables):
     m = F.col("merchant").cast("string")
     spelt = F.when(F.col("merchant") % 3 != 0, F.concat(F.lit(" Shop & Co "), m)).when(F.col("line") % 2 == 0, F.concat(F.lit("SUPPLIER "), F.lpad(m, 9, "0"))).otherwise(F.concat(F.lit("The store and "), m))
     dim = t.read("supplier").select(F.col("s_name").alias("merchant"), F.array(F.concat(F.lit("the store & "), F.col("s_suppkey").cast("string"))).alias("aliases"))
-    d = tj.jn_merchant_dim(t.deals.select(spelt.alias("merchant_name")), dim)
+    d = tj.jn_merchant_dim(t.spread_deals.select(spelt.alias("merchant_name")), dim)
     return d.groupBy("merchant", "known").agg(F.count("*").alias("n"))
 
 
@@ -64,7 +64,7 @@ def _(t: Tables):
     m = F.col("merchant").cast("string")
     seller = case("line", F.concat(F.lit("ACME "), m), F.concat(F.lit("www.acme"), m, F.lit(".com")), F.concat(F.lit("shop.acme"), m, F.lit(".com")), F.concat(F.lit("Bolt and nut"), m, F.lit(".com")),
                   F.concat(F.lit("Acme"), m, F.lit(" After Rebate")), F.concat(F.lit("Nobody"), m), F.lit(""))
-    return tj.jn_seller_store(t.deals.select(seller.alias("seller")), registry(t))
+    return tj.jn_seller_store(t.spread_deals.select(seller.alias("seller")), registry(t))
 
 
 
@@ -80,7 +80,7 @@ def _(t: Tables):
     text = F.when(F.col("line") == 5, F.concat(F.lit("deals of the Wootober"), ev)).otherwise(text)
     names = (registry(t).select(F.col("store").alias("entry"), F.explode("names").alias("name"), F.lit(False).alias("event"), "brand")
              .unionByName(registry(t).select(F.col("store").alias("entry"), F.explode("events").alias("name"), F.lit(True).alias("event"), "brand")))
-    d = tj.jn_dictionary_scan(t.deals.select("id", text.alias("text")), names)
+    d = tj.jn_dictionary_scan(t.spread_deals.select("id", text.alias("text")), names)
     return d.groupBy("entry", "event", F.col("at").cast("int").alias("word")).agg(F.count("*").alias("n"))
 
 
@@ -92,7 +92,7 @@ def _(t: Tables):
     title = case("line", F.lit("Sale of bolts"), F.concat(F.lit("Bolts at the Acme"), m, F.lit(" fall sale")), F.lit("Bolts for less"), F.concat(F.lit("Acme"), m, F.lit(" sale: 20% off")),
                  F.concat(F.lit("Big Acme"), m, F.lit(" sale")), F.lit("Sale of bolts"), F.lit("Sale of nuts"))
     text = F.when(F.col("line") == 3, F.concat(F.lit("Now head over to Acme"), m, F.lit(" for them."))).otherwise("Good bolts here.")
-    p = t.deals.select("id", F.when(F.col("line") == 7, "dealnews").otherwise("hip2save").alias("source"),
+    p = t.spread_deals.select("id", F.when(F.col("line") == 7, "dealnews").otherwise("hip2save").alias("source"),
                        F.when(F.col("line") == 1, F.concat(F.lit("Acme"), m)).when(F.col("line") == 6, "Slickdeals").when(F.col("line") == 7, "Nobody Inc").otherwise("").alias("seller"), title.alias("title"), text.alias("text"))
     return tj.jn_place_store_rules(p, registry(t)).groupBy("store", "store_how").agg(F.count("*").alias("n"))
 
@@ -145,8 +145,8 @@ def _(t: Tables):
     SELECT verdict, why, shared, count(*) AS n FROM (SELECT CASE WHEN shared > 0 THEN 'pass' ELSE 'fail' END AS verdict, coalesce(shared, 0) AS shared, CASE WHEN shared > 0 THEN '' WHEN chain % 3 <> 0 THEN
       'this place is known, but not this offer or not on these days' ELSE 'this place is not in the results' END AS why FROM k LEFT JOIN hit USING (id)) GROUP BY ALL"""))
 def _(t: Tables):
-    res = t.deals.where("merchant % 3 <> 0").select(F.col("merchant").alias("chain"), F.array(F.col("line") % 7).alias("days"), F.split("title", " ").alias("tokens"))
-    key = t.deals.where("line = 2").select("id", F.col("merchant").alias("chain"), F.array((F.col("line") + 2) % 7, (F.col("line") + 3) % 7).alias("days"), F.split(F.concat_ws(" ", "brand", "title"), " ").alias("tokens"))
+    res = t.spread_deals.where("merchant % 3 <> 0").select(F.col("merchant").alias("chain"), F.array(F.col("line") % 7).alias("days"), F.split("title", " ").alias("tokens"))
+    key = t.spread_deals.where("line = 2").select("id", F.col("merchant").alias("chain"), F.array((F.col("line") + 2) % 7, (F.col("line") + 3) % 7).alias("days"), F.split(F.concat_ws(" ", "brand", "title"), " ").alias("tokens"))
     return tj.jn_answer_key(key, res).groupBy("verdict", "why", "shared").agg(F.count("*").alias("n"))
 
 
@@ -156,7 +156,7 @@ def _(t: Tables):
     same AS (SELECT DISTINCT a.id FROM o a WHERE EXISTS (SELECT 1 FROM o b WHERE b.chain = a.chain AND b.day = a.day AND b.source <> a.source AND list_sort(a.tokens) = list_sort(b.tokens)))
     SELECT CASE WHEN id IN (SELECT id FROM agree) THEN 'agrees' WHEN id IN (SELECT id FROM same) THEN 'conflicts' ELSE 'not covered' END AS cross_check, count(*) AS n FROM o GROUP BY 1"""))
 def _(t: Tables):
-    o = t.deals.select("id", F.col("merchant").alias("chain"), (F.col("item") % 50).alias("day"), F.col("flag").alias("source"), F.split("title", " ").alias("tokens"), F.array(F.col("size") % 3).alias("amounts"))
+    o = t.spread_deals.select("id", F.col("merchant").alias("chain"), (F.col("item") % 50).alias("day"), F.col("flag").alias("source"), F.split("title", " ").alias("tokens"), F.array(F.col("size") % 3).alias("amounts"))
     return tj.jn_cross_source(o).groupBy(F.col("cross").alias("cross_check")).agg(F.count("*").alias("n"))
 
 
@@ -164,8 +164,8 @@ def _(t: Tables):
     SELECT diff, fields, count(*) AS n FROM (SELECT CASE WHEN line = 1 THEN 'missing' WHEN line = 2 THEN 'extra' ELSE 'differs' END AS diff, CASE line WHEN 3 THEN 'price' WHEN 4 THEN 'price,pct' ELSE '' END AS fields
       FROM deals WHERE line <= 3 OR (line = 4)) GROUP BY ALL"""))
 def _(t: Tables):
-    a = t.deals.where("line <> 2").select("id", "price", "pct", "title")
-    b = t.deals.where("line <> 1").select("id", F.when(F.col("line").isin(3, 4), F.col("price") + 1).otherwise(F.col("price")).alias("price"), F.when(F.col("line") == 4, F.coalesce(F.col("pct"), F.lit(0)) + 1).otherwise(F.col("pct")).alias("pct"), "title")
+    a = t.spread_deals.where("line <> 2").select("id", "price", "pct", "title")
+    b = t.spread_deals.where("line <> 1").select("id", F.when(F.col("line").isin(3, 4), F.col("price") + 1).otherwise(F.col("price")).alias("price"), F.when(F.col("line") == 4, F.coalesce(F.col("pct"), F.lit(0)) + 1).otherwise(F.col("pct")).alias("pct"), "title")
     return tj.jn_full_diff(a, b, "id", ["price", "pct", "title"]).withColumn("fields", F.array_join("fields", ",")).groupBy("diff", "fields").agg(F.count("*").alias("n"))
 
 
@@ -180,7 +180,7 @@ def _(t: Tables):
 @query("jn_dims_used", using("deals", body="SELECT s_suppkey AS store, s_name FROM supplier WHERE s_suppkey IN (SELECT merchant FROM deals WHERE pct >= 10 AND category = 'PROMO' AND line = 1 AND size < 10)"))
 def _(t: Tables):
     stores = t.read("supplier").select(F.col("s_suppkey").alias("store"), "s_name")
-    return tj.jn_dims_used(stores, t.deals.where("pct >= 10 AND category = 'PROMO' AND line = 1 AND size < 10").select(F.col("merchant").alias("store")))
+    return tj.jn_dims_used(stores, t.spread_deals.where("pct >= 10 AND category = 'PROMO' AND line = 1 AND size < 10").select(F.col("merchant").alias("store")))
 
 
 @query("jn_name_claims", """
@@ -244,7 +244,7 @@ def _(t: Tables):
     page = case("line", F.concat("title", F.lit(" by Acme, blue steel")), F.lit("zzz yyy xxx"), F.concat("title", F.lit(" by Other")), F.concat("title", F.lit(" and much else")), F.lit(""), F.col("title"), F.col("title"))
     brand = F.when(F.col("line").isin(1, 3), "Acme").otherwise("")
     post = F.when(F.col("line").isin(1, 3), F.concat(F.lit("Acme "), "title", F.lit(" for $5.00"))).otherwise(F.concat("title", F.lit(" for $5.00")))
-    d = idn.dd_same_listing(t.deals.select("line", post.alias("post_title"), page.alias("page_title"), brand.alias("brand")))
+    d = idn.dd_same_listing(t.spread_deals.select("line", post.alias("post_title"), page.alias("page_title"), brand.alias("brand")))
     return d.groupBy("same", "line").agg(F.count("*").alias("n"))
 
 
@@ -266,7 +266,7 @@ def taxonomy(t: Tables):
         'taxonomy:Toys & Games+not sold here, so the store''s line' END END AS rule FROM (SELECT line, {BY_NOUN} AS k FROM deals)) GROUP BY ALL"""))
 def _(t: Tables):
     c, none, arr = F.col, F.lit(None).cast("string"), lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")            # noqa: E731
-    items = t.deals.select(
+    items = t.spread_deals.select(
         "id", F.when(c("line") == 4, F.concat("title", F.lit(" work gloves"))).otherwise(c("title")).alias("title"), F.lit("").alias("brand"),
         F.when(c("line") == 1, "Electronics").when(c("line") == 2, "Home & Garden").when(c("line").isin(3, 7), "Toys & Games").otherwise(none).alias("l1"),
         F.when(c("line") == 2, "Household Supplies").otherwise(none).alias("l2"),
@@ -283,7 +283,7 @@ def _(t: Tables):
         WHEN 5 THEN 'dealcatcher:coffee' ELSE CASE WHEN k = '' THEN '' ELSE 'keywords:' || k END END AS rule FROM (SELECT line, {BY_NOUN} AS k FROM deals)) GROUP BY ALL"""))
 def _(t: Tables):
     c, arr = F.col, lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")               # noqa: E731
-    posts = t.deals.select(
+    posts = t.spread_deals.select(
         "id", case("line", "dealnews", "dealnews", "hip2save", "slickdeals", "dealcatcher", "slickdeals", "slickdeals").alias("source"), "title",
         case("line", "Portable Speakers", "Games", "beauty", "", "coffee", "", "").alias("category"), F.when(c("line") == 4, arr("f1")).when(c("line") == 3, arr("h2s")).otherwise(arr()).alias("feeds"),
         F.when(c("line") == 2, arr("toys")).when(c("line") == 3, arr("beauty")).when(c("line") == 4, arr("health")).otherwise(arr()).alias("feed_categories"), arr().alias("sells"))
@@ -300,7 +300,7 @@ def _(t: Tables):
       FROM (SELECT line, {BY_NOUN} AS k FROM deals) WHERE line <= 5) GROUP BY ALL"""))
 def _(t: Tables):
     c, arr = F.col, lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")               # noqa: E731
-    d = t.deals.where("line <= 5")
+    d = t.spread_deals.where("line <= 5")
     title = F.when(c("line") == 1, "Fall Sale: 20% off").when(c("line") == 2, "Sitewide sale: 20% off").when(c("line") == 4, "Sports Overstock: 20% off").otherwise(F.concat(c("title"), F.lit(": 20% off")))
     posts = d.select("id", F.lit("slickdeals").alias("source"), title.alias("title"), F.lit("").alias("category"), arr().alias("feeds"), arr().alias("feed_categories"), arr().alias("sells"), "line", F.col("title").alias("goods"))
     got = cl.job_classify_posts(posts, t.spark.createDataFrame([], "leaf string, categories array<string>"))
@@ -314,7 +314,7 @@ def _(t: Tables):
     SELECT key, array_to_string(list_sort(words), ',') AS words, categories FROM (SELECT 'flipp|' || merchant || '|' || title AS key, any_value(list_filter(string_split(title, ' '), lambda w: w <> 'new')) AS words, min(category) AS categories FROM deals WHERE line % 3 = 0 GROUP BY 1)"""))
 def _(t: Tables):
     rule = F.when(F.col("line") % 3 == 0, "taxonomy:Electronics").when(F.col("line") % 3 == 1, "keywords:home").otherwise("taxonomy:Toys+not sold here")
-    d = t.deals.select(F.concat_ws("|", "merchant", "title").alias("key"), F.lit("flipp").alias("source"), "title", F.lit("").alias("brand"), F.lit("Electronics").alias("l1"), F.array("category").alias("categories"), rule.alias("rule"))
+    d = t.spread_deals.select(F.concat_ws("|", "merchant", "title").alias("key"), F.lit("flipp").alias("source"), "title", F.lit("").alias("brand"), F.lit("Electronics").alias("l1"), F.array("category").alias("categories"), rule.alias("rule"))
     return cl.job_label_examples(d).select("key", F.array_join(F.array_sort("words"), ",").alias("words"), F.array_join("categories", ",").alias("categories"))
 
 

@@ -51,13 +51,13 @@ def _(t: Tables):
 def _(t: Tables):
     text = case("line", F.concat(F.lit("Only "), usd("price")), F.concat(F.lit("now $"), F.col("price").cast("string")), F.concat(F.format_number("price", 2), F.lit(" each")),
                 F.lit("$0.00 down"), F.concat(usd("price"), F.lit(" or $3")), F.concat(F.lit("price: "), usd("price")), F.col("price").cast("string"))
-    m = t.deals.select("line", fn_money(text).alias("m"))
+    m = t.spread_deals.select("line", fn_money(text).alias("m"))
     return m.groupBy("line").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.round(F.col("m") * 100).cast("bigint"), F.lit(0))).alias("cents"))
 
 
 @query("fn_pct", using("deals", body="SELECT pct, count(*) AS n FROM deals GROUP BY pct"))
 def _(t: Tables):
-    return t.deals.select(fn_pct(F.col("price"), F.col("regular")).alias("pct")).groupBy("pct").agg(F.count("*").alias("n"))
+    return t.spread_deals.select(fn_pct(F.col("price"), F.col("regular")).alias("pct")).groupBy("pct").agg(F.count("*").alias("n"))
 
 
 @query("fn_ad_end_local", using("deals", body="""
@@ -68,7 +68,7 @@ def _(t: Tables):
     day, zone = F.date_format("valid_to", "yyyy-MM-dd"), F.lit("America/Denver")
     end, start = lambda tail: fn_ad_end_local(F.concat(day, F.lit(tail)), zone), lambda tail: fn_ad_start_local(F.concat(day, F.lit(tail)), zone)
     at = case("line", end("T23:59:59-04:00"), end("T03:59:59Z"), end("T10:00:00-05:00"), start("T04:00:00Z"), start("T00:00:00-05:00"), start("T18:00:00-05:00"), end("T10:00:00"))
-    return t.deals.select("line", F.unix_seconds(at).alias("s")).groupBy("line").agg(F.sum("s").alias("seconds"), F.count("*").alias("n"))
+    return t.spread_deals.select("line", F.unix_seconds(at).alias("s")).groupBy("line").agg(F.sum("s").alias("seconds"), F.count("*").alias("n"))
 
 
 @query("fn_host", """
@@ -89,7 +89,7 @@ def _(t: Tables):
         WHERE day IS NOT NULL GROUP BY id, ref)) GROUP BY y"""))
 def _(t: Tables):
     day = fn_nearest_year(F.col("line") + 5, F.col("size") % 31 + 1, F.to_date("valid_from"))
-    d = t.deals.select(F.to_date("valid_from").alias("ref"), day.alias("day")).where("day IS NOT NULL")
+    d = t.spread_deals.select(F.to_date("valid_from").alias("ref"), day.alias("day")).where("day IS NOT NULL")
     return d.groupBy((F.year("day") - F.year("ref")).alias("y")).agg(F.count("*").alias("n"), F.sum(F.datediff("day", F.lit("1990-01-01").cast("date"))).alias("days"))
 
 
@@ -121,12 +121,12 @@ def _(t: Tables):
     # "<size dots> ALPHA <gap dots> beta": the phrases span gap + 10 characters with the blank between
     text = F.concat(F.repeat(F.lit("."), F.col("size")), F.lit(" ALPHA"), F.repeat(F.lit("-"), (F.col("quantity") * 2).cast("int")), F.lit(" beta and more"))
     near = fn_phrase_near(text, F.array(F.lit("alpha"), F.lit("Beta ")), 60)
-    return t.deals.select(near.alias("x")).select("x.found", "x.lo").groupBy("found", F.col("lo").cast("bigint").alias("lo")).agg(F.count("*").alias("n"))
+    return t.spread_deals.select(near.alias("x")).select("x.found", "x.lo").groupBy("found", F.col("lo").cast("bigint").alias("lo")).agg(F.count("*").alias("n"))
 
 
 @query("fn_basis_weight", using("deals", body=f"SELECT basis, count(*) AS n, max({WEIGHT.format(b='basis')}) AS weight FROM deals GROUP BY basis"))
 def _(t: Tables):
-    return t.deals.groupBy("basis").agg(F.count("*").alias("n"), F.max(fn_basis_weight(F.col("basis"))).alias("weight"))
+    return t.spread_deals.groupBy("basis").agg(F.count("*").alias("n"), F.max(fn_basis_weight(F.col("basis"))).alias("weight"))
 
 
 @query("fn_site_key", "SELECT page_id, -(('0x' || substr(sha1(regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www[.]', '')), 1, 12))::BIGINT) AS key FROM pages")
@@ -139,7 +139,7 @@ def _(t: Tables):
       WHEN 4 THEN size || '% off' WHEN 5 THEN printf('$%s off', m(price)) WHEN 6 THEN '$' || m(price) || ', reg. $' || m(price + 10) || ', 5% off' ELSE '$' || m(price) || ', list $' || m(price + 10) || ', from' END AS summary
       FROM (SELECT line, size, floor(price / 50000) * 50000 + 0.25::DOUBLE AS price FROM deals)) GROUP BY summary""".replace("m(price / 2)", "format('{:,.2f}', price / 2)").replace("m(price + 10)", "format('{:,.2f}', price + 10)").replace("m(price)", "format('{:,.2f}', price)")))
 def _(t: Tables):
-    d = t.deals.select("line", "size", (F.floor(F.col("price") / 50000) * 50000 + 0.25).alias("p"))
+    d = t.spread_deals.select("line", "size", (F.floor(F.col("price") / 50000) * 50000 + 0.25).alias("p"))
     on = lambda lines, v: F.when(F.col("line").isin(*lines), v)                                  # noqa: E731
     p = F.col("p")
     terms = F.struct(
@@ -156,7 +156,7 @@ def _(t: Tables):
 def _(t: Tables):
     text = F.concat(F.lit("Get a "), F.col("title"), F.lit(" for $5 at 1/2 price every Tuesday, Acme"))
     w = fn_offer_words(text, F.lit("Acme Co"))
-    return t.deals.select("title", "brand", F.array_join(F.array_sort(w), ",").alias("words")).groupBy("title", "brand", "words").agg(F.count("*").alias("n"))
+    return t.spread_deals.select("title", "brand", F.array_join(F.array_sort(w), ",").alias("words")).groupBy("title", "brand", "words").agg(F.count("*").alias("n"))
 
 
 @query("fn_product_ids", using("deals", body="""
@@ -164,7 +164,7 @@ def _(t: Tables):
 def _(t: Tables):
     a, b = F.concat(F.lit("b0"), F.lpad(F.col("item").cast("string"), 8, "0")), F.concat(F.lit("C0"), F.lpad(F.col("size").cast("string"), 8, "0"))
     links = F.array(F.concat(F.lit("https://www.shop.com/x/dp/"), a, F.lit("?tag=1 and /gp/product/"), a), F.when(F.col("line") % 2 == 0, F.concat(F.lit("shop.com/gp/aw/d/"), b)))
-    return t.deals.select(F.array_join(fn_product_ids(links), ",").alias("ids")).groupBy("ids").agg(F.count("*").alias("n"))
+    return t.spread_deals.select(F.array_join(fn_product_ids(links), ",").alias("ids")).groupBy("ids").agg(F.count("*").alias("n"))
 
 
 @query("tm_text", """
@@ -193,7 +193,7 @@ def ad_items(t: Tables):
     """Each line as an ad item in one of seven wordings of its price and saving."""
     c = F.col
     none = F.lit(None).cast("string")
-    return t.deals.select(
+    return t.spread_deals.select(
         "id", "line", "size", "price", "regular",
         case("line", c("title"), c("title"), F.concat("title", F.lit(" each")), F.concat("title", F.lit(" select styles")), c("title"), F.concat("title", F.lit(" reg. "), usd("regular")),
              F.concat("title", F.lit(" compare at "), usd("regular"))).alias("name"),
@@ -233,7 +233,7 @@ def _(t: Tables):
 def _(t: Tables):
     text = case("line", F.concat(F.lit("Up to "), "size", F.lit("% off")), F.lit("as low as $3 with digital coupon"), F.lit("bolts from $3 w/ code"), F.lit("gears and more"),
                 F.concat(F.lit("Prime Members: limit "), "size"), F.lit("In-store only, full case"), F.lit("online exclusive"))
-    d = tr.job_hedges_conditions(t.deals.select(text.alias("text")))
+    d = tr.job_hedges_conditions(t.spread_deals.select(text.alias("text")))
     return d.withColumn("conditions", F.array_join("conditions", ",")).groupBy("hedge", "conditions").agg(F.count("*").alias("n"))
 
 
@@ -248,7 +248,7 @@ def _(t: Tables):
     text = case("line", F.concat(F.lit("Nice one. It was "), usd("regular"), F.lit(" last week.")), F.lit("You'd pay $25 more elsewhere."), F.concat(F.lit("Most stores charge "), usd("regular"), F.lit(".")),
                 F.concat(F.lit("Good. The list price of "), usd("regular"), F.lit(" is high.")), F.concat(F.lit("It usually sells for "), usd("regular"), F.lit(".")),
                 F.lit("That's a $25 savings. Ships free."), F.lit("A bolt."))
-    p = t.deals.select("line", F.concat(F.lit("Save $30: "), "title", F.lit(" for "), usd("price"), F.lit(" shipped")).alias("title"), text.alias("text"), F.lit(None).cast("double").alias("price"),
+    p = t.spread_deals.select("line", F.concat(F.lit("Save $30: "), "title", F.lit(" for "), usd("price"), F.lit(" shipped")).alias("title"), text.alias("text"), F.lit(None).cast("double").alias("price"),
                        F.lit(None).cast("double").alias("reference"), F.lit(None).cast("double").alias("pct_stated"))
     d = tr.job_post_price_reference(p)
     n = lambda c, by: F.sum(F.coalesce(F.round(F.col(c) * by).cast("bigint"), F.lit(0)))          # noqa: E731
@@ -259,7 +259,7 @@ def _(t: Tables):
     SELECT line % 2 AS way, count(*) AS n, CAST(sum(CASE WHEN regular - price >= 1 THEN CAST(round(price * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS cents,
            CAST(sum(CASE WHEN regular - price >= 1 THEN CAST(round(regular * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS refs FROM deals GROUP BY 1"""))
 def _(t: Tables):
-    d = t.deals.where("true")
+    d = t.spread_deals.where("true")
     said = F.when(F.col("line") % 2 == 0, F.concat(F.lit(" Save $"), F.format_number(F.col("regular") - F.col("price"), 2))).otherwise(
         F.concat(F.lit(" $"), F.format_number(F.col("regular") - F.col("price"), 2), F.lit(" off at Store")))
     p = d.select("line", (F.col("regular") - F.col("price") >= 1).alias("real"), F.concat("title", said).alias("title"),
@@ -277,7 +277,7 @@ def _(t: Tables):
     text = case("line", F.concat(F.lit("Bolts [ store"), m, F.lit(".com ] has them for $3")), F.concat(F.lit("a bolt via Store "), m, F.lit(" is cheap")), F.concat(F.lit("Good news. Store"), m, F.lit(" has bolts")),
                 F.concat(F.lit("see https://www.shop"), m, F.lit(".com/x")), F.lit("bolts"), F.lit("bolts"), F.lit("bolts"))
     title = F.when(F.col("line") == 5, F.concat(F.lit("bolts at Store "), m)).otherwise("bolts")
-    d = tr.job_post_seller(t.deals.select(title.alias("title"), text.alias("text")))
+    d = tr.job_post_seller(t.spread_deals.select(title.alias("title"), text.alias("text")))
     return d.groupBy(F.col("seller_said").alias("seller")).agg(F.count("*").alias("n"))
 
 
@@ -325,7 +325,7 @@ def sale_posts(t: Tables):
     title = case("line", F.concat(F.lit("Fall Sale: "), s, F.lit("% off")), F.concat(F.lit("Up to "), s, F.lit("% off everything at Acme + free shipping w/ $35")),
                  F.concat(F.lit("Acme Sale: Extra "), s, F.lit("% off sale styles w/ Prime")), F.concat(F.lit("Toys: "), s, F.lit("% to "), (F.col("size") + 20).cast("string"), F.lit("% off")),
                  F.concat(F.lit("$"), s, F.lit(" off $200 + free shipping")), F.lit("Buy 2, get 1 free on toys (Acme)"), F.concat(F.lit("Spend $100, get $"), s, F.lit(" gift card")))
-    return t.deals.select("id", "item", "line", "size", "valid_from", "valid_to", title.alias("title"))
+    return t.spread_deals.select("id", "item", "line", "size", "valid_from", "valid_to", title.alias("title"))
 
 
 @query("job_sale_offer", using("deals", body="""
@@ -364,7 +364,7 @@ def _(t: Tables):
     text = case("line", F.concat(F.lit("Ends "), md("valid_to", "MMM d"), F.lit(".")),
                 F.concat(F.lit("Runs "), md(F.date_add("valid_from", 3), "MMMM d"), F.lit(" - "), md("valid_to", "MMMM d"), F.lit(".")),
                 F.concat(F.lit("Good through "), md("valid_to", "M/d"), F.lit(" at stores.")), F.lit("Hurry, today only!"), F.lit("Sale ends Friday!"), F.concat(F.lit("Ends "), md("valid_from", "MMM d")), F.lit("Soon over"))
-    p = t.deals.select("line", F.lit("A sale").alias("title"), text.alias("text"), (F.col("valid_from") + F.make_dt_interval(hours=F.lit(12))).alias("posted_at"), F.lit("store").alias("source"),
+    p = t.spread_deals.select("line", F.lit("A sale").alias("title"), text.alias("text"), (F.col("valid_from") + F.make_dt_interval(hours=F.lit(12))).alias("posted_at"), F.lit("store").alias("source"),
                        F.when(F.col("line") == 6, F.col("valid_to") + F.make_dt_interval(hours=F.lit(12))).alias("expires_at"), (F.col("line") == 6).alias("expires_stated"))
     d = job_sale_dates(p, F.lit("2001-01-01").cast("timestamp"))
     day = lambda c: F.datediff(F.to_date(F.from_utc_timestamp(c, "America/Chicago")), F.lit("1990-01-01").cast("date"))       # noqa: E731
@@ -384,7 +384,7 @@ def _(t: Tables):
     md = lambda c, style="MMM d": F.date_format(c, style)                                        # noqa: E731
     text = case("line", F.concat(md(F.date_add("valid_from", 3)), F.lit(" to "), md("valid_to")), F.concat(F.lit("through "), md("valid_to", "M/d")), F.concat(F.lit("On "), md("valid_to")),
                 F.lit("Free fries today!"), F.lit("every Tuesdays deal"), F.lit("Nothing said"), F.lit("Nothing said"))
-    p = t.deals.select("line", F.lit("Fries for a dollar").alias("title"), text.alias("text"), (F.col("valid_from") + F.make_dt_interval(hours=F.lit(12))).alias("posted_at"),
+    p = t.spread_deals.select("line", F.lit("Fries for a dollar").alias("title"), text.alias("text"), (F.col("valid_from") + F.make_dt_interval(hours=F.lit(12))).alias("posted_at"),
                        F.lit(None).cast("timestamp").alias("expires_at"), F.lit(False).alias("expires_stated"))
     d = job_promo_dates(p, F.lit("1998-06-03 17:00:00").cast("timestamp"), F.lit("1998-06-10 17:00:00").cast("timestamp"))
     n = lambda c: F.sum(F.coalesce(F.datediff(c, F.lit("1990-01-01").cast("date")), F.lit(0)))
@@ -408,5 +408,5 @@ def _(t: Tables):
                  F.concat(F.lit("Wilson"), m, F.lit(" Fall Sale")), F.lit("Fall Sale: 20% off"), F.lit("big savings"), F.lit("Deals of the day"))
     link = case("line", F.concat(F.lit("https://go.aff.net/r?u=https%3A%2F%2Fwww.wilson"), m, F.lit(".com%2Fx")), F.lit("https://other.com/x"), F.concat(F.lit("https://shop.puma"), m, F.lit(".com/sale")),
                 F.lit("https://other.com"), F.lit("https://fall.com"), F.lit("https://a.com"), F.lit("https://b.com"))
-    p = t.deals.select(title.alias("title"), F.when(F.col("line") == 2, "Free shipping on all").otherwise("Nice").alias("text"), F.array(link).alias("links"))
+    p = t.spread_deals.select(title.alias("title"), F.when(F.col("line") == 2, "Free shipping on all").otherwise("Nice").alias("text"), F.array(link).alias("links"))
     return jn_unknown_store(p).groupBy("store_name", "store_how").agg(F.count("*").alias("n"))
