@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,9 +39,12 @@ def local_session(cpus: int | str = 8, name: str = "offerlake") -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in `spark.checkpoint.dir`; a temporary one only where none is set."""
+    """The shared folder the cluster names in `spark.checkpoint.dir`. A temporary one is made only for a single-machine session, as in
+    tests; on a cluster the setting is required, since executors do not share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="offerlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
