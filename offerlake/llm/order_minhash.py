@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from offerlake.functions.amounts import bind
 
 from .catalog import query, table
+from .ranges import range_of
 
 LOW = (1 << 31) - 1
 # Scripts without spaces between words.
@@ -109,14 +110,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", carried: tuple[str, ...]
     if found.least is None:
         return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in carried])
     cuts = sorted({found.least, *(found.cuts if runs > 1 else [])})
-    step = max(1, round(len(cuts) ** 0.5))
-    fine = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    longs = lambda xs: F.lit(xs).cast("array<bigint>")
-    below = lambda xs, x: F.size(F.filter(xs, lambda c: c <= x))
-    block = below(longs([x[0] for x in fine]), F.col("_id")) - 1
-    groups = F.array(*[longs(x) for x in fine])
-    run = bind(block, lambda b: b * step + below(F.get(groups, b), F.col("_id")) - 1)
-    is_cut = F.array_contains(F.get(groups, block), F.col("_id"))
+    run = range_of(F.col("_id"), cuts) - 1
+    is_cut = range_of(F.col("_id") - 1, cuts) != range_of(F.col("_id"), cuts)
     placed = docs.withColumn("_id", sort_id).withColumn("_run", run).withColumn(
         "_to", F.when(is_cut, F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("halo")), F.struct(F.pmod(F.col("_run") - 1, F.lit(len(cuts))).alias("run"), F.lit(True).alias("halo"))))
         .otherwise(F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("halo")))))
