@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from . import divergence_rules, lang_id, order_minhash, quality_gbt, simhash, url_cascade  # noqa: F401
+from . import divergence_rules, html_layout, lang_id, order_minhash, quality_gbt, simhash, soft_mixing, sp_unigram, url_cascade, warc_shards  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
