@@ -135,7 +135,17 @@ def word_distances(w: Column, refs: list[dict]) -> Column:
     return bind(runs, lambda rs: F.transform(F.sequence(F.lit(0), F.lit(len(refs) - 1)), lambda i: distance(rs, i)))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_chars: float = 0.2, max_words: float = 0.5, min_chars: int = 200, min_words: int = 50,
+# A histogram of few words is far from its reference by chance, so what is allowed is a floor and a part that falls with the root of their number.
+MAX_CHARS, MAX_WORDS = (0.15, 0.7), (0.12, 2.6)
+
+
+def farness(char_distance: float | None, word_distance: float | None, n_words: int) -> float:
+    """The greater of the two distances as a share of what is allowed; more than 1 is too far. (The rule for one text, for tests and reports.)"""
+    allowed = lambda limit: limit[0] + limit[1] / max(1, n_words) ** 0.5
+    return max((char_distance or 0.0) / allowed(MAX_CHARS), (word_distance or 0.0) / allowed(MAX_WORDS))
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_chars: tuple[float, float] = MAX_CHARS, max_words: tuple[float, float] = MAX_WORDS, min_chars: int = 200, min_words: int = 50,
           refs: list[dict] | None = None) -> DataFrame:
     """`docs` with the base counts, `base_failed`, `char_distance` and `word_distance` (to the reference nearest in both; null where the
     text has fewer than `min_chars` characters or `min_words` words of letters) and `kept`."""
@@ -145,11 +155,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_chars: fl
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     out = docs.drop(*[c for c in docs.columns if c in made and c != text]).withColumn("_base", bind(t, base_rules))
     if refs:
-        c = F.when(F.length(t) >= min_chars, char_distances(t, refs))
-        v = bind(plain_words(t), lambda w: F.when(F.size(w) >= min_words, word_distances(w, refs)))
-        far = lambda cs, vs: F.transform(F.sequence(F.lit(0), F.lit(len(refs) - 1)), lambda i: F.struct(
-            F.greatest(F.coalesce(F.get(cs, i), F.lit(0.0)) / max_chars, F.coalesce(F.get(vs, i), F.lit(0.0)) / max_words).alias("far"), F.get(cs, i).alias("c"), F.get(vs, i).alias("v")))
-        near = bind(c, lambda cs: bind(v, lambda vs: F.array_min(far(cs, vs))))
+        allowed = lambda limit, n: limit[0] + limit[1] / F.sqrt(F.greatest(n, F.lit(1)))
+        far = lambda cs, vs, n: F.transform(F.sequence(F.lit(0), F.lit(len(refs) - 1)), lambda i: F.struct(
+            F.greatest(F.coalesce(F.get(cs, i), F.lit(0.0)) / allowed(max_chars, n), F.coalesce(F.get(vs, i), F.lit(0.0)) / allowed(max_words, n)).alias("far"), F.get(cs, i).alias("c"), F.get(vs, i).alias("v")))
+        both = bind(plain_words(t), lambda w: F.struct(F.size(w).alias("n"), F.when(F.size(w) >= min_words, word_distances(w, refs)).alias("v"), F.when(F.length(t) >= min_chars, char_distances(t, refs)).alias("c")))
+        near = bind(both, lambda x: F.array_min(far(x["c"], x["v"], x["n"])))
         out = out.withColumn("_near", F.when(~F.col("_base.base_failed"), near))
     else:
         out = out.withColumn("_near", F.lit(None).cast("struct<far:double,c:double,v:double>"))

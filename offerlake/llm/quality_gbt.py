@@ -123,8 +123,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, text: st
     return x, got["label"].to_numpy(dtype=np.float64)
 
 
-def score(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_rows: int = 20_000) -> DataFrame:
-    """`docs` with `score`; a column of that name is replaced. Only labels of `usable` rows are learned from."""
+def score(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_rows: int = 20_000, into: str = "score") -> DataFrame:
+    """`docs` with the score `into` a column; one of that name is replaced. Only labels of `usable` rows are learned from."""
     model = grow(*labelled_sample(docs, labels, usable, text, doc_id, label, max_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -133,7 +133,7 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text"
         for part in parts:
             x = np.array([statistics(t) for t in part], dtype=np.float64).reshape(-1, len(STATISTICS))
             yield pd.Series(np.concatenate([walk(x[i:i + 1000], shared.value) for i in range(0, len(x), 1000)] or [np.empty(0)]))
-    return docs.withColumn("score", scored(F.col(text)))
+    return docs.withColumn(into, scored(F.col(text)))
 
 
 @query("op5_quality_gbt")

@@ -150,6 +150,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return fps.join(classes(fps, bits, blocks), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bits: int = 2, blocks: int = 4) -> DataFrame:
+    """The rows of `docs` that stay: of each class the row with the least id. Rows that repeat it (id and text) go as well; of rows with
+    that id but other texts of the class, the one with the least fingerprint and hash stays."""
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = cut(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), mark.alias("mark"), fingerprint(F.col(text), shingle).alias("fp")))
+    first = rows.join(classes(rows, bits, blocks), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    root = F.coalesce(F.col("component_id"), F.col("fp"))   # a class without any id is told apart by its fingerprint
+    stay = first.groupBy(F.col("component_id").isNull().alias("bare"), root.alias("root")).agg(F.min(F.struct("fp", "mark", "doc_id")).alias("x")).select("x.doc_id", "x.mark")
+    there = docs.withColumns({"_stay_id": F.col(doc_id).cast("bigint"), "_stay_mark": mark})
+    kept = there.join(stay, F.col("_stay_id").eqNullSafe(stay["doc_id"]) & (F.col("_stay_mark") == stay["mark"]), "left_semi")
+    return kept.dropDuplicates(["_stay_id", "_stay_mark"]).drop("_stay_id", "_stay_mark")
+
+
 @query("op4_simhash_blocks")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

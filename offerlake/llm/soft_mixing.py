@@ -41,19 +41,20 @@ def statistics(text: Column, w: Column) -> Column:
     n, chars = F.greatest(F.size(w), F.lit(1)).cast("double"), F.greatest(F.length(text), F.lit(1)).cast("double")
     values = {"upper": taken(text, r"\p{Lu}+") / chars, "symbols": taken(text, SYMBOLS) / chars, "shouts": taken(text, "!+") / chars, "distinct": F.size(F.array_distinct(w)) / n,
               "word_length": (chars - taken(text, BLANK)) / n, "size": F.size(w).cast("double")}
-    return F.array(*[F.size(F.filter(F.lit(edges), lambda e, v=values[name]: v > e)) for name, edges in BINS.items()])
+    above = lambda edges, value: F.size(F.filter(F.lit(edges), lambda e: value > e))
+    return F.array(*[above(edges, values[name]) for name, edges in BINS.items()])
 
 
 def marks(w: Column, markers: list[list[str]]) -> Column:
     """For each domain: whether the text has none, one, or more of its marker words."""
-    hits = [F.least(F.size(F.filter(w, lambda x, m=m: F.translate(F.lower(x), ".,;:!?", "").isin(m))), F.lit(2)) if m else F.lit(0) for m in markers]
-    return F.array(*hits)
+    hits = lambda known: F.least(F.size(F.filter(w, lambda x: F.translate(F.lower(x), ".,;:!?", "").isin(known))), F.lit(2)) if known else F.lit(0)
+    return F.array(*[hits(m) for m in markers])
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], text: str = "text", doc_id: str = "doc_id", max_rows: int = 20_000, most_markers: int = 200) -> dict:
     """Log probabilities of the domains and of every bin in each, from `labelled` (doc_id, domain), and the domains' marker words: words in at
     least 5 labelled documents of a domain and 8 times as frequent there as elsewhere."""
-    usable = labelled.where(F.col("domain").isin(domains)).select(F.col(doc_id).alias("_id"), F.col("domain").alias("_domain"))
+    usable = labelled.where(F.col("domain").isin(domains)).select(F.col("doc_id").alias("_id"), F.col("domain").alias("_domain"))
     n = usable.count()
     drawn = usable.where(F.pmod(F.xxhash64("_id", F.lit("mixing")), F.lit(1 << 30)) < min(1.0, max_rows / max(1, n)) * (1 << 30)).limit(max_rows + max_rows // 4)
     rows = cut(docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(drawn), "_id")
