@@ -111,7 +111,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", carried: tuple[str, ...]
         return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in carried])
     cuts = sorted({found.least, *(found.cuts if runs > 1 else [])})
     run = range_of(F.col("_id"), cuts) - 1
-    is_cut = range_of(F.col("_id") - 1, cuts) != range_of(F.col("_id"), cuts)
+    is_cut = range_of(F.col("_id"), cuts) != range_of(F.col("_id"), [min(x + 1, (1 << 63) - 1) for x in cuts])
     placed = docs.withColumn("_id", sort_id).withColumn("_run", run).withColumn(
         "_to", F.when(is_cut, F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("halo")), F.struct(F.pmod(F.col("_run") - 1, F.lit(len(cuts))).alias("run"), F.lit(True).alias("halo"))))
         .otherwise(F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("halo")))))

@@ -4,7 +4,7 @@ A naive Bayes classifier, learned from a labelled table, gives every document a
 its text and from marker words of a domain. The expected tokens of a domain are the sum of rate x tokens x probability. Nonnegative
 rates are then fitted by projected-gradient least squares from rate 1: in every round the totals are summed over all documents, and each
 rate moves by the same small vector (one number a domain) times its probabilities and stops at zero. The step is scaled by the domains'
-second moments over the documents that are not at zero, and halved when the misfit does not fall. The driver only ever holds numbers by
+second moments over the documents that are not at zero; where that does not lower the misfit well, the plain gradient's step is taken. The driver only ever holds numbers by
 domain. A document's rate is the outcome of the rounds' moves for its probabilities, so it is an expression of them, and the
 table of tokens and probabilities is written to the shared folder once.
 
@@ -138,18 +138,23 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     target = [weights.get(x, 0.0) / share * (whole if budget is None else budget) for x in domains]
     live = [i for i in range(d) if now[f"t{i}"] > 1e-9 * whole]
     misfit = lambda s: [(s[f"t{i}"] - target[i]) / whole for i in live]
-    moves, scale, done = [], 1.0, 0
-    while done < rounds and live and max(map(abs, misfit(now))) > close and scale > 1e-3:
+    wrong = lambda s: sum(x * x for x in misfit(s))
+    moves, done = [], 0
+    while done < rounds and live and max(map(abs, misfit(now))) > close:
         moment = [[now[f"m{min(i, j)}_{max(i, j)}"] / whole for j in live] for i in live]
-        move = [0.0] * d
-        for i, x in zip(live, solve(moment, misfit(now))):
-            move[i] = scale * x
-        then = sums([*moves, move])
-        if sum(x * x for x in misfit(then)) < sum(x * x for x in misfit(now)):
-            moves, now, scale = [*moves, move], then, min(1.0, 2 * scale)
-        else:
-            scale /= 2
-        done += 1
+        step = solve(moment, misfit(now))
+        # the scaled step, half of it, and the plain gradient's step, which never raises the misfit
+        for by in (1.0, 0.5, None):
+            move = [0.0] * d
+            for k, i in enumerate(live):
+                move[i] = by * step[k] if by else misfit(now)[k] / max(1e-12, sum(moment[j][j] for j in range(len(live))))
+            then = sums([*moves, move])
+            done += 1
+            if wrong(then) < wrong(now) * (0.9 if by else 1):
+                break
+        if wrong(then) >= wrong(now) * (1 - 1e-9):
+            break
+        moves, now = [*moves, move], then
     return moves, {"rounds": done, "target": dict(zip(domains, target)), "reached": {x: now[f"t{i}"] for i, x in enumerate(domains)}}
 
 

@@ -7,7 +7,7 @@ level 2 lets through, and so on until nothing comes through; a key is then liste
 membership is exact for all of the universe, and asking needs a few bits a listed key and no join.
 
 Defined results: a null url or one without `://` has an empty host and path and no rule; a host keeps user and port as written; of
-fitting rules the longest key wins; repeated list rows count once, and a key listed as both allow and block blocks; an empty list
+fitting rules the longest key wins, of keys of one length the one with the longer host; repeated list rows count once, and a key listed as both allow and block blocks; an empty list
 allows everything; extra columns of either table are left out of the work and other columns of `urls` are kept.
 """
 
@@ -81,7 +81,7 @@ def listed(h: np.ndarray, cascade: list[dict]) -> np.ndarray:
 
 def filter_shape(keys: int, rate: float) -> tuple[int, int]:
     """(hash functions, bits) of a filter for so many keys and this rate of false positives."""
-    hashes = max(1, round(math.log2(1 / rate)))
+    hashes = max(1, round(math.log2(1 / rate))) if keys else 1
     return hashes, max(64, 64 * math.ceil(keys * hashes / math.log(2) / 64))
 
 
@@ -157,17 +157,15 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", max_fi
     parts = with_parts(urls).drop("rule", "verdict", "_keys").withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes))
     n_keys = lists.count()
     universe = parts.select(F.explode("_keys").alias("key")).distinct()
-    longest = lambda c: F.reduce(c, F.lit(None).cast("string"), lambda best, k: F.when(best.isNull() | (F.length(k) > F.length(best)), k).otherwise(best))
+    longest = lambda c: F.reduce(c, F.lit(None).cast("string"), lambda best, k: F.when(best.isNull() | (F.length(k) >= F.length(best)), k).otherwise(best))  # noqa: E731  shapes with more labels come later
 
     universe = cut(universe)
     n_universe = universe.count()
     planned = sum(filter_shape(n, min(0.5, math.sqrt(0.5) * n_keys / max(1, n_universe)) if i == 0 else 0.5)[1] for i, n in enumerate([n_keys, n_keys])) / 8
     if planned > max_filter_bytes:
-        hits = universe.join(lists.select("key", "block"), "key")
-        ids = parts.withColumn("_row", F.struct(*[F.col(c) for c in parts.columns if c != "_keys"]))
-        per_url = (ids.select(F.xxhash64("host", "path").alias("_h"), "host", "path", "_keys").dropDuplicates(["host", "path"])
-                   .select("host", "path", F.explode("_keys").alias("key")).join(hits, "key")
-                   .groupBy("host", "path").agg(F.max_by(F.struct("key", "block"), F.length("key")).alias("_hit")))
+        hits = universe.join(lists.select("key", "block", "labels"), "key")
+        per_url = (parts.select("host", "path", "_keys").dropDuplicates(["host", "path"]).select("host", "path", F.explode("_keys").alias("key")).join(hits, "key")
+                   .groupBy("host", "path").agg(F.max_by(F.struct("key", "block"), F.struct(F.length("key"), "labels")).alias("_hit")))
         out = parts.drop("_keys").join(per_url, ["host", "path"], "left")
         return out.withColumns({"rule": F.col("_hit.key"), "verdict": F.when(F.col("_hit.block"), "block").when(F.col("_hit.key").isNotNull(), "allow").otherwise(default)}).drop("_hit")
 

@@ -18,8 +18,8 @@ def brute(urls, rules, default="allow"):
         best = None
         for h, p, action in rules:
             p = p or ""
-            if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0]) or (h + p == best[0] and action == "block")):
-                best = (h + p, action)
+            if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(h + p), len(h)) > (len(best[0]), best[2]) or (h + p == best[0] and action == "block")):
+                best = (h + p, action, len(h))
         out[i] = (host, path, best[0] if best else None, best[1] if best else default)
     return out
 
