@@ -21,12 +21,17 @@ top low lowest sold store stores online shop clearance discount discounts order
 reward via has have its
 """.split()
 
-# Words of an offer that say nothing about what is offered.
+# Words of an offer that say nothing about what is offered, and words about when, where and how.
 OFFER_STOP = """
 a an and any are at be by can each enjoy every for free from get gets has have in is it its just more new of off offer
 offers on one only or order orders our per plus price score so that the their this to two up valid when with you your
-deal deals special specials day week weekly all long also available good online app store dine members rewards member
-reward purchase regular reg about save through until before during now local time today tonight redeem
+deal deals special specials day week weekly all day long also available good online app store dine members rewards member
+reward purchase regular reg about save
+through thru until till after before during now local time times today tonight grab score redeem redeemed registered user
+users valid posted page website site detail details visit story stories starting start check include includes included
+including choice enjoy celebrate guest guests customer customers location locations participating select selected announced
+chain restaurant restaurants jan feb mar apr may jun jul aug sep sept oct nov dec january february march april june july
+august september october november december
 """.split()
 
 DAY_WORD = r"(?i)\b(?:mon|tues|wednes|thurs|fri|satur|sun)days?\b"

@@ -133,12 +133,17 @@ def agg_site_directory(pois: DataFrame, kinds: DataFrame, per_degree: int = 500)
     return names.join(sells, "host")
 
 
-def agg_merchant_table(ads: DataFrame, nearest: DataFrame, radius_mi: float) -> DataFrame:
-    """Per area and ad merchant: its status and nearest miles, with its place among the ones too far away. Needs
-    ads(area, merchant), nearest(area, chain, distance_mi)."""
+def agg_merchant_table(ads: DataFrame, nearest: DataFrame, radius_mi: float, mapped: DataFrame | None = None) -> DataFrame:
+    """Per area and ad merchant: its ads, status and nearest miles. A merchant with a place in reach is "nearby"; without one it is "far"
+    if the map covers it, which `mapped`(merchant) or a place farther off says, else "unmapped". Needs ads(area, merchant), nearest(area,
+    chain, distance_mi)."""
     m = ads.groupBy("area", "merchant").agg(F.count("*").alias("ads"))
     df = m.join(nearest.select("area", F.col("chain").alias("merchant"), "distance_mi"), ["area", "merchant"], "left")
-    return df.withColumn("status", F.when(F.col("distance_mi") <= radius_mi, "nearby").when(F.col("distance_mi").isNotNull(), "far").otherwise("unmapped"))
+    covered = F.col("distance_mi").isNotNull()
+    if mapped is not None:
+        df = df.join(mapped.select("merchant").distinct().withColumn("_mapped", F.lit(True)), "merchant", "left")
+        covered = covered | F.coalesce("_mapped", F.lit(False))
+    return df.withColumn("status", F.when(F.col("distance_mi") <= radius_mi, "nearby").when(covered, "far").otherwise("unmapped")).drop("_mapped").select("area", "merchant", "ads", "distance_mi", "status")
 
 
 def agg_coverage_report(items: DataFrame, hits: DataFrame, deals: DataFrame, top: int = 3) -> DataFrame:

@@ -105,7 +105,7 @@ def flt_not_sale(posts: DataFrame) -> DataFrame:
     offer_text = F.coalesce(F.col("text"), F.lit(""))
     amounts = F.array_distinct(F.regexp_extract_all(offer_text, F.lit(r"\$\s?(\d[\d,]*(?:\.\d\d)?)"), F.lit(1)))
     many = (sale_type | sale_words | ceiling | order_size | wide | F.coalesce(F.col("buy_n") > 0, F.lit(False))
-            | says(main, CATEGORY_NOUNS) | bogo)
+            | says(main, R.CATEGORY_NOUNS) | bogo)
     one_price = says(main, R.ONE_PRICE) & ~says(main, R.PRICE_HEDGE)
     rules: list[Rule] = [("one product, not a sale", F.coalesce(F.col("deal_type") == "product", F.lit(False))),
                          ("a roundup of other deals", says(title, R.ROUNDUP))]
@@ -117,20 +117,11 @@ def flt_not_sale(posts: DataFrame) -> DataFrame:
          & says(offer_text, r"\b(?:just|only|for)\s+\$\s?\d")),
         ("one product, not a sale", ~many | (one_price & ~ceiling & ~sale_type)),
         ("one product, not a sale", has("off") & ~has("pct") & ~ceiling & ~order_size & ~bogo
-         & ~F.coalesce(F.col("off_upto"), F.lit(False)) & ~says(head, R.SALE_WORDS) & ~says(head, CATEGORY_NOUNS)
+         & ~F.coalesce(F.col("off_upto"), F.lit(False)) & ~says(head, R.SALE_WORDS) & ~says(head, R.CATEGORY_NOUNS)
          & ~(says(head, R.SITEWIDE) | says(head, R.EVERYTHING)))]
     return flt_reason(posts, rules)
 
 
-# Kinds of goods a sale can be on. Ours, shorter than a shop's list of departments; a job can be given more.
-CATEGORY_NOUNS = (r"\b(?:costumes|bags|backpacks|wallets|jackets|coats|sweaters|hoodies|pajamas|jeans|pants|shorts|shirts|tees|tops|"
-                  r"dresses|clothing|clothes|apparel|underwear|socks|shoes|sneakers|boots|sandals|slippers|jewelry|watches|"
-                  r"accessories|styles|toys|games|puzzles|books|decor|furniture|bedding|sheets|towels|rugs|curtains|lamps|"
-                  r"cookware|appliances|tools|gear|equipment|supplies|essentials|items|products|brands|collections?|makeup|"
-                  r"skincare|fragrances|candles|vitamins|snacks|groceries|electronics|laptops|tvs|headphones|speakers|cameras|"
-                  r"phones|tablets|plants|ornaments)\b")
-
-
 def flt_not_promo(posts: DataFrame) -> DataFrame:
     return flt_reason(posts, [("promotion: gift card, subscription, game or merchandise", says(F.col("title"), R.NOT_A_PROMO))])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fn_host, fn_money, fn_norm, fn_phrase_near, fn_tidy
-from ..functions.amounts import number, rounded
+from ..functions.amounts import bind, number, rounded
 from ..functions.times import seconds_between
 from ..rules import wordings as R
 from .filters import flt_sale_live, is_product_link  # noqa: F401
@@ -192,11 +192,22 @@ LD_JSON = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
 
 
 def page_offer(html: Column) -> Column:
-    """The price of a page's structured product data, alone, in a list or in a graph."""
+    """The first price that a page's structured data states for a product: in every block, objects and lists are opened level by level,
+    as deep as the block has brackets, and each node of type Product is asked for its offers, one or a list."""
     blocks = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LD_JSON), F.lit(1))
-    paths = [f"{root}.offers{at}.{p}" for root in ("$", "$[0]", "$['@graph'][0]") for at in ("", "[0]") for p in ("price", "lowPrice")]
-    one = lambda b: F.coalesce(*[fn_money(F.get_json_object(b, p)) for p in paths])                 # noqa: E731
-    return F.get(F.array_compact(F.transform(blocks, one)), 0)
+    nothing = F.array().cast("array<string>")
+    inside = lambda n: F.coalesce(F.from_json(n, "array<string>"), F.map_values(F.from_json(n, "map<string,string>")), nothing)      # noqa: E731
+    opened = lambda ns: F.flatten(F.transform(F.filter(ns, lambda n: F.ltrim(n).rlike(r"^[\[{]")), inside))                             # noqa: E731
+    depth = lambda b: F.length(b) - F.length(F.translate(b, "{[", ""))                                                                # noqa: E731
+
+    def nodes(block: Column) -> Column:
+        start = F.struct(F.array(block).alias("level"), F.array(block).alias("all"))
+        step = lambda acc, _: F.when(F.size(acc["level"]) == 0, acc).otherwise(bind(opened(acc["level"]), lambda ns: F.struct(ns.alias("level"), F.concat(acc["all"], ns).alias("all"))))
+        return F.aggregate(F.sequence(F.lit(0), depth(block)), start, step)["all"]
+    product = lambda n: F.coalesce(F.get_json_object(n, "$['@type']").rlike(r'(^|")Product($|")'), F.lit(False))                       # noqa: E731
+    prices = lambda n: F.array_compact(F.array(*[fn_money(F.get_json_object(n, f"$.offers{at}.{p}")) for at in ("", "[0]") for p in ("price", "lowPrice")]))
+    one = lambda b: F.flatten(F.transform(F.filter(nodes(b), lambda n: F.ltrim(n).startswith("{") & product(n)), prices))               # noqa: E731
+    return F.get(F.flatten(F.transform(blocks, one)), 0)
 
 
 def dq_store_page(deals: DataFrame, pages: DataFrame) -> DataFrame:

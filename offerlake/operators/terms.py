@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.entities import fn_unescape
 from ..functions import fn_money, fn_pct, fn_summary
 from ..functions.amounts import AMOUNT, bind, dollars, general, number, rounded
 from ..functions.text import fn_clean
@@ -214,8 +215,8 @@ TITLE_STOP = "for with and the free shipping shipped only just deal off via from
 
 
 def plain_page(html: Column) -> Column:
-    """A page's text without its tags."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " "))
+    """A page's text without its tags, character references decoded."""
+    return F.trim(F.regexp_replace(fn_unescape(F.regexp_replace(html, r"<[^>]+>", " ")), r"[\s\u00a0]+", " "))
 
 
 def title_words(title: Column) -> Column:

@@ -83,18 +83,19 @@ def jn_seller_store(sellers: DataFrame, stores: DataFrame) -> DataFrame:
     return by_name.unionByName(by_domain).groupBy("seller").agg(F.min(F.struct("p", "store")).alias("b")).select("seller", "b.store")
 
 
-def jn_dictionary_scan(texts: DataFrame, names: DataFrame, max_words: int = 5) -> DataFrame:
+def jn_dictionary_scan(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Every dictionary name in each text, as whole words, as written, in capitals or with a capital first letter; longer
     names first, none inside another: id, entry, event, brand, at (word position). Needs texts(id, text), names(entry, name,
-    event, brand). Texts are cut to runs of words that are looked up by equality."""
+    event, brand). Texts are cut to runs of as many words as some name has, which are looked up by equality."""
     norm_tokens = lambda t: F.transform(F.regexp_extract_all(straight(t), F.lit(r"([\w&'.-]+)"), F.lit(1)),                            # noqa: E731
                                         lambda w: F.regexp_replace(F.regexp_replace(w, r"^[.'-]+|[.'-]+$", ""), r"'s$", ""))
     keyed = names.select("entry", "event", "brand", F.array_join(norm_tokens(F.col("name")), " ").alias("n"), F.length("name").alias("len")).where(F.length("n") >= 2)
     forms = (keyed.select("entry", "event", "brand", "len", F.explode(F.array_distinct(F.array("n", F.upper("n"), F.concat(F.upper(F.substring("n", 1, 1)), F.expr("substring(n, 2)"))))).alias("run"))
              .dropDuplicates(["run", "entry"]))
+    sizes = sorted(r.n for r in keyed.select(F.size(F.split("n", " ")).alias("n")).distinct().collect())      # a few numbers
     toks = texts.select("id", norm_tokens(F.col("text")).alias("t"))
     runs = toks.select("id", "t", F.posexplode("t").alias("at", "_w")).select(
-        "id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("t") - F.col("at"))),
+        "id", "at", F.explode(F.transform(F.filter(F.lit(sizes).cast("array<int>"), lambda k: k <= F.size("t") - F.col("at")),
                                           lambda k: F.struct(k.alias("n"), F.array_join(F.slice("t", F.col("at") + 1, k), " ").alias("run")))).alias("r"))
     hits = runs.select("id", "at", "r.n", "r.run").join(forms, "run")
     spans = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.col("len")).alias("o"), "at", "n", "entry", "event", "brand"))).alias("s"))

@@ -95,25 +95,30 @@ def _(t: Tables):
 
 
 @query("src_shop_products", using("deals", body="""
-    SELECT options, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(CAST(round(regular * 100) AS BIGINT)) AS BIGINT) AS regulars FROM (
-      SELECT line % 2 = 0 AS options, price, regular FROM deals WHERE regular > price) GROUP BY options"""))
+    SELECT options, title, words, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(sum(CAST(round(regular * 100) AS BIGINT)) AS BIGINT) AS regulars FROM (
+      SELECT line % 2 = 0 AS options, title || ' & more' AS title, category || ' ' || brand || ' new' AS words, price, regular FROM deals WHERE regular > price) GROUP BY ALL"""))
 def _(t: Tables):
     v = lambda p, w, ok=True: st(price=p.cast("string"), compare_at_price=w.cast("string"), available=F.lit(ok))                  # noqa: E731
     sale, dear, gone = v(c("price"), c("regular")), v(c("regular"), F.lit(None)), v(c("price") / 2, c("regular"), False)
     variants = F.when(c("line") % 2 == 0, F.array(dear, sale, gone)).otherwise(F.array(sale))
-    product = st(title=c("title"), handle=F.replace("title", F.lit(" "), F.lit("-")), product_type=c("category"), tags=F.array("brand"), variants=variants)
-    d = rd.src_shop_products(t.spark, json_lines(t, t.deals, "shop", host=F.lit("acme.com"), products=F.array(product)))
-    return d.groupBy("options").agg(F.count("*").alias("n"), F.sum(F.round(c("price") * 100).cast("bigint")).alias("cents"), F.sum(F.round(c("regular") * 100).cast("bigint")).alias("regulars"))
+
+    def shop(tags: Column) -> Column:
+        product = st(title=F.concat("title", F.lit(" &amp; more")), handle=F.replace("title", F.lit(" "), F.lit("-")), product_type=c("category"), tags=tags, variants=variants)
+        return F.to_json(st(host=F.lit("acme.com"), products=F.array(product)))
+    # tags come as a list or as one text
+    text = F.when(c("line") % 3 == 0, shop(F.concat("brand", F.lit(", new")))).otherwise(shop(F.array("brand", F.lit("new"))))
+    d = rd.src_shop_products(t.spark, lines(t, t.deals, text, "shop"))
+    return d.groupBy("options", "title", "words").agg(F.count("*").alias("n"), F.sum(F.round(c("price") * 100).cast("bigint")).alias("cents"), F.sum(F.round(c("regular") * 100).cast("bigint")).alias("regulars"))
 
 
 @query("src_woo_products", using("deals", body="""
-    SELECT words, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents FROM (SELECT brand || ' ' || category AS words, price FROM deals WHERE regular > price AND line <> 1) GROUP BY words"""))
+    SELECT title, words, count(*) AS n, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents FROM (SELECT title || ' & co' AS title, brand || ' ' || category AS words, price FROM deals WHERE regular > price AND line <> 1) GROUP BY ALL"""))
 def _(t: Tables):
     cents = lambda x: F.round(c(x) * 100).cast("bigint").cast("string")                              # noqa: E731
     prices = st(sale_price=cents("price"), price=cents("regular"), regular_price=cents("regular"), currency_code=F.when(c("line") == 1, "EUR").otherwise("USD"), currency_minor_unit=F.lit(2))
-    product = st(name=F.concat(F.lit("<b>"), "title", F.lit("</b>")), permalink=F.lit("https://acme.com/p"), prices=prices, categories=F.array(st(name=c("brand")), st(name=c("category"))))
+    product = st(name=F.concat(F.lit("<b>"), "title", F.lit("</b> &#38; co")), permalink=F.lit("https://acme.com/p"), prices=prices, categories=F.array(st(name=c("brand")), st(name=c("category"))))
     d = rd.src_woo_products(t.spark, json_lines(t, t.deals, "woo", host=F.lit("acme.com"), items=F.array(product)))
-    return d.groupBy("words").agg(F.count("*").alias("n"), F.sum(F.round(c("price") * 100).cast("bigint")).alias("cents"))
+    return d.groupBy("title", "words").agg(F.count("*").alias("n"), F.sum(F.round(c("price") * 100).cast("bigint")).alias("cents"))
 
 
 @query("src_places", using("cities", body="""
@@ -136,15 +141,15 @@ def _(t: Tables):
     SELECT c.id AS geo, CASE WHEN c.id % 3 = 2 THEN c.population WHEN c.id % 5 = 0 THEN c.population ELSE 300 END AS population, near.zip, CASE WHEN c.id % 3 <> 2 AND c.id % 5 <> 0 THEN 'c' || c.id % 9 ELSE 'k' || near.merchant % 4 END AS county
     FROM cities c JOIN near USING (id) WHERE c.id % 3 <> 2 OR c.population >= 1000"""))
 def _(t: Tables):
-    geo = F.concat(F.lit("48"), F.lpad(c("id").cast("string"), 5, "0"))
-    place = F.lpad(c("id").cast("string"), 5, "0")
-    p = t.cities.where("id < 100000").select(geo.alias("geoid"), "name", F.when(c("id") % 3 == 2, "cdp").otherwise("city").alias("kind"), "lat", "lon")
+    place = F.when(c("id") < 100000, F.lpad(c("id").cast("string"), 5, "0")).otherwise(c("id").cast("string"))
+    geo = F.concat(F.lit("48"), place)
+    p = t.cities.select(geo.alias("geoid"), "name", F.when(c("id") % 3 == 2, "cdp").otherwise("city").alias("kind"), "lat", "lon")
     pep = t.cities.where("id % 3 <> 2 AND id % 5 <> 0").select(place.alias("place"), F.explode(F.array(st(county=F.lit("c99"), population=F.lit(100).cast("bigint")), st(county=F.concat(F.lit("c"), c("id") % 9), population=F.lit(200).cast("bigint")))).alias("x")).select("place", "x.*")
     acs = t.cities.select(place.alias("place"), "population")
     z = t.places.select(F.concat(F.lit("z"), "merchant").alias("zip"), "lat", "lon", "merchant")
     zc = z.select("zip", F.explode(F.array(st(county=F.lit("small"), land=F.lit(5)), st(county=F.concat(F.lit("k"), c("merchant") % 4), land=F.lit(50)))).alias("x")).select("zip", "x.*")
     d = rd.src_cities(p, pep, acs, z, zc)
-    return d.select(F.substring("geoid", 3, 5).cast("bigint").alias("geo"), "population", "zip", "county")
+    return d.select(F.expr("substring(geoid, 3)").cast("bigint").alias("geo"), "population", "zip", "county")
 
 
 @query("src_dims", using("deals", body="SELECT m.name, count(*) AS n FROM deals JOIN (SELECT s_suppkey, s_name AS name FROM supplier WHERE s_suppkey % 3 = 0) m ON merchant = s_suppkey GROUP BY m.name"))
@@ -189,23 +194,30 @@ def _(t: Tables):
     return d.select("reason", F.array_join("weekdays", ",").alias("weekdays"), "monthly", F.get("hours.windows", 0)["a"].alias("a")).groupBy("reason", "weekdays", "monthly", "a").agg(F.count("*").alias("n"))
 
 
+# The references that the pages hold and that the query plants, by name; "&amp" may lack its semicolon, and is decoded last.
+SHOWN = "t"
+for _from, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#53;", "5"), ("&copy;", "©"), ("&middot;", "·"), ("&rsquo;", "’")):
+    SHOWN = f"replace({SHOWN}, '{_from}', '{_to}')"
+
+
 @query("src_html_pages", r"""
-    SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
-             '(?is)<(noscript|svg)[^>]*>.*?</(noscript|svg)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g'))) AS visible, 'Half price tacos every Tuesday ' || page_id AS in_scripts
-    FROM (SELECT * FROM pages WHERE NOT regexp_matches(html, '[’‘“”–—−®™\x{00a0}\x{200b}-\x{200f}\x{3000}\x{2028}\x{85}\x{1c}-\x{1f}\x{0b}]'))""")
+    WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html || 'Fish &amp; chips&rsquo; &#53;', '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'),
+             '(?is)<(noscript|svg)[^>]*>.*?</(noscript|svg)>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
+    shown AS (SELECT page_id, regexp_replace(SHOWN, '&amp;?', '&', 'g') AS t FROM bare)
+    SELECT page_id, md5(trim(regexp_replace(regexp_replace(translate(translate(t, '’‘“”', '''''""'), '–—−®™', '---'), '[ \t\n\x0b\f\r]+', ' ', 'g'), '[ \t\n\x0b\f\r]+([.,;:!?])', '\1', 'g'))) AS visible,
+           'Half price "tacos" with all the trimmings you like every Tuesday, for lunch and for dinner, salsa & chips ' || page_id AS in_scripts FROM shown""".replace("SHOWN", SHOWN))
 def _(t: Tables):
-    p = t.read("pages").where(~c("html").rlike("[’‘“”–—−®™\\u00a0\\u200b-\\u200f\\u3000\\u2028\\u0085\\u001c-\\u001f\\u000b]"))
-    script = F.concat(F.lit('<script>{"id":"abc","text":"Half price tacos every Tuesday '), "page_id", F.lit('","js":"function() { return 1; }"}</script>'))
-    d = rd.src_html_pages(p.withColumn("html", F.concat("html", script)))
-    return d.select("page_id", F.md5("visible").alias("visible"), F.regexp_replace("in_scripts", r"\s+", " ").alias("in_scripts"))
+    script = F.concat(F.lit(r'<script>{"id":"abc","text":"Half price \"tacos\" with all the trimmings you like\u0020every Tuesday, for lunch and for dinner, salsa &amp; chips '), "page_id", F.lit('","js":"function() { return 1; }"}</script>'))
+    d = rd.src_html_pages(t.read("pages").withColumn("html", F.concat("html", F.lit("Fish &amp; chips&rsquo; &#53;"), script)))
+    return d.select("page_id", F.md5("visible").alias("visible"), "in_scripts")
 
 
 @query("src_roundup_lists", """
-    SELECT section, day, brand, count(*) AS n FROM (SELECT 'limited' AS section, (page_id % 5)::INTEGER AS day, 'Chain ' || page_id % 10 AS brand FROM pages UNION ALL SELECT 'every', (page_id % 5)::INTEGER, 'Grill ' || page_id % 10 FROM pages
+    SELECT section, day, brand, count(*) AS n FROM (SELECT 'limited' AS section, (page_id % 5)::INTEGER AS day, 'Chain & Co ' || page_id % 10 AS brand FROM pages UNION ALL SELECT 'every', (page_id % 5)::INTEGER, 'Grill ' || page_id % 10 FROM pages
       UNION ALL SELECT 'weekend', unnest([5, 6]), 'Diner' FROM pages UNION ALL SELECT 'weekend', 6, 'Bistro' FROM pages) GROUP BY ALL""")
 def _(t: Tables):
     k = (c("page_id") % 10).cast("string")
-    html = F.concat("html", F.lit("<h2>Limited-Time Food Deals</h2><ul><li><b>Chain "), k, F.lit("</b> (CH): Buy one get one free wings today</li><li>No colon here at all</li><li>Oct 12: a date is no chain, so it goes</li></ul><h3>Every-Monday Deals</h3><li>Grill "), k,
+    html = F.concat("html", F.lit("<h2>Limited-Time Food Deals</h2><ul><li><b>Chain &amp; Co "), k, F.lit("</b> (CH): Buy one get one free wings today</li><li>No colon here at all</li><li>Oct 12: a date is no chain, so it goes</li></ul><h3>Every-Monday Deals</h3><li>Grill "), k,
                     F.lit(": kids eat free with an adult meal</li><h2>Weekend Food Deals</h2><li>Diner: half price brunch for the table</li><li>Bistro: half price brunch on Sundays only</li><h2>More reading</h2><li>Else: this is not in a section at all</li>"))
     # the page's own navigation comes before any section
     p = t.read("pages").select("url", (c("page_id") % 5).alias("day"), html.alias("html"))
@@ -231,10 +243,10 @@ def _(t: Tables):
     return d.groupBy("category", "basis").agg(F.count("*").alias("n"), F.count("hedge").alias("hedged"), F.sum(F.round(c("price") * 100).cast("bigint")).alias("cents"))
 
 
-@query("snk_price_obs", using("price_points", body="SELECT day, product, count(*) AS n FROM (SELECT product, unnest(['2024-01-01', '2024-01-02']) AS day FROM price_points WHERE site % 2 = 0) GROUP BY ALL"))
+@query("snk_price_obs", using("price_points", body="SELECT day, product, count(*) AS n FROM (SELECT product, unnest(['2024-01-01', '2024-01-02']) AS day FROM price_points) GROUP BY ALL"))
 def _(t: Tables):
     path = work_path(t.spark, "prices")
-    p = t.price_points.where("site % 2 = 0").select("product", "site", "price")
+    p = t.price_points.select("product", "site", "price")
     for day in ("2024-01-01", "2024-01-02"):
         sk.snk_price_obs(p, path, F.lit(f"{day} 08:00:00").cast("timestamp"))
     return t.spark.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "product").agg(F.count("*").alias("n"))
@@ -253,10 +265,12 @@ def _(t: Tables):
 
 
 @query("snk_read_log", using("reads", body="""
-    SELECT key, count(*) AS kept FROM (SELECT key, checked_at, found, lag(checked_at) OVER w AS before, lag(found) OVER w AS was FROM (SELECT * FROM reads WHERE found IS NOT NULL) WINDOW w AS (PARTITION BY key ORDER BY checked_at))
-    WHERE checked_at >= TIMESTAMP '2024-01-15' AND NOT coalesce(epoch(date_trunc('second', checked_at)) - epoch(date_trunc('second', before)) < 36000 AND was = found, false) GROUP BY key"""))
+    WITH r AS (SELECT key, checked_at, found, row_number() OVER (PARTITION BY key ORDER BY checked_at) AS i FROM (SELECT key, checked_at, bool_or(found) AS found FROM reads WHERE found IS NOT NULL AND checked_at >= TIMESTAMP '2024-01-15' GROUP BY ALL)),
+    s AS (SELECT key, max(checked_at) AS at, arg_max(found, checked_at) AS found FROM reads WHERE found IS NOT NULL AND checked_at < TIMESTAMP '2024-01-15' GROUP BY key),
+    walk AS (SELECT k.key, 0::BIGINT AS i, s.at, s.found, false AS kept FROM (SELECT DISTINCT key FROM r) k LEFT JOIN s USING (key)
+      UNION ALL SELECT w.key, r.i, CASE WHEN w.found = r.found AND epoch_us(r.checked_at) - epoch_us(w.at) < 36000000000 THEN w.at ELSE r.checked_at END, r.found,
+                       NOT coalesce(w.found = r.found AND epoch_us(r.checked_at) - epoch_us(w.at) < 36000000000, false) FROM walk w JOIN r ON r.key = w.key AND r.i = w.i + 1)
+    SELECT key, count(*) AS kept FROM walk WHERE kept GROUP BY key"""))
 def _(t: Tables):
     r = t.reads.where("found IS NOT NULL").select("key", "checked_at", "found")
     return sk.snk_read_log(r.where("checked_at < TIMESTAMP '2024-01-15'"), r.where("checked_at >= TIMESTAMP '2024-01-15'"), 36000).groupBy("key").agg(F.count("*").alias("kept"))
-
-

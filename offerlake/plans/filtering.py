@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fn_ad_end_local, fn_ad_start_local, sc_online, sc_regular, sc_sale_rank, sc_top_rank
 from ..functions.amounts import rounded
 from ..operators import filters as ops
 from ..operators import orders, sets
+from ..session import cut
 from .catalog import query
 from .inputs import Tables, rnd, using
 
@@ -347,42 +348,46 @@ def _(t: Tables):
     return d.groupBy("category", "kind").agg(*spread("rank"))
 
 
-# --- orders: the list's first hundred with their places, since a comparison ignores row order ---
+# --- orders: every row with its place, since a comparison ignores row order ---
 
-def placed(df: DataFrame, n: int, *show: str) -> DataFrame:
-    """The first n of an ordered list with their places; the order is the list's, so this is a top-n, not a full sort."""
-    top = df.limit(n)
-    return top.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"), *show)
+def placed(df: DataFrame, *show: str) -> DataFrame:
+    """An ordered list with each row's place: the sorted partitions are written down, counted, and each starts after those before it."""
+    rows = cut(df.select(*show, F.monotonically_increasing_id().alias("_at")).withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at") % (1 << 33)}))
+    sizes, starts, before = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}, [], 0     # a number for each partition
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(before)
+        before += sizes.get(part, 0)
+    return rows.select((F.get(F.lit(starts or [0]).cast("array<bigint>"), F.col("_part").cast("int")) + F.col("_row") + 1).alias("place"), *show)
 
 
-def placed_sql(table: str, order: str, n: int, *show: str) -> str:
-    return f"SELECT row_number() OVER (ORDER BY {order}) AS place, {', '.join(show)} FROM {table} ORDER BY place LIMIT {n}"
+def placed_sql(table: str, order: str, *show: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS place, {', '.join(show)} FROM {table}"
 
 
-@query("srt_local", using("scored", body=placed_sql("scored", "score DESC, coalesce(savings, 0) DESC, title, id", 100, "id", "score")))
+@query("srt_local", using("scored", body=placed_sql("scored", "score DESC, coalesce(savings, 0) DESC, title, id", "id", "score")))
 def _(t: Tables):
-    return placed(orders.srt_local(t.scored), 100, "id", "score")
+    return placed(orders.srt_local(t.scored), "id", "score")
 
 
 @query("srt_promotions", using("scored", body=placed_sql("(SELECT *, date_diff('day', DATE '1998-06-01', CAST(valid_to AS DATE)) AS "
-                                                        "ends_in_days FROM scored)", "score DESC, ends_in_days, title, id", 100, "id", "score")))
+                                                        "ends_in_days FROM scored)", "score DESC, ends_in_days, title, id", "id", "score")))
 def _(t: Tables):
     d = t.scored.withColumn("ends_in_days", F.datediff(F.to_date("valid_to"), F.lit("1998-06-01").cast("date")))
-    return placed(orders.srt_promotions(d), 100, "id", "score")
+    return placed(orders.srt_promotions(d), "id", "score")
 
 
 @query("srt_regular", using("scored", body=placed_sql("(SELECT *, line % 3 AS starts_in_days FROM scored)",
-                                                      "starts_in_days, score DESC, merchant, title, id", 100, "id", "score")))
+                                                      "starts_in_days, score DESC, merchant, title, id", "id", "score")))
 def _(t: Tables):
-    return placed(orders.srt_regular(t.scored.withColumn("starts_in_days", F.col("line") % 3)), 100, "id", "score")
+    return placed(orders.srt_regular(t.scored.withColumn("starts_in_days", F.col("line") % 3)), "id", "score")
 
 
 @query("srt_sales", using("posts", body=placed_sql("(SELECT *, 'Store' || seller AS store_name FROM posts)",
-                                                   "price DESC, expires_at ASC NULLS LAST, lower(store_name), id", 100, "id", "price")))
+                                                   "price DESC, expires_at ASC NULLS LAST, lower(store_name), id", "id", "price")))
 def _(t: Tables):
     p = t.posts.withColumns({"score": F.col("price"), "ends_at": F.col("expires_at"),
                              "store_name": F.concat(F.lit("Store"), F.col("seller").cast("string"))})
-    return placed(orders.srt_sales(p), 100, "id", "price")
+    return placed(orders.srt_sales(p), "id", "price")
 
 
 @query("srt_city_search", using("cities", body="""

@@ -52,10 +52,8 @@ class Tables:
 
     @cached_property
     def spread_deals(self) -> DataFrame:
-        """The deals for jobs that spend their time on each row: where the scan has fewer splits than there are cores, as on one small
-        file, the rows are dealt out first; a scan with enough splits is left as it is."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return self.deals if self.read("lineitem").rdd.getNumPartitions() >= cores else self.deals.repartition(cores)
+        """The deals for jobs that spend their time on each row, dealt out by id: how the files are cut says nothing about the work."""
+        return self.deals.repartition("id")
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -38,13 +38,11 @@ def _(t: Tables):
 
 
 @query("fn_clean", r"""
-    SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS cleaned,
-           md5(trim(regexp_replace(regexp_replace('“' || text || '” ®', '\s+', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g'))) AS quoted
-    FROM (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[’‘“”–—−®™\x{00a0}\x{200b}-\x{200f}\x{3000}\x{2028}\x{85}\x{1c}-\x{1f}\x{0b}]'))""".replace(
-    "'“' || text || '” ®'", "'\"' || text || '\" '"))
+    WITH q AS (SELECT doc_id, text, translate(translate('“' || text || '” ®', '’‘“”', '''''""'), '–—−®™', '---') AS t FROM documents)
+    SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\x0b\f\r\x{00a0}]+', ' ', 'g'))) AS cleaned,
+           md5(trim(regexp_replace(regexp_replace(t, '[ \t\n\x0b\f\r]+', ' ', 'g'), '[ \t\n\x0b\f\r]+([.,;:!?])', '\1', 'g'))) AS quoted FROM q""")
 def _(t: Tables):
-    plain = t.read("documents").where(~F.col("text").rlike("[’‘“”–—−®™\\u00a0\\u200b-\\u200f\\u3000\\u2028\\u0085\\u001c-\\u001f\\u000b]"))
-    return plain.select("doc_id", F.md5(fn_clean(F.col("text"))).alias("cleaned"), F.md5(fn_tidy(F.concat(F.lit("“"), "text", F.lit("” ®")))).alias("quoted"))
+    return t.read("documents").select("doc_id", F.md5(fn_clean(F.col("text"))).alias("cleaned"), F.md5(fn_tidy(F.concat(F.lit("“"), "text", F.lit("” ®")))).alias("quoted"))
 
 
 @query("fn_money", using("deals", body="SELECT line, count(*) AS n, CAST(sum(CASE WHEN line <> 4 THEN CAST(round(price * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS cents FROM deals GROUP BY line"))
@@ -95,11 +93,11 @@ def _(t: Tables):
 
 @query("fn_words", f"""
     SELECT doc_id, count(*) AS n, md5(string_agg(w, ',' ORDER BY w)) AS words FROM (
-      SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(lower(replace(text, '’', '''')), '[a-z][a-z0-9]*(?:[''&+-][a-z0-9]+)*')), '''s?$', '') AS w FROM {ENGLISH})
+      SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(lower(replace(text, '’', '''')), '[a-z][a-z0-9]*(?:[''&+-][a-z0-9]+)*')), '''s?$', '') AS w FROM documents)
     WHERE length(w) >= 3 AND NOT regexp_matches(w, '^[a-z]{{1,2}}[0-9]') AND w NOT IN (SELECT unnest(string_split('""" + " ".join(__import__("offerlake.functions.text", fromlist=["NOT_GOODS"]).NOT_GOODS) + """', ' ')))
     GROUP BY doc_id""")
 def _(t: Tables):
-    d = t.read("documents").where("lang = 'en'").select("doc_id", fn_words(F.col("text")).alias("w"))
+    d = t.read("documents").select("doc_id", fn_words(F.col("text")).alias("w"))
     return d.where(F.size("w") > 0).select("doc_id", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort("w"), ",")).alias("words"))
 
 

@@ -25,14 +25,40 @@ ACCESSORY = (r"\b(?:compatible (?:with|for)|works with|fits|designed for|made fo
 PREFIX_NOISE = (r"^(?:\[[^\]]*\]\s*|\$\S+\s*\|\s*|prime members?:\s*|refurb(?:ished)?\s+|open-box\s+|(?:\d+-(?:pk|pack|ct|pc|piece|count)|"
                 r"\d+(?:\.\d+)?-?(?:oz|lb|ft|in)\.?|\d+\")\s+)+")
 
-# Products known by a name instead of a number: pattern, brand, model ({0}: the first group).
+# Products known by a name instead of a number: pattern, brand, model ({0}: the first group).
 NAMED = [
     (r"\bairpods pro 3\b", "Apple", "AIRPODSPRO3"),
     (r"\bairpods pro 2\b|\bairpods pro \(2nd gen", "Apple", "AIRPODSPRO2"),
+    (r"\bairpods 4\b.*\b(?:anc|active noise)", "Apple", "AIRPODS4ANC"),
+    (r"\bairpods 4\b", "Apple", "AIRPODS4"),
+    (r"\bairpods max 2\b", "Apple", "AIRPODSMAX2"),
+    (r"\bairpods max\b", "Apple", "AIRPODSMAX"),
+    (r"\bapple watch ultra 3\b", "Apple", "WATCHULTRA3"),
+    (r"\bapple watch ultra 2\b", "Apple", "WATCHULTRA2"),
     (r"\bapple watch series (\d{1,2})\b", "Apple", "WATCHS{0}"),
+    (r"\bapple watch se 3\b|\bapple watch se \(3rd gen", "Apple", "WATCHSE3"),
     (r"\bmacbook air\b.*\b(m[1-6])\b", "Apple", "MACBOOKAIR{0}"),
+    (r"\bmacbook pro\b.*\b(m[1-6](?: pro| max)?)\b", "Apple", "MACBOOKPRO{0}"),
     (r"\bnintendo switch 2\b", "Nintendo", "SWITCH2"),
+    (r"\bnintendo switch oled\b", "Nintendo", "SWITCHOLED"),
+    (r"\bmeta quest 3s\b", "Meta", "QUEST3S"),
+    (r"\bmeta quest 3\b", "Meta", "QUEST3"),
+    (r"\bsteam deck oled\b", "Valve", "STEAMDECKOLED"),
     (r"\bkindle paperwhite\b", "Amazon", "KINDLEPAPERWHITE"),
+    (r"\bkindle colorsoft\b", "Amazon", "KINDLECOLORSOFT"),
+    (r"\bkindle scribe\b", "Amazon", "KINDLESCRIBE"),
+    (r"\bfire tv stick 4k max\b", "Amazon", "FIRETVSTICK4KMAX"),
+    (r"\bfire tv stick 4k\b", "Amazon", "FIRETVSTICK4K"),
+    (r"\becho dot\b.*\b(\d)(?:st|nd|rd|th) gen", "Amazon", "ECHODOT{0}"),
+    (r"\bmx master 3s\b", "Logitech", "MXMASTER3S"),
+    (r"\bmx master 4\b", "Logitech", "MXMASTER4"),
     (r"\bgalaxy s(\d{2}) ultra\b", "Samsung", "GALAXYS{0}ULTRA"),
+    (r"\bgalaxy s(\d{2})\+", "Samsung", "GALAXYS{0}PLUS"),
+    (r"\bgalaxy buds ?(\d) pro\b", "Samsung", "GALAXYBUDS{0}PRO"),
+    (r"\bpixel (\d{1,2}) pro xl\b", "Google", "PIXEL{0}PROXL"),
     (r"\bpixel (\d{1,2}) pro\b", "Google", "PIXEL{0}PRO"),
+    (r"\bpixel (\d{1,2})a\b", "Google", "PIXEL{0}A"),
+    (r"\bpowerbeats pro 2\b", "Beats", "POWERBEATSPRO2"),
+    (r"\bbeats studio pro\b", "Beats", "BEATSSTUDIOPRO"),
+    (r"\bbeats solo 4\b", "Beats", "BEATSSOLO4"),
 ]

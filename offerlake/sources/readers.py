@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fn_money, fn_norm
 from ..functions.amounts import number, rounded
+from ..functions.entities import fn_unescape, fn_unescape_string
 from ..functions.text import fn_clean, fn_tidy
 from ..functions.times import instant
 from ..operators.calendar import time_windows, weekdays_in
@@ -59,9 +60,10 @@ def src_feed_posts(spark: SparkSession, paths: str | Sequence[str], source: str)
     text = fn_clean(plain_page(F.coalesce(F.nullif(c("`content:encoded`"), F.lit("")), c("description"), F.lit(""))))
     when = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), instant(c("pubDate")))
     none, nul = F.lit(None).cast("string"), F.lit(None).cast("double")
-    p = raw.select(F.lit(source).alias("source"), fn_clean(c("title")).alias("title"), fn_clean(c("link")).alias("url"), text.alias("text"), when.alias("posted_at"), fn_clean(c("guid")).alias("guid"),
+    p = raw.select(F.lit(source).alias("source"), fn_clean(fn_unescape(c("title"))).alias("title"), fn_clean(c("link")).alias("url"), text.alias("text"), when.alias("posted_at"), fn_clean(c("guid")).alias("guid"),
                    c("category").alias("cats"), *[c(f"`dn:{x}`").alias(f"_{x}") for x in ("expires", "price", "retailer", "dealType", "category")],
-                   F.regexp_extract_all(F.coalesce(c("`content:encoded`"), c("description"), F.lit("")), F.lit(r"href=[\"'](https?://[^\"']+)"), F.lit(1)).alias("links"))
+                   F.regexp_extract_all(F.coalesce(c("`content:encoded`"), c("description"), F.lit("")), F.lit(r"href=[\"'](https?://[^\"']+)"), F.lit(1)).alias("_links"))
+    p = p.withColumn("links", F.transform("_links", fn_unescape)).drop("_links")
     last = F.regexp_extract(F.regexp_replace("url", r"/+$", ""), r"([^/]+)$", 1)
     price, ref, pct, seller, key, kind, cat, exp = nul, nul, nul, F.lit(""), last, F.lit(""), F.array_join(F.slice(F.coalesce("cats", F.array().cast("array<string>")), 1, 4), ", "), none
     if source == "dealnews":
@@ -122,7 +124,7 @@ def src_feed_manifest(categories: DataFrame, feeds: DataFrame, stores: DataFrame
 
 
 # --- shops ---
-SHOP = "host string, products array<struct<title: string, handle: string, product_type: string, tags: array<string>, variants: array<struct<price: string, compare_at_price: string, available: boolean>>>>"
+SHOP = "host string, products array<struct<title: string, handle: string, product_type: string, tags: string, variants: array<struct<price: string, compare_at_price: string, available: boolean>>>>"
 WOO = ("host string, items array<struct<name: string, permalink: string, prices: struct<price: string, regular_price: string, sale_price: string, currency_code: string, currency_minor_unit: int>, "
        "categories: array<struct<name: string>>>>")
 
@@ -134,8 +136,10 @@ def src_shop_products(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     sale = F.filter(v, lambda x: (x["was"] > x["price"]) & x["ok"])
     best = F.array_min(F.transform("sale", lambda x: F.struct((x["price"] / x["was"]).alias("share"), x["price"].alias("price"), x["was"].alias("was"))))
     d = p.withColumn("sale", sale).where(F.size("sale") > 0).withColumn("b", best)
-    words = F.array_join(F.filter(F.concat(F.array(F.coalesce("product_type", F.lit(""))), F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 8)), lambda x: x != ""), " ")
-    return d.select("host", fn_clean(F.col("title")).alias("title"), "b.price", F.col("b.was").alias("regular"), F.lit("list").alias("basis"),
+    # tags are a list or one text with commas; a list is read as the text it was
+    listed = F.coalesce(F.from_json(F.when(F.ltrim("tags").startswith("["), F.col("tags")), "array<string>"), F.split(F.coalesce("tags", F.lit("")), ","))
+    words = F.array_join(F.filter(F.transform(F.concat(F.array(F.coalesce("product_type", F.lit(""))), F.slice(listed, 1, 8)), fn_clean), lambda x: x != ""), " ")
+    return d.select("host", fn_clean(fn_unescape(F.coalesce("title", F.lit("")))).alias("title"), "b.price", F.col("b.was").alias("regular"), F.lit("list").alias("basis"),
                     F.when(F.coalesce("handle", F.lit("")) != "", F.concat(F.lit("https://"), "host", F.lit("/products/"), "handle")).otherwise(F.concat(F.lit("https://"), "host", F.lit("/"))).alias("url"),
                     words.alias("words"), (F.size("sale") < F.size("variants")).alias("options"))
 
@@ -146,7 +150,7 @@ def src_woo_products(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     x = lambda f: F.nullif(number(F.col(f"prices.{f}")), F.lit(0.0))                              # noqa: E731
     unit = F.pow(F.lit(10.0), F.coalesce("prices.currency_minor_unit", F.lit(0)))
     d = p.where(F.coalesce("prices.currency_code", F.lit("USD")) == "USD").withColumns({"now": F.coalesce(x("sale_price"), x("price")), "was": x("regular_price"), "unit": unit}).where("was > now")
-    return d.select("host", fn_clean(F.regexp_replace("name", "<[^>]+>", " ")).alias("title"), rounded(F.col("now") / F.col("unit"), 2).alias("price"), rounded(F.col("was") / F.col("unit"), 2).alias("regular"),
+    return d.select("host", fn_clean(fn_unescape(F.regexp_replace("name", "<[^>]+>", " "))).alias("title"), rounded(F.col("now") / F.col("unit"), 2).alias("price"), rounded(F.col("was") / F.col("unit"), 2).alias("regular"),
                     F.lit("store_regular").alias("basis"), F.coalesce("permalink", F.concat(F.lit("https://"), "host", F.lit("/"))).alias("url"),
                     F.array_join(F.transform(F.slice(F.coalesce("categories", F.array().cast("array<struct<name:string>>")), 1, 6), lambda c: fn_clean(c["name"])), " ").alias("words"), F.lit(False).alias("options"))
 
@@ -187,7 +191,7 @@ def src_cities(places: DataFrame, pep: DataFrame, acs: DataFrame, zctas: DataFra
     land)."""
     from ..operators.geojoins import jn_city_anchor
     total = pep.groupBy("place").agg(F.sum("population").alias("_pep"), F.max(F.struct("population", "county")).alias("_part"))
-    df = places.withColumn("place", F.substring("geoid", 3, 5)).join(total, "place", "left").join(acs.select("place", F.col("population").alias("_acs")), "place", "left")
+    df = places.withColumn("place", F.expr("substring(geoid, 3)")).join(total, "place", "left").join(acs.select("place", F.col("population").alias("_acs")), "place", "left")
     df = df.withColumn("population", F.when(F.col("kind") != "cdp", F.coalesce("_pep", "_acs")).otherwise(F.col("_acs"))).where((F.col("kind") != "cdp") | (F.coalesce("population", F.lit(0)) >= cdp_min))
     near = jn_city_anchor(df.select(F.col("geoid").alias("id"), "lat", "lon"), zctas.select(F.col("zip").alias("id"), "lat", "lon"), 15.0)
     county = zcta_county.groupBy("zip").agg(F.max(F.struct("land", "county")).alias("_z"))
@@ -252,7 +256,7 @@ def src_offer_registry(spark: SparkSession, path: str | Sequence[str], today: Co
 # --- pages ---
 
 def visible_text(html: Column) -> Column:
-    return fn_tidy(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " "), r"<[^>]+>", " "))
+    return fn_tidy(fn_unescape(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " "), r"<[^>]+>", " ")))
 
 
 def src_html_pages(pages: DataFrame) -> DataFrame:
@@ -260,7 +264,7 @@ def src_html_pages(pages: DataFrame) -> DataFrame:
     scripts = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), lambda s: F.length(s) >= 40)
     strings = F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(r'"((?:[^"\\]|\\.){12,900})"'), F.lit(1))))
     prose = F.filter(strings, lambda s: s.contains(" ") & ~F.substring(s, 1, 80).rlike(r"[{};=<>]|function\b|https?:"))
-    return pages.withColumns({"visible": visible_text(F.col("html")), "in_scripts": fn_tidy(F.array_join(F.transform(prose, lambda s: F.regexp_replace(F.regexp_replace(s, r"\\n|\\t", " "), r"<[^>]+>", " ")), " "))})
+    return pages.withColumns({"visible": visible_text(F.col("html")), "in_scripts": fn_tidy(fn_unescape(F.array_join(F.transform(prose, lambda s: F.regexp_replace(fn_unescape_string(s), r"<[^>]+>", " ")), " ")))})
 
 
 PAGE_DATES = [r'"dateModified"\s*:\s*"(\d{4}-\d{2}-\d{2})', r'article:modified_time"\s+content="(\d{4}-\d{2}-\d{2})', r'content="(\d{4}-\d{2}-\d{2})[^"]*"\s+property="article:modified_time',
@@ -277,7 +281,7 @@ def src_roundup_lists(pages: DataFrame) -> DataFrame:
     names the section. Needs url, day, html. An entry's section is carried down the page's own blocks."""
     body = F.regexp_replace("html", r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " ")
     blocks = F.regexp_extract_all(body, F.lit(r"(?is)(<(?:h2|h3|li)[^>]*>.*?</(?:h2|h3|li)>)"), F.lit(1))
-    plain = lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, r"<[^>]+>", " "), r"\s+", " "))     # noqa: E731
+    plain = lambda b: F.trim(F.regexp_replace(fn_unescape(F.regexp_replace(b, r"<[^>]+>", " ")), r"[\s\u00a0]+", " "))     # noqa: E731
 
     def walk(acc: Column, b: Column) -> Column:
         head = F.lower(plain(b))

@@ -4,30 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(stored: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of both, the new one where a key is in both, and the first of several new ones by all its fields."""
+def latest(stored: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of both, the new one where a key is in both; of several new ones the last by `order`, and of those that tie the greatest by
+    all fields."""
     rest = [c for c in stored.columns if c not in key]
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.select(*stored.columns).withColumn("_new", F.lit(1)))
-    best = both.groupBy(*key).agg(F.max(F.struct("_new", *rest)).alias("b"))
-    return best.select(*key, *[F.col(f"b.{c}").alias(c) for c in rest])
+    first = [c for c in order if c in rest]
+    best = both.groupBy(*key).agg(F.max(F.struct("_new", *first, *[c for c in rest if c not in first])).alias("b"))
+    return best.select(*key, *[F.col(f"b.{c}").alias(c) for c in rest]).select(*stored.columns)
 
 
-def snk_verdicts(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Verdicts with a run's repeated tests replaced. Needs run, test and the same columns on both."""
-    return latest(stored, new, ["run", "test"])
+def snk_verdicts(stored: DataFrame, new: DataFrame, order: Sequence[str] = ("tested_at",)) -> DataFrame:
+    """Verdicts with a run's repeated tests replaced, the last by `order`. Needs run, test and the same columns on both."""
+    return latest(stored, new, ["run", "test"], order)
 
 
-def snk_snapshot(df: DataFrame, path: str, by: Sequence[str], defaults: dict | None = None) -> None:
+def snk_snapshot(df: DataFrame, path: str, by: Sequence[str], defaults: dict | None = None, files: int = 1) -> None:
     """A partitioned JSON snapshot; fields that hold their default are left out. One shuffle by the partition and a hash of the row
-    spreads a large partition over several files."""
+    gives each partition `files` files, however many tasks held its rows."""
     out = df
     for c, v in (defaults or {}).items():
         out = out.withColumn(c, F.when(~F.col(c).eqNullSafe(F.lit(v)), F.col(c)))
-    out.write.mode("overwrite").partitionBy(*by).option("ignoreNullFields", "true").json(path)
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    out.repartition(*by, spread).write.mode("overwrite").partitionBy(*by).option("ignoreNullFields", "true").json(path)
 
 
 def snk_price_obs(points: DataFrame, path: str, now: Column) -> None:
@@ -38,20 +41,28 @@ def snk_price_obs(points: DataFrame, path: str, now: Column) -> None:
 def snk_label_upsert(stored: DataFrame, new: DataFrame, now: Column, days: int = 60) -> tuple[DataFrame, DataFrame]:
     """(examples after the upsert, how many were new). The latest wins; what was not seen for `days` is forgotten. Needs key, source,
     words, categories, seen_at."""
-    after = latest(stored, new, ["key"]).where(F.col("seen_at") >= now - F.make_dt_interval(F.lit(days)))
+    after = latest(stored, new, ["key"], ["seen_at"]).where(F.col("seen_at") >= now - F.make_dt_interval(F.lit(days)))
     added = new.select("key").distinct().join(stored.select("key"), "key", "left_anti").agg(F.count("*").alias("new"))
     return after, added
 
 
 def snk_read_log(stored: DataFrame, new: DataFrame, gap_s: int = 3600) -> DataFrame:
-    """The new reads worth keeping: not within `gap_s` of the last stored read with the same result, nor of the read before it in the
-    batch. Needs key, checked_at, found. A read meets the one before it through the hour it falls in, so a key read a million times is
-    spread by hour; in a chain of repeats each is compared with its neighbour (the stream compares with the last one kept)."""
-    slot = lambda c: F.floor(F.unix_seconds(c) / gap_s)                                           # noqa: E731
-    n = new.select("key", "checked_at", "found", slot(F.col("checked_at")).alias("slot")).distinct()
-    old = stored.select("key", "checked_at", "found", slot(F.col("checked_at")).alias("slot")).unionByName(n)
-    near = old.select("key", F.col("checked_at").alias("_at"), F.col("found").alias("_found"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    before = (n.join(near, ["key", "slot"], "left").where((F.col("_at") < F.col("checked_at")) & (F.unix_seconds("checked_at") - F.unix_seconds("_at") < gap_s))
-              .groupBy("key", "checked_at", "found").agg(F.max(F.struct("_at", "_found")).alias("b")))
-    repeat = before.where(F.col("b._found") == F.col("found")).select("key", "checked_at")
-    return n.select("key", "checked_at", "found").join(repeat, ["key", "checked_at"], "left_anti")
+    """The new reads worth keeping, with all their columns: a read is left out if the last read kept has the same result and is less than
+    `gap_s` before it. Needs key, checked_at, found.
+
+    A read after a gap of `gap_s` or with another result than the one before it is always kept, so a key's reads fall into pieces that
+    start with a kept read; a piece is settled by a walk over its times that carries the last one kept. The last stored read of a key opens
+    its first piece. Reads of one key and time count once."""
+    t = F.unix_micros("checked_at")
+    last = stored.groupBy("key").agg(F.max(F.struct("checked_at", "found")).alias("l")).select("key", "l.checked_at", "l.found", F.lit(True).alias("_old"))
+    rest = [c for c in new.columns if c not in ("key", "checked_at")]
+    once = new.groupBy("key", "checked_at").agg(F.max(F.struct(*rest)).alias("_r"))
+    reads = once.select("key", "checked_at", F.col("_r.found").alias("found"), F.lit(False).alias("_old")).unionByName(last)
+    w = Window.partitionBy("key").orderBy("checked_at", F.desc("_old"))
+    gap = F.lag(t).over(w)
+    opens = gap.isNull() | (t - gap >= gap_s * 1_000_000) | ~F.lag("found").over(w).eqNullSafe(F.col("found"))
+    pieces = reads.withColumn("_t", t).withColumn("_opens", opens).withColumn("_piece", F.sum(F.col("_opens").cast("int")).over(w))
+    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap_s * 1_000_000), F.concat(acc, F.array(x))).otherwise(acc)
+    kept = (pieces.groupBy("key", "_piece").agg(F.sort_array(F.collect_list("_t")).alias("_ts"), F.max("_old").alias("_had"), F.min("_t").alias("_first"))
+            .select("key", F.explode(F.aggregate("_ts", F.array().cast("array<bigint>"), step)).alias("_t"), "_had", "_first").where(~F.col("_had") | (F.col("_t") > F.col("_first"))))
+    return once.withColumn("_t", t).join(kept.select("key", "_t"), ["key", "_t"]).select("key", "checked_at", "_r.*").select(*new.columns)

@@ -28,48 +28,66 @@ def stm_price_windows(stream: DataFrame, width: str = "1 day", slide: str | None
 READ_OUT = "key bigint, checked_at timestamp, found boolean"
 
 
-def stm_read_log(stream: DataFrame, gap_s: int = 3600) -> DataFrame:
-    """Reads worth keeping: not within the gap of the last one kept with the same result. State is that one read; a key's reads
-    come in chunks, so no key is held whole. Needs key (bigint), checked_at, found (not null)."""
+def stm_read_log(stream: DataFrame, gap_s: int = 3600, late: str = "1 day") -> DataFrame:
+    """Reads worth keeping: not within the gap of the last one kept with the same result. A key's reads of one batch are put in order
+    before they are walked; its state is the last read kept, and goes once the watermark is past that read's gap, since what comes then is
+    kept in any case. Needs key (bigint), checked_at, found (not null)."""
     def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, was = state.get if state.exists else (None, None)
-        for chunk in chunks:
-            rows = []
-            for t, found in chunk.sort_values("checked_at")[["checked_at", "found"]].itertuples(index=False):
-                s = t.timestamp()
-                if at is None or abs(s - at) >= gap_s or bool(found) != was:
-                    at, was = s, bool(found)
-                    rows.append((key[0], t, was))
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "checked_at", "found"])
-        if at is not None:
-            state.update((at, was))
-    return stream.groupBy("key").applyInPandasWithState(keep, READ_OUT, "at double, was boolean", "append", GroupStateTimeout.NoTimeout)
+        batch = pd.concat([*chunks])[["checked_at", "found"]].sort_values(["checked_at", "found"])
+        rows = []
+        for t, found in batch.itertuples(index=False):
+            s = t.timestamp()
+            if at is None or s - at >= gap_s or bool(found) != was:
+                at, was = s, bool(found)
+                rows.append((key[0], t, was))
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "checked_at", "found"])
+        state.update((at, was))
+        state.setTimeoutTimestamp(max(int((at + gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
+    return (stream.withWatermark("checked_at", late).groupBy("key")
+            .applyInPandasWithState(keep, READ_OUT, "at double, was boolean", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def _version(path: str, batch: int) -> str:
     return f"{path}/batch={batch}"
 
 
+def _prune(spark, path: str, batch: int) -> None:
+    """Drop the versions that no retry of `batch` can ask for: a batch reads the one before it."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < batch - 1:
+            fs.delete(f.getPath(), True)
+
+
 def stm_label_upsert(stream: DataFrame, path: str, now: Column, days: int = 60):
     """A writer that upserts each batch of examples into a table of versions: a batch tried again after a failure writes the same
-    version from the one before it. The newest version is the table. Needs key, source, words, categories, seen_at."""
+    version from the one before it. The newest version is the table; two are kept. Needs key, source, words, categories, seen_at."""
     def upsert(batch: DataFrame, n: int) -> None:
-        one = latest(batch.limit(0), batch, ["key"])
+        one = latest(batch.limit(0), batch, ["key"], ["seen_at"])
         stored = batch.sparkSession.read.schema(batch.schema).parquet(_version(path, n - 1)) if n > 0 else batch.limit(0)
         after, _ = snk_label_upsert(stored, one, now, days)
         after.write.mode("overwrite").parquet(_version(path, n))
+        _prune(batch.sparkSession, path, n)
     return stream.writeStream.foreachBatch(upsert)
 
 
-def stm_live_set(stream: DataFrame, path: str, now: Column, late: str = "30 days"):
-    """A writer that keeps the table of sales live at `now`; posts later than `late` are dropped by the watermark. Needs id, posted_at,
-    starts_at, ends_at."""
+def stm_live_set(stream: DataFrame, path: str, now: Column):
+    """A writer that keeps the table of sales live at `now`. A post that comes again, in the same batch or a later one, replaces what was
+    known of it, so a corrected end counts; of several in a batch the last posted. Needs id, posted_at, starts_at, ends_at."""
     def merge(batch: DataFrame, n: int) -> None:
         stored = batch.sparkSession.read.schema(batch.schema).parquet(_version(path, n - 1)) if n > 0 else batch.limit(0)
-        live = flt_sale_live(latest(stored, batch, ["id"]).select(*batch.columns), now).where("reason IS NULL").drop("reason")
+        live = flt_sale_live(latest(stored, batch, ["id"], ["posted_at"]).select(*batch.columns), now).where("reason IS NULL").drop("reason")
         live.write.mode("overwrite").parquet(_version(path, n))
-    return stream.withWatermark("posted_at", late).dropDuplicatesWithinWatermark(["id"]).writeStream.foreachBatch(merge)
+        _prune(batch.sparkSession, path, n)
+    return stream.writeStream.foreachBatch(merge)
 
 
 def stm_activity_sessions(stream: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
