@@ -150,14 +150,88 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return fps.join(classes(fps, bits, blocks), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bits: int = 2, blocks: int = 4) -> DataFrame:
-    """The rows of `docs` that stay: of each class the row with the least id. Rows that repeat it (id and text) go as well; of rows with
-    that id but other texts of the class, the one with the least fingerprint and hash stays."""
+# ---- near copies by shared shingles ------------------------------------------------------------------------------------------------
+# Texts that share four fifths of their five-word shingles differ in five to ten bits, which no split into blocks finds at a bearable price.
+# For deduplication their candidates come from bands of minimum hashes; every candidate is then checked on its whole shingle sets.
+
+BANDS, ROWS = 20, 5
+
+
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles; of all its words together if they are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - shingle + 1)
+    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1:].tolist())
+    return np.unique(np.fromiter((digest(joined[a:b], 7) for a, b in spans), dtype=np.uint64, count=n))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: sets that agree in all minimum hashes of a band have the same."""
+    rnd = np.random.default_rng(4)
+    by = rnd.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at:at + 4096][None, :] * by[:, None]
+        np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def marks_of(text: Column, shingle: int, with_bands: bool) -> Column:
+    """The fingerprint of a text, and the keys of its bands."""
+    @pandas_udf("fp bigint, bands array<bigint>")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            hashes = (shingle_hashes(t) if with_bands else () for t in part)
+            yield pd.DataFrame({"fp": pd.Series([simhash(t, shingle) for t in part], dtype="int64"), "bands": pd.Series([band_keys(h) if len(h) else np.empty(0, dtype=np.int64) for h in hashes], dtype=object)})
+    return of(text)
+
+
+def near_copies(docs: DataFrame, rows: DataFrame, text: str, at_least: float, small: int = 12) -> DataFrame:
+    """Links (a, b) between the marks of texts that share at least `at_least` of their five-word shingles. `rows` has mark and bands.
+
+    Copies of a text are one mark. In a band, up to `small` marks of one key are paired; of more, each is paired with the least, so a large
+    group of near copies makes as many pairs as it has members, and members that fail against one band's least mark have the
+    other bands. Only texts in a pair are read again for the check."""
+    keyed = rows.dropDuplicates(["mark"]).select("mark", F.posexplode("bands").alias("band", "key"))
+    sizes = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("mark").alias("head")).where("n > 1"))
+    met = keyed.join(sizes, ["band", "key"])
+    few = met.where(F.col("n") <= small).groupBy("band", "key").agg(F.sort_array(F.collect_list("mark")).alias("all"))
+    pairs = few.select(F.inline(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, small), lambda b: F.struct(a.alias("a"), b.alias("b")))))))
+    pairs = cut(pairs.unionByName(met.where((F.col("n") > small) & (F.col("mark") > F.col("head"))).select(F.col("head").alias("a"), F.col("mark").alias("b"))).distinct())
+
+    @pandas_udf("array<bigint>")
+    def whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([shingle_hashes(t).view(np.int64) for t in part], dtype=object)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    mine = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("_text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
+    sets = cut(mine.select("mark", whole(F.col("_text")).alias("set")))
+    both = pairs.join(sets.select(F.col("mark").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("mark").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= at_least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bits: int = 2, blocks: int = 4, at_least: float | None = 0.8) -> DataFrame:
+    """The rows of `docs` that stay: of each class the row with the least id. Classes are those of the fingerprints, joined where texts
+    share `at_least` of their five-word shingles (None: fingerprints only). Rows that repeat the one that stays (id and text) go as well;
+    of rows with that id but other texts of the class, the one with the least fingerprint and hash stays."""
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = cut(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), mark.alias("mark"), fingerprint(F.col(text), shingle).alias("fp")))
-    first = rows.join(classes(rows, bits, blocks), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    root = F.coalesce(F.col("component_id"), F.col("fp"))   # a class without any id is told apart by its fingerprint
-    stay = first.groupBy(F.col("component_id").isNull().alias("bare"), root.alias("root")).agg(F.min(F.struct("fp", "mark", "doc_id")).alias("x")).select("x.doc_id", "x.mark")
+    rows = cut(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), mark.alias("mark"), marks_of(F.col(text), shingle, at_least is not None).alias("m")).select("doc_id", "mark", "m.*"))
+    texts = rows.groupBy("mark", "fp").agg(F.min("doc_id").alias("doc_id"))
+    roots = components(links(rows.select("fp").distinct(), bits, blocks)).withColumnRenamed("node", "fp")
+    rooted = cut(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    if at_least is not None:
+        root_of = rooted.select("mark", "root")
+        copies = near_copies(docs, rows, text, at_least).join(root_of.select(F.col("mark").alias("a"), F.col("root").alias("ra")), "a").join(root_of.select(F.col("mark").alias("b"), F.col("root").alias("rb")), "b")
+        wider = components(copies.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("wide"))
+        rooted = rooted.join(wider, "root", "left").withColumn("root", F.coalesce("wide", "root"))
+    # rows with an id come before those without
+    stay = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "fp", "mark")).alias("x")).select("x.doc_id", "x.mark")
     there = docs.withColumns({"_stay_id": F.col(doc_id).cast("bigint"), "_stay_mark": mark})
     kept = there.join(stay, F.col("_stay_id").eqNullSafe(stay["doc_id"]) & (F.col("_stay_mark") == stay["mark"]), "left_semi")
     return kept.dropDuplicates(["_stay_id", "_stay_mark"]).drop("_stay_id", "_stay_mark")

@@ -81,3 +81,35 @@ def test_one_of_each_stays(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d", "y"), (2, "other words here now", "z"), (None, "alone in this world", "n")]
     assert S.one_of_each(docs.limit(0)).collect() == []
     assert S.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_near_copies_go_too(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"v{rnd.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(25):                     # originals with copies edited here and there
+        base = words(rnd.randint(40, 200))
+        texts.append(base)
+        for _ in range(rnd.randint(0, 4)):
+            edited = base[:]
+            for _ in range(rnd.randint(0, 6)):
+                edited[rnd.randrange(len(edited))] = "edit"
+            texts.append(edited)
+    crowd = words(300)
+    for i in range(60):                     # one large group
+        texts.append(crowd[:i * 4] + [f"x{i}"] + crowd[i * 4 + 1:])
+    rnd.shuffle(texts)
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or bin(slow_hash(" ".join(texts[a])) ^ slow_hash(" ".join(texts[b]))).count("1") <= 2:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == sorted({find(i) for i in range(len(texts))})
