@@ -76,14 +76,14 @@ def _(t: Tables):
 
 
 @query("agg_market_median", using("price_points", body=f"""
-    WITH best AS (SELECT product AS deal, site, min(price) AS price FROM price_points WHERE site % 5 = 0 GROUP BY ALL),
+    WITH best AS (SELECT product AS deal, site, min(price) AS price FROM price_points GROUP BY ALL),
     m AS (SELECT deal, {rnd('quantile_cont(price, 0.5)')} AS median, count(*) AS sites FROM best GROUP BY deal HAVING count(*) >= 2)
     SELECT p_partkey AS deal, median AS market_median, CASE WHEN median IS NOT NULL THEN CASE WHEN p < median THEN {rnd('(1 - p / median) * 100', 1)}
              ELSE 0.0::DOUBLE END END AS verified_pct, CASE WHEN median IS NULL THEN 'list' ELSE 'market' END AS basis, coalesce(sites, 0) AS sites
     FROM (SELECT p_partkey, p_retailprice * 2 AS p FROM part) LEFT JOIN m ON m.deal = p_partkey"""))
 def _(t: Tables):
     deals = t.read("part").select(F.col("p_partkey").alias("deal"), (F.col("p_retailprice") * 2).alias("price"), F.lit("list").alias("basis"))
-    pts = ag.agg_cheapest_per_site(t.price_points.where("site % 5 = 0").select(F.col("product").alias("deal"), "site", "price"))
+    pts = ag.agg_cheapest_per_site(t.price_points.select(F.col("product").alias("deal"), "site", "price"))
     return ag.agg_market_median(deals, pts).select("deal", "market_median", "verified_pct", "basis", F.coalesce("sites", F.lit(0)).alias("sites"))
 
 

@@ -16,12 +16,12 @@ from .wording import case
 
 
 @query("jn_item_hits", using("deals", body="""
-    SELECT title IS NOT NULL AS found, count(*) AS n, CAST(sum(ad) AS BIGINT) AS checksum FROM deals d LEFT JOIN (SELECT merchant, item, min(title) AS hit FROM deals WHERE line >= 4 GROUP BY ALL) h
-    USING (merchant, item) WHERE line < 4 AND h.hit IS NOT NULL GROUP BY 1"""))
+    SELECT h.hit IS NOT NULL AS found, count(*) AS n, CAST(sum(ad) AS BIGINT) AS checksum FROM deals d LEFT JOIN (SELECT merchant, item, min(title) AS hit FROM deals WHERE line >= 4 GROUP BY ALL) h
+    USING (merchant, item) WHERE line < 4 GROUP BY 1"""))
 def _(t: Tables):
     items = t.spread_deals.where("line < 4").select("merchant", "item", "ad")
     d = tj.jn_item_hits(items, t.spread_deals.where("line >= 4").select("merchant", "item", "title"))
-    return d.where("hit IS NOT NULL").groupBy(F.col("hit.title").isNotNull().alias("found")).agg(F.count("*").alias("n"), F.sum("ad").alias("checksum"))
+    return d.groupBy(F.col("hit").isNotNull().alias("found")).agg(F.count("*").alias("n"), F.sum("ad").alias("checksum"))
 
 
 @query("jn_merchant_dim", using("deals", body="""

@@ -84,10 +84,10 @@ def _(t: Tables):
       SELECT year(day) - year(ref) AS y, day FROM (SELECT ref, arg_min(day, abs(date_diff('day', day, ref)) * 10 + (year(day) - year(ref)) + 1) AS day FROM (
         SELECT id, CAST(valid_from AS DATE) AS ref, unnest([try_cast((year(valid_from) - 1) || md AS DATE), try_cast(year(valid_from) || md AS DATE),
                  try_cast((year(valid_from) + 1) || md AS DATE)]) AS day FROM (SELECT *, '-' || lpad((line + 5)::VARCHAR, 2, '0') || '-' || lpad((size % 31 + 1)::VARCHAR, 2, '0') AS md FROM deals))
-        WHERE day IS NOT NULL GROUP BY id, ref)) GROUP BY y"""))
+        GROUP BY id, ref)) GROUP BY y"""))
 def _(t: Tables):
     day = fn_nearest_year(F.col("line") + 5, F.col("size") % 31 + 1, F.to_date("valid_from"))
-    d = t.spread_deals.select(F.to_date("valid_from").alias("ref"), day.alias("day")).where("day IS NOT NULL")
+    d = t.spread_deals.select(F.to_date("valid_from").alias("ref"), day.alias("day"))
     return d.groupBy((F.year("day") - F.year("ref")).alias("y")).agg(F.count("*").alias("n"), F.sum(F.datediff("day", F.lit("1990-01-01").cast("date"))).alias("days"))
 
 
