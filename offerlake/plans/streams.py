@@ -56,7 +56,12 @@ def _(t: Tables):
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "product", "b.lowest", rounded(F.col("b.average"), 3).alias("average"), "b.n")
 
 
-@query("stm_read_log")
+@query("stm_read_log", using("posts", body="""
+    WITH r AS (SELECT seller AS key, posted_at AS seen, k % 2 = 0 AS found, row_number() OVER (PARTITION BY seller ORDER BY posted_at, k % 2 = 0) AS i FROM posts),
+    walk AS (SELECT key, i, seen, found, true AS kept FROM r WHERE i = 1
+      UNION ALL SELECT w.key, r.i, CASE WHEN w.found = r.found AND epoch_us(r.seen) - epoch_us(w.seen) < 3600000000 THEN w.seen ELSE r.seen END, r.found,
+                       NOT (w.found = r.found AND epoch_us(r.seen) - epoch_us(w.seen) < 3600000000) FROM walk w JOIN r ON r.key = w.key AND r.i = w.i + 1)
+    SELECT key, count(*) AS kept, count(*) FILTER (WHERE found) AS found FROM walk WHERE kept GROUP BY key"""))
 def _(t: Tables):
     s = event_stream(t).select(F.col("seller").alias("key"), F.col("ts").alias("checked_at"), (F.col("k") % 2 == 0).alias("found"))
     kept = appended(t, st.stm_read_log(s), "reads")

@@ -93,3 +93,14 @@ def test_a_snapshot_has_as_many_files_as_asked(spark, tmp_path):
     df = spark.range(400).selectExpr("id", "id % 3 AS part").repartition(8)
     sk.snk_snapshot(df, f"file://{tmp_path}/s", ["part"])
     assert all(len([f for f in d.iterdir() if f.name.startswith("part-")]) == 1 for d in (tmp_path / "s").iterdir() if d.is_dir())
+
+
+def test_lists_are_as_old_as_their_page_says(spark):
+    from offerlake.operators.textjoins import jn_asof_last_good_read
+    specs = spark.createDataFrame([(1, "list"), (2, "list"), (3, "list"), (4, "article"), (5, "official"), (6, "list"), (7, "list")], "key int, kind string")
+    at = datetime(2024, 6, 10)
+    reads = spark.createDataFrame([(1, at, True, datetime(2024, 6, 1).date()), (2, at, True, datetime(2024, 1, 1).date()), (3, at, True, None), (4, at, None, None), (5, at, True, None), (6, at, False, None),
+                                   (7, at - timedelta(days=1), True, datetime(2024, 6, 1).date()), (7, at, True, None)], "key int, checked_at timestamp, found boolean, page_date date")
+    got = {r.key: (r.status, r.live) for r in jn_asof_last_good_read(specs, reads, F.lit(datetime(2024, 6, 11))).collect()}
+    assert got == {1: ("confirmed", True), 2: ("too old", False), 3: ("the page carries no date", False), 4: ("unreadable", False), 5: ("confirmed", True), 6: ("the page no longer says this", False),
+                   7: ("confirmed", True)}
