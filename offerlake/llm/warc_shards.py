@@ -110,12 +110,14 @@ class Roller:
             self.out = None
 
 
-def decided(pages: DataFrame, page_id: str, url: str, payload: str, least_bytes: int) -> DataFrame:
-    """page_id, url, payload, bytes, revisit and refers_to. Only payloads that occur twice are met by their digest."""
+def decided(pages: DataFrame, page_id: str, url: str, payload: str, least_bytes: int, small: int = 200_000) -> DataFrame:
+    """page_id, url, payload, bytes, revisit and refers_to. Only digests that occur twice matter; while they are at most `small` (some
+    20 MB) they are sent to the pages, else the pages are dealt out by digest to meet them."""
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload")) \
         .select("*", F.length("payload").cast("bigint").alias("bytes"), F.sha1("payload").alias("digest"))
-    top = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("top")).where("n > 1 and top is not null").select("digest", "top")
-    return rows.join(top, "digest", "left").withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).withColumn("refers_to", F.when(F.col("revisit"), F.col("top"))).drop("top")
+    top = cut(rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("top")).where("n > 1 and top is not null").select("digest", "top"))
+    met = rows.join(F.broadcast(top) if top.count() <= small else top, "digest", "left")
+    return met.withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).withColumn("refers_to", F.when(F.col("revisit"), F.col("top"))).drop("top")
 
 
 def write_archive(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, shard_bytes: int = 128 << 20, roll_bytes: int = 32 << 20,
