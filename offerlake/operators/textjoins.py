@@ -154,17 +154,17 @@ def jn_same_name_site(merchants: DataFrame, sites: DataFrame) -> DataFrame:
 def jn_asof_last_good_read(specs: DataFrame, reads: DataFrame, now: Column, live_days: dict[str, int] | None = None) -> DataFrame:
     """Whether evidence is live at `now`: the newest attempt decides. Read without the words: ended. A company's own page with the words is
     live within its days of the read, and an unreadable one stands by its latest good read. A list or an article is as old as its page
-    says: live within its days of the page's date (of the read, else of the latest good read); without a date its age is unknown. Needs
+    says: live within its days of the page's date (of the read, else of the latest good read that has one); without a date its age is unknown. Needs
     specs(key, kind), reads(key, checked_at, found (null: unreadable)); page_date (a date), where reads have it."""
     days = live_days or {"official": 7, "rewards": 7, "list": 45, "article": 180}
     dated = F.col("page_date") if "page_date" in reads.columns else F.lit(None).cast("date")
     past = reads.withColumn("_date", dated).where(F.col("checked_at") <= now).groupBy("key").agg(
         F.max(F.struct("checked_at", F.when(F.col("found"), 2).when(F.col("found").isNull(), 1).otherwise(0).alias("got"), "_date")).alias("last"),
-        F.max(F.when(F.col("found"), F.struct("checked_at", "_date"))).alias("hit"))
+        F.max(F.when(F.col("found"), F.col("checked_at"))).alias("last_hit"), F.max(F.when(F.col("found") & F.col("_date").isNotNull(), F.struct("checked_at", "_date"))).alias("hit"))
     limit = F.lit(None).cast("int")
     for kind, n in days.items():
         limit = F.when(F.col("kind") == kind, F.lit(n)).otherwise(limit)
-    df = specs.join(past, "key", "left").withColumn("last_hit", F.col("hit.checked_at"))
+    df = specs.join(past, "key", "left")
     got, by_page = F.col("last.got"), F.col("kind").isin("list", "article") if "page_date" in reads.columns else F.lit(False)
     fresh = seconds_between(F.col("last_hit"), now) / 86400 <= limit
     said = F.coalesce("last._date", "hit._date")

@@ -32,6 +32,7 @@ def local_session(cpus: int | str = 8, name: str = "offerlake") -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
              .config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")      # a checkpoint goes with the last table read from it
              .config("spark.sql.shuffle.partitions", "8")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -53,10 +53,17 @@ ITEM = ("title string, link string, pubDate string, description string, guid str
         "`dn:dealType` string, `dn:category` string")
 
 
+ENTRY = "title string, link array<struct<_href: string, _rel: string>>, published string, updated string, summary string, id string, category array<struct<_term: string>>, content string"
+
+
 def src_feed_posts(spark: SparkSession, paths: str | Sequence[str], source: str) -> DataFrame:
-    """A deal site's feed items as posts of one schema. Each site says the price, the seller and the saving its own way."""
-    raw = spark.read.format("xml").schema(ITEM).option("rowTag", "item").load(paths)
+    """A deal site's feed items, RSS or Atom, as posts of one schema. Each site says the price, the seller and the saving its own way."""
     c = F.col
+    raw = spark.read.format("xml").schema(ITEM).option("rowTag", "item").load(paths)
+    entry = spark.read.format("xml").schema(ENTRY).option("rowTag", "entry").load(paths)
+    href = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"], F.get("link", 0)["_href"])
+    raw = raw.unionByName(entry.select("title", href.alias("link"), F.coalesce("published", "updated").alias("pubDate"), c("summary").alias("description"), c("id").alias("guid"),
+                                       F.transform("category", lambda x: x["_term"]).alias("category"), c("content").alias("content:encoded")), allowMissingColumns=True)
     text = fn_clean(plain_page(F.coalesce(F.nullif(c("`content:encoded`"), F.lit("")), c("description"), F.lit(""))))
     when = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), instant(c("pubDate")))
     none, nul = F.lit(None).cast("string"), F.lit(None).cast("double")

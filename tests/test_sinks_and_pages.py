@@ -104,3 +104,13 @@ def test_lists_are_as_old_as_their_page_says(spark):
     got = {r.key: (r.status, r.live) for r in jn_asof_last_good_read(specs, reads, F.lit(datetime(2024, 6, 11))).collect()}
     assert got == {1: ("confirmed", True), 2: ("too old", False), 3: ("the page carries no date", False), 4: ("unreadable", False), 5: ("confirmed", True), 6: ("the page no longer says this", False),
                    7: ("confirmed", True)}
+
+
+def test_atom_entries_are_posts_too(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('''<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>site</title><entry><title>Bolts &amp;amp; nuts $5.00 at Acme</title><link rel="self" href="https://x.com/self"/>
+      <link href="https://x.com/p/1"/><id>g1</id><published>2024-05-01T10:00:00Z</published><summary>Nice &amp;lt;b&amp;gt; ones</summary><category term="Tools"/></entry></feed>''')
+    (tmp_path / "b.xml").write_text('''<?xml version="1.0"?><rss><channel><item><title>Nuts $6.00 at Acme</title><link>https://x.com/p/2</link><pubDate>Wed, 1 May 2024 11:00:00 +0000</pubDate><guid>g2</guid><description>x</description></item></channel></rss>''')
+    got = {r.url: r for r in rd.src_feed_posts(spark, f"file://{tmp_path}", "bensbargains").collect()}
+    assert set(got) == {"https://x.com/p/1", "https://x.com/p/2"}
+    r = got["https://x.com/p/1"]
+    assert (r.title, r.price, r.seller, r.category, str(r.posted_at)[:16]) == ("Bolts & nuts $5.00 at Acme", 5.0, "Acme", "Tools", "2024-05-01 10:00")
