@@ -27,28 +27,39 @@ from offerlake.functions.amounts import bind
 from offerlake.session import cut
 
 from .catalog import query, table
-from .divergence_rules import BLANK, SYMBOLS, taken, total, words
+from .divergence_rules import SYMBOLS, taken, total
 
-# Where the bins of a statistic end; one more bin is above the last.
+# Where the bins of a statistic end, in the order in which `statistics` works them out; one more bin is above the last.
 BINS = {
     "upper": [0.01, 0.03, 0.06, 0.12, 0.3, 0.6], "symbols": [0.0, 0.01, 0.03, 0.08, 0.15], "shouts": [0.0, 0.005, 0.02, 0.06], "distinct": [0.1, 0.3, 0.5, 0.7, 0.85, 0.95],
     "word_length": [2.0, 3.5, 4.5, 5.5, 7.0, 9.0], "size": [10.0, 30.0, 60.0, 120.0, 250.0, 500.0, 1000.0, 3000.0],
 }
 
 
+def tokens(text: Column) -> Column:
+    """Lower-case runs of characters that are neither blank nor a mark that ends a sentence or part of one."""
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?]+"), "")
+
+
 def statistics(text: Column, w: Column) -> Column:
     """The bins of a text, one for each of BINS."""
     n, chars = F.greatest(F.size(w), F.lit(1)).cast("double"), F.greatest(F.length(text), F.lit(1)).cast("double")
-    values = {"upper": taken(text, r"\p{Lu}+") / chars, "symbols": taken(text, SYMBOLS) / chars, "shouts": taken(text, "!+") / chars, "distinct": F.size(F.array_distinct(w)) / n,
-              "word_length": (chars - taken(text, BLANK)) / n, "size": F.size(w).cast("double")}
+    # the text without small letters, digits, blanks and endings is short, and looked at three times
+    marks_of = bind(F.regexp_replace(text, r"[a-z\u00df-\u00ff0-9 \t-\r.,;:]+", ""), lambda rest: F.struct(
+        taken(rest, "[A-Z\u00c0-\u00de]+").alias("upper"), taken(rest, SYMBOLS).alias("symbols"), (F.length(rest) - F.length(F.replace(rest, F.lit("!"), F.lit("")))).alias("shouts")))
+    values = bind(marks_of, lambda m: F.array(m["upper"] / chars, m["symbols"] / chars, m["shouts"] / chars, F.size(F.array_distinct(w)) / n, chars / n - 1, F.size(w).cast("double")))
     above = lambda edges, value: F.size(F.filter(F.lit(edges), lambda e: value > e))
-    return F.array(*[above(edges, values[name]) for name, edges in BINS.items()])
+    # the values are bound first: a lambda works its outer expressions out again for each element
+    return bind(values, lambda vs: F.array(*[above(edges, F.get(vs, F.lit(i))) for i, edges in enumerate(BINS.values())]))
 
 
 def marks(w: Column, markers: list[list[str]]) -> Column:
-    """For each domain: whether the text has none, one, or more of its marker words."""
-    hits = lambda known: F.least(F.size(F.filter(w, lambda x: F.translate(F.lower(x), ".,;:!?", "").isin(known))), F.lit(2)) if known else F.lit(0)
-    return F.array(*[hits(m) for m in markers])
+    """For each domain: whether the text has none, one, or more of its marker words. All are looked up in one pass."""
+    every = sorted({x for m in markers for x in m})
+    if not every:
+        return F.array(*[F.lit(0) for _ in markers])
+    hits = lambda found, known: F.least(F.size(F.filter(found, lambda x: x.isin(known))), F.lit(2)) if known else F.lit(0)
+    return bind(F.array_intersect(w, F.lit(every)), lambda found: F.array(*[hits(found, m) for m in markers]))
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], text: str = "text", doc_id: str = "doc_id", max_rows: int = 20_000, most_markers: int = 200) -> dict:
@@ -58,16 +69,17 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], text: str =
     n = usable.count()
     drawn = usable.where(F.pmod(F.xxhash64("_id", F.lit("mixing")), F.lit(1 << 30)) < min(1.0, max_rows / max(1, n)) * (1 << 30)).limit(max_rows + max_rows // 4)
     rows = cut(docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(drawn), "_id")
-               .select("_domain", "_text", words(F.col("_text")).alias("_words")))
+               .select("_domain", "_text", tokens(F.col("_text")).alias("_words")))
     sizes = {r["_domain"]: r["count"] for r in rows.groupBy("_domain").count().collect()}
     all_rows = sum(sizes.values())
     model = {"domains": domains, "markers": [[] for _ in domains], "prior": [math.log((sizes.get(d, 0) + 1) / (all_rows + len(domains))) for d in domains]}
-    said = rows.select("_domain", F.explode(F.array_distinct(F.transform("_words", lambda x: F.translate(F.lower(x), ".,;:!?", "")))).alias("word"))
+    said = rows.select("_domain", F.explode(F.array_distinct("_words")).alias("word"))
     each = said.groupBy("word").agg(*[F.sum(F.when(F.col("_domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains)])
+    each = cut(each.where(sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0)) >= 5))
     for i, d in enumerate(domains):
         inside, rest = max(1, sizes.get(d, 0)), max(1, all_rows - sizes.get(d, 0))
         others = sum((F.col(f"n{j}") for j in range(len(domains)) if j != i), F.lit(0))
-        found = each.where((F.col(f"n{i}") >= 5) & (F.col(f"n{i}") / inside >= 8.0 * (others + 0.5) / rest) & (F.length("word") > 0)).orderBy(F.desc(f"n{i}"), "word").limit(most_markers).collect()
+        found = each.where((F.col(f"n{i}") >= 5) & (F.col(f"n{i}") / inside >= 8.0 * (others + 0.5) / rest)).orderBy(F.desc(f"n{i}"), "word").limit(most_markers).collect()
         model["markers"][i] = [r.word for r in found]
     seen = rows.select("_domain", F.posexplode(F.concat(statistics(F.col("_text"), F.col("_words")), marks(F.col("_words"), model["markers"])))).groupBy("_domain", "pos", "col").count().collect()
     counts = {(r["_domain"], r["pos"], r["col"]): r["count"] for r in seen}
@@ -88,7 +100,7 @@ def posteriors(text: Column, w: Column, model: dict) -> Column:
 
 def with_posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
-    both = bind(words(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), posteriors(t, w, model).alias("p")))
+    both = bind(tokens(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), posteriors(t, w, model).alias("p")))
     return docs.withColumn("_m", both).withColumns({"n_tokens": F.col("_m.n"), "_p": F.col("_m.p")}).drop("_m")
 
 
