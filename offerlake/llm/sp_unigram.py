@@ -12,8 +12,11 @@ bytes, so decoding gives back every text exactly; repeated rows are encoded alik
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -24,6 +27,8 @@ from pyspark.sql.functions import pandas_udf
 from .catalog import query, table
 
 MARK, MARK_BYTES = "▁", "▁".encode()
+SPACE = b"\xfe"      # stands for the marker in the trie: a byte that UTF-8 does not have, so a marker of the text itself meets no piece
+WIDTH = [1 if b < 0xC0 or b >= 0xF8 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)]
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -91,7 +96,7 @@ def double_array(words: dict[bytes, int]) -> tuple[list[int], list[int], list[in
 def build(vocabulary: dict) -> dict:
     """What the executors need: the trie, the scores and the pieces' bytes. Its size is bounded by the vocabulary."""
     ids, scores = zip(*vocabulary["pieces"].values())
-    base, check, value = double_array({p.encode(): n for n, p in enumerate(vocabulary["pieces"])})
+    base, check, value = double_array({p.encode().replace(MARK_BYTES, SPACE): n for n, p in enumerate(vocabulary["pieces"])})
     table_of = [b""] * vocabulary["size"]
     for p, (i, _) in vocabulary["pieces"].items():
         table_of[i] = p.encode().replace(MARK_BYTES, b" ")
@@ -102,68 +107,68 @@ def build(vocabulary: dict) -> dict:
 
 
 class Encoder:
-    """Encodes and decodes with one built vocabulary; remembers short words, as many as `remembered`."""
+    """Encodes and decodes with one built vocabulary. Short words are remembered in two generations of at most `remembered` words: when
+    the young one is full it becomes the old one, and words met again move to the new one."""
 
-    def __init__(self, built: dict, remembered: int = 400_000):
-        self.built, self.known, self.remembered = built, {}, remembered
+    def __init__(self, built: dict, remembered: int = 150_000):
+        self.built, self.known, self.older, self.remembered = built, {}, {}, remembered
         self.unit = re.compile(r" *[^ ]+| +" if built["by_word"] else r"(?s).+")
 
     def cut(self, unit: str) -> bytes:
         """The ids, as int32 bytes, of the best way through a unit whose spaces stand for markers."""
-        b = self.built
-        base, check, value, scores, unknown = b["base"], b["check"], b["value"], b["scores"], b["unknown"]
-        raw = unit.encode().replace(MARK_BYTES, b"\xff\xff\xff").replace(b" ", MARK_BYTES)  # no piece has the byte ff
-        n = len(raw)
-        best: list = [None] * (n + 1)
-        came: list = [None] * (n + 1)
+        built = self.built
+        base, check, value, scores, unknown, ids = built["base"], built["check"], built["value"], built["scores"], built["unknown"], built["ids"]
+        raw = unit.encode().replace(b" ", SPACE)
+        n, start = len(raw), 0
+        best, came, piece = [-inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        start = 0
         while start < n:
-            first = raw[start]
-            width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 or first == 0xFF else 4
-            here, state, covered = best[start], 0, False
-            for at in range(start, n):
+            here, state, at, end = best[start], 0, start, start + WIDTH[raw[start]]
+            while at < n:
                 to = base[state] + raw[at]
                 if check[to] != state:
                     break
-                state, v = to, value[to]
+                state = to
+                at += 1
+                v = value[to]
                 if v >= 0:
-                    sum_ = here + scores[v]
-                    end = at + 1
-                    if best[end] is None or sum_ > best[end]:
-                        best[end], came[end] = sum_, (start, v)
-                    covered = covered or end - start == width
-            if not covered:
-                end = start + width
-                if best[end] is None or here + unknown > best[end]:
-                    best[end], came[end] = here + unknown, (start, -1)
-            start += width
-        out, end = [], n
+                    if here + scores[v] > best[at]:
+                        best[at], came[at], piece[at] = here + scores[v], start, v
+                    if at == end:
+                        end = 0         # the character has a piece of its own
+            if end and here + unknown > best[end]:
+                best[end], came[end], piece[end] = here + unknown, start, -1
+            start += WIDTH[raw[start]]
+        out, end = array("i"), n
         while end:
-            start, v = came[end]
+            start, v = came[end], piece[end]
             if v >= 0:
-                out.append(b["ids"][v])
+                out.append(ids[v])
             else:
-                piece = raw[start:end]
-                out.extend(b["bytes"][x] for x in reversed(MARK_BYTES if piece == b"\xff\xff\xff" else piece))
+                out.extend(built["bytes"][x] for x in reversed(MARK_BYTES if raw[start:end] == SPACE else raw[start:end]))
             end = start
-        return np.array(out[::-1], dtype=np.int32).tobytes()
+        out.reverse()
+        return out.tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.int32)
-        known, out = self.known, []
-        for unit in self.unit.findall(" " + text):
-            ids = known.get(unit)
+        units = self.unit.findall(" " + text)
+        out = list(map(self.known.get, units))
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = self.cut(unit)
-                if len(unit) <= 32:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    known[unit] = ids
-            out.append(ids)
+                out[i] = self.learned(units[i])
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
+    def learned(self, unit: str) -> bytes:
+        """The ids of a unit that the young generation does not know (any more, or yet)."""
+        ids = self.known.get(unit) or self.older.get(unit) or self.cut(unit)
+        if len(unit) <= 32:
+            if len(self.known) >= self.remembered:
+                self.known, self.older = {}, self.known
+            self.known[unit] = ids
+        return ids
+
     def decode(self, ids) -> str:
         raw = b"".join(map(self.built["table"].__getitem__, ids))
         return raw.removeprefix(b" ").decode("utf-8", "replace")
@@ -193,10 +198,29 @@ def decode(tokens: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULA
     return tokens.withColumn("decoded", joined(F.col(ids)))
 
 
+def encode_and_check(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, at_once: int = 256) -> DataFrame:
+    """`docs` with `token_ids`, and of the text they decode to `decoded_sha256` and `round_trip`, whether it is the text. Both ways are gone
+    in one pass over the rows, and results leave in small batches, so a worker holds little beside its input."""
+    shared = docs.sparkSession.sparkContext.broadcast(build(read_vocabulary(vocabulary)))
+
+    @pandas_udf("token_ids array<int>, decoded_sha256 string, round_trip boolean")
+    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(shared.value)
+
+        def row(given: str | None) -> tuple:
+            ids = encoder.encode(given)
+            decoded = encoder.decode(ids.tolist())
+            return ids, hashlib.sha256(decoded.encode()).hexdigest(), decoded == (given or "")
+        for part in parts:
+            for at in range(0, len(part), at_once):
+                yield pd.DataFrame([row(t) for t in part.iloc[at:at + at_once]], columns=["token_ids", "decoded_sha256", "round_trip"])
+            if not len(part):
+                yield pd.DataFrame({"token_ids": [], "decoded_sha256": [], "round_trip": []})
+    return docs.withColumn("_both", both(F.col(text))).select("*", "_both.*").drop("_both")
+
+
 @query("op6_sentencepiece_unigram")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs))
-    return out.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
-                      (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encode_and_check(docs).select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_sha256", "round_trip")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def test_the_trie_holds_the_pieces_and_nothing_else():
                 return -1
             state = to
         return value[state]
-    words = [p.encode() for p in VOCABULARY["pieces"]]
+    words = [p.encode().replace(S.MARK_BYTES, S.SPACE) for p in VOCABULARY["pieces"]]
     assert all(look(w) == n for n, w in enumerate(words))
     known = set(words)
     assert all(look(w + b"\xe2q") == -1 or w + b"\xe2q" in known for w in words[:3000])
@@ -78,5 +79,9 @@ def test_tables(spark):
     got = S.decode(S.encode(docs)).collect()
     assert [r.decoded for r in got] == ["a text", "", "", "a text", "word " * 50000]
     assert [len(r.token_ids) for r in got[1:3]] == [0, 0]
+    checked = S.encode_and_check(docs).collect()
+    assert [r.token_ids for r in checked] == [r.token_ids for r in got] and all(r.round_trip for r in checked)
+    assert [r.decoded_sha256 for r in checked] == [hashlib.sha256(r.decoded.encode()).hexdigest() for r in got]
+    assert S.encode_and_check(docs.limit(0)).collect() == []
     assert S.decode(S.encode(docs.limit(0))).collect() == []
     assert S.decode(spark.createDataFrame([(None,)], "token_ids array<int>")).first().decoded == ""
