@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm import divergence_rules, quality_gbt, simhash, soft_mixing, sp_unigram
+from offerlake.llm.catalog import bounded_batches
 from offerlake.session import work_path
 
 # Some stages cannot be said in SQL: trained models, fitted rates, classes of links.
@@ -17,6 +18,7 @@ ORACLE_SQL = None
 
 
 def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    bounded_batches(docs.sparkSession)
     names = {c: f"in{i}_{c}" for i, c in enumerate(docs.columns)}
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
 
@@ -60,9 +62,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and whether they decode to its text."""
     rows, names = aside(docs)
-    out = sp_unigram.decode(sp_unigram.encode(rows, text=names["text"]))
-    return out.select(F.col(names["doc_id"]).alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids",
-                      (F.col("decoded") == F.coalesce(F.col(names["text"]), F.lit(""))).alias("round_trip"))
+    out = sp_unigram.encode_and_check(rows, text=names["text"])
+    return out.select(F.col(names["doc_id"]).alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded_sha256", "round_trip")
 
 
 STAGES = [

@@ -19,5 +19,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python workers in batches of at most so many rows, so a worker's memory does not hang on the default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -207,7 +207,8 @@ def near_copies(docs: DataFrame, rows: DataFrame, text: str, at_least: float, sm
     @pandas_udf("array<bigint>")
     def whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([shingle_hashes(t).view(np.int64) for t in part], dtype=object)
+            for at in range(0, len(part), 256):     # results leave in small batches
+                yield pd.Series([shingle_hashes(t).view(np.int64) for t in part.iloc[at:at + 256]], dtype=object)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
     mine = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("_text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
     sets = cut(mine.select("mark", whole(F.col("_text")).alias("set")))
