@@ -98,10 +98,13 @@ def posteriors(text: Column, w: Column, model: dict) -> Column:
     return bind(odds, lambda xs: bind(total(xs), lambda s: F.transform(xs, lambda x: x / s)))
 
 
-def with_posteriors(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+def with_posteriors(docs: DataFrame, model: dict, text: str = "text", moves: list[list[float]] | None = None) -> DataFrame:
+    """`docs` with `n_tokens` and the probabilities `_p`; given the moves of a fit, also with `rate`. All of a text is worked out in one
+    bound expression, since a lambda would work out again for each element what it finds outside."""
     t = F.coalesce(F.col(text), F.lit(""))
-    both = bind(tokens(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), posteriors(t, w, model).alias("p")))
-    return docs.withColumn("_m", both).withColumns({"n_tokens": F.col("_m.n"), "_p": F.col("_m.p")}).drop("_m")
+    rate = lambda p: [rate_of(p, moves).alias("rate")] if moves is not None else []
+    both = bind(tokens(t), lambda w: bind(posteriors(t, w, model), lambda p: F.struct(F.size(w).cast("bigint").alias("n_tokens"), p.alias("_p"), *rate(p))))
+    return docs.withColumn("_m", both).select("*", "_m.*").drop("_m")
 
 
 # ---- the fit -----------------------------------------------------------------------------------------------------------------------
@@ -189,14 +192,12 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     made = {"n_tokens", "rate", "copies", "_p", *(f"p_{x}" for x in DOMAINS)}
     docs = docs.drop(*[c for c in docs.columns if c in made and c not in (text, doc_id)])
     model = learn(docs, labelled_domains(labels), DOMAINS, text, doc_id)
-    given = with_posteriors(docs, model, text)
-    moves, reached = fit_rates(cut(given.select("n_tokens", "_p")), DOMAINS, weights, anchor=anchor)
-    return named(given, moves, doc_id), reached
+    moves, reached = fit_rates(cut(with_posteriors(docs, model, text).select("n_tokens", "_p")), DOMAINS, weights, anchor=anchor)
+    return named(with_posteriors(docs, model, text, moves), doc_id), reached
 
 
-def named(given: DataFrame, moves: list[list[float]], doc_id: str = "doc_id") -> DataFrame:
-    out = given.withColumn("rate", rate_of(F.col("_p"), moves))
-    return out.withColumns({**{f"p_{x}": F.get("_p", F.lit(i)) for i, x in enumerate(DOMAINS)}, "copies": copies(F.col("rate"), F.col(doc_id))}).drop("_p")
+def named(rated: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    return rated.withColumns({**{f"p_{x}": F.get("_p", F.lit(i)) for i, x in enumerate(DOMAINS)}, "copies": copies(F.col("rate"), F.col(doc_id))}).drop("_p")
 
 
 @query("op9_soft_mixing")
@@ -205,4 +206,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, labelled_domains(table(spark, sf_dir, "labels")), DOMAINS)
     members = cut(with_posteriors(docs, model).select("doc_id", "n_tokens", "_p"))
     moves, _ = fit_rates(members, DOMAINS, WEIGHTS, anchor="sound")
-    return named(members, moves)
+    return named(members.withColumn("rate", rate_of(F.col("_p"), moves)))
