@@ -7,7 +7,8 @@ for a histogram are not judged by it. Everything is DataFrame functions inside t
 which are reduced in the tasks first.
 
 Defined results: null text counts as empty; empty and short texts fail the base rules; a null language has no reference of its own but its
-documents are judged against the others; with no reference large enough, the base verdict holds; repeated rows are judged alike and count
+documents are judged against the others; where a document's own language has no reference (too few words of it in the table), or none has, the
+base verdict holds and the distances are null, so a rare language is not measured against foreign words; repeated rows are judged alike and count
 as often as they occur; extra columns, also of the names made here, are ignored and, in `judge`, kept unless replaced.
 """
 
@@ -148,22 +149,23 @@ def farness(char_distance: float | None, word_distance: float | None, n_words: i
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_chars: tuple[float, float] = MAX_CHARS, max_words: tuple[float, float] = MAX_WORDS, min_chars: int = 200, min_words: int = 50,
           refs: list[dict] | None = None) -> DataFrame:
     """`docs` with the base counts, `base_failed`, `char_distance` and `word_distance` (to the reference nearest in both; null where the
-    text has fewer than `min_chars` characters or `min_words` words of letters) and `kept`."""
+    text has fewer than `min_chars` characters or `min_words` words of letters, or its language has no reference) and `kept`."""
     if refs is None:
         refs = references(docs, text, lang)
     t = F.coalesce(F.col(text), F.lit(""))
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    out = docs.drop(*[c for c in docs.columns if c in made and c != text]).withColumn("_base", bind(t, base_rules))
+    judged = F.col(lang).isNull() | F.col(lang).cast("string").isin([r["lang"] for r in refs])
+    out = docs.withColumn("_judged", judged).drop(*[c for c in docs.columns if c in made and c != text]).withColumn("_base", bind(t, base_rules))
     if refs:
         allowed = lambda limit, n: limit[0] + limit[1] / F.sqrt(F.greatest(n, F.lit(1)))
         far = lambda cs, vs, n: F.transform(F.sequence(F.lit(0), F.lit(len(refs) - 1)), lambda i: F.struct(
             F.greatest(F.coalesce(F.get(cs, i), F.lit(0.0)) / allowed(max_chars, n), F.coalesce(F.get(vs, i), F.lit(0.0)) / allowed(max_words, n)).alias("far"), F.get(cs, i).alias("c"), F.get(vs, i).alias("v")))
         both = bind(plain_words(t), lambda w: F.struct(F.size(w).alias("n"), F.when(F.size(w) >= min_words, word_distances(w, refs)).alias("v"), F.when(F.length(t) >= min_chars, char_distances(t, refs)).alias("c")))
         near = bind(both, lambda x: F.array_min(far(x["c"], x["v"], x["n"])))
-        out = out.withColumn("_near", F.when(~F.col("_base.base_failed"), near))
+        out = out.withColumn("_near", F.when(~F.col("_base.base_failed") & F.col("_judged"), near))
     else:
         out = out.withColumn("_near", F.lit(None).cast("struct<far:double,c:double,v:double>"))
-    return out.select(*[c for c in out.columns if c not in ("_base", "_near")], "_base.*", F.col("_near.c").alias("char_distance"), F.col("_near.v").alias("word_distance"),
+    return out.select(*[c for c in out.columns if c not in ("_base", "_near", "_judged")], "_base.*", F.col("_near.c").alias("char_distance"), F.col("_near.v").alias("word_distance"),
                       (~F.col("_base.base_failed") & (F.coalesce(F.col("_near.far"), F.lit(0.0)) <= 1.0)).alias("kept"))
 
 

@@ -72,3 +72,18 @@ def test_empty_and_unreferenced(spark):
     r = D.judge(docs).first()
     assert (r.n_words, r.base_failed, r.kept, r.char_distance) == (0, True, False, None)
     assert D.judge(docs.limit(0)).collect() == []
+
+
+def test_a_rare_language_keeps_the_base_verdict(spark):
+    rnd = random.Random(9)
+    common = {"en": ["the", "of", "and", "to"], "de": ["der", "die", "und", "für"], "fi": ["ja", "on", "ei", "se"]}
+    text = lambda lang, n: " ".join(rnd.choice(common[lang]) if rnd.random() < 0.4 else "".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    rows = [(i, lang, text(lang, 150)) for i, lang in enumerate(["en", "de"] * 30)]
+    rows += [(100, "fi", text("fi", 300)), (101, "fi", "ja " * 100), (102, "en", text("fi", 300))]
+    got = {r.doc_id: r for r in D.judge(spark.createDataFrame(rows, "doc_id bigint, lang string, text string")).collect()}
+    assert all(got[i].kept for i in [*range(60), 100])
+    assert (got[100].char_distance, got[100].word_distance) == (None, None)
+    assert not got[101].kept and not got[102].kept      # the base rules hold for it too, and a language with a reference is still judged
+    many = [*rows, *((200 + i, "fi", text("fi", 300)) for i in range(10))]
+    later = {r.doc_id: r for r in D.judge(spark.createDataFrame(many, "doc_id bigint, lang string, text string")).collect()}
+    assert later[100].kept and later[100].word_distance is not None
