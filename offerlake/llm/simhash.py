@@ -192,29 +192,87 @@ def marks_of(text: Column, shingle: int, with_bands: bool) -> Column:
 
 
 def near_copies(docs: DataFrame, rows: DataFrame, text: str, at_least: float, small: int = 12) -> DataFrame:
-    """Links (a, b) between the marks of texts that share at least `at_least` of their five-word shingles. `rows` has mark and bands.
+    """Links (a, b) between the marks of texts that share at least `at_least` of their five-word shingles, enough to connect all such texts
+    that meet in a band. `rows` has mark and bands. Every link is a true one.
 
-    Copies of a text are one mark. In a band, up to `small` marks of one key are paired; of more, each is paired with the least, so a large
-    group of near copies makes as many pairs as it has members, and members that fail against one band's least mark have the
-    other bands. Only texts in a pair are read again for the check."""
+    Copies of a text are one mark. In a band, up to `small` marks of one key are paired. Of more, each is first paired with a head: the mark
+    that meets the most others over all bands, which is the original where the rest are its edited copies. Marks that are not connected
+    to the largest class of their key then try a head of their own, for as long as that settles half of them; marks of keys that still
+    hold several classes are joined exactly (`across`). Only texts in a pair are read again for the check."""
     keyed = rows.dropDuplicates(["mark"]).select("mark", F.posexplode("bands").alias("band", "key"))
-    sizes = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("mark").alias("head")).where("n > 1"))
+    sizes = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(sizes, ["band", "key"])
     few = met.where(F.col("n") <= small).groupBy("band", "key").agg(F.sort_array(F.collect_list("mark")).alias("all"))
     pairs = few.select(F.inline(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, small), lambda b: F.struct(a.alias("a"), b.alias("b")))))))
-    pairs = cut(pairs.unionByName(met.where((F.col("n") > small) & (F.col("mark") > F.col("head"))).select(F.col("head").alias("a"), F.col("mark").alias("b"))).distinct())
+    weights = met.groupBy("mark").agg(F.sum("n").alias("weight"))
+    crowded = cut(met.where(F.col("n") > small).join(weights, "mark").select("band", "key", "mark", "weight"))
+
+    def headed(group: DataFrame) -> DataFrame:
+        """Each mark of a key with its key's head."""
+        heads = group.groupBy("band", "key").agg(F.max(F.struct("weight", "mark"))["mark"].alias("head"))
+        return group.join(heads, ["band", "key"]).where("mark <> head").select(F.least("head", "mark").alias("a"), F.greatest("head", "mark").alias("b"))
 
     @pandas_udf("array<bigint>")
     def whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             for at in range(0, len(part), 256):     # results leave in small batches
                 yield pd.Series([shingle_hashes(t).view(np.int64) for t in part.iloc[at:at + 256]], dtype=object)
+    pairs = cut(pairs.unionByName(headed(crowded)).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
     mine = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("_text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
-    sets = cut(mine.select("mark", whole(F.col("_text")).alias("set")))
-    both = pairs.join(sets.select(F.col("mark").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("mark").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= at_least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    sets = cut(mine.select("mark", whole(F.col("_text")).alias("set")))     # every mark of a crowded key is in a pair with its head
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("mark").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("mark").alias("b"), F.col("set").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= at_least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    found = cut(alike(pairs))
+    if crowded.isEmpty():
+        return found
+    left, before = crowded.select("band", "key", "mark", "weight"), None
+    while True:
+        # the marks of keys with more than one class; `root` is a mark's class
+        left = left.join(components(found).withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+        parts = left.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("band", "key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+        left = cut(left.join(largest.drop("classes"), ["band", "key"]))
+        apart = left.where("root <> largest")
+        now = apart.count()
+        if not now:
+            return found
+        if before is not None and 2 * now > before:
+            return found.unionByName(alike(across(left.select("mark", "root").distinct(), sets, at_least)))
+        before = now
+        found = cut(found.unionByName(alike(headed(apart).distinct())).distinct())
+        left = left.select("band", "key", "mark", "weight")
+
+
+def across(open_: DataFrame, sets: DataFrame, at_least: float, some: int = 48) -> DataFrame:
+    """Pairs (a, b) of marks with different `root`, among them all that share `at_least` of their sets.
+
+    Two sets that share so much have an element in common among the first of each, in any one order of the elements (prefix filter); the order
+    is rarest first, so the first are seldom shared by chance. An element with many marks is dealt out in blocks of about `some` marks, and
+    each two blocks meet in a group of their own, so no group grows. Sizes and places that rule a pair out are looked at before it is made."""
+    slack = 1e-6
+    each = open_.join(sets, "mark").select("mark", "root", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = each.join(often, "s").groupBy("mark", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    # elements that no other set has come first and take up places
+    first = F.floor(F.col("n") - at_least * F.col("n") + slack).cast("int") + 1 - (F.col("n") - F.size("all"))
+    lone = F.col("n") - F.size("all")
+    begun = cut(ordered.where(first > 0).select("mark", "root", "n", lone.alias("lone"), F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "e"))
+                .select("mark", "root", "n", (F.col("lone") + F.col("at")).alias("at"), "e.s"))
+    many = begun.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("s", F.ceil(F.col("c") / some).alias("c"))
+    dealt = begun.join(many, "s").withColumn("mine", F.pmod(F.xxhash64("mark", "s"), F.col("c"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)))
+    met = (dealt.groupBy("s", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+           .agg(F.sort_array(F.collect_list(F.struct("mark", "root", "n", "at", "mine"))).alias("all")))
+    rest = lambda x: x["n"] - x["at"]
+    may = lambda a, b: ((a["root"] != b["root"]) & ((F.col("lo") == F.col("hi")) | (a["mine"] != b["mine"]))
+                        & (F.least(a["n"], b["n"]) + slack >= at_least * F.greatest(a["n"], b["n"]))
+                        & (F.least(rest(a), rest(b)) + slack >= at_least / (1 + at_least) * (a["n"] + b["n"])))
+    pair = F.transform("all", lambda a, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda b: may(a, b)), lambda b: F.struct(a["mark"].alias("a"), b["mark"].alias("b"))))
+    return met.where(F.size("all") > 1).select(F.inline(F.flatten(pair))).distinct()
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bits: int = 2, blocks: int = 4, at_least: float | None = 0.8) -> DataFrame:

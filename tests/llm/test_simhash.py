@@ -113,3 +113,46 @@ def test_near_copies_go_too(spark):
                 root[max(ra, rb)] = min(ra, rb)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in S.one_of_each(docs).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_crowded_bands_lose_no_class(spark):
+    """An original with copies that are like it but not like each other, and sources that share a passage: all in one band key."""
+    rnd = random.Random(12)
+    words = lambda n: [f"v{rnd.randrange(9000)}" for _ in range(n)]
+
+    def edited(t, at):
+        t = t[:]
+        for i in at:
+            t[i] = f"e{rnd.randrange(10**6)}"
+        return t
+    hub = words(200)
+    hub_and_edits = [hub] + [edited(hub, rnd.sample(range(10, 190), 3)) for _ in range(80)]
+    chain = [words(120)]
+    for i in range(25):                     # each like the one before it only
+        chain.append(edited(chain[-1], [5 + (20 * i + k * 7) % 110 for k in range(2)]))
+    passage = words(130)
+    sources = []
+    for _ in range(30):
+        one = passage + words(40)
+        sources += [one, edited(one, [150])] if rnd.random() < 0.5 else [one]
+    for texts, small in ((hub_and_edits, 12), (hub_and_edits[1:] + hub_and_edits[:1] + chain + sources, 12), (sources, 3)):
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.array(F.lit(1).cast("bigint")).alias("bands"))
+        mark = {r.doc_id: r.mark for r in rows.collect()}
+        sets = {mark[i]: {tuple(t[j:j + 5]) for j in range(len(t) - 4)} for i, t in enumerate(texts)}
+        like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        edges = S.near_copies(docs, rows, "text", 0.8, small).collect()
+        assert all(like(e.a, e.b) for e in edges)
+
+        def classes(links):
+            root = {m: m for m in sets}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+            for a, b in links:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+            return {m: find(m) for m in sets}
+        assert classes((e.a, e.b) for e in edges) == classes((a, b) for a in sets for b in sets if a < b and like(a, b))
