@@ -3,7 +3,9 @@
 A page is read into a tree: tags that may be left out are implied (an open `p` ends where a block begins, `li`, `dt`, `tr`, `td`, `option` end
 at the next of their kind), void elements take no children, stray end tags are passed over, what is open at the end is closed. What a
 browser would not show is left out: scripts, styles, the head, templates, fallback content, `hidden`, inline styles and simple rules (a tag, a class or an id)
-of the page's own style sheets that hide, closed details and dialogs. All other text is written in order: blocks on lines of their own,
+of the page's own style sheets that hide, closed details and dialogs. Rules count as they do on a screen: what is in a comment, for print or
+under a condition (a width, @supports, nesting) hides nothing, and of the rules for an element the strongest decides, the later of
+equals. All other text is written in order, formulas and the labels of drawings inline: blocks on lines of their own,
 paragraphs and headings with an empty line around them, list items with their marker or number and indented by depth, `pre` as it is,
 table cells in columns. A column is as wide as its widest cell up to `WIDE` characters, so padding stays in proportion to the text.
 
@@ -29,7 +31,15 @@ from .catalog import query, table
 WIDE = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("script style title head template iframe noembed noframes noscript datalist audio video canvas object svg math param rp".split())
+UNSEEN = frozenset("script style title head template iframe noembed noframes noscript datalist audio video canvas object param rp annotation annotation-xml mphantom".split())
+# Of a drawing only labels and pages set in it are text; what these tags hold is drawn elsewhere or not at all.
+LABELS = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+# Parts of a formula that do not touch.
+SIDE_BY_SIDE = frozenset("mfrac mtable mtr mlabeledtr".split())
+# A start tag that ends a drawing or formula left open, unless a part that may hold pages stands between.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_PAGE = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu dir".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address form fieldset legend li dt dd figcaption details summary dialog hr center hgroup search optgroup option caption listing xmp".split())
 ENDS_P = BLOCK - frozenset("html body li dt dd legend figcaption caption option optgroup summary".split()) | {"table", "summary"}
@@ -43,8 +53,12 @@ IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 SCOPES = frozenset("table td th caption button object template html applet marquee".split())
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+HIDES = {"display": {"none"}, "visibility": {"hidden", "collapse"}, "content-visibility": {"hidden"}}
+HIDING = re.compile("display|visibility", re.I)
+CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|<!--|-->", re.S)
+SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?!all\b|screen\b)[\w-]+|", re.I)
+AT_RULE = re.compile(r"@([\w-]+)")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 SIMPLE = re.compile(r"[.#]?-?[A-Za-z_][\w-]*")
 
 
@@ -62,9 +76,60 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """The tree, and the simple selectors that the page's style sheets hide."""
-    root, hidden, at, end = Node("html"), set(), 0, len(page)
+def for_screen(media: str) -> bool:
+    """Whether a media query holds on every screen."""
+    return any(SCREEN.fullmatch(q.strip()) for q in media.split(","))
+
+
+def declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """Of each property in HIDES: whether it is important, and whether it hides."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for one in body.split(";"):
+        name, _, value = one.partition(":")
+        name, (value, _, mark) = name.strip().lower(), value.lower().partition("!")
+        if name in HIDES and value.strip():
+            important = mark.strip() == "important"
+            if important or not out.get(name, (False,))[0]:
+                out[name] = (important, value.strip() in HIDES[name])
+    return out
+
+
+def read_rules(css: str, rules: dict[str, dict[str, tuple]], offset: int) -> None:
+    """Adds the simple rules of a style sheet that stands at `offset` of its page. For each selector and property: its weight (importance, not inline, layer, kind of selector,
+    place) and whether it hides."""
+    css = CSS_NOISE.sub(lambda m: '""' if m[1] else " ", css)
+    at, open_ = 0, []       # of each open block: its selectors (None for a group of rules), whether its rules count, in a layer, its declarations
+    for found in re.finditer(r"[{};]", css + "}" * css.count("{")):
+        said, at, mark = css[at:found.start()].strip(), found.end(), found[0]
+        if mark == "{":
+            group, counts, layered = (None, True, False) if not open_ else open_[-1][:3]
+            counts = counts and group is None
+            if rule := AT_RULE.match(said):
+                kind = rule[1].lower()
+                counts = counts and (kind == "layer" or kind == "media" and for_screen(said[rule.end():]))
+                open_.append((None, counts, layered or kind == "layer", []))
+            else:
+                open_.append((said, counts, layered, []))
+            continue
+        if open_ and open_[-1][0] is not None:
+            open_[-1][3].append(said)
+        if mark == "}" and open_:
+            selectors, counts, layered, body = open_.pop()
+            values = declared(";".join(body)) if selectors and counts else {}
+            for one in selectors.split(",") if values else ():
+                one = one.strip()
+                if SIMPLE.fullmatch(one):
+                    kind = {"#": 2, ".": 1}.get(one[0], 0)
+                    mine = rules.setdefault(one if kind else one.lower(), {})
+                    for name, (important, hides) in values.items():
+                        weight = (important, False, important == layered, kind, offset + found.start())
+                        if name not in mine or weight >= mine[name][0]:
+                            mine[name] = (weight, hides)
+
+
+def parse(page: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
+    """The tree, and what the page's style sheets say about simple selectors."""
+    root, hidden, at, end = Node("html"), {}, 0, len(page)
     stack = [root]
     open_: dict[str, int] = {"html": 1}
 
@@ -91,7 +156,10 @@ def parse(page: str) -> tuple[Node, set[str]]:
         if not found:
             break
         at = found.end()
-        if found[1]:
+        foreign = open_.get("svg") or open_.get("math")
+        if foreign and found[0].startswith("<![CDATA["):
+            stack[-1].kids.append(found[0][9:].removesuffix("]]>"))
+        elif found[1]:
             tag = found[1].lower()
             if tag == "br":
                 stack[-1].kids.append(Node("br"))
@@ -103,6 +171,13 @@ def parse(page: str) -> tuple[Node, set[str]]:
             tag = found[2].lower()
             if tag in ("html", "body"):
                 continue
+            if foreign and tag in ENDS_FOREIGN:
+                while open_.get("svg") or open_.get("math"):
+                    before = len(stack)
+                    close({"svg", "math"}, HOLDS_PAGE)
+                    if len(stack) == before:
+                        break
+                foreign = open_.get("svg") or open_.get("math")
             if tag in ENDS_P:
                 close({"p"}, SCOPES)
             if tag[0] == "h" and tag[1:].isdigit():
@@ -118,14 +193,15 @@ def parse(page: str) -> tuple[Node, set[str]]:
                 pop_to(len(stack) - 1)
             node = Node(tag, found[3] or "")
             stack[-1].kids.append(node)
+            if (foreign or tag in ("svg", "math")) and SELF_CLOSED.search(node.attrs):
+                continue
             if tag in RAW:
                 close_at = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
                 inner = page[at:close_at.start() if close_at else end]
                 at = close_at.end() if close_at else end
                 if tag == "style":
-                    for selectors, body in RULE.findall(inner):
-                        if HIDES.search(body):
-                            hidden.update(s.strip() for s in selectors.split(",") if SIMPLE.fullmatch(s.strip()))
+                    if HIDING.search(inner) and for_screen(attributes(node.attrs).get("media", "")):
+                        read_rules(inner, hidden, start)
                 else:
                     node.kids.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
             elif tag not in VOID:
@@ -134,14 +210,27 @@ def parse(page: str) -> tuple[Node, set[str]]:
     return root, hidden
 
 
-def is_hidden(node: Node, hidden: set[str]) -> bool:
-    if node.tag in UNSEEN or node.tag in hidden:
+def is_hidden(node: Node, hidden: dict[str, dict[str, tuple]], drawn: bool) -> bool:
+    """`drawn`: the node is in a drawing, where other tags hold no text and attributes may hide."""
+    if node.tag in UNSEEN or drawn and node.tag in UNDRAWN:
+        return True
+    lower = node.attrs.lower()
+    named = node.attrs and (hidden or drawn or "hidden" in lower or "style" in lower)
+    if not (hidden or named or node.tag == "dialog"):
+        return False
+    attrs = attributes(node.attrs)
+    if named and ("hidden" in attrs or node.tag == "input") or node.tag == "dialog" and "open" not in attrs:
         return True
-    if node.tag == "dialog" or node.attrs and (hidden or "hidden" in node.attrs.lower() or "style" in node.attrs.lower()):
-        attrs = attributes(node.attrs)
-        return ("hidden" in attrs or bool(HIDES.search(attrs.get("style", ""))) or node.tag == "input" or node.tag == "dialog" and "open" not in attrs
-                or bool(hidden) and (f"#{attrs.get('id', '')}" in hidden or any(f".{c}" in hidden for c in attrs.get("class", "").split())))
-    return False
+    best: dict[str, tuple] = {}
+    if drawn:
+        best = {name: ((False,), attrs[name].strip().lower() in HIDES[name]) for name in ("display", "visibility") if name in attrs}
+    if hidden:
+        for selector in (node.tag, f"#{attrs.get('id', '')}", *(f".{c}" for c in attrs.get("class", "").split())):
+            for name, rule in hidden.get(selector, {}).items():
+                best[name] = max(best.get(name, rule), rule)
+    for name, (important, hides) in declared(attrs.get("style", "")).items():
+        best[name] = max(best.get(name, ((False,), False)), ((important, True), hides))
+    return any(hides for _, hides in best.values())
 
 
 class Writer:
@@ -242,23 +331,28 @@ def render(page: str | None) -> str | None:
         return None
     root, hidden = parse(page)
     writers, tables, lists, pre = [Writer()], [], [], 0
+    drawn: list[str] = []       # the open drawings, and the labels and pages in them
     todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, enter = todo.pop()
         out = writers[-1]
         if isinstance(node, str):
-            out.verbatim(node) if pre else out.text(node)
+            if not drawn or drawn[-1] != "svg":
+                out.verbatim(node) if pre else out.text(node)
             continue
         tag = node.tag
         if enter:
-            if is_hidden(node, hidden):
+            if is_hidden(node, hidden, bool(drawn) and drawn[-1] != "foreignobject"):
                 continue
             if tag == "br":
                 out.gap, out.space = out.gap + 1 if not out.empty else 0, False
                 continue
             if tag in BLOCK:
                 out.block(2 if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists) else 1)
-            if tag == "table":
+            if tag == "svg" or tag in LABELS and drawn:
+                drawn.append(tag)
+                out.space = out.space or tag != "svg"
+            elif tag == "table":
                 tables.append(Table())
             elif tag == "tr" and tables:
                 tables[-1].row()
@@ -283,6 +377,8 @@ def render(page: str | None) -> str | None:
             kids = node.kids
             if tag == "details" and "open" not in attributes(node.attrs):
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
+            if tag in SIDE_BY_SIDE:
+                kids = [x for k in kids for x in (" ", k)]
             todo.extend((k, True) for k in reversed(kids))
             continue
         if tag in ("td", "th") and tables or tag == "caption":
@@ -309,6 +405,9 @@ def render(page: str | None) -> str | None:
             out.indent.pop()
         elif tag in ("pre", "listing", "xmp", "textarea"):
             pre -= 1
+        elif tag == "svg" or tag in LABELS and drawn:
+            drawn.pop()
+            out.space = out.space or tag != "svg"
         if tag in BLOCK:
             out.block(2 if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists) else 1)
     return writers[0].result()

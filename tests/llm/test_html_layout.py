@@ -58,3 +58,30 @@ def test_table_with_other_columns(spark):
     pages = spark.createDataFrame([(1, "<p>x", "old"), (1, "<p>x", "old"), (2, None, None)], "page_id bigint, html string, text string")
     assert [(r.page_id, r.text) for r in H.extract(pages).collect()] == [(1, "x"), (1, "x"), (2, None)]
     assert H.extract(pages.limit(0)).collect() == []
+
+
+SEEN = [
+    ("<style>@media print { nav, .note { display: none } } @media (max-width:600px){.price{display:none}} @supports (display: grid) {em{display:none}}</style>"
+     "<nav>n</nav><p class=note>o</p><p class=price>p<em>e</em>", "n\n\no\n\npe"),
+    ("<style>@media screen, print { .a { display: none } } @layer x { .b { display: none } } @media\nall{.c{visibility:hidden}}</style><i class=a>1</i><i class=b>2</i><i class=c>3</i>4", "4"),
+    ("<style>@media screen and (min-width: 9px) { .a { display: none } .b { color: red } } .c { display: none }</style><i class=a>1</i><i class=b>2</i><i class=c>3</i>", "12"),
+    ("<style media=print>.a{display:none}</style><style media='screen'>.b{display:none}</style><i class=a>1</i><i class=b>2</i>", "1"),
+    ("<style>/* .a{display:none} */ .b{color:red/*}.a{display:none*/} .c{content:'}.a{display:none}'}</style><i class=a>1</i><i class=b>2</i>", "12"),
+    ("<style>.a{display:none} .a{display:block}</style><i class=a>1</i>", "1"),
+    ("<style>.a{display:block} .a{display:none}</style><i class=a>1</i>2", "2"),
+    ("<style>.a{display:none}</style><style>.b{display:inline}</style><i class='b a'>1</i>", "1"),
+    ("<style>#x{display:block} .a{display:none}</style><i id=x class=a>1</i><i class=a>2</i>", "1"),
+    ("<style>.a{display:none!important} #x{display:block}</style><i id=x class=a>1</i>2", "2"),
+    ("<style>.a{display:none}</style><i class=a style='display:inline'>1</i><i class=a style='color:red'>2</i>", "1"),
+    ("<style>.m{color:red;.a{display:none}} @keyframes k{from{display:none}} I{visibility:hidden} .open{display:none</style><b class=a>1</b><i>2</i><b class=open>3</b>", "1"),
+    ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/></math> holds", "so x= 1 2 holds"),
+    ("<math><semantics><mi>x</mi><annotation>tex</annotation></semantics></math>", "x"),
+    ("a<svg><title>t</title><defs><text>d</text></defs><path d='M0'/><text x=1>Jan <tspan>1</tspan></text><text>Feb</text><g display=none><text>no</text></g>stray</svg>b", "a Jan 1 Feb b"),
+    ("<svg><foreignObject><p>in</p></foreignObject><style>.h{display:none}</style><text class=h>x</text></svg><i>out</i>", "in\n\nout"),
+    ("a<svg/>b<svg><path d='M0'><p>c", "ab\n\nc"),
+]
+
+
+@pytest.mark.parametrize("page, text", SEEN)
+def test_what_a_screen_shows_comes_out(page, text):
+    assert H.render(page) == text
