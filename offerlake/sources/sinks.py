@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def latest(stored: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Rows of both, the new one where a key is in both; of several new ones the last by `order`, and of those that tie the greatest by
@@ -46,23 +48,54 @@ def snk_label_upsert(stored: DataFrame, new: DataFrame, now: Column, days: int =
     return after, added
 
 
+def follow(roots: DataFrame, steps: DataFrame, on: Sequence[str], to: str) -> DataFrame:
+    """All nodes that can be reached from `roots` (columns `on`) by `steps`, which lead from the node `on` to the node whose last column is
+    `to` instead. A step is doubled each round, so a path takes as many rounds as the logarithm of its length; each round is checkpointed."""
+    *group, node = on
+    reached, jump = cut(roots.select(*on).distinct()), cut(steps.select(*on, to))
+    while not jump.isEmpty():
+        ahead = reached.join(jump, list(on)).select(*group, F.col(to).alias(node))
+        reached = cut(reached.unionByName(ahead).distinct())
+        second = jump.select(*group, F.col(node).alias(to), F.col(to).alias("_far"))
+        jump = cut(jump.join(second, [*group, to]).select(*on, F.col("_far").alias(to)))
+    return reached
+
+
 def snk_read_log(stored: DataFrame, new: DataFrame, gap_s: int = 3600) -> DataFrame:
     """The new reads worth keeping, with all their columns: a read is left out if the last read kept has the same result and is less than
-    `gap_s` before it. Needs key, checked_at, found.
-
-    A read after a gap of `gap_s` or with another result than the one before it is always kept, so a key's reads fall into pieces that
-    start with a kept read; a piece is settled by a walk over its times that carries the last one kept. The last stored read of a key opens
-    its first piece. Reads of one key and time count once."""
-    t = F.unix_micros("checked_at")
-    last = stored.groupBy("key").agg(F.max(F.struct("checked_at", "found")).alias("l")).select("key", "l.checked_at", "l.found", F.lit(True).alias("_old"))
+    `gap_s` before it. Needs key, checked_at, found. The last stored read of a key is kept already; a new read that is not after it is
+    compared with it alone. Reads of one key and time count once.
+
+    No key is one group. Time is cut into slots as wide as the gap, so what concerns a read lies in its own slot and the next two, which are
+    met by equi-joins on (key, slot). A read with no read within the gap before it, or with another result than that, is always kept. After
+    any other kept read comes the first read a gap later, unless one of those lies between: each read has one successor, and the kept reads are
+    those that can be reached (`follow`)."""
+    gap, t = gap_s * 1_000_000, F.unix_micros("checked_at")
+    last = stored.groupBy("key").agg(F.max(F.struct(t.alias("t"), "found")).alias("l")).select("key", F.col("l.t").alias("_last"), F.col("l.found").alias("_said"))
     rest = [c for c in new.columns if c not in ("key", "checked_at")]
-    once = new.groupBy("key", "checked_at").agg(F.max(F.struct(*rest)).alias("_r"))
-    reads = once.select("key", "checked_at", F.col("_r.found").alias("found"), F.lit(False).alias("_old")).unionByName(last)
-    w = Window.partitionBy("key").orderBy("checked_at", F.desc("_old"))
-    gap = F.lag(t).over(w)
-    opens = gap.isNull() | (t - gap >= gap_s * 1_000_000) | ~F.lag("found").over(w).eqNullSafe(F.col("found"))
-    pieces = reads.withColumn("_t", t).withColumn("_opens", opens).withColumn("_piece", F.sum(F.col("_opens").cast("int")).over(w))
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap_s * 1_000_000), F.concat(acc, F.array(x))).otherwise(acc)
-    kept = (pieces.groupBy("key", "_piece").agg(F.sort_array(F.collect_list("_t")).alias("_ts"), F.max("_old").alias("_had"), F.min("_t").alias("_first"))
-            .select("key", F.explode(F.aggregate("_ts", F.array().cast("array<bigint>"), step)).alias("_t"), "_had", "_first").where(~F.col("_had") | (F.col("_t") > F.col("_first"))))
-    return once.withColumn("_t", t).join(kept.select("key", "_t"), ["key", "_t"]).select("key", "checked_at", "_r.*").select(*new.columns)
+    once = cut(new.groupBy("key", "checked_at").agg(F.max(F.struct(*rest)).alias("_r")).withColumn("t", t).join(last, "key", "left"))
+    late = F.coalesce(F.col("t") <= F.col("_last"), F.lit(False))
+    late_kept = once.where(late & (~F.col("_r.found").eqNullSafe(F.col("_said")) | (F.col("_last") - F.col("t") >= gap)))
+    # the reads after the last stored one, and that one where it can matter
+    after = once.where(~late)
+    old = after.where(F.col("t") - F.col("_last") < gap).select("key", F.col("_last").alias("t"), F.col("_said").alias("found")).distinct()
+    reads = after.select("key", "t", F.col("_r.found").alias("found")).unionByName(old).withColumn("slot", F.floor(F.col("t") / gap))
+    in_slot = Window.partitionBy("key", "slot").orderBy("t")
+    ends = reads.groupBy("key", "slot").agg(F.max(F.struct("t", "found")).alias("_end")).withColumn("slot", F.col("slot") + 1)
+    before = F.coalesce(F.lag(F.struct("t", "found")).over(in_slot), F.col("_end"))
+    opened = reads.join(ends, ["key", "slot"], "left").withColumn("_before", before)
+    reads = cut(opened.select("key", "slot", "t", (F.col("_before").isNull() | (F.col("t") - F.col("_before.t") >= gap) | ~F.col("_before.found").eqNullSafe(F.col("found"))).alias("opens")))
+
+    # the first read, and the first that opens, at or after a time: in the time's slot by a pass from its end, else in the next slots
+    at = lambda slot, time, asks: reads.select("key", slot.alias("slot"), time.alias("at"), F.lit(asks).alias("asks"), "t", F.when(F.lit(asks == 1), F.col("opens")).alias("opens"))
+    rows = at(F.col("slot"), F.col("t"), 0).unionByName(at(F.col("slot"), F.col("t"), 1)).unionByName(at(F.col("slot") + 1, F.col("t") + gap, 2))    # after t; the reads; from t and a gap on
+    from_end = Window.partitionBy("key", "slot").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"_first": F.last(F.when(F.col("asks") == 1, F.col("at")), ignorenulls=True).over(from_end),
+                             "_open": F.last(F.when(F.col("opens"), F.col("at")), ignorenulls=True).over(from_end)}).where("asks <> 1")
+    firsts = reads.groupBy("key", "slot").agg(F.min("t").alias("f"), F.min(F.when(F.col("opens"), F.col("t"))).alias("o"))
+    nth = lambda n: firsts.select("key", (F.col("slot") - n).alias("slot"), F.col("f").alias(f"f{n}"), F.col("o").alias(f"o{n}"))
+    seen = seen.join(nth(1), ["key", "slot"], "left").join(nth(2), ["key", "slot"], "left")
+    by_read = seen.groupBy("key", "t").agg(F.min(F.when(F.col("asks") == 0, F.coalesce("_open", "o1", "o2"))).alias("opening"), F.min(F.when(F.col("asks") == 2, F.coalesce("_first", "f1"))).alias("next"))
+    steps = by_read.where("next IS NOT NULL AND (opening IS NULL OR opening > next)").select("key", "t", "next")
+    kept = after.join(follow(reads.where("opens"), steps, ["key", "t"], "next"), ["key", "t"], "left_semi")
+    return kept.unionByName(late_kept).select("key", "checked_at", "_r.*").select(*new.columns)

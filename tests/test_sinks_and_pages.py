@@ -58,6 +58,29 @@ def test_a_day_of_half_hourly_reads_keeps_one_an_hour(spark):
     assert sorted(map(tuple, got)) == slow_log(stored, new, 3600)
 
 
+def test_a_key_with_most_reads_is_many_groups(spark):
+    """A minute apart for weeks, and one key has nearly all reads: paths of kept reads are long, groups are not."""
+    n = 100_000
+    reads = spark.range(n).select(F.lit(7).cast("bigint").alias("key"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).alias("checked_at"), F.lit(True).alias("found"), F.lit("q").alias("quote"))
+    others = spark.range(500).select((F.col("id") % 50).alias("key"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 977).alias("checked_at"), (F.col("id") % 7 > 0).alias("found"), F.lit("q").alias("quote")).where("key <> 7")
+    none = reads.limit(0)
+    got = sk.snk_read_log(none, reads.unionByName(others)).collect()
+    times = sorted(r.checked_at for r in got if r.key == 7)
+    assert len(times) == -(-n // 60) and {(b - a).total_seconds() for a, b in zip(times, times[1:])} == {3600.0}
+    other = sorted(tuple(r) for r in got if r.key != 7)
+    assert other == slow_log([], [tuple(r) for r in others.collect()], 3600)
+
+
+def test_reads_that_come_late_are_compared_with_the_last_stored_one(spark):
+    at = datetime(2024, 1, 1, 12)
+    schema = "key bigint, checked_at timestamp, found boolean"
+    minutes = lambda m: at + timedelta(minutes=m)
+    stored = spark.createDataFrame([(1, at, True)], schema)
+    new = [(1, minutes(-30), True), (1, minutes(-60), True), (1, minutes(-5), False), (1, at, True), (1, at, False), (1, minutes(59), True), (1, minutes(60), True), (2, at, None)]
+    got = {tuple(r) for r in sk.snk_read_log(stored, spark.createDataFrame(new, schema)).collect()}
+    assert got == {(1, minutes(-60), True), (1, minutes(-5), False), (1, minutes(60), True), (2, at, None)}
+
+
 def test_a_product_anywhere_in_a_page_has_its_price(spark):
     ld = lambda body: f'<script type="application/ld+json">{body}</script>'
     pages = [ld('{"@graph":[{"@type":"Person"},{"@type":["Thing","Product"],"offers":[{"price":"12.50"}]}]}'), ld('[{"@type":"Org"},{"a":{"b":[{"@type":"Product","offers":{"lowPrice":7}}]}}]'),
