@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.filters import flt_sale_live
-from ..sources.sinks import latest, snk_label_upsert
+from ..session import cut
+from ..sources.sinks import latest, snk_label_upsert, snk_read_log
+from .buckets import BucketLog
 
 
 def stm_post_dedupe(stream: DataFrame, late: str = "3 days") -> DataFrame:
@@ -25,72 +23,58 @@ def stm_price_windows(stream: DataFrame, width: str = "1 day", slide: str | None
             .agg(F.min("price").alias("lowest"), F.avg("price").alias("average"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), "product", "lowest", "average", "n"))
 
 
-READ_OUT = "key bigint, checked_at timestamp, found boolean"
-
-
-def stm_read_log(stream: DataFrame, gap_s: int = 3600, late: str = "1 day") -> DataFrame:
-    """Reads worth keeping: not within the gap of the last one kept with the same result. A key's reads of one batch are put in order
-    before they are walked; its state is the last read kept, and goes once the watermark is past that read's gap, since what comes then is
-    kept in any case. Needs key (bigint), checked_at, found (not null)."""
-    def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, was = state.get if state.exists else (None, None)
-        batch = pd.concat([*chunks])[["checked_at", "found"]].sort_values(["checked_at", "found"])
-        rows = []
-        for t, found in batch.itertuples(index=False):
-            s = t.timestamp()
-            if at is None or s - at >= gap_s or bool(found) != was:
-                at, was = s, bool(found)
-                rows.append((key[0], t, was))
-        if rows:
-            yield pd.DataFrame(rows, columns=["key", "checked_at", "found"])
-        state.update((at, was))
-        state.setTimeoutTimestamp(max(int((at + gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
-    return (stream.withWatermark("checked_at", late).groupBy("key")
-            .applyInPandasWithState(keep, READ_OUT, "at double, was boolean", "append", GroupStateTimeout.EventTimeTimeout))
-
-
-def _version(path: str, batch: int) -> str:
-    return f"{path}/batch={batch}"
-
-
-def _prune(spark, path: str, batch: int) -> None:
-    """Drop the versions that no retry of `batch` can ask for: a batch reads the one before it."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for f in fs.listStatus(root):
-        name = f.getPath().getName()
-        if name.startswith("batch=") and int(name[6:]) < batch - 1:
-            fs.delete(f.getPath(), True)
-
-
-def stm_label_upsert(stream: DataFrame, path: str, now: Column, days: int = 60):
-    """A writer that upserts each batch of examples into a table of versions: a batch tried again after a failure writes the same
-    version from the one before it. The newest version is the table; two are kept. Needs key, source, words, categories, seen_at."""
+def stm_read_log(stream: DataFrame, path: str, gap_s: int = 3600, buckets: int = 64):
+    """A writer that keeps the reads worth keeping: not within the gap of the last one kept with the same result. The kept reads are at `path`
+    /kept, one folder a batch; the last one of each key is a bucketed table at `path`/last. A batch's reads are settled among themselves and
+    against that table as a stored log is (`snk_read_log`), so no key is one group however many of the batch's reads it has; a read that comes
+    late is compared with the key's last one alone. Needs key, checked_at, found (not null)."""
+    last = BucketLog(stream.sparkSession, f"{path}/last", stream.select("key", "checked_at", "found").schema, ["key"], buckets)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        reads = cut(batch.select("key", "checked_at", "found"))
+        stored = last.table(last.manifest(n)).join(reads.select("key").distinct(), "key", "left_semi")
+        kept = cut(snk_read_log(stored, reads, gap_s))
+        kept.write.mode("overwrite").parquet(f"{path}/kept/batch={n}")
+        newest = lambda df: df.groupBy("key").agg(F.max(F.struct("checked_at", "found")).alias("l")).select("key", "l.*")
+        last.merge(newest(kept), n, lambda old, new: newest(old.unionByName(new)))
+    return stream.writeStream.foreachBatch(keep)
+
+
+def stm_label_upsert(stream: DataFrame, path: str, now: Column, days: int = 60, buckets: int = 64):
+    """A writer that upserts each batch of examples into a bucketed table: a batch rewrites the buckets of its keys, and a batch tried again
+    writes the same. Needs key, source, words, categories, seen_at. `label_table` reads it."""
+    log = BucketLog(stream.sparkSession, path, stream.schema, ["key"], buckets)
+
     def upsert(batch: DataFrame, n: int) -> None:
         one = latest(batch.limit(0), batch, ["key"], ["seen_at"])
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(_version(path, n - 1)) if n > 0 else batch.limit(0)
-        after, _ = snk_label_upsert(stored, one, now, days)
-        after.write.mode("overwrite").parquet(_version(path, n))
-        _prune(batch.sparkSession, path, n)
+        log.merge(one, n, lambda stored, new: snk_label_upsert(stored, new, now, days)[0])
     return stream.writeStream.foreachBatch(upsert)
 
 
-def stm_live_set(stream: DataFrame, path: str, now: Column):
-    """A writer that keeps the table of sales live at `now`. A post that comes again, in the same batch or a later one, replaces what was
-    known of it, so a corrected end counts; of several in a batch the last posted. Needs id, posted_at, starts_at, ends_at."""
+def label_table(log: BucketLog, now: Column, days: int = 60) -> DataFrame:
+    """The examples of a bucketed table seen in the last `days`; what a bucket holds beyond that goes when the bucket is next written."""
+    return log.table().where(F.col("seen_at") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def stm_live_set(stream: DataFrame, path: str, now: Column, buckets: int = 64):
+    """A writer that keeps the table of sales live at `now`, bucketed by id. A post that comes again, in the same batch or a later one, replaces
+    what was known of it, so a corrected end counts; of several in a batch the last posted. `live_table` reads it at a
+    later moment. Needs id, posted_at, starts_at, ends_at."""
+    log = BucketLog(stream.sparkSession, path, stream.schema, ["id"], buckets)
+
     def merge(batch: DataFrame, n: int) -> None:
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(_version(path, n - 1)) if n > 0 else batch.limit(0)
-        live = flt_sale_live(latest(stored, batch, ["id"], ["posted_at"]).select(*batch.columns), now).where("reason IS NULL").drop("reason")
-        live.write.mode("overwrite").parquet(_version(path, n))
-        _prune(batch.sparkSession, path, n)
+        live = lambda df: flt_sale_live(df, now).where("reason IS NULL").drop("reason")
+        log.merge(batch, n, lambda stored, new: live(latest(stored, new, ["id"], ["posted_at"])))
     return stream.writeStream.foreachBatch(merge)
 
 
+def live_table(log: BucketLog, now: Column) -> DataFrame:
+    """The sales of a bucketed table that are live at `now`."""
+    return flt_sale_live(log.table(), now).where("reason IS NULL").drop("reason")
+
+
 def stm_activity_sessions(stream: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """A key's reads grouped in bursts. Needs key, checked_at."""
+    """A key's reads grouped in bursts, given out once a burst is over: in append mode a burst leaves the state, and comes out, when the
+    watermark has passed its end. A read that comes later than that is dropped. Needs key, checked_at."""
     return (stream.withWatermark("checked_at", late).groupBy(F.session_window("checked_at", gap).alias("s"), "key").agg(F.count("*").alias("reads"))
             .select("key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "reads"))
