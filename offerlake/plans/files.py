@@ -213,15 +213,21 @@ def _(t: Tables):
 
 
 @query("src_roundup_lists", """
-    SELECT section, day, brand, count(*) AS n FROM (SELECT 'limited' AS section, (page_id % 5)::INTEGER AS day, 'Chain & Co ' || page_id % 10 AS brand FROM pages UNION ALL SELECT 'every', (page_id % 5)::INTEGER, 'Grill ' || page_id % 10 FROM pages
-      UNION ALL SELECT 'weekend', unnest([5, 6]), 'Diner' FROM pages UNION ALL SELECT 'weekend', 6, 'Bistro' FROM pages) GROUP BY ALL""")
+    SELECT section, day, brand, text, context, link, count(*) AS n FROM (SELECT 'limited' AS section, (page_id % 5)::INTEGER AS day, 'Chain & Co ' || page_id % 10 AS brand, 'Buy one get one free wings today' AS text, '' AS context, 'https://chain.com/a' AS link FROM pages
+      UNION ALL SELECT 'every', (page_id % 5)::INTEGER, 'Grill ' || page_id % 10, 'kids eat free with an adult meal', '', '' FROM pages
+      UNION ALL SELECT 'weekend', unnest([5, 6]), 'Diner', 'half price brunch for the table', '', '' FROM pages UNION ALL SELECT 'weekend', 6, 'Bistro', 'half price brunch on Sundays only', '', '' FROM pages
+      UNION ALL SELECT 'every', (page_id % 5)::INTEGER, 'Pub ' || page_id % 10, 'Get wings for $8 on ' || dayname || '. Dine-in only. You must mention the deal.', 'The pub has many deals.', 'https://pub.com' FROM (SELECT page_id, (['Mondays', 'Tuesdays', 'Wednesdays', 'Thursdays', 'Fridays'])[page_id % 5 + 1] AS dayname FROM pages)
+      UNION ALL SELECT 'every', (page_id % 5)::INTEGER, 'Bar', 'Half price pies every ' || dayname, 'Only for members:', '' FROM (SELECT page_id, (['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'])[page_id % 5 + 1] AS dayname FROM pages)) GROUP BY ALL""")
 def _(t: Tables):
-    k = (c("page_id") % 10).cast("string")
-    html = F.concat("html", F.lit("<h2>Limited-Time Food Deals</h2><ul><li><b>Chain &amp; Co "), k, F.lit("</b> (CH): Buy one get one free wings today</li><li>No colon here at all</li><li>Oct 12: a date is no chain, so it goes</li></ul><h3>Every-Monday Deals</h3><li>Grill "), k,
-                    F.lit(": kids eat free with an adult meal</li><h2>Weekend Food Deals</h2><li>Diner: half price brunch for the table</li><li>Bistro: half price brunch on Sundays only</li><h2>More reading</h2><li>Else: this is not in a section at all</li>"))
-    # the page's own navigation comes before any section
-    p = t.read("pages").select("url", (c("page_id") % 5).alias("day"), html.alias("html"))
-    return rd.src_roundup_lists(p).groupBy("section", "day", "brand").agg(F.count("*").alias("n"))
+    k, day = (c("page_id") % 10).cast("string"), (c("page_id") % 5)
+    name = lambda d: F.element_at(F.array(*[F.lit(x) for x in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")]), (d % 5 + 1).cast("int"))
+    items = F.concat("html", F.lit("<h2>Limited-Time Food Deals</h2><ul><li><b>Chain &amp; Co "), k, F.lit('</b> (CH): <a href="https://www.facebook.com/c"></a><a href="https://chain.com/a"></a>Buy one get one free wings today</li><li>No colon here at all</li><li>Oct 12: a date is no chain, so it goes</li></ul><h3>Every-Monday Deals</h3><li>Grill '), k,
+                     F.lit(": kids eat free with an adult meal</li><h2>Weekend Food Deals</h2><li>Diner: half price brunch for the table</li><li>Bistro: half price brunch on Sundays only</li><h2>More reading</h2><li>Else: this is not in a section at all</li>"))
+    sections = F.concat("html", F.lit("<h2>Pub "), k, F.lit('</h2><p>The pub has many deals. Get wings for $8 on '), name(day), F.lit("s. Dine-in only. Click here now. You must mention the deal. "), name(day + 1), F.lit('s bring tacos. Dine-in only. <a href="https://pub.com">Pub</a></p>'
+                        "<p>It also has beer. Good at the bar.</p><h2>Bar</h2><p>Only for members:</p><ul><li>Half price pies every "), name(day), F.lit("</li><li>Free fries every "), name(day + 1), F.lit("</li></ul><h2>Related reading?</h2><p>Every "), name(day), F.lit(" counts.</p>"))
+    page = t.read("pages").select("url", day.alias("day"), items.alias("items"), sections.alias("sections"))
+    both = page.select("url", "day", F.lit("items").alias("form"), c("items").alias("html")).unionByName(page.select("url", "day", F.lit("sections").alias("form"), c("sections").alias("html")))
+    return rd.src_roundup_lists(both).groupBy("section", "day", "brand", "text", "context", "link").agg(F.count("*").alias("n"))
 
 
 # --- sinks ---

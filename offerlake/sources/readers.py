@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fn_money, fn_norm
-from ..functions.amounts import number, rounded
+from ..functions.amounts import bind, number, rounded
 from ..functions.entities import fn_unescape, fn_unescape_string
 from ..functions.text import fn_clean, fn_tidy
 from ..functions.times import instant
 from ..operators.calendar import time_windows, weekdays_in
 from ..operators.terms import job_post_seller, job_price_pair, plain_page, title_price
-from ..operators.wordwork import got, got_number
+from ..operators.wordwork import got, got_number, says
+from ..rules import standing as S
 
 # --- weekly ads ---
 ADS = "flyers array<struct<id: bigint, merchant: string, merchant_id: bigint, valid_from: string, valid_to: string, categories: array<string>, postal_code: string>>"
@@ -274,35 +275,101 @@ def src_html_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"visible": visible_text(F.col("html")), "in_scripts": fn_tidy(fn_unescape(F.array_join(F.transform(prose, lambda s: F.regexp_replace(fn_unescape_string(s), r"<[^>]+>", " ")), " ")))})
 
 
-PAGE_DATES = [r'"dateModified"\s*:\s*"(\d{4}-\d{2}-\d{2})', r'article:modified_time"\s+content="(\d{4}-\d{2}-\d{2})', r'content="(\d{4}-\d{2}-\d{2})[^"]*"\s+property="article:modified_time',
-              r'"datePublished"\s*:\s*"(\d{4}-\d{2}-\d{2})', r'article:published_time"\s+content="(\d{4}-\d{2}-\d{2})', r'content="(\d{4}-\d{2}-\d{2})[^"]*"\s+property="article:published_time']
-
-
 def page_date(html: Column) -> Column:
     """The page's own date: when it was modified, else published."""
-    return F.coalesce(*[F.try_to_date(F.nullif(F.regexp_extract(html, rx, 1), F.lit(""))) for rx in PAGE_DATES])
+    return F.coalesce(*[F.try_to_date(F.nullif(F.regexp_extract(html, rx, 1), F.lit(""))) for rx in S.PAGE_DATES])
+
+
+def _plain(html: Column) -> Column:
+    return F.trim(F.regexp_replace(fn_unescape(F.regexp_replace(html, r"<[^>]+>", " ")), r"[\s\u00a0]+", " "))
+
+
+def _body(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " ")
+
+
+def outbound(html: Column, url: Column) -> Column:
+    """The first link to a site that is neither the page's own nor a social one; empty without one."""
+    links = F.regexp_extract_all(html, F.lit(r'href="(https?://[^"]+)"'), F.lit(1))
+    own = F.regexp_replace(F.lower(F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit("-"))), r"^www\.", "")
+    other = lambda x: bind(F.regexp_replace(F.lower(F.regexp_extract(x, r"^https?://([^/?#]+)", 1)), r"^www\.", ""), lambda h: (h != "") & ~F.contains(h, own) & ~h.rlike(S.NOT_A_SITE))
+    return fn_unescape(F.coalesce(F.get(F.filter(links, other), 0), F.lit("")))
+
+
+LISTED = ["url", "day", "brand", "section", "text", "modified", "link", "context"]
 
 
 def src_roundup_lists(pages: DataFrame) -> DataFrame:
-    """Entries of list pages: (url, day, brand, section, text, modified), one per "Chain: sentence" list item under a heading that
-    names the section. Needs url, day, html. An entry's section is carried down the page's own blocks."""
-    body = F.regexp_replace("html", r"(?is)<(script|style|noscript|svg)[^>]*>.*?</\1>", " ")
-    blocks = F.regexp_extract_all(body, F.lit(r"(?is)(<(?:h2|h3|li)[^>]*>.*?</(?:h2|h3|li)>)"), F.lit(1))
-    plain = lambda b: F.trim(F.regexp_replace(fn_unescape(F.regexp_replace(b, r"<[^>]+>", " ")), r"[\s\u00a0]+", " "))     # noqa: E731
+    """Entries of list pages: url, day, brand, section, text, modified, link (to the chain's site), context (who the entry's deals are for). Needs url,
+    day, html, and `form` where pages of both forms are there: "items" (the one taken without it) for "Chain: sentence" list items under a heading that
+    names the section, "sections" for a heading for each chain with bulleted days or paragraphs under it."""
+    if "form" not in pages.columns:
+        return items_of_lists(pages)
+    return items_of_lists(pages.where("form = 'items'")).unionByName(sections_of_lists(pages.where("form = 'sections'")))
+
+
+def items_of_lists(pages: DataFrame) -> DataFrame:
+    """List items, with the section that the headings before them name carried down the page's own blocks."""
+    blocks = F.regexp_extract_all(_body(F.col("html")), F.lit(r"(?is)(<(?:h2|h3|li)[^>]*>.*?</(?:h2|h3|li)>)"), F.lit(1))
 
     def walk(acc: Column, b: Column) -> Column:
-        head = F.lower(plain(b))
+        head = F.lower(_plain(b))
         section = F.when(head.contains("limited-time"), "limited").when(head.startswith("weekend"), "weekend").when(head.startswith("every"), "every").otherwise("")
         is_item = b.rlike(r"(?i)^<li")
+        entry = F.struct(acc["section"].alias("section"), _plain(b).alias("text"), b.alias("html"))
         return F.struct(F.when(is_item, acc["section"]).otherwise(section).alias("section"),
-                        F.when(is_item & (acc["section"] != ""), F.array_append(acc["out"], F.struct(acc["section"].alias("section"), plain(b).alias("text")))).otherwise(acc["out"]).alias("out"))
-    start = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,text:string>>").alias("out"))
+                        F.when(is_item & (acc["section"] != ""), F.array_append(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
+    start = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,text:string,html:string>>").alias("out"))
     e = pages.select("url", "day", page_date(F.col("html")).alias("modified"), F.explode(F.aggregate(blocks, start, walk)["out"]).alias("e"))
     rx = r"(?s)^([^:]{2,60}?)\s*:\s*(\S.{15,})$"
-    d = e.select("url", "day", "modified", "e.section", F.trim(F.regexp_replace(F.regexp_extract("e.text", rx, 1), r"\s*\([^)]*\)\s*$", "")).alias("brand"), F.trim(F.regexp_extract("e.text", rx, 2)).alias("text")).where("brand <> ''")
+    d = e.select("url", "day", "modified", "e.section", F.trim(F.regexp_replace(F.regexp_extract("e.text", rx, 1), r"\s*\([^)]*\)\s*$", "")).alias("brand"), F.trim(F.regexp_extract("e.text", rx, 2)).alias("text"),
+                 outbound(F.col("e.html"), F.col("url")).alias("link"), F.lit("").alias("context")).where("brand <> ''")
     d = d.where(~(F.col("brand").rlike(r"\d") & F.col("brand").rlike(r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)")))
     ends = F.filter(weekdays_in(F.col("text")), lambda x: x >= 5)
     days = F.when(F.col("section") == "weekend", F.when(F.size(ends) > 0, ends).otherwise(F.array(F.lit(5), F.lit(6)))).otherwise(F.array(F.col("day").cast("int")))
-    return d.withColumn("day", F.explode(days))
+    return d.withColumn("day", F.explode(days)).select(*LISTED)
 
 
+def sections_of_lists(pages: DataFrame) -> DataFrame:
+    """Sections, one row each from the start. A bulleted line that names the page's day is an entry, with the paragraph before its list as context.
+    The paragraphs make one entry: the sentences that name the day, and short or restricting ones that follow on. That is a fold over the
+    section's sentences in order, whose state is the distance to the last sentence kept: another day or another offer sends it out of reach."""
+    c = F.col
+    far = F.lit(99)
+    cut_up = F.filter(F.slice(F.split(_body(c("html")), r"(?i)<h2[^>]*>"), 2, 100_000), lambda s: s.contains("</h2>"))
+    sec = (pages.select("url", c("day").cast("int").alias("day"), page_date(c("html")).alias("modified"), F.explode(cut_up).alias("_s"))
+           .withColumns({"brand": _plain(F.substring_index("_s", "</h2>", 1)), "_rest": F.expr("substring(_s, instr(_s, '</h2>') + 5)")})
+           .where((c("brand") != "") & (F.length("brand") <= 45) & ~says(c("brand"), S.SKIP_HEAD))
+           .withColumn("link", outbound(c("_rest"), c("url"))))
+    # bulleted days
+    blocks = F.regexp_extract_all("_rest", F.lit(r"(?is)(<p[^>]*>.*?</p>|<ul[^>]*>.*?</ul>)"), F.lit(1))
+    is_list = lambda b: b.rlike(r"(?i)^<ul")
+    lines = F.transform(c("_blocks"), lambda b, i: F.when(is_list(b), F.transform(F.regexp_extract_all(b, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1)), lambda x: F.struct(
+        _plain(x).alias("text"), F.coalesce(F.element_at(F.filter(F.slice("_blocks", 1, i), lambda p: ~is_list(p)), -1), F.lit("")).alias("intro")))))
+    bullets = (sec.withColumn("_blocks", blocks).withColumn("_line", F.explode(F.flatten(F.array_compact(lines)))).select("*", c("_line.text").alias("text"), _plain(c("_line.intro")).alias("context"))
+               .where(F.length("text").between(12, 400)).where(F.array_contains(weekdays_in(c("text"), every_day=False), c("day"))))
+    # paragraphs: the sentences with what the fold asks of each
+    def told(p: Column) -> Column:  # noqa: E306
+        def of(s: Column, i: Column) -> Column:
+            days = weekdays_in(s)
+            return F.struct(s.alias("s"), (i == 0).alias("opens"), says(s, S.FILLER).alias("filler"), F.array_contains(days, c("day")).alias("ours"), (F.size(days) > 0).alias("dated"), says(s, S.OTHER_OFFER).alias("other"),
+                            (F.length(s) <= 70).alias("short"), ((F.length(s) <= 220) & says(F.translate(s, "\u2019\u2018", "''"), S.QUALIFIES) & ~says(s, S.HOW_KNOWN)).alias("limits"))
+        return F.transform(F.filter(F.split(_plain(p), S.SENTENCE_END), lambda s: s != ""), of)
+    paragraphs = F.flatten(F.transform(F.regexp_extract_all("_rest", F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), told))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.when(x["opens"], far).otherwise(acc["gap"])
+
+        def next_(g: Column) -> Column:
+            away = x["dated"] | x["other"]
+            follows = ~away & (((g + 1 == 1) & x["short"]) | ((g + 1 <= 3) & x["limits"]))
+            keep = ~x["filler"] & (x["ours"] | follows)
+            after = F.when(x["filler"], g).when(x["ours"], F.when(x["other"], far).otherwise(F.lit(0))).when(away, far).when(follows, F.lit(0)).otherwise(g + 1)
+            return F.struct(F.when(keep, F.array_append(acc["kept"], x["s"])).otherwise(acc["kept"]).alias("kept"), after.cast("int").alias("gap"))
+        return bind(gap, next_)
+    start = F.struct(F.array().cast("array<string>").alias("kept"), far.cast("int").alias("gap"))
+    folded = sec.withColumn("_told", paragraphs).withColumn("_kept", F.aggregate("_told", start, step)["kept"]).where(F.size("_kept") > 0)
+    lead = F.coalesce(F.get("_told", F.lit(0))["s"], F.lit(""))
+    prose = folded.withColumns({"text": F.substring(F.array_join(F.array_distinct("_kept"), " "), 1, 700), "context": F.when(F.array_contains("_kept", lead), "").otherwise(lead)})
+    shown = lambda df: df.withColumn("section", F.lit("every")).select(*LISTED)
+    return shown(bullets).unionByName(shown(prose))
