@@ -236,13 +236,24 @@ def job_schedule_reading(texts: DataFrame) -> DataFrame:
     return df.withColumns({"windows": F.col("_w.windows"), "zone": F.col("_w.zone"), "recurring": says_recurring(F.col("text"))}).drop("_w")
 
 
-def dq_schedule(offers: DataFrame, shown: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Whether the dates shown for each offer are those of an independent calendar: (offer, verdict, missing, extra). Needs
-    offers(offer, days, until), shown(offer, day), calendar(day, weekday)."""
-    due = (offers.select("offer", "until", F.explode("days").alias("weekday")).join(calendar, "weekday").where(F.col("until").isNull() | (F.col("day") <= F.col("until")))
-           .select("offer", "day", F.lit(1).alias("due"), F.lit(0).alias("shown")))
+def dq_schedule(offers: DataFrame, shown: DataFrame, calendar: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Whether the dates shown for each offer are those of an independent calendar: (offer, missing, extra, verdict). Needs offers(offer, days,
+    monthly, windows, until), shown(offer, day), calendar(day) from the day of `start` to that of `end`, local moments.
+
+    A day of the calendar says which weekday it is and which monthly rules name it, and offers meet it by these; hours that are over at the start
+    or have not begun at the end take the first or the last day away."""
+    c = F.col
+    wd = F.weekday("day").cast("string")
+    nth = F.concat((F.floor((F.dayofmonth("day") - 1) / 7) + 1).cast("string"), F.lit(":"), wd)
+    last = F.when(F.month(F.date_add("day", 7)) != F.month("day"), F.concat(F.lit("-1:"), wd))
+    day_of = calendar.select("day", F.explode(F.array_compact(F.array(F.concat(F.lit("w:"), wd), F.concat(F.lit("d:"), F.dayofmonth("day").cast("string")), nth, last))).alias("rule"))
+    monthly = F.coalesce("monthly", F.lit(""))
+    asked = offers.select("offer", "until", "windows", F.explode(F.when(monthly != "", F.array(monthly)).otherwise(F.transform("days", lambda d: F.concat(F.lit("w:"), d.cast("string"))))).alias("rule")).distinct()
+    clock = lambda t: F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)                            # noqa: E731
+    timed = F.size("windows") > 0
+    over = timed & (c("day") == F.to_date(start)) & F.forall("windows", lambda w: F.coalesce(w["b"] <= clock(start), F.lit(False)))
+    not_yet = timed & (c("day") == F.to_date(end)) & F.forall("windows", lambda w: F.coalesce(w["a"] >= clock(end), F.lit(False)))
+    due = asked.join(day_of, "rule").where((c("until").isNull() | (c("day") <= c("until"))) & ~over & ~not_yet).select("offer", "day", F.lit(1).alias("due"), F.lit(0).alias("shown"))
     both = due.unionByName(shown.select("offer", "day", F.lit(0).alias("due"), F.lit(1).alias("shown"))).groupBy("offer", "day").agg(F.max("due").alias("due"), F.max("shown").alias("shown"))
     n = both.groupBy("offer").agg(F.count_if(F.expr("due = 1 AND shown = 0")).alias("missing"), F.count_if(F.expr("due = 0 AND shown = 1")).alias("extra"))
     return n.withColumn("verdict", F.when(F.expr("missing + extra > 0"), "fail").otherwise("pass"))
-
-

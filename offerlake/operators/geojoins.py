@@ -114,11 +114,23 @@ def jn_city_anchor(areas: DataFrame, anchors: DataFrame, mi: float = 20.0) -> Da
 
 def jn_area_limit(offers: DataFrame, places: DataFrame, areas: DataFrame, max_mi: float = 50.0) -> DataFrame:
     """The nearest place to each area of each offer, among the places inside the offer's own circle if it has one. Needs
-    offers(offer, chain, lat, lon, mi) with nulls for no circle."""
-    o = offers.select("offer", "chain", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("mi").alias("_mi"))
-    inside = places.join(o, "chain").where(F.col("_mi").isNull() | (_mi() <= F.col("_mi")))
-    spots = inside.select(F.col("offer").alias("chain"), "lat", "lon", "ref")
-    return jn_nearest_place(areas, spots, max_mi).withColumnRenamed("chain", "offer")
+    offers(offer, chain, lat, lon, mi) with nulls for no circle.
+
+    A circle is the cells that cover it, in the grid of the next power of two of its radius, and meets its chain's places by (chain, cell);
+    offers without a circle have their chain's answer, which is worked out once."""
+    c = F.col
+    radius = F.ceil(F.log2(F.greatest(c("mi"), F.lit(1.0)))).cast("int")
+    circles = cut(offers.where("mi IS NOT NULL").withColumn("_r", radius))
+    spots = None
+    for r in sorted(x["_r"] for x in circles.select("_r").distinct().collect()):                 # radii on the globe have 15 at most
+        grid = Grid(2.0 ** r)
+        cover = circles.where(c("_r") == r).select("offer", "chain", c("lat").alias("_lat"), c("lon").alias("_lon"), c("mi").alias("_r_mi"), F.explode(grid.around(c("lat"), c("lon"))).alias("_cell"))
+        there = places.select("chain", "lat", "lon", "ref", grid.cell(c("lat"), c("lon")).alias("_cell"))
+        some = cover.join(there, ["chain", "_cell"]).where(_mi() <= c("_r_mi")).select(c("offer").alias("chain"), "lat", "lon", "ref")
+        spots = some if spots is None else spots.unionByName(some)
+    bare = offers.where("mi IS NULL").select("offer", "chain")
+    free = jn_nearest_place(areas, places.join(bare.select("chain").distinct(), "chain", "left_semi"), max_mi).join(bare, "chain").select("area", "offer", "ref", "distance_mi")
+    return free if spots is None else free.unionByName(jn_nearest_place(areas, spots, max_mi).withColumnRenamed("chain", "offer").select("area", "offer", "ref", "distance_mi"))
 
 
 def agg_footprint(places: DataFrame, min_n: int = 5, min_mi: float = 150.0) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fn_norm
 from ..rules import products as P
+from ..session import cut
 from .wordwork import ci, got, matches, says
 
 
@@ -110,20 +111,40 @@ def compare_listings(deals: DataFrame, listings: DataFrame, lo: float = 0.35, hi
     """deal, site, price, match: the cheapest matching listing of each site for each deal, in the band of believable prices
     and not at the seller's own site. Needs deals(id, seller, price) and listings(site, price) with identity columns. Equal
     offers and equal listings are compared once."""
-    d = with_sig(deals).select("id", "seller", "price", F.col("sig").alias("deal_sig"))
-    offers = d.select("deal_sig", "seller", F.col("price").alias("deal_price")).distinct()
+    d = cut(with_sig(deals).select("id", "seller", "price", F.col("sig").alias("deal_sig")))
+    same = cut(jn_same_product(deals, listings))
     lots = with_sig(listings).select(F.col("sig").alias("listing_sig"), "site", F.col("price").alias("listing_price")).distinct()
-    pairs = jn_price_band(offers.join(jn_same_product(deals, listings), "deal_sig").join(lots, "listing_sig"), lo, hi)
-    best = pairs.groupBy("deal_sig", "seller", "deal_price", "site").agg(F.min(F.struct("listing_price", "match")).alias("b"))
-    return (d.join(best, (d.deal_sig == best.deal_sig) & d.seller.eqNullSafe(best.seller) & (d.price == best.deal_price))
+    asked = d.select("deal_sig", F.col("price").alias("deal_price")).distinct().join(same, "deal_sig")
+    found = jn_price_band(asked.select("listing_sig", "deal_price").distinct(), lots, lo, hi)
+    best = asked.join(found, ["listing_sig", "deal_price"]).groupBy("deal_sig", "deal_price", "site").agg(F.min(F.struct("listing_price", "match")).alias("b"))
+    own = F.lower(F.coalesce("seller", F.lit(""))) == F.lower("site")
+    return (d.join(best, (d.deal_sig == best.deal_sig) & (d.price == best.deal_price)).where(~own)
             .select(F.col("id").alias("deal"), "site", F.col("b.listing_price").alias("price"), "b.match"))
 
 
-def jn_price_band(pairs: DataFrame, lo: float = 0.35, hi: float = 3.0) -> DataFrame:
-    """Pairs whose listing costs what the product can cost, at another site than the seller's. Needs deal_price,
-    listing_price, seller, site."""
-    return pairs.where((F.col("listing_price") >= lo * F.col("deal_price")) & (F.col("listing_price") <= hi * F.col("deal_price"))
-                       & (F.lower(F.coalesce("seller", F.lit(""))) != F.lower("site")))
+STEP = 1.25     # prices are dealt to buckets by their logarithm: about a hundred cover all there are
+
+
+def jn_price_band(asked: DataFrame, lots: DataFrame, lo: float = 0.35, hi: float = 3.0) -> DataFrame:
+    """listing_sig, deal_price, site, listing_price: for each price asked of a product the cheapest listing of each site that costs what the
+    product can cost. Needs asked(listing_sig, deal_price), lots(listing_sig, site, listing_price), both distinct.
+
+    An as-of join instead of offers times listings: the wanted listing is the first at or above `lo` times the price. Each product and site has one
+    row of its price buckets with the least price of each, so the buckets above the one that the bound falls into are looked up in it; inside
+    that bucket bounds and prices are sorted together. Rows made are the prices asked times the sites."""
+    c = F.col
+    bucket = lambda v: F.floor(F.log(F.greatest(v, F.lit(0.001))) / F.log(F.lit(STEP))).cast("int")
+    lots = lots.withColumn("_bucket", bucket(c("listing_price")))
+    least = lots.groupBy("listing_sig", "site", "_bucket").agg(F.min("listing_price").alias("m"))
+    tops = least.groupBy("listing_sig", "site").agg(F.collect_list(F.struct("_bucket", "m")).alias("_tops"))
+    probes = (asked.join(tops, "listing_sig").withColumn("_bound", F.lit(lo) * c("deal_price")).withColumn("_bucket", bucket(c("_bound")))
+              .withColumn("_above", F.array_min(F.transform(F.filter("_tops", lambda x: x["_bucket"] > c("_bucket")), lambda x: x["m"]))).drop("_tops"))
+    rows = (probes.select("listing_sig", "site", "_bucket", c("_bound").alias("_at"), F.lit(1).alias("_asks"), "deal_price", "_above")
+            .unionByName(lots.select("listing_sig", "site", "_bucket", c("listing_price").alias("_at"), F.lit(0).alias("_asks")), allowMissingColumns=True))
+    from_top = Window.partitionBy("listing_sig", "site", "_bucket").orderBy(F.desc("_at"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.last(F.when(c("_asks") == 0, c("_at")), ignorenulls=True).over(from_top)
+    found = rows.withColumn("_inside", inside).where("_asks = 1").withColumn("listing_price", F.coalesce("_inside", "_above"))
+    return found.where(c("listing_price") <= F.lit(hi) * c("deal_price")).select("listing_sig", "deal_price", "site", "listing_price")
 
 
 STOP = "with for and the free shipping shipped only just deal amazon prime members pack count new set off now via from your this that".split()

@@ -14,6 +14,7 @@ from ..rules import wordings as R
 from .filters import flt_sale_live, is_product_link  # noqa: F401
 from .fuzzy import sale_words, similar_pairs
 from .geojoins import within
+from .sales import stated_end, stated_range
 from .terms import plain_page, title_words
 from .wordwork import ci, matches, says
 
@@ -239,24 +240,22 @@ def dq_store_link(posts: DataFrame, stores: DataFrame) -> DataFrame:
                         ("another price at the store", off(c("page_price"), unit, F.greatest(F.lit(0.5), unit * 0.02)) & ~explained)], [("no link", c("_h") == "")]).drop("_h", "_to")
 
 
-def dq_evidence_page(offers: DataFrame, pages: DataFrame, within_chars: int = 700) -> DataFrame:
-    """An evidence page states the chain, a day and every figure of the card near each other. Needs offers(id, url, brand, day_words
-    array, offer), pages(url, html)."""
-    c = F.col
-    figures = F.array_distinct(F.regexp_extract_all(fn_tidy(c("offer")), F.lit(r"(\$\d+(?:\.\d{2})?|\d{1,2}%)"), F.lit(1)))
-    df = offers.join(pages.select("url", fn_tidy(plain_page(F.col("html"))).alias("_text")), "url", "left").withColumn("_fig", figures)
-    near = lambda ps: fn_phrase_near(c("_text"), ps, within_chars)["found"]                         # noqa: E731
-    with_day = F.exists("day_words", lambda d: near(F.concat(c("_fig"), F.array(d))))
-    return verdict(df, [("the page does not name the chain", ~F.lower("_text").contains(F.lower("brand"))), ("the figures are not on the page together", (F.size("_fig") > 0) & ~near(c("_fig"))),
-                        ("no day it runs on is near the figures", ~with_day)], [("no page", c("_text").isNull())]).drop("_text", "_fig")
-
-
-def dq_sale_page(sales: DataFrame, pages: DataFrame) -> DataFrame:
-    """A sale's page names the store, the figures and the code. Needs sales(url, store_names, offer, code), pages(url, html)."""
+def dq_sale_page(sales: DataFrame, pages: DataFrame, today: Column) -> DataFrame:
+    """A sale's page names the store, the figures and the code, and the end it states is the one shown. Needs sales(url, store_names, offer, code,
+    posted date, end_day, ends_how), pages(url, html). A source's own end date may be a day off; an end that is over does not count against a
+    sale that shows none."""
     c = F.col
     figures = F.array_distinct(F.regexp_extract_all(F.replace("offer", F.lit(","), F.lit("")), F.lit(r"(\$\d+|\d{1,3}%)"), F.lit(1)))
     df = sales.join(pages.select("url", plain_page(F.col("html")).alias("_text")), "url", "left").withColumn("_fig", figures)
     bare = F.replace("_text", F.lit(","), F.lit(""))
     code = F.coalesce(c("code"), F.lit(""))
+    # every sentence is asked for its end, so a page may state several
+    said = F.flatten(F.transform(F.split("_text", r"(?<=[.!?])\s+"), lambda x: F.array(stated_end(x, c("posted"))["last"], stated_range(x, c("posted"))["last"])))
+    df = df.withColumn("_ends", F.filter(F.array_distinct(F.array_compact(said)), lambda d: d >= F.date_sub("posted", 1)))
+    a_day_off = F.coalesce(c("ends_how"), F.lit("")).endswith("end date")
+    agrees = F.exists("_ends", lambda d: (d == c("end_day")) | (a_day_off & (F.abs(F.datediff(d, c("end_day"))) <= 1)))
+    later = F.exists("_ends", lambda d: d >= F.date_sub(today, 1))
     return verdict(df, [("the page doesn't name the store", ~F.exists("store_names", lambda n: F.lower("_text").contains(F.lower(n)))), ("a figure is not on the page", F.exists("_fig", lambda f: ~bare.contains(f))),
-                        ("the page doesn't show the code", (code != "") & ~c("_text").contains(code))], [("no page", c("_text").isNull())]).drop("_text", "_fig")
+                        ("the page doesn't show the code", (code != "") & ~c("_text").contains(code)), ("shown after its end", F.coalesce(c("end_day") < today, F.lit(False))),
+                        ("the page states an end that is not shown", c("end_day").isNull() & later), ("the page states a different end", c("end_day").isNotNull() & (F.size("_ends") > 0) & ~agrees)],
+                   [("no page", c("_text").isNull())]).drop("_text", "_fig", "_ends")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import evidence as ev
 from ..operators import quality as q
 from ..operators.sales import job_sale_offer, stated_end, stated_range
 from .catalog import query
@@ -126,11 +127,21 @@ def _(t: Tables):
     return q.dq_replay(got, want, "id", ["offer"]).withColumn("fields", F.array_join("fields", ",")).groupBy("diff", "fields").agg(F.count("*").alias("n"))
 
 
-@query("dq_sales_list")
+@query("dq_sales_list", using("deals", body="""
+    WITH s AS (SELECT *, row_number() OVER (ORDER BY size DESC, item, line) AS pos FROM deals)
+    SELECT 'same wording' AS "check", count(*) FILTER (WHERE item % 10 = 0 AND line = 1) AS problems FROM s UNION ALL SELECT 'similar wording', 0 UNION ALL SELECT 'fresh', CAST(sum(CASE WHEN valid_to < TIMESTAMP '1998-06-01' THEN 1 + (item % 10 = 0 AND line = 1)::INT ELSE 0 END) AS BIGINT) FROM s
+    UNION ALL SELECT 'order', count(*) FILTER (WHERE pos % 1000 = 7) FROM s WHERE pos > 1 UNION ALL SELECT 'complete', count(*) FILTER (WHERE line = 7) FROM s"""))
 def _(t: Tables):
-    from .merging import posted_sales
-    s = posted_sales(t).withColumns({"pos": F.xxhash64("id"), "offer": F.col("badge"), "starts_at": F.lit(None).cast("timestamp"), "score": F.length("name").cast("double"), "source_url": F.concat(F.lit("https://x.com/"), "id"),
-                                     "categories": F.array(F.lit("home"))})
+    # a name of its own for every sale, but for the planted copies; the score falls by one a place, but for the planted steps up
+    from .filtering import placed
+    deals = placed(t.deals.orderBy(F.desc("size"), "item", "line"), "id", "item", "line", "valid_to")
+    c = F.col
+    copies = deals.where("item % 10 = 0 AND line = 1").withColumn("place", F.lit(None).cast("bigint"))
+    both = deals.unionByName(copies)
+    s = both.select("id", c("place").alias("pos"), F.concat(F.lit("k"), c("item") % 1000).alias("store"), F.lit("Store").alias("store_name"), F.lit("20% off").alias("badge"), F.concat(F.lit("zq"), F.md5(F.col("id").cast("string"))).alias("name"),
+                    F.when(c("line") == 7, "").otherwise("20% off").alias("offer"), F.when(c("place").isNotNull(), c("valid_to")).otherwise(F.lit("2100-01-01").cast("timestamp")).alias("ends_at"), F.lit(None).cast("timestamp").alias("starts_at"),
+                    F.lit("1998-05-30").cast("timestamp").alias("posted_at"), (-c("place") + F.when(c("place") % 1000 == 7, 2).otherwise(0)).cast("double").alias("score"), F.lit("https://x.com/").alias("source_url"), F.array(F.lit("home")).alias("categories"))
+    s = s.withColumn("ends_at", F.first("ends_at").over(Window.partitionBy("id").orderBy(F.desc("pos"))))
     return q.dq_sales_list(s, F.lit("1998-06-01").cast("timestamp"))
 
 
@@ -169,22 +180,40 @@ def _(t: Tables):
     return summary(q.dq_store_link(d, registry(t)))
 
 
-@query("dq_evidence_page", summary_sql(some(("the page does not name the chain", "m = 1"), ("the figures are not on the page together", "m = 2"), ("no day it runs on is near the figures", "m IN (2, 3)")), "(SELECT page_id, page_id % 5 AS m FROM pages)", "page_id", "CASE WHEN m = 4 THEN 'no page' END"))
-def _(t: Tables):
-    m = F.col("page_id") % 5
-    p = page_rows(t)
-    day = F.when(m == 3, "").otherwise(" every Tuesday")
-    said = F.concat(F.lit("<h2>"), F.when(m == 1, "Zed's").otherwise("Quark’s Grill"), F.lit("</h2>half off $7.25 tacos"), F.when(m == 2, F.repeat(F.lit(" lorem"), 200)).otherwise(""), F.lit(" or 35% off"), day)
-    offers = p.select(F.col("page_id").alias("id"), "page_id", "url", F.lit("Quark's Grill").alias("brand"), F.array(F.lit("tuesday"), F.lit("tues.")).alias("day_words"), F.lit("Tacos for $7.25 or 35% off").alias("offer"))
-    return summary(q.dq_evidence_page(offers, p.where(m != 4).select("url", F.concat("html", said).alias("html"))), "page_id")
+EVIDENCE = {0: ("list", ""), 1: ("list", "the list page is not for a day this runs on"), 2: ("list", "the list page no longer has an entry for this chain"), 3: ("list", "the chain's entry lacks a claim"),
+            4: ("list", "the page says it ended"), 5: ("article", ""), 6: ("article", "the article does not name this place"), 7: ("article", "no passage has all of the claims"), 8: ("official", ""),
+            9: ("official", "the page has none of the claims"), 10: ("official", "the claims are on the page but no day this runs on is near them"), 11: ("official", "no passage has all of the claims"), 12: ("official", "")}
 
 
-@query("dq_sale_page", summary_sql(some(("the page doesn''t name the store", "m = 1"), ("a figure is not on the page", "m = 2"), ("the page doesn''t show the code", "m = 3")), "(SELECT page_id, page_id % 5 AS m FROM pages)", "page_id", "CASE WHEN m = 4 THEN 'no page' END"))
+@query("dq_evidence_page", summary_sql("CASE " + " ".join(f"WHEN m = {m} THEN '{why.replace(chr(39), chr(39) * 2)}'" for m, (_, why) in EVIDENCE.items()) + " END", "(SELECT page_id, page_id % 15 AS m FROM pages)", "page_id",
+                                       "CASE m WHEN 13 THEN 'the offer claims nothing that a page could state' WHEN 14 THEN 'no page' END"))
 def _(t: Tables):
-    m = F.col("page_id") % 5
+    m = F.col("page_id") % 15
     p = page_rows(t)
-    said = F.concat(F.lit("<b>"), F.when(m == 1, "Zed").otherwise("QUARKMART"), F.lit("</b> "), F.when(m == 2, "20%").otherwise("37%"), F.lit(" off, $1,250 off "), F.when(m == 3, "XX").otherwise("SAVEZZ1"))
-    sales = p.select("page_id", "url", F.array(F.lit("Quarkmart"), F.lit("QM Store")).alias("store_names"), F.lit("37% off + $1,250 off").alias("offer"), F.lit("SAVEZZ1").alias("code"))
-    return summary(q.dq_sale_page(sales, p.where(m != 4).select("url", F.concat("html", said).alias("html"))), "page_id")
-
-
+    far = F.repeat(F.lit("lorem ipsum "), 200)
+    title = F.concat(F.lit("<title>Deals for "), F.when(m == 1, "Friday").otherwise("Tuesday"), F.lit("</title>"))
+    entry = lambda claim: F.concat(F.lit("<ul><li>"), F.when(m == 2, "Zed's").otherwise("Quark\u2019s Grill"), F.lit(": "), claim, F.lit("</li><li>Zed's: $1 pie</li></ul><h2>Zed</h2><p>BOGO tacos $7.25</p>"))
+    listed = F.concat(title, entry(F.concat(F.lit("BOGO tacos at $7.25 every Tuesday"), F.when(m == 4, " through September 30").when(m == 0, " through October 30").otherwise(""), F.lit("."))))
+    listed = F.when(m == 3, F.concat(title, entry(F.lit("BOGO tacos at $7.75 every Tuesday.")))).otherwise(listed)
+    article = F.concat(F.lit("<p>Best of town: "), F.when(m == 6, "Zed's").otherwise("QUARK'S"), F.lit(" has BOGO tacos "), F.when(m == 7, far).otherwise(""), F.lit(" at $7.25 on Tuesdays.</p>"))
+    tail = F.lit(" Also open on Fridays, Saturdays and Sundays.")
+    own = F.concat(F.lit("<p>Come by: buy one, get one "), F.when(m == 9, "").when(m == 11, far).otherwise(""), F.when(m == 9, "").otherwise("for $7.25 "), F.when(m.isin(10, 12), far).otherwise(""), F.when(m == 12, "on Tuesday").otherwise(F.concat(F.lit("on Tuesday"), tail)), F.lit("</p>"))
+    own = F.when(m == 9, F.lit("<p>Come by on Tuesday.</p>")).otherwise(own)
+    kind = F.when(m <= 4, "list").when(m <= 7, "article").otherwise("official")
+    html = F.when(m <= 4, listed).when(m <= 7, article).otherwise(own)
+    offers = p.select(F.col("page_id").alias("id"), "page_id", "url", kind.alias("kind"), F.lit("Quark's Grill").alias("brand"), F.array(F.lit("tuesday")).alias("day_words"), F.lit(False).alias("bogo"),
+                      F.when(m == 13, "Tacos as usual").otherwise("BOGO tacos at $7.25").alias("offer"))
+    return summary(ev.dq_evidence_page(offers, p.where(m != 14).select("url", html.alias("html")), F.lit("2026-10-15").cast("date")), "page_id")
+
+
+@query("dq_sale_page", summary_sql(some(("the page doesn''t name the store", "m = 1"), ("a figure is not on the page", "m = 2"), ("the page doesn''t show the code", "m = 3"), ("shown after its end", "m = 5"), ("the page states an end that is not shown", "m = 6"),
+                                        ("the page states a different end", "m IN (5, 7)")), "(SELECT page_id, page_id % 9 AS m FROM pages)", "page_id", "CASE WHEN m = 4 THEN 'no page' END"))
+def _(t: Tables):
+    m = F.col("page_id") % 9
+    p = page_rows(t)
+    said = F.concat(F.lit("<b>"), F.when(m == 1, "Zed").otherwise("QUARKMART"), F.lit("</b> "), F.when(m == 2, "20%").otherwise("37%"), F.lit(" off, $1,250 off "), F.when(m == 3, "XX").otherwise("SAVEZZ1"),
+                    F.lit(". Ends Oct 20. The outlet ends "), F.when(m == 8, "Oct 26").otherwise("Oct 2"), F.lit("."))
+    day = lambda d: F.lit(d).cast("date")
+    sales = p.select("page_id", "url", F.array(F.lit("Quarkmart"), F.lit("QM Store")).alias("store_names"), F.lit("37% off + $1,250 off").alias("offer"), F.lit("SAVEZZ1").alias("code"), day("2026-10-05").alias("posted"),
+                     F.when(m == 5, day("2026-10-09")).when(m == 7, day("2026-10-22")).when(m == 8, day("2026-10-27")).when(m != 6, day("2026-10-20")).alias("end_day"), F.when(m == 8, "the source's end date").otherwise("the post says").alias("ends_how"))
+    return summary(q.dq_sale_page(sales, p.where(m != 4).select("url", F.concat("html", said).alias("html")), day("2026-10-12")), "page_id")

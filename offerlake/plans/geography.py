@@ -14,12 +14,13 @@ from .inputs import Tables, miles_sql, rnd, using
 TENTH = rnd(miles_sql("c", "p"), 1)
 
 
-@query("fn_haversine", using("cities", "places", body=f"""
+@query("fn_haversine", using("cities", body=f"""
     SELECT count(*) AS n, floor(sum(mi) / 1000) AS thousands, {rnd('max(mi)')} AS most FROM (
-      SELECT {miles_sql('c', 'p')} AS mi FROM cities c JOIN places p ON c.nation = p.chain)"""))
+      SELECT {miles_sql('c', 'p')} AS mi FROM cities c JOIN cities p ON p.id = c.id + 1)"""))
 def _(t: Tables):
-    p = t.places.select("chain", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    pairs = t.cities.join(p, t.cities.nation == p.chain)
+    # from each city to the next by number
+    p = t.cities.select((F.col("id") - 1).alias("id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    pairs = t.cities.join(p, "id")
     mi = fn_haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     return pairs.select(mi.alias("mi")).agg(F.count("*").alias("n"), F.floor(F.sum("mi") / 1000).cast("double").alias("thousands"),
                                             rounded(F.max("mi"), 2).alias("most"))
@@ -123,11 +124,12 @@ def _(t: Tables):
 
 @query("agg_merchant_table", using("cities", "places", nearest=NEAREST, body="""
     SELECT a.area, a.merchant, 1::BIGINT AS ads, distance_mi, CASE WHEN distance_mi <= 25 THEN 'nearby' WHEN distance_mi IS NOT NULL THEN 'far'
-      ELSE 'unmapped' END AS status FROM (SELECT id AS area, nation AS merchant FROM cities) a
+      WHEN a.merchant IN (SELECT chain FROM places) THEN 'far' ELSE 'unmapped' END AS status FROM (SELECT id AS area, CASE WHEN id % 9 = 0 THEN 99 ELSE nation END AS merchant FROM cities) a
     LEFT JOIN nearest n ON n.area = a.area AND n.chain = a.merchant"""))
 def _(t: Tables):
     near = ops.jn_nearest_place(t.cities, t.places, 50.0, 12.0)
-    return agg_merchant_table(t.cities.select(F.col("id").alias("area"), F.col("nation").alias("merchant")), near, 25.0)
+    ads = t.cities.select(F.col("id").alias("area"), F.when(F.col("id") % 9 == 0, 99).otherwise(F.col("nation")).alias("merchant"))
+    return agg_merchant_table(ads, near, 25.0, t.places.select(F.col("chain").alias("merchant")).distinct())
 
 
 @query("agg_ad_overlap_by_distance", using("cities", body=f"""

@@ -114,17 +114,15 @@ def _(t: Tables):
         "days", "a", "b", "zone", "u", "recurring").agg(F.count("*").alias("n"))
 
 
-@query("dq_schedule", using(sched=SCHEDULES, body="""
-    WITH due AS (SELECT offer, day FROM (SELECT *, unnest(generate_series(DATE '1998-06-01', DATE '1998-06-08', INTERVAL 1 DAY))::DATE AS day FROM sched WHERE monthly = '')
-                 WHERE isodow(day) - 1 IN (d, (d + 3) % 7) AND day <= until),
-    shown AS (SELECT offer, day FROM due WHERE offer % 10 <> 0 OR isodow(day) <> 1 UNION SELECT offer, DATE '1998-06-03' FROM sched WHERE monthly = '' AND offer % 11 = 0 AND until >= DATE '1998-06-03')
+@query("dq_schedule", using(sched=SCHEDULES, body=f"""
+    WITH due AS ({DATES}),
+    shown AS (SELECT offer, day FROM due WHERE offer % 10 <> 0 OR isodow(day) <> 1 UNION SELECT offer, DATE '1998-06-03' FROM sched WHERE offer % 11 = 0 AND until >= DATE '1998-06-03')
     SELECT verdict, missing, extra, count(*) AS n FROM (SELECT coalesce(d.offer, s.offer) AS offer, count(*) FILTER (WHERE s.day IS NULL) AS missing, count(*) FILTER (WHERE d.day IS NULL) AS extra,
       CASE WHEN count(*) FILTER (WHERE s.day IS NULL OR d.day IS NULL) > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM due d FULL JOIN shown s ON d.offer = s.offer AND d.day = s.day GROUP BY 1) GROUP BY ALL"""))
 def _(t: Tables):
-    s = schedules(t).where("monthly = ''")
-    calendar = t.spark.range(8).select(F.date_add(F.lit("1998-06-01").cast("date"), F.col("id").cast("int")).alias("day")).withColumn("weekday", F.weekday("day").cast("int"))
-    at = lambda x: F.lit(x).cast("timestamp")                                                      # noqa: E731
-    plain = s.withColumn("windows", F.filter("windows", lambda x: F.lit(False)))
-    real = cal.tm_occurrences(plain, at(START), at(END), F.lit("America/Chicago")).where("offer % 10 <> 0 OR weekday(day) <> 0").select("offer", "day")
+    s = schedules(t)
+    calendar = t.spark.range(8).select(F.date_add(F.lit("1998-06-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    local = lambda x: F.from_utc_timestamp(F.lit(x).cast("timestamp"), F.lit("America/Chicago"))     # noqa: E731
+    real = dated(t).where("offer % 10 <> 0 OR weekday(day) <> 0").select("offer", "day")
     false = s.where("offer % 11 = 0 AND until >= DATE '1998-06-03'").select("offer", F.lit("1998-06-03").cast("date").alias("day"))
-    return cal.dq_schedule(s, real.union(false).distinct(), calendar).groupBy("verdict", "missing", "extra").agg(F.count("*").alias("n"))
+    return cal.dq_schedule(s, real.union(false).distinct(), calendar, local(START), local(END)).groupBy("verdict", "missing", "extra").agg(F.count("*").alias("n"))

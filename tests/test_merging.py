@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from offerlake.operators import fuzzy
+from offerlake.operators.merging import dd_regular_merge
 from offerlake.operators.orders import srt_pick_nine
 from offerlake.operators.windows import win_quota_replace
 from offerlake.session import work_path
@@ -38,6 +39,17 @@ def test_leaders_are_the_greedy_ones(spark):
     assert {x["node"]: x["lead"] for x in got.collect()} == want
 
 
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 1000, []
+    monkeypatch.setattr(fuzzy, "chain_leaders", lambda *a, f=fuzzy.chain_leaders: rounds.append(1) or f(*a))
+    nodes = spark.range(n).selectExpr("id AS node", "id AS rank")
+    got = {x["node"]: x["lead"] for x in fuzzy.first_leaders(nodes, spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")).collect()}
+    assert got == {i: i - i % 2 for i in range(n)} and len(rounds) <= 2
+    keyed = spark.range(n).selectExpr("id AS node", "explode(array(concat('k', id), concat('k', id + 1))) AS key")          # the same path by shared keys
+    got = {x["node"]: x["lead"] for x in fuzzy.first_leaders(nodes, None, keyed).collect()}
+    assert got == {i: i - i % 2 for i in range(n)} and len(rounds) <= 4
+
+
 def test_similar_pairs_are_all_pairs(spark):
     r = random.Random(6)
     sets = [(i, "b", sorted({f"w{r.randrange(9)}" for _ in range(r.randrange(1, 6))})) for i in range(40)]
@@ -62,7 +74,7 @@ def test_price_clash_and_agreement(spark):
     rows = [("l1", "c", "list", "A", "Acme", "Get a turkey lunch plate for $9.99", [0], 9.99), ("l2", "c", "list", "B", "Acme", "Get a turkey lunch plate for $14.49", [0], 14.49), ("l3", "c", "list", "C", "Acme", "Turkey lunch plate now for $9.99 only", [0], 9.99)]
     df = spark.createDataFrame(rows, "id string, chain string, origin string, source string, brand string, offer string, days array<int>, price double").withColumns(
         {"pct": F.lit(None).cast("double"), "regular": F.lit(None).cast("double"), "bogo": F.lit(""), "summary": F.lit(""), "until": F.lit(None).cast("date"), "url": F.lit("")})
-    kept, reasons = fuzzy.dd_regular_merge(df)
+    kept, reasons = dd_regular_merge(df)
     assert [x["price"] for x in kept.collect()] == [9.99]                                            # two sources agree on it
     assert [x["n"] for x in reasons.collect()] == [1]
 
@@ -85,7 +97,7 @@ def test_quota(spark):
 
 def test_read_log_stream(spark):
     r, t0 = random.Random(8), datetime(2026, 1, 1)
-    rows = sorted((k, t0 + timedelta(minutes=r.randrange(2000)), r.random() < 0.6) for k in range(3) for _ in range(40))
+    rows = sorted((k, t0 + timedelta(minutes=m), r.random() < 0.6) for k in range(3) for m in r.sample(range(2000), 40))     # reads of one key and time count once
     path = work_path(spark, "reads")
     spark.createDataFrame(rows, "key bigint, checked_at timestamp, found boolean").coalesce(1).write.parquet(path)
     stream = spark.readStream.schema("key bigint, checked_at timestamp, found boolean").parquet(path)

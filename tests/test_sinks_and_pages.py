@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from offerlake.functions.entities import fn_unescape
-from offerlake.operators import fuzzy
+from offerlake.operators.merging import dd_regular_merge
 from offerlake.operators.aggregates import agg_merchant_table
 from offerlake.operators.quality import page_offer
 from offerlake.operators.textjoins import jn_dictionary_scan
@@ -106,9 +106,9 @@ def test_an_offer_with_hours_is_no_everyday_offer(spark):
     row = lambda i, hours: (i, "c1", "list", "l1", "Acme", f"Lunch plate {i} for $9.99", [0, 1, 2, 3, 4], 9.99, None, None, "", "", None, "", hours)
     schema = ("id string, chain string, origin string, source string, brand string, offer string, days array<int>, price double, pct double, regular double, bogo string, summary string, until date, url string, "
               "hours array<struct<a:int,b:int>>")
-    kept, reasons = fuzzy.dd_regular_merge(spark.createDataFrame([row("x", [(50400, 61200)])], schema))
+    kept, reasons = dd_regular_merge(spark.createDataFrame([row("x", [(50400, 61200)])], schema))
     assert [r.id for r in kept.collect()] == ["x"] and reasons.count() == 0
-    kept, reasons = fuzzy.dd_regular_merge(spark.createDataFrame([row("y", None)], schema))
+    kept, reasons = dd_regular_merge(spark.createDataFrame([row("y", None)], schema))
     assert kept.count() == 0 and reasons.first().reason.endswith("not tied to a day or time")
 
 
