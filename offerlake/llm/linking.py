@@ -17,40 +17,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from offerlake.operators.graph import components
 from offerlake.session import cut
 
 BINS, FRAGMENTS = 128, 8
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link, root being the least node it can reach. Alternates large-star and small-star (Kiveris et al. 2014)
-    until all links are stars; the number of rounds grows with the logarithm of the longest chain."""
-    def stars(sym: DataFrame, keep: Column) -> DataFrame:
-        """Of the links (u, v) of each u: its least neighbour or itself, m, and the links to m of the neighbours that `keep` names."""
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return sym.join(least, "u").where(keep).select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).where("a <> b")
-
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    size = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-    before = size(edges)
-    while before[0]:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = cut(stars(both, F.col("v") > F.col("u")).distinct())
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.distinct())
-        after = size(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def sketch(hashes: np.ndarray) -> bytes:
     return np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes()
 
@@ -84,7 +60,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, parts: DataFrame, p: int, q: int)
             tables = [np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, BINS) for s in (x, y)]
             yield pd.Series(may_link(n.to_numpy(), m.to_numpy(), differences(*tables), p, q))
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(open_("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b", "n_a", "n_b")
+    close = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(open_("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b", "n_a", "n_b"))
+    parts = only_wanted(parts, close.select(F.explode(F.array("a", "b")).alias("node")), "node")
     met = close.join(parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x")), "a").join(parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
     counted = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("partial")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("partial").alias("shared"))
     return counted.where(q * F.col("shared") >= p * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
@@ -161,6 +138,13 @@ def connect(met: DataFrame, nodes: DataFrame, parts: DataFrame, p: int, q: int,
         found = cut(found.unionByName(check(headed(apart))).distinct())
 
 
+def only_wanted(texts: DataFrame, wanted: DataFrame, key: str, at_most: int = 2_000_000) -> DataFrame:
+    """The rows of `texts` whose `key`, a 64-bit hash, is one of the distinct ones of `wanted`. Up to `at_most` of them (about 50 MB) are sent to the
+    tasks, so that other texts are never shuffled; more than that are joined by a shuffle, with the same rows."""
+    some = cut(wanted.select(key).distinct())
+    return texts.join(F.broadcast(some) if some.count() <= at_most else some, key, "left_semi")
+
+
 def parts_of(texts: DataFrame, hashes: Callable[[str | None], np.ndarray]) -> DataFrame:
     """The fragments of the sets of `texts` (node, text)."""
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

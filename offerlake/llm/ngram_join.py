@@ -124,7 +124,9 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     met = cut(postings.join(shared, "key").distinct())
     wanted = cut(rows.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"), F.min("n").cast("bigint").alias("n"), F.min(F.hex("sketch")).alias("sketch"))
                  .withColumn("sketch", F.unhex("sketch")))
-    texts = docs.select(F.md5(F.col(text)).alias("mark"), F.col(text).alias("text")).join(wanted.select("mark", "node"), "mark").dropDuplicates(["node"])
+    marked = wanted.select("mark", "node", F.xxhash64("mark").alias("short"))
+    texts = docs.select(F.md5(F.col(text)).alias("mark"), F.col(text).alias("text")).withColumn("short", F.xxhash64("mark"))
+    texts = linking.only_wanted(texts, marked, "short").join(marked, ["short", "mark"]).dropDuplicates(["node"])
     parts = cut(linking.parts_of(texts, lambda t: ngrams(t, size)))
     links = linking.connect(met, wanted, parts, p, q)
     roots = linking.components(links)
