@@ -5,16 +5,18 @@ agree in at least `blocks - d` of `blocks` blocks, so they meet under the key of
 Hamming distance. Equal fingerprints are one from the start, so copies never make pairs. A key with more than `small` fingerprints makes
 no pairs either: each of its fingerprints is listed under the words one bit away from it (in the bits outside the key), and two
 fingerprints within two bits share such a word. That finds the same links through words instead of pairs and grows with the
-number of fingerprints only. Links become classes by alternating large-star and small-star steps (Kiveris et al. 2014).
+number of fingerprints only. Links become classes by alternating large-star and small-star steps (`graph.components`).
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle make one shingle
-of all words; repeated rows have the same fingerprint and class; an empty table gives no rows; the id may be any integer type; extra
+of all words; repeated rows have the same fingerprint and class; a very long text is taken whole, in memory in proportion to its length; an
+empty table gives no rows; the id may be any integer type; extra
 columns, also of the names made here, are left out of the result of `near_duplicates`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -24,9 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from offerlake.operators.graph import components
 from offerlake.session import cut
 
+from . import linking
 from .catalog import query, table
+from .ngram_join import ngrams
 
 CHUNK = 1 << 16
 
@@ -106,31 +111,6 @@ def links(fps: DataFrame, bits: int = 2, blocks: int = 4, small: int = 24) -> Da
     return pairs.unionByName(far).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link, root being the least node it can reach. Alternates large-star and small-star until all
-    links are stars; the number of rounds grows with the logarithm of the longest chain."""
-    def stars(sym: DataFrame, keep: Column) -> DataFrame:
-        """Of the links (u, v) of each u: its least neighbour or itself, m, and the links to m of the neighbours that `keep` names."""
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return sym.join(least, "u").where(keep).select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).where("a <> b")
-
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    size = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-    before = size(edges)
-    while before[0]:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = cut(stars(both, F.col("v") > F.col("u")).distinct())
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.distinct())
-        after = size(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def classes(fps: DataFrame, bits: int = 2, blocks: int = 4) -> DataFrame:
     """(fp, component_id) from the rows (doc_id, fp): the least doc_id that a fingerprint can reach."""
     firsts = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -152,22 +132,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 # ---- near copies by shared shingles ------------------------------------------------------------------------------------------------
 # Texts that share four fifths of their five-word shingles differ in five to ten bits, which no split into blocks finds at a bearable price.
-# For deduplication their candidates come from bands of minimum hashes; every candidate is then checked on its whole shingle sets.
-
-BANDS, ROWS = 20, 5
+# For deduplication their candidates come from bands of minimum hashes; `linking` settles each band key exactly, on the whole shingle sets.
 
-
-def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's shingles; of all its words together if they are fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1:].tolist())
-    return np.unique(np.fromiter((digest(joined[a:b], 7) for a, b in spans), dtype=np.uint64, count=n))
+BANDS, ROWS, WORDS = 20, 5, 5
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -175,104 +142,38 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     rnd = np.random.default_rng(4)
     by = rnd.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        x = hashes[at:at + 4096][None, :] * by[:, None]
+    for at in range(0, len(hashes), 1024):
+        x = hashes[at:at + 1024][None, :] * by[:, None]
         np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=1), out=least)
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
 
 
 def marks_of(text: Column, shingle: int, with_bands: bool) -> Column:
-    """The fingerprint of a text, and the keys of its bands."""
-    @pandas_udf("fp bigint, bands array<bigint>")
+    """The fingerprint of a text, and of the set of its five-word shingles the size, the sketch and the keys of its bands."""
+    @pandas_udf("fp bigint, n bigint, sketch binary, bands array<bigint>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        none = np.empty(0, dtype=np.uint64)
         for part in parts:
-            hashes = (shingle_hashes(t) if with_bands else () for t in part)
-            yield pd.DataFrame({"fp": pd.Series([simhash(t, shingle) for t in part], dtype="int64"), "bands": pd.Series([band_keys(h) if len(h) else np.empty(0, dtype=np.int64) for h in hashes], dtype=object)})
+            for at in range(0, max(1, len(part)), 256):     # results leave in small batches
+                out = []
+                for t in part.iloc[at:at + 256]:
+                    h = ngrams(t, WORDS) if with_bands else none
+                    out.append((simhash(t, shingle), len(h), linking.sketch(h), band_keys(h) if len(h) else none.view(np.int64)))
+                yield pd.DataFrame(out, columns=["fp", "n", "sketch", "bands"])
     return of(text)
 
 
-def near_copies(docs: DataFrame, rows: DataFrame, text: str, at_least: float, small: int = 12) -> DataFrame:
+def near_copies(docs: DataFrame, rows: DataFrame, text: str, at_least: float, block: int = 512) -> DataFrame:
     """Links (a, b) between the marks of texts that share at least `at_least` of their five-word shingles, enough to connect all such texts
-    that meet in a band. `rows` has mark and bands. Every link is a true one.
-
-    Copies of a text are one mark. In a band, up to `small` marks of one key are paired. Of more, each is first paired with a head: the mark
-    that meets the most others over all bands, which is the original where the rest are its edited copies. Marks that are not connected
-    to the largest class of their key then try a head of their own, for as long as that settles half of them; marks of keys that still
-    hold several classes are joined exactly (`across`). Only texts in a pair are read again for the check."""
-    keyed = rows.dropDuplicates(["mark"]).select("mark", F.posexplode("bands").alias("band", "key"))
-    sizes = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = keyed.join(sizes, ["band", "key"])
-    few = met.where(F.col("n") <= small).groupBy("band", "key").agg(F.sort_array(F.collect_list("mark")).alias("all"))
-    pairs = few.select(F.inline(F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, small), lambda b: F.struct(a.alias("a"), b.alias("b")))))))
-    weights = met.groupBy("mark").agg(F.sum("n").alias("weight"))
-    crowded = cut(met.where(F.col("n") > small).join(weights, "mark").select("band", "key", "mark", "weight"))
-
-    def headed(group: DataFrame) -> DataFrame:
-        """Each mark of a key with its key's head."""
-        heads = group.groupBy("band", "key").agg(F.max(F.struct("weight", "mark"))["mark"].alias("head"))
-        return group.join(heads, ["band", "key"]).where("mark <> head").select(F.least("head", "mark").alias("a"), F.greatest("head", "mark").alias("b"))
-
-    @pandas_udf("array<bigint>")
-    def whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            for at in range(0, len(part), 256):     # results leave in small batches
-                yield pd.Series([shingle_hashes(t).view(np.int64) for t in part.iloc[at:at + 256]], dtype=object)
-    pairs = cut(pairs.unionByName(headed(crowded)).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    mine = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("_text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
-    sets = cut(mine.select("mark", whole(F.col("_text")).alias("set")))     # every mark of a crowded key is in a pair with its head
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("mark").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("mark").alias("b"), F.col("set").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= at_least * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    found = cut(alike(pairs))
-    if crowded.isEmpty():
-        return found
-    left, before = crowded.select("band", "key", "mark", "weight"), None
-    while True:
-        # the marks of keys with more than one class; `root` is a mark's class
-        left = left.join(components(found).withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        parts = left.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("band", "key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.count("*").alias("classes")).where("classes > 1")
-        left = cut(left.join(largest.drop("classes"), ["band", "key"]))
-        apart = left.where("root <> largest")
-        now = apart.count()
-        if not now:
-            return found
-        if before is not None and 2 * now > before:
-            return found.unionByName(alike(across(left.select("mark", "root").distinct(), sets, at_least)))
-        before = now
-        found = cut(found.unionByName(alike(headed(apart).distinct())).distinct())
-        left = left.select("band", "key", "mark", "weight")
-
-
-def across(open_: DataFrame, sets: DataFrame, at_least: float, some: int = 48) -> DataFrame:
-    """Pairs (a, b) of marks with different `root`, among them all that share `at_least` of their sets.
-
-    Two sets that share so much have an element in common among the first of each, in any one order of the elements (prefix filter); the order
-    is rarest first, so the first are seldom shared by chance. An element with many marks is dealt out in blocks of about `some` marks, and
-    each two blocks meet in a group of their own, so no group grows. Sizes and places that rule a pair out are looked at before it is made."""
-    slack = 1e-6
-    each = open_.join(sets, "mark").select("mark", "root", F.size("set").alias("n"), F.explode("set").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = each.join(often, "s").groupBy("mark", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    # elements that no other set has come first and take up places
-    first = F.floor(F.col("n") - at_least * F.col("n") + slack).cast("int") + 1 - (F.col("n") - F.size("all"))
-    lone = F.col("n") - F.size("all")
-    begun = cut(ordered.where(first > 0).select("mark", "root", "n", lone.alias("lone"), F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "e"))
-                .select("mark", "root", "n", (F.col("lone") + F.col("at")).alias("at"), "e.s"))
-    many = begun.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("s", F.ceil(F.col("c") / some).alias("c"))
-    dealt = begun.join(many, "s").withColumn("mine", F.pmod(F.xxhash64("mark", "s"), F.col("c"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)))
-    met = (dealt.groupBy("s", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-           .agg(F.sort_array(F.collect_list(F.struct("mark", "root", "n", "at", "mine"))).alias("all")))
-    rest = lambda x: x["n"] - x["at"]
-    may = lambda a, b: ((a["root"] != b["root"]) & ((F.col("lo") == F.col("hi")) | (a["mine"] != b["mine"]))
-                        & (F.least(a["n"], b["n"]) + slack >= at_least * F.greatest(a["n"], b["n"]))
-                        & (F.least(rest(a), rest(b)) + slack >= at_least / (1 + at_least) * (a["n"] + b["n"])))
-    pair = F.transform("all", lambda a, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda b: may(a, b)), lambda b: F.struct(a["mark"].alias("a"), b["mark"].alias("b"))))
-    return met.where(F.size("all") > 1).select(F.inline(F.flatten(pair))).distinct()
+    that meet in a band. `rows` has mark, n, sketch and bands. Every link is a true one. Copies of a text are one mark."""
+    share = Fraction(at_least).limit_denominator(1000)
+    postings = rows.select(F.col("mark").alias("node"), F.explode("bands").alias("key"))
+    shared = postings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    met = cut(postings.join(shared, "key").distinct())
+    nodes = cut(rows.withColumnRenamed("mark", "node").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    texts = linking.only_wanted(docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(text).alias("text")), nodes, "node").dropDuplicates(["node"])
+    parts = cut(linking.parts_of(texts, lambda t: ngrams(t, WORDS)))
+    return linking.connect(met, nodes, parts, share.numerator, share.denominator, block)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bits: int = 2, blocks: int = 4, at_least: float | None = 0.8) -> DataFrame:

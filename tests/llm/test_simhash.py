@@ -135,13 +135,13 @@ def test_crowded_bands_lose_no_class(spark):
     for _ in range(30):
         one = passage + words(40)
         sources += [one, edited(one, [150])] if rnd.random() < 0.5 else [one]
-    for texts, small in ((hub_and_edits, 12), (hub_and_edits[1:] + hub_and_edits[:1] + chain + sources, 12), (sources, 3)):
+    for texts, block in ((hub_and_edits, 512), (hub_and_edits[1:] + hub_and_edits[:1] + chain + sources, 10), (sources, 3)):
         docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
-        rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.array(F.lit(1).cast("bigint")).alias("bands"))
+        rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), S.marks_of(F.col("text"), 3, True).alias("m")).select("doc_id", "mark", "m.n", "m.sketch", F.array(F.lit(1).cast("bigint")).alias("bands"))
         mark = {r.doc_id: r.mark for r in rows.collect()}
         sets = {mark[i]: {tuple(t[j:j + 5]) for j in range(len(t) - 4)} for i, t in enumerate(texts)}
         like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-        edges = S.near_copies(docs, rows, "text", 0.8, small).collect()
+        edges = S.near_copies(docs, rows, "text", 0.8, block).collect()
         assert all(like(e.a, e.b) for e in edges)
 
         def classes(links):
