@@ -3,11 +3,13 @@
 The pieces and log scores of a vocabulary file are put into a double-array trie over UTF-8 bytes; a text, with a space put before it and
 every space turned into the marker U+2581, is cut into the pieces with the greatest sum of scores (Viterbi; of equal sums, the path whose
 last piece starts first). A character that no piece covers costs the least score less 10 and becomes its bytes' pieces. Where no piece
-has a marker after another character, as is usual, a text is the chain of its words, so words are cut one by one and remembered.
+has a marker after another character, as is usual, a text is the chain of its words: each distinct word of some texts is cut once, all that are
+not remembered together, in steps over all of them.
 Decoding puts the pieces' bytes together, turns markers into spaces and takes the space before the text off again.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; a marker in the text itself is taken apart into
-bytes, so decoding gives back every text exactly; repeated rows are encoded alike; other columns are kept, but for those made here.
+bytes, so decoding gives back every text exactly; repeated rows are encoded alike; very long texts are encoded whole, in memory in proportion to their
+length, runs without a space of over 128 characters one by one; an empty table gives no rows; other columns are kept, but for those made here.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from .catalog import query, table
 MARK, MARK_BYTES = "▁", "▁".encode()
 SPACE = b"\xfe"      # stands for the marker in the trie: a byte that UTF-8 does not have, so a marker of the text itself meets no piece
 WIDTH = [1 if b < 0xC0 or b >= 0xF8 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)]
+WIDTHS = np.array(WIDTH)
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -107,12 +110,14 @@ def build(vocabulary: dict) -> dict:
 
 
 class Encoder:
-    """Encodes and decodes with one built vocabulary. Short words are remembered in two generations of at most `remembered` words: when
-    the young one is full it becomes the old one, and words met again move to the new one."""
+    """Encodes and decodes with one built vocabulary. The ids of short units are remembered, up to about `remembered` units; the units of some
+    texts that are not are cut all at once."""
 
-    def __init__(self, built: dict, remembered: int = 150_000):
-        self.built, self.known, self.older, self.remembered = built, {}, {}, remembered
+    def __init__(self, built: dict, remembered: int = 200_000, long: int = 128):
+        self.built, self.known, self.remembered, self.long = built, {}, remembered, long
         self.unit = re.compile(r" *[^ ]+| +" if built["by_word"] else r"(?s).+")
+        self.base, self.check, self.value, self.ids = (np.array(built[k], dtype=np.int32) for k in ("base", "check", "value", "ids"))
+        self.scores = np.array(built["scores"], dtype=np.float64)
 
     def cut(self, unit: str) -> bytes:
         """The ids, as int32 bytes, of the best way through a unit whose spaces stand for markers."""
@@ -150,24 +155,77 @@ class Encoder:
         out.reverse()
         return out.tobytes()
 
+    def cut_all(self, units: list[str]) -> list[bytes]:
+        """`cut` of many short units in steps over all of them: first every piece that begins at any character, by walking the trie from all
+        characters together; then the best way to each end, the first ends of all units, the second ends, and so on."""
+        raws = [u.encode().replace(b" ", SPACE) for u in units]
+        lengths = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))
+        flat = np.frombuffer(b"\xff".join(raws) + b"\xff", dtype=np.uint8).astype(np.int32)        # a byte of no piece ends each unit
+        lasts = np.cumsum(lengths + 1) - 1
+        firsts = lasts - lengths
+        begins = np.flatnonzero(((flat < 0x80) | (flat >= 0xC0)) & (flat != 0xFF))
+        widths = WIDTHS[flat[begins]]
+        start, state, depth, edges, own = begins, np.zeros(len(begins), dtype=np.int32), 0, [], np.zeros(len(flat), dtype=bool)
+        while len(start):
+            to = self.base[state] + flat[start + depth]
+            on = self.check[to] == state
+            start, state, depth = start[on], to[on], depth + 1
+            v = self.value[state]
+            hit = v >= 0
+            edges.append((start[hit], start[hit] + depth, v[hit]))
+            own[start[hit & (WIDTHS[flat[start]] == depth)]] = True
+        bare = ~own[begins]
+        edges.append((begins[bare], begins[bare] + widths[bare], np.full(int(bare.sum()), -1, dtype=np.int32)))
+        start, end, v = (np.concatenate(x) for x in zip(*edges))
+        step = end - np.repeat(firsts, lengths + 1)[end]
+        order = np.lexsort((start, end, step))
+        start, end, v, step = start[order], end[order], v[order], step[order]
+        score = np.where(v >= 0, self.scores[v], self.built["unknown"])
+        best, came, piece = np.zeros(len(flat)), np.zeros(len(flat), dtype=np.int64), np.full(len(flat), -1, dtype=np.int32)
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+        for a, b in zip(cuts, cuts[1:]):
+            ends, sums = end[a:b], best[start[a:b]] + score[a:b]
+            group = np.flatnonzero(np.diff(ends, prepend=-1))
+            top = np.maximum.reduceat(sums, group)
+            sizes = np.diff(group, append=b - a)
+            first = np.minimum.reduceat(np.where(sums == np.repeat(top, sizes), np.arange(b - a), b - a), group)      # of equal sums the first start
+            best[ends[group]], came[ends[group]], piece[ends[group]] = top, start[a:b][first], v[a:b][first]
+        path, at, floor = np.zeros(len(flat), dtype=bool), lasts, firsts
+        while len(at):
+            path[at] = True
+            at = came[at]
+            on = at > floor
+            at, floor = at[on], floor[on]
+        ends = np.flatnonzero(path)
+        v = piece[ends]
+        ids = self.ids[v]
+        unit = np.searchsorted(lasts, ends)
+        if (v < 0).any():
+            spelled = [self.built["bytes"][x] if i < 0 else x for e, i, y in zip(ends.tolist(), v.tolist(), ids.tolist())
+                       for x in ([y] if i >= 0 else MARK_BYTES if flat[came[e]] == SPACE[0] else flat[came[e]:e].tolist())]
+            counts = np.where(v >= 0, 1, np.where(flat[came[ends]] == SPACE[0], len(MARK_BYTES), ends - came[ends]))
+            ids, unit = np.array(spelled, dtype=np.int32), np.repeat(unit, counts)
+        raw, upto = ids.astype(np.int32).tobytes(), (4 * np.searchsorted(unit, np.arange(len(units) + 1))).tolist()
+        return [raw[a:b] for a, b in zip(upto, upto[1:])]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; a unit of the texts is cut once."""
+        if len(self.known) > self.remembered:
+            self.known = {}
+        units = [self.unit.findall(" " + t) if t else [] for t in texts]
+        new = list(set().union(*units) - self.known.keys())
+        short, long = [u for u in new if len(u) <= self.long], [u for u in new if len(u) > self.long]
+        for at in range(0, len(short), 1 << 16):
+            some = short[at:at + (1 << 16)]
+            self.known.update(zip(some, self.cut_all(some)))
+        self.known.update((u, self.cut(u)) for u in long)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, us)), dtype=np.int32) for us in units]
+        for u in long:
+            del self.known[u]
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype=np.int32)
-        units = self.unit.findall(" " + text)
-        out = list(map(self.known.get, units))
-        for i, ids in enumerate(out):
-            if ids is None:
-                out[i] = self.learned(units[i])
-        return np.frombuffer(b"".join(out), dtype=np.int32)
-
-    def learned(self, unit: str) -> bytes:
-        """The ids of a unit that the young generation does not know (any more, or yet)."""
-        ids = self.known.get(unit) or self.older.get(unit) or self.cut(unit)
-        if len(unit) <= 32:
-            if len(self.known) >= self.remembered:
-                self.known, self.older = {}, self.known
-            self.known[unit] = ids
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.built["table"].__getitem__, ids))
@@ -182,7 +240,8 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) ->
     def cut_up(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(shared.value)
         for part in parts:
-            yield pd.Series([encoder.encode(t) for t in part], dtype=object)
+            for at in range(0, max(1, len(part)), 128):
+                yield pd.Series(encoder.encode_all(part.iloc[at:at + 128].tolist()), dtype=object)
     return docs.withColumn("token_ids", cut_up(F.col(text)))
 
 
@@ -198,7 +257,7 @@ def decode(tokens: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULA
     return tokens.withColumn("decoded", joined(F.col(ids)))
 
 
-def encode_and_check(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, at_once: int = 256) -> DataFrame:
+def encode_and_check(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, at_once: int = 128) -> DataFrame:
     """`docs` with `token_ids`, and of the text they decode to `decoded_sha256` and `round_trip`, whether it is the text. Both ways are gone
     in one pass over the rows, and results leave in small batches, so a worker holds little beside its input."""
     shared = docs.sparkSession.sparkContext.broadcast(build(read_vocabulary(vocabulary)))
@@ -207,13 +266,13 @@ def encode_and_check(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
     def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value)
 
-        def row(given: str | None) -> tuple:
-            ids = encoder.encode(given)
+        def row(given: str | None, ids: np.ndarray) -> tuple:
             decoded = encoder.decode(ids.tolist())
             return ids, hashlib.sha256(decoded.encode()).hexdigest(), decoded == (given or "")
         for part in parts:
             for at in range(0, len(part), at_once):
-                yield pd.DataFrame([row(t) for t in part.iloc[at:at + at_once]], columns=["token_ids", "decoded_sha256", "round_trip"])
+                some = part.iloc[at:at + at_once].tolist()
+                yield pd.DataFrame([row(t, ids) for t, ids in zip(some, encoder.encode_all(some))], columns=["token_ids", "decoded_sha256", "round_trip"])
             if not len(part):
                 yield pd.DataFrame({"token_ids": [], "decoded_sha256": [], "round_trip": []})
     return docs.withColumn("_both", both(F.col(text))).select("*", "_both.*").drop("_both")
