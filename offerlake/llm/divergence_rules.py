@@ -9,7 +9,7 @@ which are reduced in the tasks first.
 Defined results: null text counts as empty; empty and short texts fail the base rules; a null language has no reference of its own but its
 documents are judged against the others; where a document's own language has no reference (too few words of it in the table), or none has, the
 base verdict holds and the distances are null, so a rare language is not measured against foreign words; repeated rows are judged alike and count
-as often as they occur; extra columns, also of the names made here, are ignored and, in `judge`, kept unless replaced.
+as often as they occur; very long texts are taken whole, inside the row; an empty table gives no rows; extra columns, also of the names made here, are ignored and, in `judge`, kept unless replaced.
 """
 
 from __future__ import annotations
@@ -52,9 +52,9 @@ def repeat_words(w: Column) -> Column:
 def base_rules(text: Column) -> Column:
     """A struct of the counts of a text that is not null."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = bind(words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    counts = bind(words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
     return bind(counts, lambda c: F.struct(
-        c["n_words"].alias("n_words"), (F.length(text) - taken(text, BLANK)).cast("bigint").alias("word_chars"), taken(text, SYMBOLS).cast("bigint").alias("n_symbols"),
+        c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), taken(text, SYMBOLS).cast("bigint").alias("n_symbols"),
         bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")).alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"),
         ((c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])).alias("base_failed")))
 
@@ -67,8 +67,12 @@ def plain_words(text: Column) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    first = F.array(*[taken(text, p).cast("double") for p in CLASSES])
-    return bind(first, lambda c: F.concat(c, F.array(F.length(text) - F.reduce(c, F.lit(0.0), lambda a, b: a + b))))
+    """Characters of each class, the last one for all others. A class is looked for in what the classes before it have left."""
+    def counted(left: Column, patterns: list[str], so_far: list[Column]) -> Column:
+        if not patterns:
+            return F.array(*so_far, F.length(left).cast("double"))
+        return bind(F.regexp_replace(left, patterns[0], ""), lambda rest: counted(rest, patterns[1:], [*so_far, (F.length(left) - F.length(rest)).cast("double")]))
+    return counted(text, CLASSES, [])
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = 0.002, min_words: int = 2000) -> list[dict]:
