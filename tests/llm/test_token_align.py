@@ -87,14 +87,16 @@ def test_equal_to_loops_over_byte_ranges(spark, slow):
         assert {(r.a, r.b): (r["count"], r.best) for r in pairs.collect()} == {p: (n, n == most[p[0]]) for p, n in count.items()}
 
 
-def test_remembered_pieces_are_what_the_libraries_say(slow):
+def test_both_ways_of_encoding_say_the_same(slow):
     aligner = T.Aligner(*T.files(T.BYTE_BPE, T.PIECE_BPE))
-    aligner.a.remembered = aligner.b.remembered = 50        # generations change many times
-    for text in ODD + pq.read_table(SAMPLE).column("text").to_pylist()[:30]:
-        a, b, _, _, groups = aligner.align(text)
-        want = slow(text[:20000] if text else text) if not text or len(text) <= 20000 else None
-        if want:
-            assert (a.tolist(), b.tolist(), groups.decode()) == (want[0], want[1], ";".join(want[3]))
+    assert aligner.quick is not None
+    texts = [t for t in ODD + pq.read_table(SAMPLE).column("text").to_pylist() if not t or len(t) <= 20000]
+    for text, (a, b, _, _, groups) in zip(texts, aligner.aligned(texts, 3)):
+        if text and a.size:
+            assert a.tolist() == aligner.a.encode(" " + text, add_special_tokens=False).ids
+    for text, (a, b, _, _, groups) in zip(texts[:60], aligner.aligned(texts[:60], 3)):
+        want = slow(text)
+        assert (a.tolist(), b.tolist(), groups.decode()) == (want[0], want[1], ";".join(want[3]))
 
 
 def test_tables_of_all_kinds(spark, slow):
