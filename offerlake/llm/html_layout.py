@@ -11,7 +11,7 @@ table cells in columns. A column is as wide as its widest cell up to `WIDE` char
 
 The tree is walked without recursion, so depth has no limit; time and memory are in proportion to the page.
 
-Defined results: a null page has null text, an empty page or one with nothing visible has empty text; a page may be anything, text without tags comes out as one
+Defined results: an empty table gives no rows and repeated rows have the same text; a null page has null text, an empty page or one with nothing visible has empty text; a page may be anything, text without tags comes out as one
 paragraph; repeated rows come out alike; other columns are kept, except one named `text`, which is replaced.
 """
 
@@ -52,6 +52,7 @@ IMPLIED = {
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 SCOPES = frozenset("table td th caption button object template html applet marquee".split())
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+LOOSE = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|((?!))((?!))", re.S)     # the same without start tags
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDES = {"display": {"none"}, "visibility": {"hidden", "collapse"}, "content-visibility": {"hidden"}}
 HIDING = re.compile("display|visibility", re.I)
@@ -87,7 +88,7 @@ def declared(body: str) -> dict[str, tuple[bool, bool]]:
     for one in body.split(";"):
         name, _, value = one.partition(":")
         name, (value, _, mark) = name.strip().lower(), value.lower().partition("!")
-        if name in HIDES and value.strip():
+        if name in HIDES and value.strip() and value.strip() not in ("inherit", "unset"):
             important = mark.strip() == "important"
             if important or not out.get(name, (False,))[0]:
                 out[name] = (important, value.strip() in HIDES[name])
@@ -148,8 +149,11 @@ def parse(page: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
             if stack[depth].tag in stops:
                 return
 
+    last = page.rfind(">") + 1          # no start tag ends after it, so none is looked for there
     while at < end:
-        found = TOKEN.search(page, at)
+        found = TOKEN.search(page, at, last) if at < last else None
+        if not found or found.end() == last and found[0].startswith(("<!--", "<![CDATA[")):
+            found = LOOSE.match(page, found.start()) if found else LOOSE.search(page, at)
         start = found.start() if found else end
         if start > at:
             stack[-1].kids.append(html.unescape(page[at:start]))
@@ -210,17 +214,18 @@ def parse(page: str) -> tuple[Node, dict[str, dict[str, tuple]]]:
     return root, hidden
 
 
-def is_hidden(node: Node, hidden: dict[str, dict[str, tuple]], drawn: bool) -> bool:
-    """`drawn`: the node is in a drawing, where other tags hold no text and attributes may hide."""
+def is_hidden(node: Node, hidden: dict[str, dict[str, tuple]], drawn: bool) -> tuple[bool, bool | None]:
+    """Whether the node and all in it are not there, and whether its own text is unseen; None: as its parent's, which is how `visibility` goes down.
+    `drawn`: the node is in a drawing, where other tags hold no text and attributes may hide."""
     if node.tag in UNSEEN or drawn and node.tag in UNDRAWN:
-        return True
+        return True, None
     lower = node.attrs.lower()
     named = node.attrs and (hidden or drawn or "hidden" in lower or "style" in lower)
     if not (hidden or named or node.tag == "dialog"):
-        return False
+        return False, None
     attrs = attributes(node.attrs)
     if named and ("hidden" in attrs or node.tag == "input") or node.tag == "dialog" and "open" not in attrs:
-        return True
+        return True, None
     best: dict[str, tuple] = {}
     if drawn:
         best = {name: ((False,), attrs[name].strip().lower() in HIDES[name]) for name in ("display", "visibility") if name in attrs}
@@ -230,7 +235,8 @@ def is_hidden(node: Node, hidden: dict[str, dict[str, tuple]], drawn: bool) -> b
                 best[name] = max(best.get(name, rule), rule)
     for name, (important, hides) in declared(attrs.get("style", "")).items():
         best[name] = max(best.get(name, ((False,), False)), ((important, True), hides))
-    return any(hides for _, hides in best.values())
+    seen = best.pop("visibility", (None, None))[1]
+    return any(hides for _, hides in best.values()), seen
 
 
 class Writer:
@@ -325,6 +331,10 @@ class Table:
         return out
 
 
+def whole(text: str | None, otherwise: int) -> int:
+    return int(text) if text is not None and re.fullmatch(r"-?\d{1,9}", text.strip()) else otherwise
+
+
 def render(page: str | None) -> str | None:
     """The visible text of a page."""
     if page is None:
@@ -332,17 +342,19 @@ def render(page: str | None) -> str | None:
     root, hidden = parse(page)
     writers, tables, lists, pre = [Writer()], [], [], 0
     drawn: list[str] = []       # the open drawings, and the labels and pages in them
+    unseen = [False]            # of the open nodes, whether their own text is hidden
     todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, enter = todo.pop()
         out = writers[-1]
         if isinstance(node, str):
-            if not drawn or drawn[-1] != "svg":
+            if not unseen[-1] and (not drawn or drawn[-1] != "svg"):
                 out.verbatim(node) if pre else out.text(node)
             continue
         tag = node.tag
         if enter:
-            if is_hidden(node, hidden, bool(drawn) and drawn[-1] != "foreignobject"):
+            gone, own = is_hidden(node, hidden, bool(drawn) and drawn[-1] != "foreignobject")
+            if gone:
                 continue
             if tag == "br":
                 out.gap, out.space = out.gap + 1 if not out.empty else 0, False
@@ -360,20 +372,25 @@ def render(page: str | None) -> str | None:
                 writers.append(Writer())
                 lists.append(None)
             elif tag in ("ul", "ol", "menu", "dir"):
-                first = attributes(node.attrs).get("start", "1") if tag == "ol" else ""
-                lists.append([int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1] if tag == "ol" else [])
+                attrs = attributes(node.attrs) if tag == "ol" else {}
+                back = "reversed" in attrs
+                n = sum(isinstance(k, Node) and k.tag == "li" for k in node.kids) if back else 1
+                lists.append([whole(attrs.get("start"), n), -1 if back else 1] if tag == "ol" else [])
             elif tag == "li":
                 counter = next((x for x in reversed(lists) if x is not None), None)
+                if counter:
+                    counter[0] = whole(attributes(node.attrs).get("value") if node.attrs else None, counter[0])
                 marker = f"{counter[0]}. " if counter else "- "
                 if counter:
-                    counter[0] += 1
-                out.marker = marker
+                    counter[0] += counter[1]
+                out.marker = "" if (unseen[-1] if own is None else own) else marker
                 out.indent.append(" " * len(marker))
             elif tag in ("blockquote", "dd"):
                 out.indent.append("  ")
             elif tag in ("pre", "listing", "xmp", "textarea"):
                 pre += 1
             todo.append((node, False))
+            unseen.append(unseen[-1] if own is None else own)
             kids = node.kids
             if tag == "details" and "open" not in attributes(node.attrs):
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
@@ -381,6 +398,7 @@ def render(page: str | None) -> str | None:
                 kids = [x for k in kids for x in (" ", k)]
             todo.extend((k, True) for k in reversed(kids))
             continue
+        unseen.pop()
         if tag in ("td", "th") and tables or tag == "caption":
             cell = writers.pop().result()
             lists.pop()

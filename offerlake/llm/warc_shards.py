@@ -221,7 +221,7 @@ def read_archive(spark: SparkSession, root: str, with_payload: bool = True) -> D
                             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-    return files.repartition("file").mapInArrow(read, READ)
+    return files.repartitionByRange(max(1, files.count()), "file").mapInArrow(read, READ)     # a stated number is kept: a task for each file
 
 
 @query("op8_warc_shards")

@@ -1,3 +1,4 @@
+import time
 import pytest
 
 from offerlake.llm import html_layout as H
@@ -85,3 +86,23 @@ SEEN = [
 @pytest.mark.parametrize("page, text", SEEN)
 def test_what_a_screen_shows_comes_out(page, text):
     assert H.render(page) == text
+
+
+def test_visibility_goes_down_and_can_come_back():
+    assert H.render('<div style="visibility:hidden">a<span style="visibility:visible">shown</span> b<p>c</p></div><p>d</p>') == "shown\n\nd"
+    assert H.render("<style>.x{visibility:hidden}.y{visibility:visible}</style><ul class=x><li>one<li class=y>two</ul>end") == "- two\n\nend"
+    assert H.render('<div style="display:none"><span style="visibility:visible">gone</span></div>x') == "x"
+
+
+def test_numbers_of_lists():
+    assert H.render("<ol reversed><li>a<li>b<li>c</ol>") == "3. a\n2. b\n1. c"
+    assert H.render("<ol start=4><li>a<li value=10>b<li>c<li value=x>d</ol>") == "4. a\n10. b\n11. c\n12. d"
+
+
+def test_open_tags_take_time_in_proportion():
+    for page in ("<a " * 350_000, "<a \"" * 250_000, ">" + "<a '" * 250_000, "<p>x</p>" + "<b <i" * 200_000):
+        start = time.process_time()
+        H.render(page)
+        assert time.process_time() - start < 3
+    assert H.render("a<!-- b > c") == "a" and H.render("x<![CDATA[ y > z") == "x" and H.render("a > b </i") == "a > b"
+    assert H.render("<p>one<!-- x --><b>two</b> <") == "onetwo <"

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert [n for n, _ in P.STAGES] == ["quality classifier", "quality rules", "SimHash near-dedup", "mixing", "SentencePiece encoding"]
 
 
