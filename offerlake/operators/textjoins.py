@@ -182,11 +182,14 @@ def jn_venue_rules(pois: DataFrame, rules: DataFrame) -> DataFrame:
     allowed = rules.select("ord", "venue", "types", "names", "brands")
     by_brand = allowed.select("ord", "venue", "types", F.explode("brands").alias("b")).select("ord", "venue", "types", fn_fold(F.col("b")).alias("_b")).where("_b <> ''")
     by_name = allowed.select("ord", "venue", "types", F.explode("names").alias("n")).select("ord", "venue", "types", fn_fold(F.col("n")).alias("_p")).where("_p <> ''")
-    starts = p.select("_n").distinct().where("_n <> ''").select("_n", F.explode(prefixes(F.col("_n"), 1)).alias("_p")).join(by_name, "_p").select("_n", "ord", "venue", "types")
-    hits = p.join(by_brand, "_b").select("ref", "type", "ord", "venue", "types").unionByName(p.join(starts, "_n").select("ref", "type", "ord", "venue", "types"))
+    # a name is looked up by its beginnings of the lengths that rules have
+    lengths = by_name.agg(F.collect_set(F.length("_p")).alias("_lengths"))
+    starts = p.select("ref", "type", "_n").crossJoin(F.broadcast(lengths)).select("ref", "type", "_n", F.explode("_lengths").alias("_k")).where(F.length("_n") >= F.col("_k")).select("ref", "type", F.substring("_n", F.lit(1), F.col("_k")).alias("_p"))
+    hits = p.join(by_brand, "_b").select("ref", "type", "ord", "venue", "types").unionByName(starts.join(by_name, "_p").select("ref", "type", "ord", "venue", "types"))
     fits = (F.size("types") == 0) | F.array_contains("types", F.col("type"))
     best = hits.where(fits).groupBy("ref").agg(F.min(F.struct("ord", "venue")).alias("b")).select("ref", "b.venue")
-    return pois.join(best, "ref", "left")
+    # as many rows as there are places, which a small file may hold: never sent to all by its planned size
+    return pois.join(best.hint("merge"), "ref", "left")
 
 
 def jn_merge_posts(posts: DataFrame) -> DataFrame:
