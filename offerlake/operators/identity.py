@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fn_norm
+from ..functions.amounts import bind
 from ..rules import products as P
 from ..session import cut
 from .wordwork import ci, got, matches, says
@@ -22,13 +23,13 @@ def models_of(title: Column, brand: Column) -> Column:
     styles = F.transform(F.regexp_extract_all(title, F.lit(P.STYLE_CODE), F.lit(1)), norm_model)
     tokens = F.transform(F.regexp_extract_all(title, F.lit(P.MODEL_TOKEN), F.lit(1)), lambda t: F.regexp_replace(t, r"^[.\-/]+|[.\-/]+$", ""))
 
-    def is_model(t: Column) -> Column:
-        n, letters = norm_model(t), F.regexp_replace(norm_model(t), "[^A-Z]", "")
-        digits = F.regexp_replace(n, r"\D", "")
-        return ((F.length(n) >= 4) & (F.length(digits) >= 2) & (letters != "") & ~n.rlike(P.SPEC) & ~F.replace(F.upper(t), F.lit("-"), F.lit("")).rlike(P.SPEC)
-                & ~(n.rlike(r"^\d+[A-Z]{1,2}$") & ~n.rlike(r"^\d{3,}[A-Z]{2}$")) & ~letters.isin(*P.WORDISH) & (n != norm_model(F.coalesce(brand, F.lit(""))))
-                & ~n.rlike(r"^[A-Z]{5,}\d{1,3}$"))
-    found = F.array_distinct(F.concat(styles, F.transform(F.filter(tokens, is_model), norm_model)))
+    def is_model(x: Column) -> Column:
+        n, upper = x["n"], F.replace(F.upper(x["t"]), F.lit("-"), F.lit(""))
+        named = lambda letters: ((letters != "") & ~letters.isin(*P.WORDISH) & ~n.rlike(P.SPEC) & ~upper.rlike(P.SPEC) & ~(n.rlike(r"^\d+[A-Z]{1,2}$") & ~n.rlike(r"^\d{3,}[A-Z]{2}$"))
+                                 & ~n.rlike(r"^[A-Z]{5,}\d{1,3}$") & (n != norm_model(F.coalesce(brand, F.lit("")))))
+        return (F.length(n) >= 4) & (F.length(F.regexp_replace(n, r"\D", "")) >= 2) & bind(F.regexp_replace(n, "[^A-Z]", ""), named)
+    spelled = F.transform(tokens, lambda t: F.struct(t.alias("t"), norm_model(t).alias("n")))
+    found = F.array_distinct(F.concat(styles, F.transform(F.filter(spelled, is_model), lambda x: x["n"])))
     ranked = F.array_sort(F.transform(found, lambda m, i: F.struct(F.when(F.length(m) >= 6, 0).otherwise(1).alias("l"), (-F.length(m)).alias("n"), i.alias("i"), m.alias("m"))))
     sets = F.filter(F.regexp_extract_all(title, F.lit(P.SET_NUMBER), F.lit(1)), lambda x: ~x.rlike(r"^(?:19|20)\d\d$"))
     return F.when(F.lower(F.coalesce(brand, F.lit(""))) == "lego", sets).otherwise(F.transform(ranked, lambda x: x["m"]))
@@ -88,33 +89,56 @@ def with_sig(df: DataFrame) -> DataFrame:
     return df.withColumn("sig", F.md5(F.concat_ws("|", *parts)))
 
 
-def jn_same_product(deals: DataFrame, listings: DataFrame) -> DataFrame:
-    """Which identities among deals and listings are the same product: (deal_sig, listing_sig, match). Equal gtins decide
-    alone; else a shared model and nothing that conflicts. Both need the identity columns. Rows of one identity stand as
-    one; a pair is found by its gtin or its first shared model, so it appears once."""
+def _of_model(side: str, gtin: str) -> Column:
+    """What stands for all of an identity but its gtin, and whether it has one."""
+    return F.md5(F.concat_ws("|", F.array_join(F.col(f"{side}_models"), ","), *[F.coalesce(F.col(f"{side}_{x}").cast("string"), F.lit("")) for x in IDENTITY if x not in ("models", "gtin")], F.lit(gtin)))
+
+
+def jn_same_product(deals: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which identities among deals and listings are the same product, by the lots that listings lie in: (deal_sig, lot, match) and
+    (listing_sig, lot). A deal is the same product as the listings of its lots, and no listing lies in two lots of one deal. Equal gtins decide
+    alone; else a shared model and nothing that conflicts. Both need the identity columns.
+
+    All that have a gtin are one lot, so it makes no pairs. By model, identities are compared without their gtins, found by their first shared
+    model and the parts that must be equal; a deal without a gtin has the whole lot of such an identity, one with a gtin its listings without."""
+    c = F.col
     a = with_sig(deals).groupBy("sig").agg(*[F.first(x).alias(f"a_{x}") for x in IDENTITY]).withColumnRenamed("sig", "deal_sig")
     b = with_sig(listings).groupBy("sig").agg(*[F.first(x).alias(f"b_{x}") for x in IDENTITY]).withColumnRenamed("sig", "listing_sig")
-    plain = lambda x: F.regexp_replace(F.col(x), "^0+", "")                                         # noqa: E731
-    by_gtin = (a.where("a_gtin <> ''").withColumn("_k", plain("a_gtin")).join(b.where("b_gtin <> ''").withColumn("_k", plain("b_gtin")), "_k")
-               .select("deal_sig", "listing_sig", F.lit("gtin").alias("match")))
-    m = a.withColumn("_k", F.explode(F.array_distinct("a_models"))).join(b.withColumn("_k", F.explode(F.array_distinct("b_models"))), "_k")
-    agree = ~((F.col("a_gtin") != "") & (F.col("b_gtin") != "")) & (F.col("a_accessory") == F.col("b_accessory")) & (F.col("a_kinds") == F.col("b_kinds"))
-    agree = agree & ((F.col("a_brand") == "") | (F.col("b_brand") == "") | (F.lower("a_brand") == F.lower("b_brand")))
+    a, b = cut(a.withColumn("_a", _of_model("a", ""))), cut(b.withColumn("_b", _of_model("b", "")))
+    gtin = lambda side: F.concat(F.lit("gtin~"), F.regexp_replace(c(f"{side}_gtin"), "^0+", ""))
+    lots = (b.where("b_gtin <> ''").select("listing_sig", gtin("b").alias("lot"))
+            .unionByName(b.select("listing_sig", F.explode(F.array(F.concat(F.lit("any~"), "_b"), F.when(~(c("b_gtin") != ""), F.concat(F.lit("bare~"), "_b")))).alias("lot")).where("lot IS NOT NULL")))
+    by_gtin = a.where("a_gtin <> ''").select("deal_sig", gtin("a").alias("lot"), F.lit("gtin").alias("match"))
+
+    facts = [x for x in IDENTITY if x != "gtin"]
+    one = lambda df, s: df.groupBy(f"_{s}").agg(*[F.first(f"{s}_{x}").alias(f"{s}_{x}") for x in facts]).withColumns({                    # noqa: E731
+        "_k": F.explode(F.array_distinct(f"{s}_models")), "_brand": F.lower(f"{s}_brand")})
+    equal = ["_k", *[f"_{x}" for x in ("accessory", "kinds", "bundle", "condition")]]
+    am, bm = (one(df, s).withColumns({f"_{x}": c(f"{s}_{x}") for x in ("accessory", "kinds", "bundle", "condition")}) for df, s in ((a, "a"), (b, "b")))
+    agree = F.lit(True)
     for s in SIZES:
-        agree = agree & F.coalesce(F.col(f"a_{s}") == F.col(f"b_{s}"), F.lit(True))
-    agree = agree & (F.col("a_bundle") == F.col("b_bundle")) & (F.col("a_condition") == F.col("b_condition"))
-    first = F.get(F.array_intersect("a_models", "b_models"), 0) == F.col("_k")
-    return m.where(agree & first).select("deal_sig", "listing_sig", F.lit("model").alias("match")).unionByName(by_gtin)
+        agree = agree & F.coalesce(c(f"a_{s}") == c(f"b_{s}"), F.lit(True))
+    agree = agree & (F.get(F.array_intersect("a_models", "b_models"), 0) == c("_k"))
+    named, bare = c("a_brand") != "", ~(c("b_brand") != "")
+    met = am.where(named).join(bm.where(~bare).drop("_brand").withColumn("_brand", F.lower("b_brand")), [*equal, "_brand"]).drop("_brand")
+    met = met.unionByName(am.where(named).drop("_brand").join(bm.where(bare).drop("_brand"), equal)).unionByName(am.where("a_brand = ''").drop("_brand").join(bm.drop("_brand"), equal))
+    pairs = met.where(agree).select("_a", "_b")
+    has = F.when(c("a_gtin") != "", "bare~").otherwise("any~")
+    by_model = a.select("deal_sig", "_a", has.alias("_has")).join(pairs, "_a").select("deal_sig", F.concat("_has", "_b").alias("lot"), F.lit("model").alias("match"))
+    # a lot that no listing lies in is none
+    return by_model.unionByName(by_gtin).join(lots.select("lot").distinct(), "lot", "left_semi").select("deal_sig", "lot", "match"), lots
 
 
 def compare_listings(deals: DataFrame, listings: DataFrame, lo: float = 0.35, hi: float = 3.0) -> DataFrame:
     """deal, site, price, match: the cheapest matching listing of each site for each deal, in the band of believable prices
     and not at the seller's own site. Needs deals(id, seller, price) and listings(site, price) with identity columns. Equal
     offers and equal listings are compared once."""
-    d = cut(with_sig(deals).select("id", "seller", "price", F.col("sig").alias("deal_sig")))
-    same = cut(jn_same_product(deals, listings))
-    lots = with_sig(listings).select(F.col("sig").alias("listing_sig"), "site", F.col("price").alias("listing_price")).distinct()
-    asked = d.select("deal_sig", F.col("price").alias("deal_price")).distinct().join(same, "deal_sig")
+    deals, listings = cut(deals), cut(listings)           # read twice each, and costly to make
+    d = with_sig(deals).select("id", "seller", "price", F.col("sig").alias("deal_sig"))
+    same, of = jn_same_product(deals, listings)
+    same = cut(same)
+    lots = with_sig(listings).select(F.col("sig").alias("listing_sig"), "site", F.col("price").alias("listing_price")).distinct().join(of, "listing_sig").select(F.col("lot").alias("listing_sig"), "site", "listing_price").distinct()
+    asked = d.select("deal_sig", F.col("price").alias("deal_price")).distinct().join(same.withColumnRenamed("lot", "listing_sig"), "deal_sig")
     found = jn_price_band(asked.select("listing_sig", "deal_price").distinct(), lots, lo, hi)
     best = asked.join(found, ["listing_sig", "deal_price"]).groupBy("deal_sig", "deal_price", "site").agg(F.min(F.struct("listing_price", "match")).alias("b"))
     own = F.lower(F.coalesce("seller", F.lit(""))) == F.lower("site")
