@@ -1,10 +1,9 @@
 """Alignment of two tokenizers over the same texts.
 
 A text's tokens of tokenizer A (byte-level merges) and of tokenizer B (pieces with byte fallback) stand for the same bytes, a space and the
-text. Where a token of A and a token of B end at the same byte both id lists can be cut: two dictionaries lead from a byte offset to the token
-that ends there, the offsets both have are met by intersecting the dictionaries' keys, and in order they slice both lists into groups. Within
-a slice every token of A is linked with each token of B whose bytes it overlaps; two ends next to each other in the slice's merged ends enclose
-the bytes of exactly one link.
+text. Where a token of A and a token of B end at the same byte both id lists can be cut: both lists of ends are sorted, so one search
+of A's ends in B's tells which are common, and in order these slice both lists into groups. Within a slice every token of A is linked with each
+token of B whose bytes it overlaps; two ends next to each other in the slice's merged ends enclose the bytes of exactly one link.
 
 A pair of ids counts once for each document that links it. The rows that leave a task are chunks: some documents with the distinct
 pairs they hold, so that a pair is shuffled once a chunk and not once a document; the counts come back to the chunks the same way. A chunk is
@@ -89,11 +88,12 @@ class Aligner:
         if not len(ids_a):
             return ids_a, ids_b, b""
         ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
-        at_a, at_b = dict(zip(ends_a.tolist(), range(1, len(ids_a) + 1))), dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1)))
-        common = sorted(at_a.keys() & at_b.keys())
+        # for each end of A: how many tokens of B end before it, and whether one ends there
+        upto = np.searchsorted(ends_b, ends_a, side="right")
+        both = ends_b[np.maximum(upto, 1) - 1] == ends_a
+        before = upto - both
         # the slices: group g holds the tokens up to upto_a[g] and upto_b[g]
-        upto_a = np.fromiter(map(at_a.__getitem__, common), dtype=np.int64, count=len(common))
-        upto_b = np.fromiter(map(at_b.__getitem__, common), dtype=np.int64, count=len(common))
+        upto_a, upto_b = np.flatnonzero(both) + 1, upto[both]
         sizes_a, sizes_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
         last_a, last_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
         last_a[upto_a - 1], last_b[upto_b - 1] = 1, 2
@@ -101,10 +101,13 @@ class Aligner:
         spelled[np.arange(len(ids_a)) + np.repeat(upto_b - sizes_b, sizes_a)] = 3 * ids_a.astype(np.int64) + last_a
         spelled[np.arange(len(ids_b)) + np.repeat(upto_a, sizes_b)] = 3 * ids_b.astype(np.int64) + last_b
         groups = b"".join(map(self.numbers.__getitem__, spelled.tolist()))[:-1]
-        # the links of all slices: one for each end in the merged ends
-        merged = np.sort(np.concatenate([ends_a, ends_b]))
-        merged = merged[np.diff(merged, append=-1) != 0]
-        return ids_a[np.searchsorted(ends_a, merged)], ids_b[np.searchsorted(ends_b, merged)], groups
+        # the links of all slices: one for each end in the merged ends, A's ends and those that B has alone, each at its place in the order
+        alone = np.flatnonzero(last_b == 0)
+        inside = np.searchsorted(ends_a, ends_b[alone])
+        at_a, at_b = np.arange(len(ids_a)) + before - (np.cumsum(both) - both), np.arange(len(alone)) + inside
+        link_a, link_b = np.empty(len(ids_a) + len(alone), dtype=ids_a.dtype), np.empty(len(ids_a) + len(alone), dtype=ids_b.dtype)
+        link_a[at_a], link_a[at_b], link_b[at_a], link_b[at_b] = ids_a, ids_a[inside], ids_b[before], ids_b[alone]
+        return link_a, link_b, groups
 
     def aligned(self, texts: list[str | None], at_once: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
         """A's and B's ids of each text, both ids of its links, its group string."""
@@ -180,7 +183,8 @@ def align_tokenizers(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     links), groups_sha256. The pairs: a, b, count (documents that link them), best (whether it is a's highest count)."""
     spark = docs.sparkSession
     path = work_path(spark, "aligned")
-    chunks(docs, text, doc_id, byte_bpe, piece_bpe, links, rows).write.parquet(path)
+    # a file is read a batch at a time, and a batch would be all chunks of a task, which grow with the input: few to a file keep it small
+    chunks(docs, text, doc_id, byte_bpe, piece_bpe, links, rows).write.option("maxRecordsPerFile", 8).parquet(path)
     met = spark.read.parquet(path).select("chunk", F.posexplode(F.arrays_zip("pair", "docs")).alias("at", "x")).select("chunk", "at", "x.pair", "x.docs")
     counted = cut(met.groupBy("pair").agg(F.sum("docs").alias("count")).withColumn("a", F.shiftright("pair", 32).cast("int")))
     highest = counted.groupBy("a").agg(F.max("count").alias("most"))       # at most one row for each id of A's vocabulary

@@ -115,3 +115,17 @@ def test_a_long_text_is_whole(spark, slow):
     ids = slow(text[:230])
     assert got.n_a > 100 * len(ids[0]) and got.n_links == got.n_a + got.n_b - got.n_groups
     assert isinstance(got, tuple) and pd.notna(got.groups_sha256)
+
+
+def test_few_chunks_to_a_file(spark):
+    """A file is read a batch at a time, so the chunks of a task lie in several."""
+    import glob
+
+    from offerlake.session import checkpoint_root
+    known = set(glob.glob(f"{checkpoint_root(spark)}/aligned-*"))
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    found, _ = T.align_tokenizers(docs, rows=1)
+    assert found.count() == 40
+    (path,) = set(glob.glob(f"{checkpoint_root(spark)}/aligned-*")) - known
+    files = glob.glob(f"{path}/*.parquet")
+    assert len(files) == 5 and all(spark.read.parquet(f).count() == 8 for f in files)
