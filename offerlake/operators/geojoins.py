@@ -91,17 +91,23 @@ def jn_unlisted_anti(branches: DataFrame, listed: DataFrame, mi: float = 0.75, c
     return within(branches.join(used, "chain", "left_semi"), listed, mi, on=("chain",), how="left_anti")
 
 
-def jn_city_anchor(areas: DataFrame, anchors: DataFrame, mi: float = 20.0) -> DataFrame:
+def jn_city_anchor(areas: DataFrame, anchors: DataFrame, mi: float = 20.0, crowd: int = 16) -> DataFrame:
     """Each area's nearest anchor and its distance. Anchors cover their areas, so one pass at `mi` settles nearly all; what
-    is left is tried at twice the distance until nothing is."""
-    spots = anchors.groupBy("lat", "lon").agg(F.min("id").alias("anchor"))
+    is left is tried at twice the distance until nothing is. Where a cell of that size holds more than `crowd` anchors the first pass is at a
+    distance at which none does, so that an area meets a few anchors and not all of a crowded place."""
+    spots = cut(anchors.groupBy("lat", "lon").agg(F.min("id").alias("anchor")))
     left = areas.select("lat", "lon").distinct()
     done: DataFrame | None = None
+    while mi > 0.05:
+        most = spots.groupBy(Grid(mi).cell(F.col("lat"), F.col("lon")).alias("cell")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (most or 0) <= crowd:
+            break
+        mi /= 2
     while True:
         grid = Grid(mi)
-        p = left.withColumn("cell", F.explode(grid.around(F.col("lat"), F.col("lon"))))
-        s = spots.select("anchor", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), grid.cell(F.col("lat"), F.col("lon")).alias("cell"))
-        got = (p.join(s, "cell").withColumn("mi", _mi()).where(F.col("mi") <= mi).groupBy("lat", "lon")
+        p = left.withColumn("_at", grid.cell(F.col("lat"), F.col("lon")))
+        s = _spread(spots, grid, "anchor")
+        got = (p.join(s, F.col("_at") == F.col("_cell")).withColumn("mi", _mi()).where(F.col("mi") <= mi).groupBy("lat", "lon")
                .agg(F.min(F.struct("mi", "anchor")).alias("b")).select("lat", "lon", "b.anchor", "b.mi"))
         got = cut(got)
         done = got if done is None else done.unionByName(got)

@@ -77,3 +77,34 @@ def test_anchors_are_the_greedy_ones(spark):
         if x[3] < 950 and all(miles(x[1:3], y[1:3]) > 15 for y in want):
             want.append(x)
     assert got == {x[0] for x in want}
+
+
+def test_nearest_anchor_among_a_crowd(spark):
+    rnd = random.Random(9)
+    areas = [(i, 30 + rnd.random() * 6, -100 + rnd.random() * 6) for i in range(120)]
+    anchors = [(1000 + i, 30.5 + rnd.random() * 0.02, -99.5 + rnd.random() * 0.02) for i in range(400)] + [(2000, 35.9, -94.2), (2001, 35.9, -94.2)]
+    schema = "id int, lat double, lon double"
+    at = lambda r: tuple(math.radians(x) for x in r[1:])                                            # noqa: E731
+    mi = lambda a, b: 2 * 3958.8 * math.asin(min(1.0, math.sqrt(math.sin((b[0] - a[0]) / 2) ** 2 + math.cos(a[0]) * math.cos(b[0]) * math.sin((b[1] - a[1]) / 2) ** 2)))
+    found = geo.jn_city_anchor(spark.createDataFrame(areas, schema), spark.createDataFrame(anchors, schema), 60.0)
+    want = {a[0]: min((mi(at(a), at(b)), b[0]) for b in anchors) for a in areas}
+    got = {r["id"]: (r["anchor"], r["anchor_mi"]) for r in found.collect()}
+    assert len(got) == len(areas) and all(got[i][0] == b and abs(got[i][1] - d) <= 0.051 for i, (d, b) in want.items())
+
+
+def test_a_crowd_of_anchors_is_not_met_whole(spark):
+    """Cells are shrunk until they hold few anchors: one cell of the given size holds all of these."""
+    tried = []
+
+    class Noted(geo.Grid):
+        def __init__(self, mi):
+            tried.append(mi)
+            super().__init__(mi)
+    schema, own = "id int, lat double, lon double", geo.Grid
+    geo.Grid = Noted
+    try:
+        points = spark.createDataFrame([(i, 30.0 + i * 0.001, -100.0) for i in range(400)], schema)
+        assert geo.jn_city_anchor(points, points, 60.0).where("anchor = id AND anchor_mi = 0").count() == 400
+    finally:
+        geo.Grid = own
+    assert min(tried) < 2
