@@ -15,9 +15,17 @@ def ci(pattern: str) -> str:
     return f"(?i){pattern}"
 
 
+def may_match(text: Column, pattern: str) -> Column | None:
+    """Whether a text holds the sign every match of the pattern has, which is far cheaper to see than the match; None for a pattern
+    without such a sign."""
+    sign = R.SIGNS.get(pattern)
+    return None if sign is None else text.contains(sign)
+
+
 def got(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, letter case aside; null without one."""
-    return found(text, ci(pattern), group)
+    worth, hit = may_match(text, pattern), found(text, ci(pattern), group)
+    return hit if worth is None else F.when(worth, hit)
 
 
 def got_number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -25,21 +33,26 @@ def got_number(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def says(text: Column, pattern: str) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(ci(pattern))
+    t = F.coalesce(text, F.lit(""))
+    worth, hit = may_match(t, pattern), t.rlike(ci(pattern))
+    return hit if worth is None else worth & hit
 
 
 def without_first(text: Column, pattern: str) -> Column:
     """The text with the first match taken out."""
-    return F.regexp_replace(text, f"(?is)^(.*?)(?:{pattern})", "$1 ")
+    worth, left = may_match(text, pattern), F.regexp_replace(text, f"(?is)^(.*?)(?:{pattern})", "$1 ")
+    return left if worth is None else F.when(worth, left).otherwise(text)
 
 
 def without(text: Column, pattern: str, instead: str = " ") -> Column:
-    return F.regexp_replace(text, ci(pattern), instead)
+    worth, left = may_match(text, pattern), F.regexp_replace(text, ci(pattern), instead)
+    return left if worth is None else F.when(worth, left).otherwise(text)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Every match, as written."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ci(pattern)), F.lit(0))
+    worth, hits = may_match(text, pattern), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ci(pattern)), F.lit(0))
+    return hits if worth is None else F.when(worth, hits).otherwise(F.array().cast("array<string>"))
 
 
 def labels_of(text: Column, table: Sequence[tuple[str, str]]) -> Column:

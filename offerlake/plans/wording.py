@@ -21,8 +21,11 @@ def usd(col: str):
 
 
 def case(col: str, *values):
-    """The value of the column's number, counted from 1."""
-    return F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), F.col(col))
+    """The value of the column's number, counted from 1; the others are not worked out. A number without a value is an error."""
+    n, picked = F.col(col), F.when(F.lit(False), F.lit(None))
+    for i, v in enumerate(values, 1):
+        picked = picked.when(n == i, F.lit(v) if isinstance(v, str) else v)
+    return picked.when(n.isNotNull(), F.raise_error(F.lit("no value has this number")))
 
 
 @query("fn_norm", """
