@@ -108,7 +108,7 @@ def _(t: Tables):
                 F.lit("$3 beers Sun - Fri, 10-2 pm"), F.lit("Kids eat free every day until noon"), F.concat(F.lit("Every weekend through Sept. "), (F.col("size") % 28 + 1).cast("string")),
                 F.lit("Fridays? No: Friday 9 pm - 2 am in September"), F.lit("Ruby Tuesday has pies"))
     text = F.when(F.col("line") == 6, "Wings on Friday, 9 pm - 2 am in September").otherwise(text)
-    d = cal.job_schedule_reading(t.deals.select("line", text.alias("text"), F.lit("1998-09-10").cast("date").alias("ref_date")))
+    d = cal.job_schedule_reading(t.spread_deals.select("line", text.alias("text"), F.lit("1998-09-10").cast("date").alias("ref_date")))
     w = F.get("windows", 0)
     return d.select(F.array_join("days", ",").alias("days"), w["a"].alias("a"), w["b"].alias("b"), "zone", F.dayofmonth("until").alias("u"), "recurring").groupBy(
         "days", "a", "b", "zone", "u", "recurring").agg(F.count("*").alias("n"))

@@ -43,3 +43,8 @@ def test_signs_change_no_result(spark, monkeypatch):
     guarded = read()
     monkeypatch.setattr(R, "SIGNS", {})
     assert guarded == read()
+
+
+def test_schedules_are_read_in_dealt_tasks(spark):
+    plan = QUERIES["job_schedule_reading"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan
