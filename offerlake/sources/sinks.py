@@ -27,12 +27,13 @@ def snk_verdicts(stored: DataFrame, new: DataFrame, order: Sequence[str] = ("tes
 
 def snk_snapshot(df: DataFrame, path: str, by: Sequence[str], defaults: dict | None = None, files: int = 1) -> None:
     """A partitioned JSON snapshot; fields that hold their default are left out. One shuffle by the partition and a hash of the row
-    gives each partition `files` files, however many tasks held its rows."""
+    gives each partition `files` files, however many tasks held its rows; what is too much for one task by its measured size is split
+    over several, a file each."""
     out = df
     for c, v in (defaults or {}).items():
         out = out.withColumn(c, F.when(~F.col(c).eqNullSafe(F.lit(v)), F.col(c)))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    out.repartition(*by, spread).write.mode("overwrite").partitionBy(*by).option("ignoreNullFields", "true").json(path)
+    out = out.withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.lit(files))).hint("rebalance", *by, "_file").drop("_file")
+    out.write.mode("overwrite").partitionBy(*by).option("ignoreNullFields", "true").json(path)
 
 
 def snk_price_obs(points: DataFrame, path: str, now: Column) -> None:

@@ -48,3 +48,17 @@ def test_signs_change_no_result(spark, monkeypatch):
 def test_schedules_are_read_in_dealt_tasks(spark):
     plan = QUERIES["job_schedule_reading"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [id" in plan
+
+
+def test_a_large_part_of_a_snapshot_is_written_by_several_tasks(spark, tmp_path):
+    from offerlake.sources.sinks import snk_snapshot
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    df = spark.range(0, 40000, 1, 8).selectExpr("id", "0 AS part", "sha2(cast(id AS string), 256) AS text")
+    old = spark.conf.get(size)
+    spark.conf.set(size, "500k")
+    try:
+        snk_snapshot(df, f"file://{tmp_path}/s", ["part"])
+    finally:
+        spark.conf.set(size, old)
+    assert len([f for f in (tmp_path / "s" / "part=0").iterdir() if f.name.startswith("part-")]) > 1
+    assert spark.read.json(f"file://{tmp_path}/s").select("id").distinct().count() == 40000
