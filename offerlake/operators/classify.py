@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fn_norm, fn_words
+from ..functions.amounts import bind
 from ..functions.text import fn_clean, straight
 from ..rules import categories as K
 from ..rules import wordings as R
@@ -28,9 +29,9 @@ def _hits(text: Column, rules: Rules) -> Column:
 def from_text(text: Column, rules: Rules) -> Column:
     """struct(categories, rule) from a text's words: what stands before its ingredients first, then all of it. Bare pet and
     apparel words count only where no rule does."""
-    head = F.regexp_replace(text, K.INGREDIENTS, "")
-    hits = F.transform(F.array(F.struct(_hits(head, rules).alias("h"), _hits(text, rules).alias("a"))),
-                       lambda x: F.when(F.size(x["h"]) > 0, x["h"]).otherwise(x["a"]))[0]
+    def hits(head: Column) -> Column:
+        # all of the text is asked only where something was cut off and the rest names nothing
+        return bind(_hits(head, rules), lambda h: F.when((F.size(h) > 0) | (head == text), h).otherwise(_hits(text, rules)))
 
     def decide(h: Column) -> Column:
         first = F.get(h, 0)["cats"]
@@ -45,7 +46,7 @@ def from_text(text: Column, rules: Rules) -> Column:
                 .when(says(text, K.PET_WORD), s(strings(["pets"]), F.lit("keywords:pet-word")))
                 .when(says(text, K.APPAREL_CUE), s(strings(["fashion"]), F.lit("keywords:apparel-cue")))
                 .otherwise(s(strings([]), F.lit(""))))
-    return F.transform(F.array(hits), decide)[0]
+    return bind(bind(F.regexp_replace(text, K.INGREDIENTS, ""), hits), decide)
 
 
 def text_categories(text: Column, rules: Rules) -> Column:
@@ -55,7 +56,7 @@ def text_categories(text: Column, rules: Rules) -> Column:
 
 def from_department(name: Column) -> Column:
     found = F.array_distinct(F.array_compact(F.array(*[F.when(says(name, rf"\b{w}(?:'s)?\b"), F.lit(cat)) for w, cat in K.DEPARTMENTS])))
-    return F.struct(found.alias("categories"), F.concat(F.lit("department:"), F.array_join(found, "+")).alias("rule"))
+    return bind(found, lambda x: F.struct(x.alias("categories"), F.concat(F.lit("department:"), F.array_join(x, "+")).alias("rule")))
 
 
 def _learned(df: DataFrame, shares: DataFrame | None) -> DataFrame:
@@ -88,7 +89,7 @@ def job_classify_items(items: DataFrame, taxonomy: DataFrame, rules: Rules = K.S
     label = F.when(F.coalesce(c("l2"), F.lit("")) != "", F.concat("l1", F.lit(" > "), "l2")).otherwise(c("l1"))
     s = lambda cats, rule: F.struct(cats.cast("array<string>").alias("categories"), rule.alias("rule"))     # noqa: E731
     # a store that sells no food: a food label is the source's mistake
-    df = df.withColumns({"_text": text, "_words": fn_words(c("brand"), c("title")), "_kw": from_text(text, rules),
+    df = df.withColumns({"_text": text, "_words": fn_words(c("brand"), c("title")),
                          "_food": (c("l1") == "Food, Beverages & Tobacco") & ~c("food")})
     df = _learned(df, shares)
     tax = F.when(~F.coalesce(c("_food"), F.lit(False)), F.coalesce("_c2", "_c1"))
@@ -97,8 +98,11 @@ def job_classify_items(items: DataFrame, taxonomy: DataFrame, rules: Rules = K.S
     by_override = F.when(F.lit(False), s(strings([]), F.lit("")))
     for rx, cats in overrides:
         by_override = by_override.when(says(c("_text"), rx), s(strings(cats), F.lit(f"override:{cats[0]}")))
+    # the words are read only where what comes before them does not decide
+    df = df.withColumn("_first", F.coalesce(F.when(c("exclusive") & (F.size("prior") > 0), s(c("prior"), F.lit("merchant:specialty store"))), by_override))
+    df = df.withColumn("_kw", F.when(c("_first").isNull() & (F.coalesce(c("_food"), F.lit(False)) | by_tax.isNull()), from_text(c("_text"), rules)))
     agreed = F.when(c("_food") & F.array_contains(c("_kw.categories"), "grocery"), s(strings(["grocery"]), F.concat(F.lit("taxonomy:"), label, F.lit("+keywords agree"))))
-    got = F.coalesce(F.when(c("exclusive") & (F.size("prior") > 0), s(c("prior"), F.lit("merchant:specialty store"))), by_override, agreed, by_tax,
+    got = F.coalesce(c("_first"), agreed, by_tax,
                      F.when(_some(c("_kw")), c("_kw")), c("_learned"), F.when(F.size("prior") > 0, s(c("prior"), F.lit("merchant"))),
                      s(strings([]), F.when(label.isNotNull(), F.concat(F.lit("taxonomy:"), label)).otherwise("unclassified")))
     df = df.withColumn("_got", got)
@@ -117,19 +121,23 @@ def job_classify_posts(posts: DataFrame, leaves: DataFrame, rules: Rules = K.STA
     sells), leaves(leaf (normalised), categories)."""
     c = F.col
     s = lambda cats, rule: F.struct(cats.cast("array<string>").alias("categories"), rule.alias("rule"))     # noqa: E731
-    df = (posts.withColumns({"leaf": fn_norm(c("category")), "_words": fn_words(c("title")), "_kw": from_text(c("title"), rules), "_cat": from_text(c("category"), rules)})
+    df = (posts.withColumns({"leaf": fn_norm(c("category")), "_words": fn_words(c("title"))})
           .join(leaves.select("leaf", F.col("categories").alias("_leaf")), "leaf", "left"))
     df = _learned(df, shares)
     feed, narrowed = c("feed_categories"), F.array_intersect("_leaf", "feed_categories")
     own = F.when(c("source") == "dealnews", F.when((F.size("_leaf") > 1) & (F.size(narrowed) > 0), s(narrowed, F.concat(F.lit("dealnews:"), "category")))
                  .when(F.size("_leaf") > 0, s(c("_leaf"), F.concat(F.lit("dealnews:"), "category")))
                  .when((c("category") != "") & c("_leaf").isNull() & (F.size(feed) > 0), s(feed, F.concat(F.lit("dealnews-feed:"), F.array_join(feed, ",")))))
+    # a title is read only where the source's own leaf does not decide, a category only where its words may
+    df = df.withColumn("_own", own)
+    df = df.withColumn("_kw", F.when(c("_own").isNull(), from_text(c("title"), rules)))
+    by_words = bind(from_text(c("category"), rules), lambda x: F.when(_some(x), s(x["categories"], F.concat(F.lit("dealcatcher:"), "category"))))
     hint = F.when((c("source") == "hip2save") & _some(c("_kw")), s(c("_kw.categories"), F.concat("_kw.rule", F.lit("+feed hint"))))
     more = F.slice(F.array_except("_kw.categories", feed), 1, 1)
     by_feed = F.when(F.size(feed) > 0, s(F.concat(feed, more), F.concat(F.lit("feed:"), F.coalesce(F.get("feeds", 0), F.lit("")),
                                                                      F.when(F.size(more) > 0, F.concat(F.lit("+"), "_kw.rule")).otherwise(""))))
-    by_cat = F.when((c("source") == "dealcatcher") & _some(c("_cat")), s(c("_cat.categories"), F.concat(F.lit("dealcatcher:"), "category")))
-    got = F.coalesce(own, hint, by_feed, by_cat, F.when(_some(c("_kw")), c("_kw")), c("_learned"), c("_kw"))
+    by_cat = F.when(c("source") == "dealcatcher", by_words)
+    got = F.coalesce(c("_own"), hint, by_feed, by_cat, F.when(_some(c("_kw")), c("_kw")), c("_learned"), c("_kw"))
     return df.withColumn("_out", got).select(*posts.columns, c("_out.categories").alias("categories"), c("_out.rule").alias("rule"))
 
 
@@ -142,23 +150,23 @@ def job_classify_sales(sales: DataFrame, rules: Rules = K.STARTER_RULES, online:
     s = lambda cats, rule: F.struct(cats.cast("array<string>").alias("categories"), rule.alias("rule"))     # noqa: E731
     main = without(straight(c("title")), R.ASIDE, "")
     post = s(c("categories"), c("rule"))
-    by_cat = from_text(c("category"), rules)
+    by_cat = bind(from_text(c("category"), rules), lambda x: F.when(_some(x), s(x["categories"], F.concat(F.lit("category words: "), "category"))))
+    by_dept = bind(from_department(c("name")), lambda x: F.when(_some(x), x))
     ordered = lambda xs: F.array_intersect(shop, xs)                                                # noqa: E731
-    df = sales.withColumns({"_main": main, "_bycat": by_cat, "_dept": from_department(c("name"))})
-    df = df.withColumn("_cls", F.coalesce(F.when(F.size("categories") > 0, post),
-                                          F.when(_some(c("_bycat")), s(c("_bycat.categories"), F.concat(F.lit("category words: "), "category"))),
-                                          F.when(~c("store_event") & _some(c("_dept")), c("_dept")), s(strings([]), F.lit(""))))
+    in_store, sells = F.coalesce(c("store"), F.lit("")) != "", F.size("sells") > 0
+    event = in_store & (c("sitewide") | c("store_event"))
+    # the category and the name are read only where the post's own categories do not decide
+    df = sales.withColumns({"_main": main, "_cls": F.coalesce(F.when(F.size("categories") > 0, post), by_cat, F.when(~c("store_event"), by_dept), s(strings([]), F.lit("")))})
     all_named = text_categories(c("_main"), rules)
     df = df.withColumn("_found", F.when(c("_cls.rule").startswith("keywords"), F.array_union(F.array_intersect("_cls.categories", shop), F.array_intersect(all_named, shop)))
                        .otherwise(F.array_intersect("_cls.categories", shop)))
     own = c("_cls.rule").startswith("dealnews:") | c("_cls.rule").startswith("category words")
     named = F.array_intersect(text_categories(F.concat_ws(" ", "_main", "text"), rules), shop)
-    df = df.withColumn("_evidence", ordered(F.array_union(named, F.when(own, c("_found")).otherwise(strings([])))))
-    in_store, sells = F.coalesce(c("store"), F.lit("")) != "", F.size("sells") > 0
+    # what the post names counts for a store-wide event alone
+    df = df.withColumn("_evidence", F.when(event, ordered(F.array_union(named, F.when(own, c("_found")).otherwise(strings([]))))))
     line = F.slice("sells", 1, F.when(F.size("sells") >= 4, 2).otherwise(1))
     kept_event, kept = F.array_intersect("_evidence", "sells"), F.when(sells, F.array_intersect("_found", "sells")).otherwise(c("_found"))
     named_how = F.lit("a store-wide event: the goods its post names")
-    event = in_store & (c("sitewide") | c("store_event"))
     small = in_store & sells & (F.size("sells") <= 3)
     got = (F.when(event & sells & ~c("sitewide") & (F.size(kept_event) > 0), s(kept_event, named_how))
            .when(event & sells & c("sitewide"), s(c("sells"), F.lit("sitewide: what the store sells")))

@@ -62,3 +62,24 @@ def test_a_large_part_of_a_snapshot_is_written_by_several_tasks(spark, tmp_path)
         spark.conf.set(size, old)
     assert len([f for f in (tmp_path / "s" / "part=0").iterdir() if f.name.startswith("part-")]) > 1
     assert spark.read.json(f"file://{tmp_path}/s").select("id").distinct().count() == 40000
+
+
+def test_words_are_read_only_where_they_decide(spark, monkeypatch):
+    from offerlake.operators import classify as cl
+    monkeypatch.setattr(cl, "says", lambda t, rx: F.when(t == "never", F.raise_error(F.lit("read")).cast("boolean")).otherwise(F.lit(False)))
+    posts = spark.createDataFrame([("a", "dealnews", "never", "Games", [], [], []), ("b", "slickdeals", "x", "never", [], [], [])],
+                                  "id string, source string, title string, category string, feeds array<string>, feed_categories array<string>, sells array<string>")
+    leaves = spark.createDataFrame([("games", ["toys"])], "leaf string, categories array<string>")
+    assert {r.id: (r.categories, r.rule) for r in cl.job_classify_posts(posts, leaves).collect()} == {"a": (["toys"], "dealnews:Games"), "b": ([], "")}
+    items = spark.createDataFrame([("i", "never", "", "Media", None, [], [], False, True)], "id string, title string, brand string, l1 string, l2 string, prior array<string>, sells array<string>, exclusive boolean, food boolean")
+    taxonomy = spark.createDataFrame([("Media", None, ["tech"])], "l1 string, l2 string, categories array<string>")
+    assert [(r.categories, r.rule) for r in cl.job_classify_items(items, taxonomy, overrides=[]).collect()] == [(["tech"], "taxonomy:Media")]
+    sales = spark.createDataFrame([("s", "x", "never", "never", "never", False, False, "k", [], ["home"], "feed:f")],
+                                  "id string, title string, text string, category string, name string, sitewide boolean, store_event boolean, store string, sells array<string>, categories array<string>, rule string")
+    assert [(r.categories, r.rule) for r in cl.job_classify_sales(sales).collect()] == [(["home"], "feed:f")]
+
+
+def test_what_stands_before_ingredients_decides_else_all_of_it(spark):
+    from offerlake.operators import classify as cl
+    df = spark.createDataFrame([("Body Wash with Coffee",), ("Thing with Coffee",), ("Thing",), (None,)], "t string")
+    assert [r[0].rule for r in df.select(cl.from_text(F.col("t"), cl.K.STARTER_RULES)).collect()] == ["keywords:beauty", "keywords:grocery", "", ""]
