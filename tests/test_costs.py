@@ -83,3 +83,16 @@ def test_what_stands_before_ingredients_decides_else_all_of_it(spark):
     from offerlake.operators import classify as cl
     df = spark.createDataFrame([("Body Wash with Coffee",), ("Thing with Coffee",), ("Thing",), (None,)], "t string")
     assert [r[0].rule for r in df.select(cl.from_text(F.col("t"), cl.K.STARTER_RULES)).collect()] == ["keywords:beauty", "keywords:grocery", "", ""]
+
+
+def test_a_list_of_sales_is_made_once_for_its_checks(spark):
+    from offerlake.operators.quality import dq_sales_list
+    ts = lambda s: F.lit(s).cast("timestamp")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("red bolt", "red bolt", "red bolt box", "blue nut", "", "green gear")]), (F.col("id") + 1).cast("int"))
+    sales = spark.range(6).select(F.col("id").cast("string").alias("id"), F.col("id").alias("pos"), F.lit("k").alias("store"), F.lit("K").alias("store_name"), F.lit("20% off").alias("badge"), name.alias("name"), F.lit("20% off").alias("offer"),
+                                  F.when(F.col("id") == 3, ts("1998-05-01")).otherwise(ts("1998-07-01")).alias("ends_at"), ts(None).alias("starts_at"), ts("1998-05-30").alias("posted_at"),
+                                  F.when(F.col("id") == 5, 9.0).otherwise(-F.col("id")).cast("double").alias("score"), F.lit("https://x.com/").alias("source_url"), F.array(F.lit("home")).alias("categories"))
+    # one day of its own for the ended sale
+    checks = dq_sales_list(sales, ts("1998-06-01"))
+    assert "Range" not in checks._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.check: r.problems for r in checks.collect()} == {"same wording": 1, "similar wording": 1, "fresh": 1, "order": 1, "complete": 1}
