@@ -348,14 +348,20 @@ def job_sale_name(posts: DataFrame) -> DataFrame:
 def leading_name(title: Column) -> tuple[Column, Column]:
     """The store a title starts with, before a possessive or a sale word within a few event words, and whether it is
     written as a possessive. "" when the words name an event or a department."""
-    t = without(straight(title), R.DECOR, "")
     token = r"(?:[A-Z][\w&.!+-]*|[a-z]+[A-Z][\w&.!+-]*|&)"
     own = rf"^({token}(?:\s+{token}){{0,3}}?)'s?\s+(?:\S+\s+){{0,4}}?(?i:sales?|events?|deals|clearance|savings|promo(?:tion)?s?|specials|markdowns?|blowout|outlet)\b"
     plain = rf"^({token}(?:\s+{token}){{0,3}}?)\s+((?:\S+\s+){{0,4}}?)(?i:sales?|events?|deals|clearance|savings|promo(?:tion)?s?|specials|markdowns?|blowout|outlet)\b"
-    possessive = t.rlike(own)
-    name = F.when(possessive, F.regexp_extract(t, own, 1)).when(is_store_event(F.regexp_extract(t, plain, 2)), F.regexp_extract(t, plain, 1)).otherwise("")
-    named = ~is_store_event(name) & ~says(name, R.DEAL_SITES)
-    return F.when(named, name).otherwise(""), possessive & named
+
+    # a title is cleaned and searched once; what no search finds is asked nothing more
+    def read(t: Column) -> Column:
+        before_sale = bind(F.regexp_extract(t, plain, 1), lambda p: F.when((p != "") & is_store_event(F.regexp_extract(t, plain, 2)), p).otherwise(""))
+        return bind(F.regexp_extract(t, own, 1), lambda o: bind(F.struct(F.when(o != "", o).otherwise(before_sale).alias("name"), (o != "").alias("own")), judge))
+
+    def judge(x: Column) -> Column:
+        named = (x["name"] != "") & ~is_store_event(x["name"]) & ~says(x["name"], R.DEAL_SITES)
+        return bind(named, lambda n: F.struct(F.when(n, x["name"]).otherwise("").alias("name"), (x["own"] & n).alias("own")))
+    found = bind(without(straight(title), R.DECOR, ""), read)
+    return found["name"], found["own"]
 
 
 def jn_unknown_store(posts: DataFrame) -> DataFrame:
@@ -365,7 +371,7 @@ def jn_unknown_store(posts: DataFrame) -> DataFrame:
     name, possessive = leading_name(c("title"))
     key = fn_norm(F.regexp_replace(c("_name"), r"(?i)^the\s+", ""))
     labels = F.flatten(F.transform(F.flatten(F.transform(F.coalesce("links", F.array()), fn_hosts)), lambda h: F.split(h, r"\.")))
-    own = F.exists(labels, lambda x: ~x.isin(*R.HOST_WORDS) & (x == key)) & (F.length(key) >= 3)
+    own = bind(key, lambda k: (F.length(k) >= 3) & F.exists(labels, lambda x: (x == k) & ~x.isin(*R.HOST_WORDS)))
     ships = says(F.concat("title", F.lit(" "), F.coalesce("text", F.lit(""))), R.SHIPS)
     return staged(posts, ["store_name", "store_how"],
                   {"_name": name, "_poss": possessive},

@@ -96,3 +96,12 @@ def test_a_list_of_sales_is_made_once_for_its_checks(spark):
     checks = dq_sales_list(sales, ts("1998-06-01"))
     assert "Range" not in checks._jdf.queryExecution().optimizedPlan().toString()
     assert {r.check: r.problems for r in checks.collect()} == {"same wording": 1, "similar wording": 1, "fresh": 1, "order": 1, "complete": 1}
+
+
+def test_a_title_without_a_sale_word_is_asked_for_no_event(spark, monkeypatch):
+    from offerlake.operators import sales
+    real = sales.is_store_event
+    monkeypatch.setattr(sales, "is_store_event", lambda n: F.when(n == "", F.raise_error(F.lit("asked")).cast("boolean")).otherwise(real(n)))
+    df = spark.createDataFrame([("big savings",), ("Wilson's Stock Up sale",), (None,), ("Deals of the day",)], "title string")
+    name, own = sales.leading_name(F.col("title"))
+    assert [tuple(r) for r in df.select(name, own).collect()] == [("", False), ("Wilson", True), ("", False), ("", False)]
