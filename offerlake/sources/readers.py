@@ -249,16 +249,17 @@ def src_offer_registry(spark: SparkSession, path: str | Sequence[str], today: Co
             rule = rule.when((order == k) & (day == dk), F.lit(f"{i}:{di}"))
     df = e.withColumns({"brand": F.trim(F.coalesce("brand", F.lit(""))), "offer": fn_tidy(c("offer")), "_monthly": monthly, "_plain": plain, "_u": F.try_to_date("until"), "_s": F.try_to_date("since"),
                         "_key": F.coalesce("venue", "brand")})
-    found = jn_alias_exact_prefix(df.select(c("_key").alias("name")), chains).select(c("name").alias("_key"), "chain")
-    df = df.join(found, "_key", "left")
     has_places = F.size(F.coalesce("places", F.array().cast("array<struct<name:string,address:string,lat:double,lon:double>>"))) > 0
     bad_day = F.get(F.filter("_plain", lambda d: ~known(d)), 0)
-    reason = (F.when(c("_bad").isNotNull(), "could not be read").when((c("brand") == "") | (c("offer") == ""), "needs a brand and an offer").when(bad_day.isNotNull(), F.concat(F.lit("not a day: "), bad_day))
+    before = (F.when(c("_bad").isNotNull(), "could not be read").when((c("brand") == "") | (c("offer") == ""), "needs a brand and an offer").when(bad_day.isNotNull(), F.concat(F.lit("not a day: "), bad_day))
               .when((F.size("_plain") == 0) & (F.size("_monthly") == 0), "needs the days it runs on")
-              .when((c("until").isNotNull() & c("_u").isNull()) | (c("since").isNotNull() & c("_s").isNull()), "dates must look like 2026-12-31").when(c("_u") < today, "past its stated end date")
-              .when(~has_places & c("chain").isNull(), "no mapped place: give `places` with an address, or a chain the map knows"))
-    return df.withColumns({"weekdays": F.array_sort(F.array_distinct(F.flatten(F.transform("_plain", days_of)))), "monthly": F.coalesce(rule, F.lit("")), "hours": time_windows(F.coalesce("time", F.lit(""))), "reason": reason,
-                           "until": c("_u"), "since": c("_s")}).drop("_bad", "_monthly", "_plain", "_u", "_s", "_key")
+              .when((c("until").isNotNull() & c("_u").isNull()) | (c("since").isNotNull() & c("_s").isNull()), "dates must look like 2026-12-31").when(c("_u") < today, "past its stated end date"))
+    # an entry's words are read in the tasks that read the files, before the chains are joined: one name may have most of the entries
+    df = df.withColumns({"weekdays": F.array_sort(F.array_distinct(F.flatten(F.transform("_plain", days_of)))), "monthly": F.when(m.isNotNull(), F.coalesce(rule, F.lit(""))).otherwise(""), "hours": time_windows(F.coalesce("time", F.lit(""))),
+                         "_before": before}).withColumns({"until": c("_u"), "since": c("_s")}).drop("_bad", "_monthly", "_plain", "_u", "_s")
+    found = jn_alias_exact_prefix(df.select(c("_key").alias("name")), chains).select(c("name").alias("_key"), "chain")
+    reason = F.coalesce("_before", F.when(~has_places & c("chain").isNull(), "no mapped place: give `places` with an address, or a chain the map knows"))
+    return df.join(found, "_key", "left").withColumn("reason", reason).drop("_before", "_key")
 
 
 # --- pages ---
