@@ -19,7 +19,7 @@ def split_title(title: Column) -> tuple[Column, Column]:
     """What is on sale and the offer, for a title that puts the offer after its last colon; else "" and the title."""
     t = straight(title)
     head, tail = F.regexp_extract(t, r"^(.*): (.*)$", 1), F.regexp_extract(t, r"^(.*): (.*)$", 2)
-    is_split = (F.length(head) >= 3) & says(F.trim(tail), R.OFFER_START)
+    is_split = t.contains(": ") & (F.length(head) >= 3) & says(F.trim(tail), R.OFFER_START)
     return F.when(is_split, head).otherwise(F.lit("")), F.when(is_split, tail).otherwise(t)
 
 
@@ -48,7 +48,7 @@ def job_sale_offer(posts: DataFrame) -> DataFrame:
     next_off = got_number(c("_t1"), R.BOGO_NEXT, 2)
     lo_raw, hi_raw = got_number(c("_t2"), R.RANGE_PCT, 1), got_number(c("_t2"), R.RANGE_PCT, 2)
     lo, hi = F.least(lo_raw, hi_raw), F.greatest(lo_raw, hi_raw)
-    plus = F.regexp_extract(c("_t2"), f"(?is)^(.*?)(?:{R.RANGE_PCT})", 1).contains("+")
+    plus = c("_t2").contains("+") & F.regexp_extract(c("_t2"), f"(?is)^(.*?)(?:{R.RANGE_PCT})", 1).contains("+")
     extra_said = _max_number(c("_t3"), R.EXTRA_PCT)
     spend_kind = F.lower(F.coalesce(got(c("_t3"), R.SPEND, 3), F.lit("")))
 

@@ -15,11 +15,23 @@ def ci(pattern: str) -> str:
     return f"(?i){pattern}"
 
 
+def holds(low: Column, words: Sequence[str]) -> Column:
+    """Whether a text in lower case holds one of some words."""
+    some = low.contains(words[0])
+    for w in words[1:]:
+        some = some | low.contains(w)
+    return some
+
+
 def may_match(text: Column, pattern: str) -> Column | None:
-    """Whether a text holds the sign every match of the pattern has, which is far cheaper to see than the match; None for a pattern
-    without such a sign."""
-    sign = R.SIGNS.get(pattern)
-    return None if sign is None else text.contains(sign)
+    """Whether a text holds the sign every match of the pattern has, and one of the words of which it has one, which is far cheaper to see
+    than the match; None for a pattern without such."""
+    sign, words = R.SIGNS.get(pattern), R.WORDS.get(pattern)
+    there = None if sign is None else text.contains(sign)
+    if words is None:
+        return there
+    said = holds(F.lower(text), words)
+    return said if there is None else there & said
 
 
 def got(text: Column, pattern: str, group: int = 1) -> Column:
@@ -55,9 +67,13 @@ def matches(text: Column, pattern: str) -> Column:
     return hits if worth is None else F.when(worth, hits).otherwise(F.array().cast("array<string>"))
 
 
-def labels_of(text: Column, table: Sequence[tuple[str, str]]) -> Column:
-    """The labels whose pattern matches, in the table's order."""
-    return F.array_compact(F.array(*[F.when(says(text, rx), F.lit(label)) for rx, label in table]))
+def labels_of(text: Column, table: Sequence[tuple[str, str]], signs: dict[str, Sequence[str]] | None = None) -> Column:
+    """The labels whose pattern matches, in the table's order. `signs` has words, in lower case, of which every match of a label's pattern has
+    one: the text is searched for that label only where it holds one."""
+    if signs is None:
+        return F.array_compact(F.array(*[F.when(says(text, rx), F.lit(label)) for rx, label in table]))
+    return bind(F.struct(text.alias("t"), F.lower(text).alias("low")),
+                lambda x: F.array_compact(F.array(*[F.when(holds(x["low"], signs[label]) & says(x["t"], rx), F.lit(label)) for rx, label in table])))
 
 
 def first_label(text: Column, table: Sequence[tuple[str, str]]) -> Column:
@@ -105,9 +121,10 @@ def bogo_of(text: Column) -> Column:
         return offer(count_word(g(1)), F.when(g(3).isNotNull(), 1).otherwise(count_word(g(2))), off, True)
 
     first = read_match(text, R.BOGO_GLUED, glued)
-    return bind(first, lambda x: F.when(x["label"].isNotNull(), x).otherwise(F.coalesce(
+    read = bind(first, lambda x: F.when(x["label"].isNotNull(), x).otherwise(F.coalesce(
         read_match(text, R.BOGO + "(" + R.BOGO_PRICED + ")?", main),
         read_match(text, R.BOGO_WORD, lambda g: offer(F.lit(1), F.lit(1), kind_off(g(1), g(2)), True)))))
+    return F.when(text.rlike(ci(R.BOGO_START)), read)
 
 
 def staged(df, columns: Sequence[str], *stages: dict[str, Column]):
