@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from offerlake.functions import fn_offer_words
@@ -146,3 +147,12 @@ def test_lists_that_dispute_a_restriction_are_named(spark):
 def test_empty_offers(spark):
     kept, why = M.dd_regular_merge(spark.createDataFrame([], SCHEMA))
     assert kept.collect() == [] and why.collect() == []
+
+
+def test_a_node_of_64_bits_is_given_back_whole_beside_a_reason():
+    fields = ["root", "node", "n", "days", "pages", "until", "words", "price", "pct", "origin", "conditions", "source", "offer", "named", "bogo", "summary", "hours", "suppress", "absorbs", "monthly",
+              "exact_days", "hours_vary", "cue_days", "cue_conditions", "wording"]
+    entry = lambda node, origin, price: (1, node, 1, 2, 2, None, ["two", "taco"], price, None, origin, [], "s", "two tacos", "", "", "", "", "", [], "", False, False, 0, [], "two tacos")     # noqa: E731
+    node = 2 ** 62 + 1
+    out = list(M.settle_classes(iter([pd.DataFrame([entry(node, "registry", 9.99), entry(5, "list", 6.49)], columns=fields)])))[0]
+    assert out["node"].dropna().tolist() == [node] and out["reason"].dropna().tolist() == [M.OTHER_PRICE]
