@@ -9,18 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fn_fold, fn_host
+from ..functions.amounts import bind, found
 from ..functions.text import fn_clean, straight
 from ..functions.times import days_between, seconds_between
 from ..rules import wordings as R
+from .wordwork import said, says, without
 
 Rule = tuple[str, Column]
 
 
-def says(text: Column, pattern: str) -> Column:
-    """Whether a text matches, letter case aside; null text matches nothing."""
-    return F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}")
-
-
 def first_reason(rules: Sequence[Rule]) -> Column:
     """The first rule that holds; a condition that is null does not hold."""
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -90,36 +87,38 @@ def flt_category_any(df: DataFrame, wanted: Sequence[str], reason: str = "other
 def flt_not_sale(posts: DataFrame) -> DataFrame:
     """Why a post is no sale at a store that ships. Needs title, text, deal_type and the parsed offer columns pct, upto,
     extra, off, off_upto, min_spend, bogo, bogo_pct, buy_n, reward, as job_sale_offer gives them."""
-    title = straight(F.col("title"))
-    main = F.regexp_replace(title, f"(?i){R.ASIDE}", "")
-    goods = F.regexp_replace(title, f"(?i){R.SHIP_TAIL}", "")
+    c = F.col
+    # each form of the title is worked out once, with its lower case
+    texts = (posts.withColumn("_title", straight(c("title"))).withColumns({"_main": without(c("_title"), R.ASIDE, ""), "_goods": without(c("_title"), R.SHIP_TAIL, "")})
+             .withColumns({"_title_low": F.lower("_title"), "_main_low": F.lower("_main"), "_goods_low": F.lower("_goods")}))
+    in_title, in_main, in_goods = (lambda rx, n=n: said(c(n), rx, c(n + "_low")) for n in ("_title", "_main", "_goods"))
     has = lambda c: F.col(c).isNotNull()                                                    # noqa: E731
     bogo = F.coalesce(F.col("bogo"), F.lit("")) != ""
     reward = F.coalesce(F.col("reward"), F.lit("")) != ""
     sale_type = F.coalesce(F.col("deal_type") == "sale", F.lit(False))
-    sale_words, ceiling = says(main, R.SALE_WORDS), has("upto") | has("extra")
-    wide = says(main, R.SITEWIDE) | says(main, R.EVERYTHING)
+    sale_words, ceiling = in_main(R.SALE_WORDS), has("upto") | has("extra")
+    wide = in_main(R.SITEWIDE) | in_main(R.EVERYTHING)
     order_size = F.coalesce(F.col("min_spend") > 0, F.lit(False))
-    head = F.coalesce(F.nullif(F.regexp_extract(title, r"^(.{3,}): (?=\s*(?i:up\s?to\b|extra\b|over\b|\d{1,3}\s?%|\$\d|bogo\b|buy\b|"
-                                                r"spend\b|save\b|take\b|at least\b))", 1), F.lit("")), main)
+    before_offer = r"^(.{3,}): (?=\s*(?i:up\s?to\b|extra\b|over\b|\d{1,3}\s?%|\$\d|bogo\b|buy\b|spend\b|save\b|take\b|at least\b))"
+    head = F.coalesce(F.when(c("_title").contains(": "), found(c("_title"), before_offer)), c("_main"))
+    head_names = bind(head, lambda h: says(h, R.SALE_WORDS) | says(h, R.CATEGORY_NOUNS) | says(h, R.SITEWIDE) | says(h, R.EVERYTHING))
     offer_text = F.coalesce(F.col("text"), F.lit(""))
     amounts = F.array_distinct(F.regexp_extract_all(offer_text, F.lit(r"\$\s?(\d[\d,]*(?:\.\d\d)?)"), F.lit(1)))
     many = (sale_type | sale_words | ceiling | order_size | wide | F.coalesce(F.col("buy_n") > 0, F.lit(False))
-            | says(main, R.CATEGORY_NOUNS) | bogo)
-    one_price = says(main, R.ONE_PRICE) & ~says(main, R.PRICE_HEDGE)
+            | bogo | in_main(R.CATEGORY_NOUNS))
+    one_price = in_main(R.ONE_PRICE) & ~in_main(R.PRICE_HEDGE)
     rules: list[Rule] = [("one product, not a sale", F.coalesce(F.col("deal_type") == "product", F.lit(False))),
-                         ("a roundup of other deals", says(title, R.ROUNDUP))]
-    rules += [(why, says(goods, rx) & ~(reward if why == "a gift card" else F.lit(False))) for rx, why in R.NOT_SALE]
-    rules += [(why, says(title, rx)) for rx, why in R.NOT_SHIPPED]
+                         ("a roundup of other deals", in_title(R.ROUNDUP))]
+    rules += [(why, in_goods(rx) & ~(reward if why == "a gift card" else F.lit(False))) for rx, why in R.NOT_SALE]
+    rules += [(why, in_title(rx)) for rx, why in R.NOT_SHIPPED]
     rules += [
         ("no discount stated", ~(has("pct") | ceiling | has("off") | has("bogo_pct") | bogo)),
         ("one product, not a sale", ~sale_type & ~sale_words & ~ceiling & (F.size(amounts) <= 2)
          & says(offer_text, r"\b(?:just|only|for)\s+\$\s?\d")),
         ("one product, not a sale", ~many | (one_price & ~ceiling & ~sale_type)),
         ("one product, not a sale", has("off") & ~has("pct") & ~ceiling & ~order_size & ~bogo
-         & ~F.coalesce(F.col("off_upto"), F.lit(False)) & ~says(head, R.SALE_WORDS) & ~says(head, R.CATEGORY_NOUNS)
-         & ~(says(head, R.SITEWIDE) | says(head, R.EVERYTHING)))]
-    return flt_reason(posts, rules)
+         & ~F.coalesce(F.col("off_upto"), F.lit(False)) & ~head_names)]
+    return flt_reason(texts, rules).select(*posts.columns, "reason")
 
 
 def flt_not_promo(posts: DataFrame) -> DataFrame:

@@ -10,22 +10,23 @@ from ..functions.amounts import bind, dollars_short, general, number, rounded
 from ..functions.text import fn_clean, straight
 from ..functions.times import month_number, wall, weekday_number
 from ..rules import wordings as R
-from .wordwork import (bogo_of, ci, first_label, got, got_number, matches, read_match, says, staged, without, without_first)
+from .wordwork import (bogo_of, ci, each_said, first_label, got, got_number, matches, may_match, read_match, says, staged, without, without_first)
 
 CENTRAL = "America/Chicago"
 
 
-def split_title(title: Column) -> tuple[Column, Column]:
-    """What is on sale and the offer, for a title that puts the offer after its last colon; else "" and the title."""
-    t = straight(title)
-    head, tail = F.regexp_extract(t, r"^(.*): (.*)$", 1), F.regexp_extract(t, r"^(.*): (.*)$", 2)
-    is_split = t.contains(": ") & (F.length(head) >= 3) & says(F.trim(tail), R.OFFER_START)
-    return F.when(is_split, head).otherwise(F.lit("")), F.when(is_split, tail).otherwise(t)
+def split_title(title: Column) -> Column:
+    """struct(head, offer): what is on sale and the offer, for a title that puts the offer after its last colon; else "" and the title."""
+    def read(t: Column) -> Column:
+        parts = F.struct(F.regexp_extract(t, r"^(.*): (.*)$", 1).alias("head"), F.regexp_extract(t, r"^(.*): (.*)$", 2).alias("offer"))
+        split = bind(parts, lambda x: F.when((F.length(x["head"]) >= 3) & says(F.trim(x["offer"]), R.OFFER_START), x))
+        return F.coalesce(F.when(t.contains(": "), split), F.struct(F.lit("").alias("head"), t.alias("offer")))
+    return bind(straight(title), read)
 
 
 def offer_part(title: Column) -> Column:
     """The words that state the offer, without shipping or an aside."""
-    return F.trim(without(without(split_title(title)[1], R.SHIP_TAIL, ""), R.ASIDE, ""))
+    return F.trim(without(without(split_title(title)["offer"], R.SHIP_TAIL, ""), R.ASIDE, ""))
 
 
 OFFER_COLUMNS = ["pct", "upto", "extra", "extra_upto", "off", "off_upto", "min_spend", "reward", "bogo", "bogo_pct", "buy_n",
@@ -254,15 +255,17 @@ def job_promo_dates(posts: DataFrame, start: Column, end: Column, zone: str = CE
 # --- code, shipping, conditions ---
 
 def shipping_words(title: Column) -> Column:
-    t = straight(title)
-    least, with_ = got_number(t, R.FREE_SHIP_MIN), F.lower(got(t, R.FREE_SHIP_WITH))
-    stated = F.regexp_extract(t, r"\+\s*\$(\d+(?:\.\d\d)?)\s+shipping", 1)
-    return (F.when(says(t, R.FREE_SHIP_MIN), F.concat(F.lit("Free shipping on "), dollars_short(least), F.lit("+")))
-            .when(with_ == "prime", "Free shipping with Prime").when(with_ == "exclusions", "Free shipping, with exclusions")
-            .when(with_ == "select purchase", "Free shipping on some orders")
-            .when(with_.isNotNull(), F.concat(F.lit("Free shipping with "), got(t, R.FREE_SHIP_WITH)))
-            .when(says(t, R.FREE_SHIP), "Free shipping").when(says(t, "shipping varies"), "Shipping varies")
-            .when(stated != "", F.concat(dollars_short(stated.try_cast("double")), F.lit(" shipping"))).otherwise(""))
+    def named(w: Column) -> Column:
+        low = F.lower(w)
+        return (F.when(low == "prime", "Free shipping with Prime").when(low == "exclusions", "Free shipping, with exclusions")
+                .when(low == "select purchase", "Free shipping on some orders").otherwise(F.concat(F.lit("Free shipping with "), w)))
+
+    def read(t: Column) -> Column:
+        least = F.concat(F.lit("Free shipping on "), bind(got_number(t, R.FREE_SHIP_MIN), dollars_short), F.lit("+"))
+        stated = bind(F.regexp_extract(t, r"\+\s*\$(\d+(?:\.\d\d)?)\s+shipping", 1), lambda x: F.when(x != "", F.concat(dollars_short(x.try_cast("double")), F.lit(" shipping"))))
+        return F.coalesce(least, bind(got(t, R.FREE_SHIP_WITH), named), F.when(says(t, R.FREE_SHIP), "Free shipping"), F.when(says(t, "shipping varies"), "Shipping varies"),
+                          F.when(t.contains("$"), stated), F.lit(""))
+    return bind(straight(title), read)
 
 
 def job_sale_code_shipping_conditions(posts: DataFrame, today: Column, zone: str = CENTRAL) -> DataFrame:
@@ -289,23 +292,23 @@ def job_sale_code_shipping_conditions(posts: DataFrame, today: Column, zone: str
             ship = says(s, R.CODE_SHIP) & ~says(F.replace(s, code, F.lit(" ")), R.CODE_DISCOUNT)
             note = F.when(ship, F.when(says(s, r"\bdelivery\b"), "for free delivery").otherwise("for free shipping")).otherwise("")
             return F.when(fits, F.struct(code.alias("code"), note.alias("note"), says(s, R.CODE_NEW).alias("new")))
-        return F.transform(F.regexp_extract_all(s, F.lit(code_at), F.lit(0)), one)
+        said = F.when(may_match(s, R.CODE), F.regexp_extract_all(s, F.lit(code_at), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return F.transform(said, one)
 
     # a list of sentences, each end kept with its sentence
     found = F.array_compact(F.flatten(F.transform(F.split(full, r"(?<=[.!?]) "), in_sentence)))
-    head, offer = split_title(c("title"))
     t = c("_said")
     body_today = says(straight(c("text")), r"\btoday[- ]only\b")
-    of_title = [F.when(says(t, rx) | (body_today if label == "today only" else F.lit(False)), F.lit(label)) for rx, label in R.SALE_CONDITIONS]
+    of_title = each_said(t, [rx for rx, _ in R.SALE_CONDITIONS], lambda said: F.array(
+        *[F.when(s | (body_today if label == "today only" else F.lit(False)), F.lit(label)) for s, (_, label) in zip(said, R.SALE_CONDITIONS)]))
     reward = F.coalesce(c("reward"), F.lit("")) != ""
-    listed = F.array_compact(F.array(
-        first_label(t, R.SALE_MEMBERS), *of_title,
+    listed = F.array_compact(F.concat(F.array(first_label(t, R.SALE_MEMBERS)), of_title, F.array(
         F.when((c("min_spend") > 0) & ~reward, F.concat(F.lit("on orders of "), dollars_short(c("min_spend")), F.lit("+"))),
         F.when((c("buy_n") > 0) & c("pct").isNotNull(), F.concat(F.lit("when you buy "), c("buy_n").cast("string"))),
         F.when(reward, F.concat(F.lit("paid as a "), c("reward"))),
-        F.when(c("_code.new"), F.lit("the code is for new customers"))))
+        F.when(c("_code.new"), F.lit("the code is for new customers")))))
     return staged(posts, ["code", "code_note", "shipping", "conditions"],
-                  {"_code": F.get(found, 0), "_said": F.concat(head, F.lit(" "), without(offer, R.SHIP_TAIL, ""))},
+                  {"_code": F.get(found, 0), "_said": bind(split_title(c("title")), lambda x: F.concat(x["head"], F.lit(" "), without(x["offer"], R.SHIP_TAIL, "")))},
                   {"code": F.coalesce("_code.code", F.lit("")), "code_note": F.coalesce("_code.note", F.lit("")),
                    "shipping": shipping_words(c("title")), "conditions": F.array_distinct(listed)})
 
@@ -326,13 +329,12 @@ def job_sale_name(posts: DataFrame) -> DataFrame:
     names = F.array_join(F.transform(by_length, lambda n: F.concat(F.lit("\\Q"), straight(n), F.lit("\\E"))), "|")
     # no names: a pattern that matches nothing
     names = F.when(F.size("store_names") > 0, names).otherwise(F.lit("(?!)"))
-    around = lambda lead, tail: F.concat(F.lit("(?i)" + lead), names, F.lit(tail))                 # noqa: E731
-    head, _ = split_title(c("title"))
-    t0 = F.when(head != "", head).otherwise(straight(c("title")))
+    around = lambda lead, tail: F.concat(F.lit("(?i)" + lead), c("_names"), F.lit(tail))           # noqa: E731
+    t0 = bind(split_title(c("title")), lambda x: F.when(x["head"] != "", x["head"]).otherwise(x["offer"]))
     edges = lambda t: F.regexp_replace(F.regexp_replace(t, r"^[\s|=+:–—!*-]+", ""), r"[\s|=+:–—-]+$", "")
     return staged(
         posts, ["name", "sitewide", "store_event"],
-        {"_a": without(without(t0, R.ASIDE, ""), R.ASIDE, "")},
+        {"_a": without(without(t0, R.ASIDE, ""), R.ASIDE, ""), "_names": names},
         {"_a": without(without(without(without(c("_a"), R.DECOR, ""), R.FOR_MEMBERS, ""), R.SHIP_TAIL, ""), R.OFFER_WORDS)},
         {"_a": F.regexp_replace(c("_a"), around(r"\s+(?:at|on|from|via|@)\s+(?:the\s+)?(?:", r")(?:\.com)?(?:'s)?\b"), F.lit(" "))},
         {"_a": F.regexp_replace(c("_a"), around(r"(?<![\w&'.-])(?:", r")(?:\.com)?(?:'s)?(?![\w&-])"), F.lit(" "))},

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.amounts import bind, found, general, number, rounded
+from ..functions.amounts import bind, found, general, number, once, rounded
 from ..rules import wordings as R
+from ..rules.signs import words_in
 
 
 def ci(pattern: str) -> str:
@@ -23,21 +24,33 @@ def holds(low: Column, words: Sequence[str]) -> Column:
     return some
 
 
-def may_match(text: Column, pattern: str) -> Column | None:
+def may_match(text: Column, pattern: str, low: Column | None = None) -> Column | None:
     """Whether a text holds the sign every match of the pattern has, and one of the words of which it has one, which is far cheaper to see
-    than the match; None for a pattern without such."""
-    sign, words = R.SIGNS.get(pattern), R.WORDS.get(pattern)
+    than the match; None for a pattern without such. `low` is the text in lower case where that is known."""
+    sign, words = R.SIGNS.get(pattern), R.WORDS.get(pattern) or R.MORE_WORDS.get(pattern) or words_in(pattern)
     there = None if sign is None else text.contains(sign)
-    if words is None:
+    if words is None or (sign is not None and list(words) == [sign]):
         return there
-    said = holds(F.lower(text), words)
+    if low is not None or all(w.lower() == w.upper() for w in words):
+        said = holds(text if low is None else low, words)
+    else:
+        said = holds(F.lower(text), words) if len(words) == 1 else bind(F.lower(text), lambda x: holds(x, words))
     return said if there is None else there & said
 
 
+def where_it_may(text: Column, pattern: str, hit, otherwise: Column | None = None) -> Column:
+    """`hit(text)` where the pattern may match, `otherwise` (null) where it cannot. The text is worked out once."""
+    def read(t: Column) -> Column:
+        worth = may_match(t, pattern)
+        if worth is None:
+            return hit(t)
+        return F.when(worth, hit(t)) if otherwise is None else F.when(worth, hit(t)).otherwise(otherwise)
+    return once(text, read)
+
+
 def got(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, letter case aside; null without one."""
-    worth, hit = may_match(text, pattern), found(text, ci(pattern), group)
-    return hit if worth is None else F.when(worth, hit)
+    return where_it_may(text, pattern, lambda t: found(t, ci(pattern), group))
 
 
 def got_number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -45,42 +58,56 @@ def got_number(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def says(text: Column, pattern: str) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    worth, hit = may_match(t, pattern), t.rlike(ci(pattern))
+    return once(text, lambda t: said(F.coalesce(t, F.lit("")), pattern))
+
+
+def said(t: Column, pattern: str, low: Column | None = None) -> Column:
+    """`says` of a text that is not null, whose lower case may be known."""
+    worth, hit = may_match(t, pattern, low), t.rlike(ci(pattern))
     return hit if worth is None else worth & hit
 
 
+def each_said(text: Column, patterns: Sequence[str], read) -> Column:
+    """`read` of whether a text says each of the patterns; the text and its lower case are worked out once for all of them."""
+    return once(F.coalesce(text, F.lit("")), lambda t: bind(F.lower(t), lambda low: read([said(t, p, low) for p in patterns])))
+
+
 def without_first(text: Column, pattern: str) -> Column:
     """The text with the first match taken out."""
-    worth, left = may_match(text, pattern), F.regexp_replace(text, f"(?is)^(.*?)(?:{pattern})", "$1 ")
-    return left if worth is None else F.when(worth, left).otherwise(text)
+    def read(t: Column) -> Column:
+        worth, left = may_match(t, pattern), F.regexp_replace(t, f"(?is)^(.*?)(?:{pattern})", "$1 ")
+        return left if worth is None else F.when(worth, left).otherwise(t)
+    return once(text, read)
 
 
 def without(text: Column, pattern: str, instead: str = " ") -> Column:
-    worth, left = may_match(text, pattern), F.regexp_replace(text, ci(pattern), instead)
-    return left if worth is None else F.when(worth, left).otherwise(text)
+    def read(t: Column) -> Column:
+        worth, left = may_match(t, pattern), F.regexp_replace(t, ci(pattern), instead)
+        return left if worth is None else F.when(worth, left).otherwise(t)
+    return once(text, read)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Every match, as written."""
-    worth, hits = may_match(text, pattern), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ci(pattern)), F.lit(0))
-    return hits if worth is None else F.when(worth, hits).otherwise(F.array().cast("array<string>"))
+    return where_it_may(text, pattern, lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(ci(pattern)), F.lit(0)), F.array().cast("array<string>"))
 
 
 def labels_of(text: Column, table: Sequence[tuple[str, str]], signs: dict[str, Sequence[str]] | None = None) -> Column:
     """The labels whose pattern matches, in the table's order. `signs` has words, in lower case, of which every match of a label's pattern has
     one: the text is searched for that label only where it holds one."""
     if signs is None:
-        return F.array_compact(F.array(*[F.when(says(text, rx), F.lit(label)) for rx, label in table]))
-    return bind(F.struct(text.alias("t"), F.lower(text).alias("low")),
-                lambda x: F.array_compact(F.array(*[F.when(holds(x["low"], signs[label]) & says(x["t"], rx), F.lit(label)) for rx, label in table])))
+        return each_said(text, [rx for rx, _ in table], lambda said: F.array_compact(F.array(*[F.when(s, F.lit(label)) for s, (_, label) in zip(said, table)])))
+    return once(text, lambda t: bind(F.struct(t.alias("t"), F.lower(t).alias("low")), lambda x: F.array_compact(F.array(
+        *[F.when(holds(x["low"], signs[label]) & x["t"].rlike(ci(rx)), F.lit(label)) for rx, label in table]))))
 
 
 def first_label(text: Column, table: Sequence[tuple[str, str]]) -> Column:
-    chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for rx, label in table:
-        chain = chain.when(says(text, rx), F.lit(label))
-    return chain
+    def read(said: list[Column]) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("string"))
+        for s, (_, label) in zip(said, table):
+            chain = chain.when(s, F.lit(label))
+        return chain
+    return each_said(text, [rx for rx, _ in table], read)
 
 
 def count_word(word: Column) -> Column:
@@ -120,11 +147,11 @@ def bogo_of(text: Column) -> Column:
         off = F.when(~priced, kind_off(g(4), g(5)))
         return offer(count_word(g(1)), F.when(g(3).isNotNull(), 1).otherwise(count_word(g(2))), off, True)
 
-    first = read_match(text, R.BOGO_GLUED, glued)
-    read = bind(first, lambda x: F.when(x["label"].isNotNull(), x).otherwise(F.coalesce(
-        read_match(text, R.BOGO + "(" + R.BOGO_PRICED + ")?", main),
-        read_match(text, R.BOGO_WORD, lambda g: offer(F.lit(1), F.lit(1), kind_off(g(1), g(2)), True)))))
-    return F.when(text.rlike(ci(R.BOGO_START)), read)
+    def read(t: Column) -> Column:
+        return bind(read_match(t, R.BOGO_GLUED, glued), lambda x: F.when(x["label"].isNotNull(), x).otherwise(F.coalesce(
+            read_match(t, R.BOGO + "(" + R.BOGO_PRICED + ")?", main),
+            read_match(t, R.BOGO_WORD, lambda g: offer(F.lit(1), F.lit(1), kind_off(g(1), g(2)), True)))))
+    return once(text, lambda t: F.when(says(t, R.BOGO_START), read(t)))
 
 
 def staged(df, columns: Sequence[str], *stages: dict[str, Column]):
