@@ -98,3 +98,27 @@ def test_shipping_words(spark):
             "free shipping w/ Plus membership": "Free shipping with Plus membership", "ships free": "Free shipping", "hats + $4.99 shipping": "$4.99 shipping", "hats, shipping varies": "Shipping varies", "hats": "", None: ""}
     df = spark.createDataFrame([(t,) for t in said], "t string")
     assert dict(map(tuple, df.select("t", sales.shipping_words(F.col("t"))).collect())) == said
+
+
+def test_every_match_about_days_and_times_holds_a_word():
+    from offerlake.operators import calendar as C
+    rnd, seen = random.Random(2), set()
+    parts = ("ruby tuesday's tgi friday's t.g.i. fridays tuesday morning wednesday addams black friday good friday cyber monday easter sunday super bowl sunday ash wednesday fat tuesday giving tuesday sunday ticket monday night football the "
+             "13th small business saturday mon-fri Mon to Fri wed thru sat 2 - 5 pm open till close 11 am until 2 pm noon – midnight in January all October during may this August throughout March").split()
+    for _ in range(20000):
+        i = rnd.randrange(len(parts) - 4)
+        t = " ".join(parts[i:i + 4] + [rnd.choice(parts)])
+        for p in (C.DAY_RANGE, C.TIME_RANGE, C.NOT_A_DAY, C.IN_MONTH):
+            if re.search(p, t, re.I):
+                seen.add(p)
+                assert any(x in t.lower() for x in R.MORE_WORDS[p]), (p, t)
+    assert len(seen) == 4
+
+
+def test_a_zone_is_searched_once(spark):
+    from offerlake.operators.calendar import time_windows
+    plan = optimized(spark.createDataFrame([("2-5 pm ET",)], "t string").select(time_windows(F.col("t")).alias("w")))
+    assert plan.count(", 9)") + plan.count(", 9,") <= 2
+    zones = {"2-5 pm ET": "America/New_York", "after 3 pm (PT)": "America/Los_Angeles", "until 9 pm MST": "America/Denver", "2-5 pm": "", "13-99 pm ET": "America/New_York"}
+    df = spark.createDataFrame([(t,) for t in zones], "t string").select("t", time_windows(F.col("t"))["zone"].alias("z"))
+    assert {r.t: r.z for r in df.collect() if r.t != "13-99 pm ET"} == {t: z for t, z in zones.items() if t != "13-99 pm ET"}
