@@ -128,7 +128,7 @@ def _(t: Tables):
         a, b = text.split("{p}") if "{p}" in text else (text, None)
         said = F.concat(F.lit(a), F.col("size").cast("string"), F.lit(b)) if b is not None else F.lit(a)
         title = F.when(pick == i, said).otherwise(title)
-    posts = t.deals.select("id", "item", title.alias("title"), F.lit("").alias("text"),
+    posts = t.spread_deals.select("id", "item", title.alias("title"), F.lit("").alias("text"),
                            F.when(pick == 18, "product").otherwise("").alias("deal_type"))
     return tally(ops.flt_not_sale(job_sale_offer(posts)))
 

@@ -50,3 +50,8 @@ def test_given_cosines_change_no_distance(spark):
     df = spark.createDataFrame([(30.0, -95.0, 31.5, -96.0), (0.0, 0.0, 0.0, 180.0), (89.9, 10.0, -89.9, 20.0), (None, 1.0, 2.0, 3.0)], "a double, b double, x double, y double")
     c = [F.col(n) for n in "abxy"]
     assert all(r[0] == r[1] for r in df.select(fn_haversine(*c), fn_haversine(*c, cos_lat(c[0]), cos_lat(c[2]))).collect())
+
+
+def test_titles_of_not_sales_are_read_in_dealt_tasks(spark):
+    plan = QUERIES["flt_not_sale"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan
